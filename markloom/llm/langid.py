@@ -1,12 +1,13 @@
 """Language identification by compression.
 
 For each language a raw-content dictionary is cut from a bounded sample of its labelled texts. A text belongs to the
-language whose dictionary compresses it best. Texts are compressed whole, in blocks, so that the dictionary counts for
-all of a long text and not only for its start. The margin between the best and the second-best size is the score; a
+language whose dictionary compresses it best. What is compressed are the words of the whole text, in lower case and each
+once: a word that is said a hundred times would else be found in the text itself, and tell nothing of the dictionary.
+They are compressed in blocks, so that the dictionary counts for all of a long text. The margin between the best and the second-best size is the score; a
 text with a margin under `least_margin` is rejected (the operator's `rejected`), since no dictionary explains it.
 
-Sample: per language about SAMPLE_BYTES of text from at most SAMPLE_TEXTS texts in the order of a hash of their
-content, each giving at most SAMPLE_BYTES / 32 bytes; that many bytes of dictionary a language is all that is broadcast.
+Sample: per language SAMPLE_BYTES of words from at most SAMPLE_TEXTS texts in the order of a hash of their content, each
+giving at most TEXT_CHARS characters; that many bytes of dictionary a language is all that is broadcast.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; with one learned language every other text
 gets it with score 0; with none every text is `und`; rows with a null language are predicted, not learned from; ties go
@@ -15,20 +16,26 @@ to the first language in code point order; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SAMPLE_BYTES = 96 * 1024
-SAMPLE_TEXTS = 400
+SAMPLE_BYTES = 192 * 1024
+SAMPLE_TEXTS = 500
+TEXT_CHARS = 1000
 BLOCK = 4096
 LEAST_MARGIN = 0.01
-_LETTER = regex.compile(r"\p{L}")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def vocabulary_of(text: str) -> str:
+    """The distinct runs of letters of a text in lower case, in order of their first place."""
+    return " ".join(dict.fromkeys(_WORD.findall(text.lower())))
 
 
 def learn(docs: DataFrame, use: Column, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
@@ -41,11 +48,11 @@ def learn(docs: DataFrame, use: Column, text: str = "text", lang: str = "lang")
     counts = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     draw = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 40)) / float(1 << 40)
     thin = named.withColumn("_d", draw).join(counts, "lang").filter(F.col("_d") < 3.0 * SAMPLE_TEXTS / F.col("n"))
-    cut = thin.select("lang", "_d", F.substring("text", 1, SAMPLE_BYTES // 32).alias("text"))
+    cut = thin.select("lang", "_d", F.substring("text", 1, 4 * TEXT_CHARS).alias("text"))
     first = cut.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_d", "text"))).filter(F.col("_k") <= SAMPLE_TEXTS)
     parts = defaultdict(list)
     for row in first.orderBy("lang", "_k").toLocalIterator():
-        parts[row["lang"]].append(row["text"].encode())
+        parts[row["lang"]].append(vocabulary_of(row["text"])[:TEXT_CHARS].encode())
     made = {}
     for name, texts in sorted(parts.items()):
         kept, size = [], 0
@@ -60,7 +67,7 @@ def learn(docs: DataFrame, use: Column, text: str = "text", lang: str = "lang")
 class Classifier:
     """Sizes of texts under each language's dictionary."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 3):
+    def __init__(self, dictionaries: dict[str, bytes], level: int = -1):
         self.names = sorted(dictionaries)
         self.coders = []
         for name in self.names:
@@ -68,17 +75,18 @@ class Classifier:
             d.precompute_compress(level=level)
             self.coders.append(zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False))
 
-    def sizes(self, text: str) -> list[int]:
-        data = text.encode("utf-8", "surrogatepass")
+    def sizes(self, words: str) -> list[int]:
+        data = words.encode("utf-8", "surrogatepass")
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
         return [sum(len(c.compress(b)) for b in blocks) for c in self.coders]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.names or text is None or not _LETTER.search(text):
+        words = vocabulary_of(text or "")
+        if not self.names or not words:
             return "und", 0.0
         if len(self.names) == 1:
             return self.names[0], 0.0
-        sizes = self.sizes(text)
+        sizes = self.sizes(words)
         best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
         second = min(s for i, s in enumerate(sizes) if i != best)
         return self.names[best], max(0.0, min(1.0, 1 - sizes[best] / second))
