@@ -14,11 +14,15 @@ REVIEW_BELOW = 0.65
 BLANK_CONFIDENCE = 0.9
 
 
-@F.pandas_udf("double")
-def round4_exact(values: pd.Series) -> pd.Series:
-    """Four places, by the exact value of the double, halves away from zero: what fixed-point formatting gives."""
-    place = Decimal("0.0001")
-    return values.map(lambda v: float(Decimal(v).quantize(place, ROUND_HALF_UP)), na_action="ignore")
+def round4_exact(value: Column) -> Column:
+    """Four places by the exact value of the double, halves away from zero, in decimals: what `round4` is held against."""
+
+    @F.pandas_udf("double")
+    def run(values: pd.Series) -> pd.Series:
+        place = Decimal("0.0001")
+        return values.map(lambda v: float(Decimal(v).quantize(place, ROUND_HALF_UP)), na_action="ignore")
+
+    return run(value)
 
 
 def round4(value: Column) -> Column:
