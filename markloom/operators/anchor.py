@@ -27,16 +27,16 @@ def matches(quotes: DataFrame, pages: DataFrame, doc: str = "doc_id", quote: str
 
     quotes: ids, doc, quote, hint (a page or null); pages: doc, page, text.
     """
-    ids = ids or ["quote_id"]
-    normal = usable(quotes, quote).select(*ids, doc, "hint", normalise(F.trim(quote)).alias("_q")).filter("_q != ''")
+    ids = list(dict.fromkeys([*(ids or ["quote_id"]), doc]))
+    normal = usable(quotes, quote).select(*ids, "hint", normalise(F.trim(quote)).alias("_q")).filter("_q != ''")
     sheets = pages.select(doc, "page", normalise(F.col("text")).alias("_t")).filter("_t != ''")
     pairs = normal.join(sheets, doc)
     at = F.instr("_t", F.col("_q"))
-    exact = pairs.filter(at > 0).select(*ids, doc, "page", "hint", F.lit(1.0).alias("similarity"), F.lit("exact").alias("status"), (at - 1).cast("int").alias("start"), (at - 1 + F.length("_q")).cast("int").alias("end"))
+    exact = pairs.filter(at > 0).select(*ids, "page", "hint", F.lit(1.0).alias("similarity"), F.lit("exact").alias("status"), (at - 1).cast("int").alias("start"), (at - 1 + F.length("_q")).cast("int").alias("end"))
     rest = pairs.filter(at == 0).withColumn("_p", tokens(F.col("_q"))).withColumn("_w", tokens(F.col("_t"))).filter(F.size("_w") >= F.size("_p"))
     found = rest.withColumn("_b", best_window(F.col("_p"), F.col("_w"))).filter(F.col("_b.similarity") >= threshold)
     spans = found.withColumn("_s", token_spans(F.col("_t")))
-    fuzzy = spans.select(*ids, doc, "page", "hint", F.col("_b.similarity").alias("similarity"), F.lit("fuzzy").alias("status"), F.get("_s", F.col("_b.offset"))["start"].alias("start"), F.get("_s", F.col("_b.offset") + F.size("_p") - 1)["end"].alias("end"))
+    fuzzy = spans.select(*ids, "page", "hint", F.col("_b.similarity").alias("similarity"), F.lit("fuzzy").alias("status"), F.get("_s", F.col("_b.offset"))["start"].alias("start"), F.get("_s", F.col("_b.offset") + F.size("_p") - 1)["end"].alias("end"))
     return exact.unionByName(fuzzy)
 
 

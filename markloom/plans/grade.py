@@ -1,7 +1,8 @@
 """Grading, end to end: documents, rubric and judgements in; scores, papers, annotations and audit out.
 
-Everything is relational and lazy; a live judge's raw output should be written to a table before it comes here, since it
-is read by several branches.
+Everything is relational. What several branches read (answers, judgements, anchors, scores) is settled in the checkpoint
+folder, so that no branch computes or plans it again and a lost executor costs a re-read. A live judge's raw output should
+be written to a table before it comes here.
 """
 
 from __future__ import annotations
@@ -12,19 +13,20 @@ from pyspark.sql import functions as F
 from ..functions.marks import BLANK_CONFIDENCE, question_confidence
 from ..functions.text import is_blank
 from ..operators import anchor, judge, review, segment, validate
+from .steps import settled
 
 PAPER, QUESTION = ["doc_id"], ["doc_id", "question_id"]
 
 
 def answers_of(pages: DataFrame, questions: DataFrame) -> DataFrame:
     """(doc_id, question_id, number, text, start_page, approximate, blank) of every document and question."""
-    return segment.segments(segment.joined_pages(pages), questions).withColumn("blank", is_blank(F.col("text")))
+    return settled(segment.segments(segment.joined_pages(pages), questions).withColumn("blank", is_blank(F.col("text"))))
 
 
 def rule_judged(answers: DataFrame, criteria: DataFrame, rules: DataFrame) -> DataFrame:
     """Judgements of the rule judge for answers that aren't blank: it never sees a blank one."""
     asked = answers.filter("NOT blank").join(criteria.select("question_id", "criterion_id", "description", "max_marks"), "question_id")
-    judged = judge.rule_judgements(asked.select(*QUESTION, "criterion_id", "description", "max_marks", "text"), rules, QUESTION)
+    judged = settled(judge.rule_judgements(asked.select(*QUESTION, "criterion_id", "description", "max_marks", "text"), rules, QUESTION))
     confidence = judge.self_confidence(judged, QUESTION)
     return judged.join(confidence, QUESTION).withColumn("ordinal", F.row_number().over(Window.partitionBy(*QUESTION).orderBy("criterion_id")))
 
@@ -38,15 +40,16 @@ def grade(pages: DataFrame, questions: DataFrame, criteria: DataFrame, judgement
     asked = answers.filter("NOT blank")
     rubric = asked.select(*QUESTION, "number").join(criteria, "question_id")
     judged = judgements.select(*QUESTION, "ordinal", "criterion_id", F.col("awarded").cast("double").alias("awarded"), "status", "quote")
-    scored = validate.score_criteria(rubric.select(*QUESTION, "number", "criterion_id", "description", "max_marks", F.col("ordinal").alias("place")), judged, QUESTION)
+    scored = settled(validate.score_criteria(rubric.select(*QUESTION, "number", "criterion_id", "description", "max_marks", F.col("ordinal").alias("place")), judged, QUESTION))
     unknown = validate.unknown_judgements(rubric, judged, QUESTION)
     # Quotes are verified against the whole document, without a hint.
     ids = [*QUESTION, "criterion_id"]
     quotes = validate.last_judgements(judged, QUESTION).select(*ids, "quote", "status").withColumn("hint", F.lit(None).cast("int"))
     cited = quotes.filter(F.length(F.trim(F.coalesce("quote", F.lit("")))) > 0)
-    anchors = anchor.anchor_quotes(cited, pages, runs, ids)
+    anchors = settled(anchor.anchor_quotes(cited, pages, runs, ids))
     scores = scored.join(quotes.select(*ids, "quote", F.col("status").alias("judged")), ids, "left").join(anchors.select(*ids, F.col("status").alias("anchor"), "similarity", "matched_text", "rects"), ids, "left")
     scores = scores.withColumn("verified", F.when(F.col("anchor").isNotNull(), F.col("anchor").isin("exact", "fuzzy"))).withColumn("status", F.coalesce("judged", F.lit("missing"))).drop("judged")
+    scores = settled(scores)
 
     totals = validate.question_totals(scored, QUESTION)
     cites = scores.groupBy(*QUESTION).agg(F.count("anchor").alias("quoted"), F.count_if("verified").alias("verified"), F.count_if(F.col("anchor") == "unresolved").alias("lost"))
@@ -60,13 +63,13 @@ def grade(pages: DataFrame, questions: DataFrame, criteria: DataFrame, judgement
     graded = drafts.withColumn("_c", confidence).select(*QUESTION, "number", F.lit("graded").alias("state"), "awarded", "max_marks", F.col("_c.value").alias("confidence"), F.col("_c.factors").alias("factors"))
     worth = criteria.groupBy("question_id").agg(F.sum("max_marks").alias("max_marks"))
     blanks = answers.filter("blank").join(worth, "question_id").select(*QUESTION, "number", F.lit("blank").alias("state"), F.lit(0.0).alias("awarded"), "max_marks", F.lit(BLANK_CONFIDENCE).alias("confidence"), F.array().cast("array<string>").alias("factors"))
-    results = graded.unionByName(blanks)
+    results = settled(graded.unionByName(blanks))
 
     unverified = scores.filter("anchor = 'unresolved'").select(*QUESTION, F.lit("evidence_unverified").alias("kind"), "criterion_id", F.lit("The quote cited does not appear in the answer.").alias("detail"), F.lit(None).cast("double").alias("before"), F.lit(None).cast("double").alias("after"))
     blank_rows = answers.filter("blank").select(*QUESTION, F.lit("blank_answer_detected").alias("kind"), F.lit(None).cast("string").alias("criterion_id"), F.lit("No answer text found for this question. Scored 0 without asking the judge.").alias("detail"), F.lit(None).cast("double").alias("before"), F.lit(0.0).alias("after"))
-    audit = validate.audit_rows(scored, unknown, totals, QUESTION).unionByName(unverified).unionByName(blank_rows)
+    audit = settled(validate.audit_rows(scored, unknown, totals, QUESTION).unionByName(unverified).unionByName(blank_rows))
 
-    papers = review.decide(review.paper_totals(results, PAPER), review.audit_counts(audit, PAPER), PAPER)
+    papers = settled(review.decide(review.paper_totals(results, PAPER), review.audit_counts(audit, PAPER), PAPER))
     broken = review.violations(scored, results, papers, PAPER, QUESTION)
     papers = review.enforce(papers, broken, PAPER)
     return {"scores": scores, "questions": results, "papers": papers, "annotations": annotations_of(judgements, answers, pages, runs), "audit": audit, "violations": broken}
@@ -81,7 +84,7 @@ def annotations_of(judgements: DataFrame, answers: DataFrame, pages: DataFrame,
     found = judgements.filter("comment IS NOT NULL").join(answers.select(*QUESTION, "number", "start_page"), QUESTION)
     found = found.select(*ids, "number", "ordinal", "status", F.col("finding_quote").alias("quote"), F.col("start_page").alias("hint"), "comment", "correction", F.lit(None).cast("string").alias("region"))
     kept = validate.place_findings(found, QUESTION).filter("fate = 'kept'")
-    anchors = anchor.anchor_quotes(kept.filter("quote IS NOT NULL").select(*ids, "quote", "hint"), pages, runs, ids)
+    anchors = settled(anchor.anchor_quotes(kept.filter("quote IS NOT NULL").select(*ids, "quote", "hint"), pages, runs, ids))
     sound, _ = validate.drop_unanchored(kept, anchors, ids)
     placed = sound.join(anchors.select(*ids, F.col("status").alias("anchor_status"), "rects"), ids, "left")
     slot = F.row_number().over(Window.partitionBy("doc_id").orderBy("number", "ordinal", "criterion_id")) - 1

@@ -31,7 +31,7 @@ class Store:
         return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _version(self, name: str) -> str | None:
-        fs, pointer = self._fs(), self._path(name, "_current")
+        fs, pointer = self._fs(), self._path(name, "current")
         if not fs.exists(pointer):
             return None
         return self.spark.read.text(pointer.toString()).first()[0]
@@ -48,7 +48,7 @@ class Store:
     def write(self, name: str, rows: DataFrame) -> None:
         version = uuid.uuid4().hex
         rows.write.parquet(f"{self.folder}/{name}/{version}")
-        fs, fresh, pointer = self._fs(), self._path(name, f".{version}"), self._path(name, "_current")
+        fs, fresh, pointer = self._fs(), self._path(name, f".{version}"), self._path(name, "current")
         out = fs.create(fresh, True)
         out.write(bytearray(version.encode()))
         out.close()
