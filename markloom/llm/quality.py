@@ -51,7 +51,7 @@ def _covered(windows: Column) -> Column:
 
 
 def repeated_words(words: Column) -> Column:
-    """Words of `words` (a column, not an expression) in a three-word window found twice or more, the first included."""
+    """Words of `words` (a column or a bound variable, not an expression) in a three-word window found twice or more, the first included."""
     n = F.size(words) - 2
     hashes = F.transform(F.slice(words, 1, F.greatest(n, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
     windows = F.transform(F.slice(words, 1, n), lambda w, i: F.struct(F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i")))
@@ -113,17 +113,20 @@ def verdict(conditions: dict[str, Column], order: list[str]) -> Column:
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that no rule rejects, with the columns of docs alone."""
     order = [name for name, _, _ in order_rules(docs, text)]
-    judged = verdict(rules(measures(F.col("_text"), F.col("_words"))), order)
-    return prepared(docs, text).filter(judged.isNull()).select(*docs.columns)
+    whole = F.coalesce(docs[text], F.lit(""))
+    # Bound in the row: a filter would be pushed below the column of words, and split the text again for every word.
+    judged = let(F.struct(whole.alias("t"), words_of(whole).alias("w")), lambda x: verdict(rules(measures(x["t"], x["w"])), order))
+    return docs.filter(judged.isNull())
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's measures, first rejecting rule and whether it is kept."""
     order = [name for name, _, _ in order_rules(docs, text)]
-    ready = prepared(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")))
-    made = measures(F.col("_text"), F.col("_words"))
-    measured = ready.select("doc_id", *[c.alias(n) for n, c in made.items()])
-    failed = verdict(rules({n: F.col(n) for n in made}), order)
+    whole = F.coalesce(docs[text], F.lit(""))
+    # One column for all measures, its words bound in the row (see `keep`).
+    made = let(F.struct(whole.alias("t"), words_of(whole).alias("w")), lambda x: F.struct(*[c.alias(n) for n, c in measures(x["t"], x["w"]).items()]))
+    measured = docs.select(docs[doc_id].alias("doc_id"), made.alias("_m")).select("doc_id", "_m.*")
+    failed = verdict(rules({n: F.col(n) for n in measured.columns[1:]}), order)
     out = measured.withColumn("_failed", failed)
     base_failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", F.col("lines")["dup"].cast("long").alias("n_dup_lines"), "n_repeat_words", base_failed.alias("base_failed"), F.col("_failed").isNull().alias("kept"))
