@@ -137,6 +137,16 @@ def split_text(text: str, budget: int) -> list[str]:
     return [p for p in pieces if p]
 
 
+def split_refused(text: str, budget: int) -> list[str]:
+    """The parts of a chunk that a judge refused as too large: as `split_text`, else its two halves by lines, else itself."""
+    pieces = split_text(text, budget)
+    lines = text.split("\n")
+    if len(pieces) > 1 or len(lines) < 2:
+        return pieces
+    middle = -(-len(lines) // 2)
+    return [p for p in ("\n".join(lines[:middle]).strip(), "\n".join(lines[middle:]).strip()) if p]
+
+
 def split_oversized(text: Column, budget: int) -> Column:
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:

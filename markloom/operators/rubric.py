@@ -261,3 +261,13 @@ def finalise(questions: DataFrame, criteria: DataFrame) -> DataFrame:
     """(doc_id, question_id, max_marks, repaired): a question is worth the sum of its criteria."""
     sums = criteria.groupBy("doc_id", "question_id").agg(F.sum("max_marks").alias("_sum"))
     return questions.join(sums, ["doc_id", "question_id"]).select("doc_id", "question_id", F.col("_sum").alias("max_marks"), (F.abs(F.col("_sum") - F.col("max_marks")) > 1e-9).alias("repaired"))
+
+
+def reading_route(docs: DataFrame, questions: DataFrame, budget: int) -> DataFrame:
+    """(doc_id, route) of marking schemes: structural where the parser found questions, else chunked where a single request
+    wouldn't fit the budget, else single."""
+    from ..functions.text import estimate_tokens
+
+    parsed = questions.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    joined = docs.join(parsed, "doc_id", "left")
+    return joined.select("doc_id", F.when(F.col("_n") > 0, "structural").when(estimate_tokens(F.col("text")) > budget, "chunked").otherwise("single").alias("route"))

@@ -138,6 +138,7 @@ def test_chunks(spark):
     made = chunk.chunks(spark.createDataFrame([(1, big)], "doc_id int, text string"), 120).orderBy("chunk").collect()
     assert all(r.tokens <= 120 for r in made) and [r.chunk for r in made] == list(range(len(made))) and all(r.total == len(made) for r in made)
     assert "".join(r.text for r in made).replace("\n", "").replace(" ", "") == big.replace("\n", "").replace(" ", "")
+    assert chunk.split_refused("a\nb\nc", 100) == ["a\nb", "c"] and chunk.split_refused("a", 100) == ["a"]
     huge = chunk.chunks(spark.createDataFrame([(1, "1. Q one\n(a) " + "w " * 200 + "\n(b) " + "v " * 200 + "\n2. Q two is short")], "doc_id int, text string"), 300).orderBy("chunk").collect()
     assert [(r.numbers, r.part, r.parts) for r in huge] == [([1], 0, 2), ([1], 1, 2), ([2], 0, 1)]
     assert chunk.split_text("x" * 3000, 100) and max(map(len, chunk.split_text("y " * 3000, 100))) <= 301
@@ -172,6 +173,7 @@ def test_rubric_reading(spark):
     assert rows(criteria, "description", "max_marks") == [("Ammeter at Rs 30 and 60 units", 2.0), ("Closed path that wraps", 1.0)]
     prompts = rubric.parse_question_paper(spark.createDataFrame([(1, PAPER)], "doc_id int, text string"))
     assert rows(prompts, "number", "subject", "max_marks", "prompt") == [(1, "Physics", 5.0, "Describe a circuit. Use words."), (2, "Economics", 4.0, "State the law.")]
+    assert rows(rubric.reading_route(docs.unionByName(spark.createDataFrame([(2, "no headings"), (3, "x " * 9000)], "doc_id int, text string")), questions, 1000), "doc_id", "route") == [(1, "structural"), (2, "single"), (3, "chunked")]
     draft, named = rubric.assemble(questions, criteria, prompts)
     got = {r.number: r for r in draft.collect()}
     assert got[1].max_marks == 3 and got[2].max_marks == 4 and got[1].requires_diagram and any("9.0 marks but its criteria add up to 3.0" in w for w in got[1].warnings)
