@@ -19,13 +19,18 @@ import re
 from collections.abc import Iterator
 from functools import cache
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose tokens a task keeps at hand; the rest are encoded again when they come. It bounds memory alone.
-WORDS_HELD = 400_000
+WORDS_HELD = 300_000
+#: Pieces of up to so many characters are merged by scanning a list, longer ones with a heap.
+SHORT = 48
+_NONE_RANK = 1 << 60
+_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|(?:[^\w\s]|[_\x1c-\x1f])+")
 
 
 class WordBpe:
@@ -45,7 +50,18 @@ class WordBpe:
         self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.ranks = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.made = [0] * len(self.ranks)
+        for rank, token in self.ranks.values():
+            self.made[rank] = token
+        self.rank = {pair: rank for pair, (rank, _) in self.ranks.items()}
         self.longest = max(map(len, self.ids))
+        self.trie = ahocorasick.Automaton()
+        for token in self.ids:
+            self.trie.add_word(token, 0)
+        # How a byte-level vocabulary spells bytes: printable ones as themselves, the others from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.spelling = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
         self.parts = {i: self._characters(t[: -len(self.end)], True) if self.end and t.endswith(self.end) else self._characters(t, False) for i, t in self.names.items()}
         # Known pairs, sorted by left * 2^32 + right; right = NONE tests a token alone.
         self.pairs, self.fits = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
@@ -62,6 +78,18 @@ class WordBpe:
     def merge(self, ids: list[int]) -> list[int]:
         """Exact merging: the lowest rank first, of equal ranks the leftmost."""
         ids, n = list(ids), len(ids)
+        if n <= SHORT:
+            rank, made = self.rank.get, self.made
+            near = [rank((a, b), _NONE_RANK) for a, b in zip(ids, ids[1:])]
+            while near and (low := min(near)) < _NONE_RANK:
+                k = near.index(low)
+                ids[k : k + 2] = (made[low],)
+                del near[k]
+                if k:
+                    near[k - 1] = rank((ids[k - 1], ids[k]), _NONE_RANK)
+                if k < len(near):
+                    near[k] = rank((ids[k], ids[k + 1]), _NONE_RANK)
+            return ids
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         ranks = self.ranks
         heap = [(r[0], k, r[1], ids[k], ids[k + 1]) for k in range(n - 1) if (r := ranks.get((ids[k], ids[k + 1])))]
@@ -81,13 +109,14 @@ class WordBpe:
 
     def greedy(self, piece: str) -> list[int] | None:
         """The longest vocabulary entry at each place; None if some place has none."""
-        ids, out, at, n = self.ids, [], 0, len(piece)
+        ids, out, at, n, end, reach = self.ids, [], 0, len(piece), self.end, self.trie.longest_prefix
         while at < n:
-            whole = ids.get(piece[at:] + self.end) if n - at <= self.longest else None
+            left = piece[at : at + self.longest]
+            whole = ids.get(left + end) if at + len(left) == n else None
             if whole is not None:
                 out.append(whole)
                 return out
-            for stop in range(min(n - 1, at + self.longest), at, -1):
+            for stop in range(min(n - 1, at + reach(left)), at, -1):
                 if (found := ids.get(piece[at:stop])) is not None:
                     out.append(found)
                     at = stop
@@ -143,6 +172,11 @@ class WordBpe:
         for part in self.at_special.split(word) if "<|" in word else (word,):
             if part in self.special:
                 out.append(self.special[part])
+            elif part and max(part) < "\xff":
+                # Latin-1 needs no normalisation but lower case, and its classes are few: the library's own steps, faster.
+                low = part.lower()
+                found = _LATIN.findall(low)
+                out += found if low.isascii() and low.isprintable() else [p.encode().decode("latin-1").translate(self.spelling) for p in found]
             elif part:
                 out += [p for p, _ in self.split(self.normalise(part))]
         return out
@@ -158,14 +192,15 @@ class WordBpe:
         return " ".join([self.names[i] for i in ids])
 
     def texts(self, texts: list[str]) -> Iterator[list[tuple]]:
-        """For each text the (number of ids, ids as text, ids as bytes, decoded) of its words, in order."""
-        spaces = str.maketrans("\t\n\x0b\f\r", "     ")
-        cut = [[w for w in t.translate(spaces).split(" ") if w] for t in texts]
+        """For each text the (number of ids, ids as text, decoded) of its words, in order."""
+        for c in "\t\n\x0b\f\r":
+            texts = [t.replace(c, " ") for t in texts]
+        cut = [[w for w in t.split(" ") if w] for t in texts]
         held = self.held
         more: dict[str, tuple] = {}
         missing = list({w for words in cut for w in words if w not in held})
         for w, ids in self.encode_words(missing).items():
-            (held if len(held) < WORDS_HELD else more)[w] = (len(ids), " ".join(map(str, ids)), np.asarray(ids, dtype="<u4").tobytes(), self.decode(ids))
+            (held if len(held) < WORDS_HELD else more)[w] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
         for words in cut:
             found = [held[w] if w in held else more[w] for w in words] if more else list(map(held.__getitem__, words))
             yield [x for x in found if x[0]]
@@ -200,9 +235,9 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False, doc_id: str = "do
             for group in _batches(series):
                 for found in model.texts(group):
                     ids = " ".join([x[1] for x in found])
-                    decoded = " ".join([x[3] for x in found])
+                    decoded = " ".join([x[2] for x in found])
                     row = (sum([x[0] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
-                    rows.append((*row, b"".join([x[2] for x in found])) if with_ids else row)
+                    rows.append((*row, np.array(ids.split(" ") if ids else [], dtype=np.int64).astype("<u4").tobytes()) if with_ids else row)
             yield pd.DataFrame(rows, columns=names)
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
