@@ -12,6 +12,11 @@ a quadratic number of pairs; its members differ only outside the mask, so each i
 ceil(radius / 2) of it instead: members within the radius meet at a midpoint, linear work in the bucket's size, and a
 midpoint has few members however large the bucket is. Nothing is capped: both ways are exact.
 
+Radius 2 finds all but equal texts. Pairs at a five-word Jaccard similarity of 0.8 differ in ten of 64 bits, and no
+covering family of workable size reaches that far, so `keep_one`, which promises 0.8, adds a second search: the bands of
+one-permutation MinHash sketches (see `fingerprint`) meet at the smallest fingerprint of each band key, and an edge stays
+if the sketches' likeness is 0.8 or more. That is linear too: a band key with very many texts gives one edge for each.
+
 Defined cases: a null or empty text, and one of white space alone, has fingerprint zero and links like any other; fewer
 words than a shingle make one shingle; repeated rows and ties of ids share a class; an empty table gives no rows.
 """
@@ -27,7 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, settle
+from . import fingerprint
+from .common import settle
 from .graph import components
 
 BITS = 64
@@ -130,10 +136,14 @@ def _through_odd(near: DataFrame, radius: int) -> DataFrame:
     return met.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> transform(filter(m, y -> y > x AND bit_count(x ^ y) <= {radius}), y -> struct(x AS a, y AS b))))")).alias("e")).select("e.a", "e.b").distinct()
 
 
-def classes(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """(fp, root) for each distinct fingerprint of (fp, ...): root is one fingerprint of its connected class."""
+def classes(prints: DataFrame, radius: int = 2, also: DataFrame | None = None) -> DataFrame:
+    """(fp, root) for each distinct fingerprint of (fp, ...): root is one fingerprint of its connected class.
+
+    also: further edges (a, b) between fingerprints.
+    """
     points = prints.select("fp").distinct()
-    joined = components(links(points, radius))
+    edges = links(points, radius)
+    joined = components(edges if also is None else edges.unionByName(also))
     return points.join(joined.select(F.col("node").alias("fp"), F.col("component").alias("_c")), "fp", "left").select("fp", F.coalesce("_c", "fp").alias("root"))
 
 
@@ -148,15 +158,44 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, radius: int = 2, doc_i
     return held.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words_each: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def similar(prints: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) between fingerprints of (fp, sketch, bands) that share a band key and whose sketches are alike."""
+    one = prints.filter("sketch IS NOT NULL").dropDuplicates(["fp"])
+    dealt = one.select("fp", F.posexplode("bands").alias("t", "key"))
+    hubs = dealt.groupBy("t", "key").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    pairs = dealt.join(hubs, ["t", "key"]).filter("fp != a").select("a", F.col("fp").alias("b")).distinct()
+
+    @F.pandas_udf("double")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(fingerprint.sketch_likeness(x.tolist(), y.tolist()) if len(x) else [], dtype="float64")
+
+    known = one.select("fp", "sketch")
+    both = pairs.join(known.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), "a").join(known.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), "b")
+    return both.filter(alike("x", "y") >= least).select("a", "b")
+
+
+def keep_one(docs: DataFrame, words_each: int = 3, radius: int = 2, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without near-duplicates: of each class the row of the smallest (id, text hash) stays.
 
+    Linked are fingerprints within the radius, and texts at a five-word Jaccard similarity of `similarity` or more, as their
+    sketches estimate it.
+
     Rows equal in id and text are one row here; of those any one stays, since nothing tells them apart but further columns.
     """
-    key = {"_h": F.xxhash64(docs[text], docs[doc_id])}
-    held = settle(fingerprints(docs, words_each, doc_id, text, key))
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            sketch, bands = [], []
+            for group in fingerprint.groups([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]):
+                some, keys = fingerprint.sketches(group)
+                sketch += some
+                bands += keys
+            yield pd.DataFrame({"sketch": sketch, "bands": bands})
+
+    sketched = F.pandas_udf(run, "sketch binary, bands array<long>")
+    held = settle(fingerprints(docs, words_each, doc_id, text, {"_h": F.xxhash64(docs[text], docs[doc_id]), "_s": sketched(docs[text])}).select("doc_id", "fp", "_h", "_s.*"))
     least = held.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_h")).alias("_first"))
-    rooted = least.join(classes(least.select("fp"), radius), "fp")
+    rooted = least.join(classes(least.select("fp"), radius, similar(held, similarity)), "fp")
     winners = settle(rooted.groupBy("root").agg(F.min("_first").alias("_w")).select("_w.doc_id", "_w._h"))
     same = docs[doc_id].eqNullSafe(winners["doc_id"]) & (F.xxhash64(docs[text], docs[doc_id]) == winners["_h"])
     kept = docs.join(winners, same, "left_semi")
