@@ -6,7 +6,7 @@ once: a word that is said a hundred times would else be found in the text itself
 They are compressed in blocks, so that the dictionary counts for all of a long text. The margin between the best and the second-best size is the score; a
 text with a margin under `least_margin` is rejected (the operator's `rejected`), since no dictionary explains it.
 
-Sample: per language SAMPLE_BYTES of words from at most SAMPLE_TEXTS texts in the order of a hash of their content, each
+Sample: per language SAMPLE_BYTES of words from at most SAMPLE_TEXTS distinct texts in the order of a hash of their content, each
 giving at most TEXT_CHARS characters; that many bytes of dictionary a language is all that is broadcast.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; with one learned language every other text
@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import settle
+
 SAMPLE_BYTES = 192 * 1024
 SAMPLE_TEXTS = 500
 TEXT_CHARS = 1000
@@ -41,15 +43,17 @@ def vocabulary_of(text: str) -> str:
 def learn(docs: DataFrame, use: Column, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """Dictionaries by language, from the rows for which `use` holds.
 
-    Rows of a language are first thinned by hash to about three times what is needed (counts are known), so that
-    ordering them by hash never gathers a whole language in one task.
+    Distinct texts are drawn by their hashes, so that a text with very many copies is one text. The hashes of a language
+    are first thinned to about three times what is needed (counts are known), so that ordering them never gathers a
+    whole language in one task; only the texts drawn, SAMPLE_TEXTS a language, are then read and moved.
     """
-    named = docs.select(docs[text].alias("text"), docs[lang].alias("lang"), use.alias("_use")).filter("_use AND lang IS NOT NULL AND length(text) > 0").drop("_use")
-    counts = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    draw = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 40)) / float(1 << 40)
-    thin = named.withColumn("_d", draw).join(counts, "lang").filter(F.col("_d") < 3.0 * SAMPLE_TEXTS / F.col("n"))
-    cut = thin.select("lang", "_d", F.substring("text", 1, 4 * TEXT_CHARS).alias("text"))
-    first = cut.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_d", "text"))).filter(F.col("_k") <= SAMPLE_TEXTS)
+    named = docs.select(docs[text].alias("text"), docs[lang].alias("lang"), use.alias("_use")).filter("_use AND lang IS NOT NULL AND length(text) > 0").select("lang", F.xxhash64("text", F.lit(3)).alias("_h"), "text")
+    hashes = settle(named.select("lang", "_h").distinct())
+    counts = hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    thin = hashes.join(F.broadcast(counts), "lang").filter(F.pmod("_h", F.lit(1 << 40)) / float(1 << 40) < 3.0 * SAMPLE_TEXTS / F.col("n"))
+    drawn = thin.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 40)), "_h"))).filter(F.col("_k") <= SAMPLE_TEXTS).select("lang", "_h", "_k")
+    cut = named.join(F.broadcast(drawn), ["lang", "_h"]).select("lang", "_k", F.substring("text", 1, 4 * TEXT_CHARS).alias("text"))
+    first = cut.groupBy("lang", "_k").agg(F.min("text").alias("text"))  # copies are combined before the exchange
     parts = defaultdict(list)
     for row in first.orderBy("lang", "_k").toLocalIterator():
         parts[row["lang"]].append(vocabulary_of(row["text"])[:TEXT_CHARS].encode())
