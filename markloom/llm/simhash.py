@@ -14,8 +14,8 @@ midpoint has few members however large the bucket is. Nothing is capped: both wa
 
 Radius 2 finds all but equal texts. Pairs at a five-word Jaccard similarity of 0.8 differ in ten of 64 bits, and no
 covering family of workable size reaches that far, so `keep_one`, which promises 0.8, adds a second search: the bands of
-one-permutation MinHash sketches (see `fingerprint`) meet at the smallest fingerprint of each band key, and an edge stays
-if the sketches' likeness is 0.8 or more. That is linear too: a band key with very many texts gives one edge for each.
+one-permutation MinHash sketches (see `fingerprint`) propose pairs, and an edge stays if the sketches' likeness is 0.8 or
+more. That is linear too: see `similar` for band keys that very many texts share.
 
 Defined cases: a null or empty text, and one of white space alone, has fingerprint zero and links like any other; fewer
 words than a shingle make one shingle; repeated rows and ties of ids share a class; an empty table gives no rows.
@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fingerprint
@@ -158,30 +158,57 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, radius: int = 2, doc_i
     return held.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar(prints: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) between fingerprints of (fp, sketch, bands) that share a band key and whose sketches are alike."""
-    one = prints.filter("sketch IS NOT NULL").dropDuplicates(["fp"])
-    dealt = one.select("fp", F.posexplode("bands").alias("t", "key"))
-    hubs = dealt.groupBy("t", "key").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    pairs = dealt.join(hubs, ["t", "key"]).filter("fp != a").select("a", F.col("fp").alias("b")).distinct()
+def _met(dealt: DataFrame, few: int = FEW) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) of sketches that share a band key, from (s, t, key), and the sketches s in crowded buckets.
 
-    @F.pandas_udf("double")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(fingerprint.sketch_likeness(x.tolist(), y.tolist()) if len(x) else [], dtype="float64")
+    Buckets of up to `few` give all their pairs; larger ones the pairs with one member, another in each table.
+    """
+    sizes = dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("s", "t").alias("h"), "s"))["s"].alias("hub")).filter("n > 1")
+    met = settle(dealt.join(sizes, ["t", "key"]))
+    small = met.filter(F.col("n") <= few).groupBy("t", "key").agg(F.sort_array(F.collect_list("s")).alias("m"))
+    each = small.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> transform(slice(m, i + 2, {few}), y -> struct(x AS a, y AS b))))")).alias("e")).select("e.a", "e.b")
+    crowd = met.filter(F.col("n") > few)
+    return each.unionByName(crowd.filter("s != hub").select(F.least("s", "hub").alias("a"), F.greatest("s", "hub").alias("b"))), crowd.select("s").distinct()
 
-    known = one.select("fp", "sketch")
-    both = pairs.join(known.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), "a").join(known.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), "b")
-    return both.filter(alike("x", "y") >= least).select("a", "b")
 
+def similar(prints: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) between fingerprints of (fp, sketch, bands) whose sketches are equal, or alike and sharing a band key.
 
-def keep_one(docs: DataFrame, words_each: int = 3, radius: int = 2, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without near-duplicates: of each class the row of the smallest (id, text hash) stays.
+    A bucket of many texts that are near, yet mostly below `least`, would need all its pairs to find those above. Its
+    members are dealt again by longer bands, under which only much closer texts meet, and those that are crowded there by
+    longer ones still: each has a fixed number of keys more, so that the work stays in proportion to the texts however
+    many share a band.
+    """
+    one = prints.filter("sketch IS NOT NULL").withColumn("s", F.xxhash64("sketch", "bands"))
+    nodes = settle(one.groupBy("s").agg(F.min("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    equal = one.select("s", F.col("fp").alias("b")).distinct().join(nodes.select("s", F.col("fp").alias("a")), "s").filter("a != b").select("a", "b")
 
-    Linked are fingerprints within the radius, and texts at a five-word Jaccard similarity of `similarity` or more, as their
-    sketches estimate it.
+    @F.pandas_udf("double")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(fingerprint.sketch_likeness(x.tolist(), y.tolist()) if len(x) else [], dtype="float64")
 
-    Rows equal in id and text are one row here; of those any one stays, since nothing tells them apart but further columns.
-    """
+    @F.pandas_udf("array<long>")
+    def longer(x: pd.Series, step: pd.Series) -> pd.Series:
+        return pd.Series(fingerprint.longer_bands(x.tolist(), int(step.iloc[0])) if len(x) else [], dtype="object")
+
+    pairs, crowded = _met(nodes.select("s", F.posexplode("bands").alias("t", "key")))
+    for step in range(len(fingerprint.LONGER)):
+        crowd = settle(nodes.join(crowded, "s").select("s", "sketch", "bands"))
+        again, crowded = _met(crowd.select("s", longer("sketch", F.lit(step)).alias("l")).select("s", F.posexplode("l").alias("t", "key")))
+        # Codes are few bits, and all alike in a text of one shingle: a pair has to share one of the first bands as well.
+        left = crowd.select(F.col("s").alias("a"), F.col("bands").alias("p"))
+        right = crowd.select(F.col("s").alias("b"), F.col("bands").alias("q"))
+        pairs = pairs.unionByName(again.distinct().join(left, "a").join(right, "b").filter(F.arrays_overlap("p", "q")).select("a", "b"))
+    pairs = pairs.distinct()
+    known = nodes.select("s", "fp", "sketch")
+    left = known.select(F.col("s").alias("a"), F.col("fp").alias("f"), F.col("sketch").alias("x"))
+    right = known.select(F.col("s").alias("b"), F.col("fp").alias("g"), F.col("sketch").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").filter("f != g")
+    return both.filter(alike("x", "y") >= least).select(F.col("f").alias("a"), F.col("g").alias("b")).unionByName(equal)
+
+
+def sketched(text: Column) -> Column:
+    """The struct (sketch, bands) of a text."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -192,7 +219,17 @@ def keep_one(docs: DataFrame, words_each: int = 3, radius: int = 2, similarity:
                 bands += keys
             yield pd.DataFrame({"sketch": sketch, "bands": bands})
 
-    sketched = F.pandas_udf(run, "sketch binary, bands array<long>")
+    return F.pandas_udf(run, "sketch binary, bands array<long>")(text)
+
+
+def keep_one(docs: DataFrame, words_each: int = 3, radius: int = 2, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs without near-duplicates: of each class the row of the smallest (id, text hash) stays.
+
+    Linked are fingerprints within the radius, and texts at a five-word Jaccard similarity of `similarity` or more, as their
+    sketches estimate it.
+
+    Rows equal in id and text are one row here; of those any one stays, since nothing tells them apart but further columns.
+    """
     held = settle(fingerprints(docs, words_each, doc_id, text, {"_h": F.xxhash64(docs[text], docs[doc_id]), "_s": sketched(docs[text])}).select("doc_id", "fp", "_h", "_s.*"))
     least = held.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_h")).alias("_first"))
     rooted = least.join(classes(least.select("fp"), radius, similar(held, similarity)), "fp")

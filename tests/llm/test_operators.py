@@ -415,3 +415,27 @@ def test_keep_one_finds_similar_texts(spark):
     kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
     assert sum(i in kept for i in twin) <= 1
     assert kept >= set(range(0, 120, 3)) | set(range(2, 120, 3))
+
+
+def test_similar_texts_in_a_crowd(spark):
+    """800 texts that are all near, at 0.71: all pairs of 0.8 or more are found, and most of those that only seem to be, by the error of the estimate."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for k in range(400):
+        a = list(base)
+        for i in rng.choice(300, 5, replace=False):
+            a[i] = f"v{k}x{i}"
+        b = list(a)
+        b[int(rng.integers(300))] = f"u{k}"
+        texts += [" ".join(a), " ".join(b)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "fp long, text string").repartition(3)
+    prints = docs.select("fp", simhash.sketched(docs["text"]).alias("_s")).select("fp", "_s.*")
+    found = {(min(r), max(r)) for r in simhash.similar(prints, 0.8).distinct().collect()}
+    data = [simhash.fingerprint.sketches([t.encode()])[0][0] for t in texts]
+    want = set()
+    for i in range(len(data)):
+        near = simhash.fingerprint.sketch_likeness(data[i + 1 :], [data[i]] * (len(data) - i - 1)) if i + 1 < len(data) else []
+        want |= {(i, i + 1 + int(j)) for j in np.flatnonzero(np.asarray(near) >= 0.8)}
+    assert found <= want and len(want) >= 400
+    assert {(i, i + 1) for i in range(0, 800, 2)} <= found and len(found) > 0.85 * len(want)
