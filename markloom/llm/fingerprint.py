@@ -29,6 +29,8 @@ WORDS = 5
 BINS = 512
 B = 4
 EMPTY = "-"
+#: For products of a similarity and a count that floating point leaves a little above a whole number.
+SLACK = 1e-6
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -132,6 +134,28 @@ def likeness(a: np.ndarray, a_blank: np.ndarray, c: np.ndarray, c_blank: np.ndar
     return np.where(a_blank | c_blank, (a_blank & c_blank).astype(float), got)
 
 
+def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[bytes]:
+    """The distinct shingle hashes of each text in order, eight bytes each."""
+    hashes, of = shingles(texts, words)
+    order = np.lexsort((hashes, of))
+    hashes, of = hashes[order], of[order]
+    fresh = np.ones(len(hashes), dtype=bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
+    ends = np.cumsum(np.bincount(of[fresh], minlength=len(texts)))
+    return [x.tobytes() for x in np.split(hashes[fresh], ends[:-1])]
+
+
+def jaccard_at_least(a: bytes, c: bytes, least: float) -> bool:
+    """Whether two shingle sets have that Jaccard similarity, by counting; two empty ones have 1."""
+    x, y = len(a) // 8, len(c) // 8
+    if min(x, y) + SLACK < least * max(x, y):
+        return False
+    both = np.concatenate([np.frombuffer(a, dtype=np.uint64), np.frombuffer(c, dtype=np.uint64)])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared + SLACK >= least * (x + y - shared)
+
+
 #: Bands of a sketch for finding candidates: each is a hash of the minima of ROWS bins. Of pairs with similarity 0.8 about
 #: one in a hundred shares none (1 - 0.8^8 in each of 24).
 BANDS, ROWS = 24, 8

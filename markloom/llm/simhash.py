@@ -14,8 +14,8 @@ midpoint has few members however large the bucket is. Nothing is capped: both wa
 
 Radius 2 finds all but equal texts. Pairs at a five-word Jaccard similarity of 0.8 differ in ten of 64 bits, and no
 covering family of workable size reaches that far, so `keep_one`, which promises 0.8, adds a second search: the bands of
-one-permutation MinHash sketches (see `fingerprint`) propose pairs, and an edge stays if the sketches' likeness is 0.8 or
-more. That is linear too: see `similar` for band keys that very many texts share.
+one-permutation MinHash sketches (see `fingerprint`) propose pairs, and an edge stays if the two sets of shingles, counted,
+are 0.8 alike or more. See `similar` for band keys that very many texts share.
 
 Defined cases: a null or empty text, and one of white space alone, has fingerprint zero and links like any other; fewer
 words than a shingle make one shingle; repeated rows and ties of ids share a class; an empty table gives no rows.
@@ -174,6 +174,8 @@ def _met(dealt: DataFrame, few: int = FEW) -> tuple[DataFrame, DataFrame]:
 def similar(prints: DataFrame, least: float) -> DataFrame:
     """Edges (a, b) between fingerprints of (fp, sketch, bands) whose sketches are equal, or alike and sharing a band key.
 
+    This is an estimate, for sketches without their texts; `keep_one` has the texts and counts (see `verified`).
+
     A bucket of many texts that are near, yet mostly below `least`, would need all its pairs to find those above. Its
     members are dealt again by longer bands, under which only much closer texts meet, and those that are crowded there by
     longer ones still: each has a fixed number of keys more, so that the work stays in proportion to the texts however
@@ -207,6 +209,47 @@ def similar(prints: DataFrame, least: float) -> DataFrame:
     return both.filter(alike("x", "y") >= least).select(F.col("f").alias("a"), F.col("g").alias("b")).unionByName(equal)
 
 
+def shingle_set(text: Column) -> Column:
+    """The text's distinct five-word shingles, as `fingerprint.shingle_sets` packs them; empty without a word."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            made: list[bytes] = []
+            for group in fingerprint.groups([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]):
+                made += fingerprint.shingle_sets(group)
+            yield pd.Series(made, dtype=object)
+
+    return F.pandas_udf(run, "binary")(text)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of sets (s, g) whose Jaccard similarity, counted, is at least `least`."""
+
+    @F.pandas_udf("boolean")
+    def holds(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint.jaccard_at_least(a, c, least) for a, c in zip(x, y)], dtype=bool)
+
+    left, right = sets.select(F.col("s").alias("a"), F.col("g").alias("x")), sets.select(F.col("s").alias("b"), F.col("g").alias("y"))
+    return pairs.join(left, "a").join(right, "b").filter(holds("x", "y")).select("a", "b")
+
+
+#: How far below the asked similarity an estimate may be for its pair to be counted: five standard errors.
+MARGIN = 0.1
+
+
+def alike(held: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) between fingerprints of (fp, s, g, sketch, bands) with texts of that similarity; s is the hash of the set g."""
+    sets = settle(held.filter(F.length("g") > 0).groupBy("s").agg(F.min("fp").alias("fp"), F.first("g").alias("g")))
+    pairs = similar(held.select(F.col("s").alias("fp"), "sketch", "bands"), least - MARGIN).distinct()
+    edges = verified(pairs, sets, least)
+    names = held.filter(F.length("g") > 0).select("s", "fp").distinct()
+    # Every fingerprint of a set is joined to the set's first one, and that to the first one of each alike set.
+    first = sets.select("s", F.col("fp").alias("f"))
+    same = names.join(first, "s").filter("fp != f").select(F.col("f").alias("a"), F.col("fp").alias("b"))
+    linked = edges.join(first.select(F.col("s").alias("a"), "f"), "a").join(first.select(F.col("s").alias("b"), F.col("f").alias("g")), "b").select(F.col("f").alias("a"), F.col("g").alias("b"))
+    return linked.unionByName(same)
+
+
 def sketched(text: Column) -> Column:
     """The struct (sketch, bands) of a text."""
 
@@ -225,14 +268,14 @@ def sketched(text: Column) -> Column:
 def keep_one(docs: DataFrame, words_each: int = 3, radius: int = 2, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without near-duplicates: of each class the row of the smallest (id, text hash) stays.
 
-    Linked are fingerprints within the radius, and texts at a five-word Jaccard similarity of `similarity` or more, as their
-    sketches estimate it.
+    Linked are fingerprints within the radius, and texts at a five-word Jaccard similarity of `similarity` or more, by
+    counting their shingles; sketches only propose pairs.
 
     Rows equal in id and text are one row here; of those any one stays, since nothing tells them apart but further columns.
     """
-    held = settle(fingerprints(docs, words_each, doc_id, text, {"_h": F.xxhash64(docs[text], docs[doc_id]), "_s": sketched(docs[text])}).select("doc_id", "fp", "_h", "_s.*"))
+    held = settle(fingerprints(docs, words_each, doc_id, text, {"_h": F.xxhash64(docs[text], docs[doc_id]), "g": shingle_set(docs[text]), "_s": sketched(docs[text])}).select("doc_id", "fp", "_h", "g", F.xxhash64("g").alias("s"), "_s.*"))
     least = held.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_h")).alias("_first"))
-    rooted = least.join(classes(least.select("fp"), radius, similar(held, similarity)), "fp")
+    rooted = least.join(classes(least.select("fp"), radius, alike(held, similarity)), "fp")
     winners = settle(rooted.groupBy("root").agg(F.min("_first").alias("_w")).select("_w.doc_id", "_w._h"))
     same = docs[doc_id].eqNullSafe(winners["doc_id"]) & (F.xxhash64(docs[text], docs[doc_id]) == winners["_h"])
     kept = docs.join(winners, same, "left_semi")

@@ -439,3 +439,25 @@ def test_similar_texts_in_a_crowd(spark):
         want |= {(i, i + 1 + int(j)) for j in np.flatnonzero(np.asarray(near) >= 0.8)}
     assert found <= want and len(want) >= 400
     assert {(i, i + 1) for i in range(0, 800, 2)} <= found and len(found) > 0.85 * len(want)
+
+
+def grams_of(texts):
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+
+
+def test_keep_one_counts_similarity(spark):
+    """Pairs just above and below 0.8, which a sketch can't tell apart: only those at 0.8 or more are linked, and all that share a band."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(60):
+        base = [f"w{int(i)}" for i in rng.integers(0, 50_000, 300)]
+        twin = list(base)
+        for i in range(6, 6 + 12 * (6 + k % 3 if k % 2 else 5 + k % 4), 12):
+            twin[i] = f"n{k}"
+        texts += [" ".join(base), " ".join(twin)]
+    grams = grams_of(texts)
+    near = {i for i in range(0, 120, 2) if len(grams[i] & grams[i + 1]) >= 0.8 * len(grams[i] | grams[i + 1])}
+    assert 10 < len(near) < 50
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    linked = {i for i in range(0, 120, 2) if i + 1 not in kept}
+    assert linked <= near and len(near - linked) <= 1
