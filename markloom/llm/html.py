@@ -44,7 +44,8 @@ EMPTY = frozenset("area base br col embed hr img input link meta source track wb
 SPACED = frozenset("br td th img".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:[!?][^>]*+>?|(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|(?<==)"[^"]*+"|(?<==)'[^']*+'|["'])*+)>?)""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: An attribute as a whole: its name and, quoted or not, its value.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>]++)))?""")
 _WORD = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 

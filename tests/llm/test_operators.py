@@ -498,3 +498,10 @@ def test_alike_sets_lose_no_pair_of_a_crowd(spark):
         return [root(k) for k in range(len(texts))]
 
     assert roots(found) == roots(pairs) and len(set(roots(pairs))) > 50
+
+
+@pytest.mark.parametrize("attribute", ['style="overflow:hidden"', 'title="The hidden cost"', 'href="/hidden-valley"', 'href="/x?id=ad"', 'data-id="notice"', 'data-role=navigation', "title='a class=ad'", 'title = "id=ad"'])
+def test_html_attributes_are_whole(attribute):
+    assert html.blocks(f"<body {attribute}><p {attribute}>Some <a {attribute}>linked</a> words</p>") == [("Some linked words", False)]
+    assert html.blocks(f"<article {attribute}><p>Text</p></article>") == [("Text", True)]
+    assert html.blocks(f"<p {attribute} hidden>gone</p><p {attribute} CLASS=ad>gone</p><p {attribute} id='ad'>gone</p><p {attribute} aria-hidden=true>gone</p>left") == [("left", False)]
