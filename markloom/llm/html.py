@@ -6,7 +6,8 @@ lines shared by both are deleted: what a site repeats on its pages is not the ar
 
 Differencing alone can't give right results: articles that are copies of each other would vanish, and so would any
 passage that two neighbours share, while menus and adverts that differ from page to page would stay. So structure comes
-first. Elements that are boilerplate by their name, role or class (BOILERPLATE) are left out. Lines inside a content
+first. Elements that are boilerplate by their name, role or class (BOILERPLATE) are left out, unless the page's text is in
+one that only looks like it (see `blocks`). Lines inside a content
 element (article, main) are the text and are never deleted; if a page has such lines, the lines outside them are not the
 text. Differencing decides for pages without a content element, unless over half of such a page is shared, which makes
 it a copy rather than a template.
@@ -33,7 +34,10 @@ from .ordering import deal
 #: Elements, roles and words of class or id that mark what isn't the article. Fixed values.
 BOILERPLATE = frozenset("script style noscript template head nav header footer aside form iframe svg button select textarea dialog object canvas".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu".split())
-MARKS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent notice notices newsletter subscribe signup comment comments disqus replies share sharing social related popup modal".split())
+MARKS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent newsletter subscribe signup comment comments disqus replies share sharing social related popup modal".split())
+#: Words that stand beside one of MARKS in a name of an element that isn't the article (site-nav, ad-slot-2); any other word
+#: (social-policy, share-price), and has-, no- and with- above all, makes the name another thing's.
+BESIDE = frozenset("site page main global primary secondary top bottom left right inner outer sticky mobile desktop fixed bar box list item items link links button buttons icons container wrapper wrap widget block section area slot unit panel menu nav form header inline article articles post posts content stories".split())
 CONTENT = frozenset("article main".split())
 #: Elements that end a block.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead title tr ul".split())
@@ -50,23 +54,53 @@ _WORD = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _left_out(name: str, attributes: str) -> bool:
-    if name in BOILERPLATE:
-        return True
+def _marked(value: str) -> bool:
+    """Whether one of the names of a class or id is, as a whole, that of what isn't the article."""
+    for token in value.split():
+        of = [w.lower() for w in _WORD.findall(_CAMEL.sub(" ", token))]
+        if any(w in MARKS for w in of) and all(w in MARKS or w in BESIDE for w in of):
+            return True
+    return False
+
+
+def _left_out(name: str, attributes: str) -> str:
+    """Why an element is left out: `sure`, by a `form` or by the `names` of its class or id alone; empty if it stays."""
+    if name in BOILERPLATE and name != "form":
+        return "sure"
+    why = "form" if name == "form" else ""
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "role" and value.lower() in ROLES):
-            return True
-        if key in ("class", "id") and name not in ("html", "body", *CONTENT) and any(w.lower() in MARKS for w in _WORD.findall(_CAMEL.sub(" ", value))):
-            return True
-    return False
+            return "sure"
+        if not why and key in ("class", "id") and name not in ("html", "body", *CONTENT) and _marked(value):
+            why = "names"
+    return why
 
 
 def blocks(page: str | None) -> list[tuple[str, bool]]:
-    """Text blocks of a page in order, without boilerplate elements: (text, whether inside a content element)."""
+    """Text blocks of a page in order, without boilerplate elements: (text, whether inside a content element).
+
+    A form, or an element left out for its names alone, may be around the whole page. Where a page has no content element
+    otherwise, and what such elements hold is more than the rest, they are read like others.
+    """
+    out, around = _read(page or "", frozenset())
+    if not around or any(inside for _, inside in out):
+        return out
+    other, more = _read(page or "", around)
+    while more:  # one in another
+        around |= more
+        other, more = _read(page or "", around)
+    size = lambda found: sum(len(t) for t, _ in found)
+    return other if size(other) > 2 * size(out) else out
+
+
+def _read(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool]], frozenset[int]]:
+    """The blocks, and the places of elements left out that may be around the page: they hold a content element or, if forms, a paragraph. spared: places of elements not to leave out."""
+    around: set[int] = set()
+    start, why = 0, ""
     out: list[tuple[str, bool]] = []
     parts: list[str] = []
-    inside, at, page = 0, 0, page or ""
+    inside, at = 0, 0
     skipped, depth = "", 0  # the element being left out, and how many of its name are open
 
     def close() -> None:
@@ -83,6 +117,8 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
             continue
         name, closing = m[2].lower(), bool(m[1])
         if skipped:
+            if not closing and why != "sure" and (name in CONTENT or (why == "form" and name == "p")):
+                around.add(start)
             if name == skipped:
                 depth += -1 if closing else not m[0].endswith("/>")
             elif skipped in OPEN_ENDED and name in BLOCKS:
@@ -92,11 +128,11 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
             ended, skipped = skipped, ""
             if closing and name == ended:
                 continue
-        if not closing and _left_out(name, m[3]):
+        if not closing and m.start() not in spared and (reason := _left_out(name, m[3])):
             close() if name in BLOCKS or name in BOILERPLATE else parts.append(" ")
             if name in EMPTY or m[3].endswith("/"):
                 continue
-            skipped, depth = name, 1
+            skipped, depth, start, why = name, 1, m.start(), reason
             if name in RAW:  # its content is not markup
                 end = re.compile(f"</{name}", re.I).search(page, at)
                 at = end.start() if end else len(page)
@@ -110,7 +146,7 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
     if not skipped:
         parts.append(page[at:])
     close()
-    return out
+    return out, frozenset(around)
 
 
 def common(a: list[str], b: list[str]) -> set[int]:

@@ -505,3 +505,22 @@ def test_html_attributes_are_whole(attribute):
     assert html.blocks(f"<body {attribute}><p {attribute}>Some <a {attribute}>linked</a> words</p>") == [("Some linked words", False)]
     assert html.blocks(f"<article {attribute}><p>Text</p></article>") == [("Text", True)]
     assert html.blocks(f"<p {attribute} hidden>gone</p><p {attribute} CLASS=ad>gone</p><p {attribute} id='ad'>gone</p><p {attribute} aria-hidden=true>gone</p>left") == [("left", False)]
+
+
+AROUND = [f"<div class='{c}'>%s</div>" for c in ("content has-sidebar", "no-sidebar", "with-nav", "social-policy", "share-price", "related-work", "notice", "sidebar", "site-nav")] + ["<form action='/x'>%s</form>", "<form><div class='main-menu'>%s</div></form>"]
+
+
+@pytest.mark.parametrize("around", AROUND)
+def test_html_keeps_the_article_inside(around):
+    text = "The article's own words, of which there are some."
+    assert html.blocks("<body><p>Top</p>" + around % f"<article><p>{text}</p></article>") == [("Top", False), (text, True)]
+    if "sidebar'" not in around.replace("no-sidebar", "").replace("has-sidebar", "") and "menu" not in around and "site-nav" not in around:
+        assert (text, False) in html.blocks("<body><p>Top</p>" + around % f"<p>{text}</p>")
+
+
+def test_html_names_still_leave_out():
+    for c in ("ad", "ad-slot-2", "siteNav", "main-menu", "related-articles", "x share-buttons", "page_footer", "cookie-consent"):
+        assert html.blocks(f"<div class='{c}'><article><p>card</p></article></div><article><p>Text</p></article>") == [("Text", True)]
+        assert html.blocks(f"<div class='{c}'><p>card</p></div><p>Text</p>") == [("Text", False)]
+    assert html.blocks("<form><input><p>find</p></form><p>Long text of the page</p>") == [("Long text of the page", False)]
+    assert html.blocks("<aside><article>card</article></aside><p>Text</p>") == [("Text", False)]
