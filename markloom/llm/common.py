@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,14 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary folder serves a local
+    session, whose executor is the driver; a cluster is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder and context._jsc.sc().getCheckpointDir().isDefined():
         folder = context._jsc.sc().getCheckpointDir().get()
+    if not folder and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder or f"file://{tempfile.gettempdir()}/markloom-checkpoints"
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """Sends a file of the driver to all executors; its name there, for SparkFiles.get."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Computes df once and cuts its lineage with a checkpoint in the shared folder.
 
