@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once, its lineage cut by a checkpoint in spark.checkpoint.dir (a temporary folder only where unset).
+    """df computed once, its lineage cut by a checkpoint in spark.checkpoint.dir.
 
-    What several branches of a plan read is settled, so that neither the work nor the plan is repeated in each.
+    Where that is unset, a temporary folder serves a local session, whose executor is the driver; a cluster is an error. What several branches of a plan read is settled, so that neither the work nor the plan is repeated in each.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/markloom-checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or f"file://{tempfile.gettempdir()}/markloom-checkpoints")
     return df.checkpoint(eager=True)
