@@ -47,6 +47,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which a settled table of ids travels to all tasks; a longer one is joined by an exchange.
+SENT = 500_000
+
+
+def joined(rows: DataFrame, wanted: DataFrame, by: str | list[str], how: str = "inner") -> DataFrame:
+    """rows joined to a settled narrow table, which travels to the tasks only while it has up to SENT rows."""
+    return rows.join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, by, how)
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names; further columns can't clash."""
     return df.select(*[df[source].alias(name) for name, source in columns.items()])

@@ -156,48 +156,6 @@ def jaccard_at_least(a: bytes, c: bytes, least: float) -> bool:
     return shared + SLACK >= least * (x + y - shared)
 
 
-#: Bands of a sketch for finding candidates: each is a hash of the minima of ROWS bins. Of pairs with similarity 0.8 about
-#: one in a hundred shares none (1 - 0.8^8 in each of 24).
-BANDS, ROWS = 24, 8
-
-
-def sketches(texts: list[bytes], words: int = WORDS) -> tuple[list[bytes | None], list[list[int]]]:
-    """(packed codes, band keys) of each text; a text without a shingle has neither."""
-    dense, blank = bin_minima(texts, words)
-    low = (dense & np.uint64((1 << B) - 1)).astype(np.uint8)
-    rows = np.packbits(np.unpackbits(low[:, :, None], axis=2)[:, :, 8 - B :].reshape(len(low), -1), axis=1)
-    keys = np.zeros((len(texts), BANDS), dtype=np.uint64)
-    for k in range(ROWS):
-        keys = _mix(keys * np.uint64(3) + dense[:, k : BANDS * ROWS : ROWS] + np.uint64(k + 1))
-    return [None if e else r.tobytes() for r, e in zip(rows, blank)], [[] if e else k for k, e in zip(keys.view(np.int64).tolist(), blank)]
-
-
-#: Longer bands, for texts whose bands are crowded: (bins of a band, bands that a bin is in at most) for each step. At a
-#: similarity of 0.8 about one pair in a thousand, then three in a thousand, shares none.
-LONGER = ((12, 2), (16, 5))
-
-
-def longer_bands(sketches: list[bytes], step: int) -> list[list[int]]:
-    """Keys of packed codes, each the codes of one band's bins."""
-    rows, uses = LONGER[step]
-    x = np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(-1, BINS * B // 8)
-    code = np.stack([x >> 4, x & 15], axis=2).reshape(len(x), BINS)
-    draw = np.random.default_rng(11 + step)
-    use = np.concatenate([draw.permutation(BINS)[: BINS // rows * rows].reshape(-1, rows) for _ in range(uses)])
-    keys = np.zeros((len(x), len(use)), dtype=np.int64)
-    for k in range(rows):
-        keys = (keys << B) | code[:, use[:, k]]
-    return keys.tolist()
-
-
-def sketch_likeness(a: list[bytes], c: list[bytes]) -> np.ndarray:
-    """The estimated Jaccard similarity of packed codes, pair by pair."""
-    x, y = (np.frombuffer(b"".join(v), dtype=np.uint8).reshape(-1, BINS * B // 8) for v in (a, c))
-    same = ((x >> 4) == (y >> 4)).sum(axis=1) + ((x & 15) == (y & 15)).sum(axis=1)
-    chance = 2.0**-B
-    return np.clip((same / BINS - chance) / (1 - chance), 0.0, 1.0)
-
-
 #: Texts that a task works on together: so many bytes, or one longer text, and so many texts. It bounds memory.
 GROUP_CHARS, GROUP_TEXTS = 1_000_000, 1_500
 
@@ -240,18 +198,17 @@ def edits(docs: DataFrame, ranges: int | None = None, doc_id: str = "doc_id", te
     """Fingerprints of every text and of its edited form, with their likeness and that to the next document.
 
     The next document is the one before in ids (descending order); after the last comes the first. Null ids come last in
-    that order. Rows of equal id are in the order of their texts.
+    that order. Rows of equal id are in the order of a hash of their texts.
     """
-    ranges = ranges or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # -id ascending is id descending; nulls get the largest key.
     key = F.coalesce(-docs[doc_id].cast("long"), F.lit(NO_ID))
     rows = docs.select(key.alias("key"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    dealt = deal(rows, "key", ranges, ["text"], before=False, after=True, wrap=True)
+    dealt = deal(rows, "key", "text", ranges=ranges, after=True, wrap=True)
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def group(held: list[tuple]) -> pd.DataFrame:
         """held: rows in order, of which the last is only the next document of the one before."""
-        texts = [t for _, t, _ in held]
+        texts = [t for _, t in held]
         data = [t.encode("utf-8", "surrogatepass") for t in texts]
         changed = [edited(a, c).encode("utf-8", "surrogatepass") for a, c in zip(texts, texts[1:])]
         code, blank = codes(data)
@@ -259,7 +216,7 @@ def edits(docs: DataFrame, ranges: int | None = None, doc_id: str = "doc_id", te
         n = len(changed)
         return pd.DataFrame(
             {
-                "doc_id": pd.array([i for i, _, _ in held[:n]], dtype="Int64"),
+                "doc_id": pd.array([i for i, _ in held[:n]], dtype="Int64"),
                 "n_chars": [len(t) for t in texts[:n]],
                 "edited_sha256": [hashlib.sha256(c).hexdigest() for c in changed],
                 "fingerprint": packed(code[:n], blank[:n]),
@@ -270,16 +227,10 @@ def edits(docs: DataFrame, ranges: int | None = None, doc_id: str = "doc_id", te
         )[columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, chars, at = [], 0, None
+        held, chars = [], 0  # a task has one range, ended by the row after it
         for batch in batches:
-            for number, k, t, halo in zip(batch["_range"], batch["key"], batch["text"], batch["halo"]):
-                if number != at:
-                    if len(held) > 1:
-                        yield group(held)
-                    held, chars, at = [], 0, number
-                if halo and held and held[-1][2]:
-                    continue  # further rows of the halo's key
-                held.append((None if k == NO_ID else -int(k), t, halo))
+            for k, t in zip(batch["key"], batch["text"]):
+                held.append((None if k == NO_ID else -int(k), t))
                 chars += len(t)
                 if (chars > GROUP_CHARS or len(held) > GROUP_TEXTS) and len(held) > 1:
                     yield group(held)
@@ -288,4 +239,4 @@ def edits(docs: DataFrame, ranges: int | None = None, doc_id: str = "doc_id", te
             yield group(held)
 
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.select("_range", "key", "text", "halo").mapInPandas(run, kinds)
+    return dealt.select("key", "text").mapInPandas(run, kinds)

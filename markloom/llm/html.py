@@ -210,14 +210,13 @@ def _alike(a: str, b: str) -> int:
 
 def extract(pages: DataFrame, ranges: int | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars and n_shared (lines shared with the nearest page) of every row."""
-    ranges = ranges or 2 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     address, number = F.coalesce(pages[url], F.lit("")), pages[page_id].cast("long")
     host = F.lower(F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(address, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
     # Host, path and the rest, so that keys of repeated pages differ by id.
     key = F.concat_ws("\x01", host, path, F.lpad(F.coalesce(number.cast("string"), F.lit("-")), 20, "0"), address)
     rows = pages.select(key.alias("key"), number.alias("page_id"), pages[url].alias("url"), F.coalesce(pages[html], F.lit("")).alias("html"))
-    dealt = deal(rows, "key", ranges, ["html"])
+    dealt = deal(rows, "key", "html", ranges=ranges, before=True, after=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before = now = None  # (range, key, page_id, url, blocks, halo)

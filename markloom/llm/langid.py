@@ -6,8 +6,9 @@ once: a word that is said a hundred times would else be found in the text itself
 They are compressed in blocks, so that the dictionary counts for all of a long text. The margin between the best and the second-best size is the score; a
 text with a margin under `least_margin` is rejected (the operator's `rejected`), since no dictionary explains it.
 
-Sample: per language SAMPLE_BYTES of words from at most SAMPLE_TEXTS distinct texts in the order of a hash of their content, each
-giving at most TEXT_CHARS characters; that many bytes of dictionary a language is all that is broadcast.
+Sample: per language SAMPLE_TEXTS distinct texts, those of the smallest hashes of their content. Each is read whole and
+gives words from all over it, in the order of a hash of the word, up to TEXT_CHARS characters; their bytes, SAMPLE_BYTES a
+language at most, are all that is collected and broadcast.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; with one learned language every other text
 gets it with score 0; with none every text is `und`; rows with a null language are predicted, not learned from; ties go
@@ -17,27 +18,44 @@ to the first language in code point order; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import joined, settle
 
 SAMPLE_BYTES = 192 * 1024
 SAMPLE_TEXTS = 500
-TEXT_CHARS = 1000
+TEXT_CHARS = 400
 BLOCK = 4096
 LEAST_MARGIN = 0.01
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
+
+
+def words_of(text: str) -> list[str]:
+    """The distinct runs of letters (category L) of a text in lower case, in order of their first place."""
+    found = dict.fromkeys(_WORD.findall(text.lower()))
+    if all(map(str.isalpha, found)):
+        return list(found)
+    # Number signs such as fractions count as word characters there, but aren't letters.
+    return list(dict.fromkeys(x for w in found for x in ([w] if w.isalpha() else _LETTERS.findall(w))))
+
+
+def drawn_words(text: str) -> str:
+    """Words from all over a text, by a hash of the word, in TEXT_CHARS characters."""
+    found = sorted(words_of(text), key=lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")))
+    return " ".join(found)[:TEXT_CHARS]
 
 
 def vocabulary_of(text: str) -> str:
-    """The distinct runs of letters of a text in lower case, in order of their first place."""
-    return " ".join(dict.fromkeys(_WORD.findall(text.lower())))
+    return " ".join(words_of(text))
 
 
 def learn(docs: DataFrame, use: Column, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
@@ -50,13 +68,18 @@ def learn(docs: DataFrame, use: Column, text: str = "text", lang: str = "lang")
     named = docs.select(docs[text].alias("text"), docs[lang].alias("lang"), use.alias("_use")).filter("_use AND lang IS NOT NULL AND length(text) > 0").select("lang", F.xxhash64("text", F.lit(3)).alias("_h"), "text")
     hashes = settle(named.select("lang", "_h").distinct())
     counts = hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    thin = hashes.join(F.broadcast(counts), "lang").filter(F.pmod("_h", F.lit(1 << 40)) / float(1 << 40) < 3.0 * SAMPLE_TEXTS / F.col("n"))
-    drawn = thin.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 40)), "_h"))).filter(F.col("_k") <= SAMPLE_TEXTS).select("lang", "_h", "_k")
-    cut = named.join(F.broadcast(drawn), ["lang", "_h"]).select("lang", "_k", F.substring("text", 1, 4 * TEXT_CHARS).alias("text"))
-    first = cut.groupBy("lang", "_k").agg(F.min("text").alias("text"))  # copies are combined before the exchange
+    thin = hashes.join(counts, "lang").filter(F.pmod("_h", F.lit(1 << 40)) / float(1 << 40) < 3.0 * SAMPLE_TEXTS / F.col("n"))
+    drawn = settle(thin.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 40)), "_h"))).filter(F.col("_k") <= SAMPLE_TEXTS).select("lang", "_h", "_k"))
+
+    @F.pandas_udf("string")
+    def draw(texts: pd.Series) -> pd.Series:
+        return texts.map(drawn_words)
+
+    cut = joined(named, drawn, ["lang", "_h"]).select("lang", "_k", draw("text").alias("words"))
+    first = cut.groupBy("lang", "_k").agg(F.min("words").alias("words"))  # copies are combined before the exchange
     parts = defaultdict(list)
     for row in first.orderBy("lang", "_k").toLocalIterator():
-        parts[row["lang"]].append(vocabulary_of(row["text"])[:TEXT_CHARS].encode())
+        parts[row["lang"]].append(row["words"].encode("utf-8", "surrogatepass"))
     made = {}
     for name, texts in sorted(parts.items()):
         kept, size = [], 0

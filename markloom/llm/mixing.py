@@ -5,9 +5,10 @@ words once at cost 1 and again, a repetition, at the higher cost of that repetit
 first); each source asks for its target. The flow from patterns to sources gives the words of each pattern that the mix
 takes; seeded documents of the pattern then supply them.
 
-A pattern of one source, which no other pattern shares, needs no search: it supplies its source's whole target. Only
-patterns of overlapping sources are solved as a flow, by successive cheapest augmenting paths, apart for each connected
-part of the pattern graph. What is solved has a row for each pattern and source, never for each document.
+The flow is found by successive cheapest augmenting paths, apart for each connected part of the graph of patterns and
+sources, many parts to a task. A pattern of one source that no other pattern shares is a part by itself; the others' parts
+are found first. What is solved has a row for each pattern and source, never for each document: the size of a part grows
+with the number of distinct sets of sources that overlap, which is a property of the sources, not of the rows.
 
 Selection: documents have a seeded 62-bit draw. Sums for ranges of draws find, for each pattern, the one range in which
 the supply ends; only the documents of that range are put in order. Both the ranges of a pattern and the documents in
@@ -32,6 +33,10 @@ from .common import pick, settle, word_count
 from .graph import components
 
 
+#: Groups that connected parts are dealt to, to be solved.
+PARTS = 64
+
+
 def weigh(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
     """Targets of sources (source, source_size): weights repeat over the sources in code point order, null last; together
     they ask for share x all sizes, none for over most x its own, the excess going to the others by weight.
@@ -105,25 +110,29 @@ def _solve(patterns: DataFrame, targets: DataFrame, most: float) -> DataFrame:
     """Words that the mix takes of each pattern (pattern, words, sources) -> (pattern, words, supply)."""
     named = patterns.withColumn("_s", F.explode("sources"))
     wanted = named.join(targets.select(F.col("source").alias("_t"), "target"), F.col("_s").eqNullSafe(F.col("_t"))).select("pattern", "words", F.col("_s"), "target")
-    shared = wanted.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
-    alone = wanted.join(shared, wanted["_s"].eqNullSafe(shared["_s"])).groupBy("pattern", "words").agg(F.max("_n").alias("_n"), F.count(F.lit(1)).alias("_m"), F.sum("target").alias("target"))
-    simple = alone.filter((F.col("_n") == 1) & (F.col("_m") == 1)).select("pattern", "words", F.least("target", F.col("words") * F.lit(float(most))).alias("supply"))
-    hard = settle(wanted.join(simple.select("pattern"), "pattern", "left_anti"))
-    if hard.isEmpty():
-        return simple
-    parts = components(hard.select(F.concat(F.lit("p"), "pattern").alias("a"), F.concat(F.lit("s"), F.coalesce("_s", F.lit("\x00"))).alias("b")))
-    grouped = hard.join(parts.select(F.expr("substring(node, 2)").alias("pattern"), "component").filter(F.col("node").startswith("p")), "pattern")
+    shared = wanted.groupBy("_s").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("_s", "_t")
+    counted = wanted.join(shared, F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
+    alone = counted.groupBy("pattern").agg(F.max("_n").alias("_n"), F.count(F.lit(1)).alias("_m")).filter("_n = 1 AND _m = 1").select("pattern", F.col("pattern").alias("component"))
+    hard = settle(wanted.join(alone, "pattern", "left_anti"))
+    part = alone
+    if not hard.isEmpty():
+        parts = components(hard.select(F.concat(F.lit("p"), "pattern").alias("a"), F.coalesce(F.concat(F.lit("s"), "_s"), F.lit("n")).alias("b")))
+        part = alone.unionByName(parts.filter(F.col("node").startswith("p")).select(F.expr("substring(node, 2)").alias("pattern"), "component"))
+    grouped = wanted.join(part, "pattern").withColumn("_group", F.pmod(F.xxhash64("component"), F.lit(PARTS)))
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(_s=rows["_s"].map(lambda s: "\x00" if s is None else s))
-        supplies = dict(zip(rows["pattern"], rows["words"].astype(float)))
-        flow = cheapest_flow(supplies, dict(zip(rows["_s"], rows["target"])), rows.groupby("pattern")["_s"].agg(list).to_dict(), most)
-        out: dict = defaultdict(float)
-        for (p, _), words in flow.items():
-            out[p] += words
-        return pd.DataFrame({"pattern": list(supplies), "words": [int(x) for x in supplies.values()], "supply": [out[p] for p in supplies]})
+        out = []
+        for _, part in rows.astype({"_s": object}).groupby("component", sort=False):
+            names = [None if pd.isna(s) else s for s in part["_s"]]
+            supplies = dict(zip(part["pattern"], part["words"].astype(float)))
+            members: dict = defaultdict(list)
+            for p, s in zip(part["pattern"], names):
+                members[p].append(s)
+            flow = cheapest_flow(supplies, dict(zip(names, part["target"])), members, most)
+            out += [(p, int(words), sum(flow[p, s] for s in members[p])) for p, words in supplies.items()]
+        return pd.DataFrame(out, columns=["pattern", "words", "supply"])
 
-    return simple.unionByName(grouped.groupBy("component").applyInPandas(solve, "pattern string, words long, supply double"))
+    return grouped.groupBy("_group").applyInPandas(solve, "pattern string, words long, supply double")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source", sources: Column | None = None) -> DataFrame:
@@ -174,6 +183,8 @@ def passes(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share:
     """
     mark = F.xxhash64(docs[doc_id], docs[text])
     taken = mix(docs.select(F.struct(docs[doc_id].alias("i"), mark.alias("h")).alias("_key"), docs[text].alias("text"), docs[source].alias("source")), weights, share, most, seed, "_key", "text", "source")
-    counted = taken.select("doc_id.*", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias("_passes")).groupBy("i", "h").agg(F.max("_passes").alias("_passes")).filter("_passes > 0")
-    joined = docs.join(counted, docs[doc_id].eqNullSafe(counted["i"]) & (mark == counted["h"]))
-    return joined.withColumn("_pass", F.explode(F.sequence(F.lit(1), "_passes"))).select(*[docs[c] for c in docs.columns])
+    counted = taken.select("doc_id.*", F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int").alias("_n")).groupBy("i", "h").agg(F.max("_n").alias("_n")).filter("_n > 0")
+    # Columns of docs can have any names: they travel in one.
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[doc_id].alias("_id"), mark.alias("_mark"))
+    both = whole.join(counted, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_mark") == F.col("h")))
+    return both.select("_row", F.explode(F.sequence(F.lit(1), "_n"))).select("_row.*")

@@ -1,63 +1,117 @@
 """Rows dealt to tasks in a total order, each task also getting the rows just before and after its own.
 
-`deal` cuts the order of a key column at quantiles of a bounded sample (BOUND_ROWS keys with the smallest hashes, the
-same in every run), and sends each range of keys to a partition of its own, sorted. The first row of each range is sent
-a second time, to the end of the range before, and the last row of each range to the start of the range after, so that
-a task can look at both neighbours of all its rows without a global window. What the driver sees is the sample of keys
-and a first and last key for each range.
+The order is that of a key column, of a hash of the row's text where keys are equal, and of the row's place in the input
+where those are equal too; so no two rows have one place, and rows of one key, null keys or copies of one row are cut like
+any others. `deal` cuts the order into ranges of about RANGE_BYTES, by the bytes of a sample of KEYS_A_RANGE rows a range,
+and sends each range to a partition of its own, sorted. The first row of each range is sent a second time, to the end of
+the range before, and the last row of each range to the start of the range after, so that a task can look at both
+neighbours of all its rows without a global window. The driver holds the sample's keys and a first and a last key for
+each range, never a text.
+
+Rows must come from files or a checkpoint: a row's place has to be the same whenever a task runs again.
 """
 
 from __future__ import annotations
 
+import json
+import math
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keys from which the ranges are cut. It bounds what the driver holds; every row is dealt.
-BOUND_ROWS = 20_000
+#: Bytes of text of a range; there are at least as many ranges as shuffle partitions.
+RANGE_BYTES = 64 << 20
+#: Rows of the sample for each range, and what a row counts besides its text. They decide how even the ranges are, no more.
+KEYS_A_RANGE, ROW_BYTES = 50, 64
+ORDER = ["_key", "_tie", "_place"]
+
+
+def _sampled(rows: DataFrame, n: int, wanted: int) -> tuple[pd.DataFrame, float]:
+    part = min(1.0, wanted / max(1, n))
+    drawn = rows if part == 1.0 else rows.sample(part, seed=11)
+    return drawn.select(*ORDER, "_bytes").toArrow().to_pandas(), part
 
 
-def bounds(keys: DataFrame, ranges: int) -> list:
-    """At most ranges - 1 cut points of the one column of keys (no nulls)."""
-    name = keys.columns[0]
-    sample = keys.withColumn("_h", F.xxhash64(name, F.lit(11))).orderBy("_h", name).limit(BOUND_ROWS)
-    found = sorted(r[0] for r in sample.select(name).toLocalIterator())
-    cuts = [found[len(found) * i // ranges] for i in range(1, ranges)] if found else []
-    return sorted(set(cuts))
+def bounds(rows: DataFrame, ranges: int | None = None) -> pd.DataFrame:
+    """Cut points of the order of rows (_key, _tie, _place, _bytes), ascending; a range begins at each, one before them all."""
+    n = rows.count()
+    least = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sample, part = _sampled(rows, n, KEYS_A_RANGE * least)
+    if not ranges:
+        ranges = max(least, math.ceil(sample["_bytes"].sum() / part / RANGE_BYTES))
+        if ranges > least and part < 1.0:
+            sample, part = _sampled(rows, n, KEYS_A_RANGE * ranges)
+    sample = sample.sort_values(ORDER, kind="stable")
+    upto = sample["_bytes"].cumsum().to_numpy()
+    total = upto[-1] if len(upto) else 0
+    at = np.unique(np.searchsorted(upto, total * np.arange(1, ranges) / ranges, side="left")) if total else []
+    return sample.iloc[at][ORDER]
 
 
-def range_no(key: Column, cuts: list) -> Column:
-    """The number of cuts at or below the key; the cuts travel with the task."""
-    held = np.array(cuts, dtype=object) if cuts and isinstance(cuts[0], str) else np.array(cuts, dtype=np.int64)
+def _held(cuts: pd.DataFrame, kind: str) -> list[Column]:
+    """The cut points as three constant arrays."""
+    return [F.from_json(F.lit(json.dumps(cuts[name].tolist(), ensure_ascii=False)), f"array<{k}>") for name, k in zip(ORDER, (kind, "bigint", "bigint"))]
 
-    @F.pandas_udf("int")
-    def place(values: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(held, values.to_numpy(), side="right").astype("int32"), dtype="int32")
 
-    return place(key) if cuts else F.lit(0)
+def _compared(arrays: list[Column], at: Column, equal: bool) -> Column:
+    """Whether the point at this place of the arrays is the row's (equal), or the row's or before it."""
+    pairs = [(F.get(a, at), F.col(name)) for a, name in zip(arrays, ORDER)]
+    same = reduce(lambda x, y: x & y, [p == c for p, c in pairs])
+    (a, x), (b, y), (c, z) = pairs
+    return same if equal else (a < x) | ((a == x) & ((b < y) | ((b == y) & (c <= z))))
 
 
-def deal(rows: DataFrame, key: str, ranges: int, ties: list[str], before: bool = True, after: bool = True, wrap: bool = False) -> DataFrame:
-    """rows in partitions by range of key, sorted by (key, ties), with `halo`: 0 for the partition's own rows, -1 for
-    the row before them, 1 for the row after them; wrap: after the last row of all comes the first.
+def range_no(cuts: pd.DataFrame, kind: str) -> Column:
+    """The number of cuts at or before the row, by bisection of the constant arrays."""
+    if not len(cuts):
+        return F.lit(0)
+    arrays = _held(cuts, kind)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(_compared(arrays, at + step - 1, equal=False), at + step).otherwise(at))
 
-    Rows of one key share a range, so keys should be unique or nearly so; ties order them.
+
+def deal(rows: DataFrame, key: str, text: str, columns: dict[str, Column] | None = None, ranges: int | None = None, before: bool = False, after: bool = False, wrap: bool = False) -> DataFrame:
+    """rows in partitions by range of the order (key, hash of text, place), sorted, with `_range` and `halo`: 0 for the
+    partition's own rows, -1 for the row before them, 1 for the row after them; wrap: after the last row of all comes the first.
+
+    key (a long or string) and text have no nulls. columns: what is sent instead of the columns of rows, made where rows
+    are dealt and nowhere else.
     """
-    cuts = bounds(rows.select(key), ranges)
-    dealt = rows.withColumn("_range", range_no(F.col(key), cuts))
-    edges = sorted((r["_range"], r["lo"], r["hi"]) for r in dealt.groupBy("_range").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect())
-    copies = []
-    for k, (number, lo, hi) in enumerate(edges):
-        if after and (k or wrap):
-            copies.append((lo, edges[k - 1][0], 1, k == 0))
-        if before and k + 1 < len(edges):
-            copies.append((hi, edges[k + 1][0], -1, False))
-    tagged = dealt.withColumn("halo", F.lit(0)).withColumn("_last", F.lit(False))
-    if copies:
-        kind = rows.schema[key].dataType.simpleString()
-        extra = rows.sparkSession.createDataFrame(copies, f"_k {kind}, _range int, halo int, _last boolean")
-        found = rows.join(F.broadcast(extra), F.col(key) == F.col("_k")).drop("_k")  # two rows a range at most
-        tagged = tagged.unionByName(found.select(*rows.columns, "_range", "halo", "_last"))
-    # Own rows stand between the halo rows; of several rows of a halo key the nearest is beside them.
-    return tagged.repartition(max(1, len(edges)), "_range").sortWithinPartitions("_range", "_last", key, *ties, "halo")
+    kind = rows.schema[key].dataType.simpleString()
+    marks = {"_key": F.col(key), "_tie": F.xxhash64(text), "_place": F.monotonically_increasing_id(), "_bytes": (F.octet_length(text) + ROW_BYTES).cast("long")}
+    marked = rows.withColumns(marks)
+    cuts = bounds(marked.select(*marks), ranges)
+    dealt = marked.withColumn("_range", range_no(cuts, kind))
+    copies = [F.struct(F.col("_range"), F.lit(0).alias("halo"), F.lit(False).alias("_last"))]
+    if before or after:
+        point = F.struct(*ORDER)
+        edges = dealt.groupBy("_range").agg(F.min(point).alias("lo"), F.max(point).alias("hi")).toArrow().to_pylist()
+        edges = sorted((r["_range"], tuple(r["lo"].values()), tuple(r["hi"].values())) for r in edges)
+        numbers = [e[0] for e in edges]
+        # What the row at a range's edge is sent to: the next range with rows, not the next number.
+        behind, ahead = dict(zip(numbers, [None, *numbers])), dict(zip(numbers, numbers[1:]))
+        if wrap and numbers:
+            behind[numbers[0]] = numbers[-1]
+        firsts, lasts = ({e[0]: e[k] for e in edges} for k in (1, 2))
+
+        def sent(edge: dict, to: dict, halo: int) -> Column:
+            some = [k for k in numbers if to.get(k) is not None]
+            if not some:
+                return F.lit(None)
+            points = pd.DataFrame([edge[k] for k in some], columns=ORDER)
+            # Place of the range among those with a target, by its number.
+            place = F.array_position(F.split(F.lit(",".join(map(str, some))), ",").cast("array<int>"), F.col("_range")).cast("int") - 1 if some != list(range(some[0], some[-1] + 1)) else F.col("_range") - some[0]
+            target = F.get(F.split(F.lit(",".join(str(to[k]) for k in some)), ",").cast("array<int>"), place)
+            last = F.col("_range") == numbers[0] if wrap and halo == 1 else F.lit(False)
+            hit = (place >= 0) & _compared(_held(points, kind), place, equal=True)
+            return F.when(hit, F.struct(target.alias("_range"), F.lit(halo).alias("halo"), last.alias("_last")))
+
+        copies += [sent(firsts, behind, 1)] * after + [sent(lasts, ahead, -1)] * before
+    out = columns or {c: F.col(c) for c in rows.columns}
+    sending = dealt.select(*ORDER, *[c.alias(n) for n, c in out.items()], F.array_compact(F.array(*copies)).alias("_to") if len(copies) > 1 else F.array(*copies).alias("_to"))
+    named = [F.col(n) for n in out]
+    placed = sending.select(*ORDER, *named, F.explode("_to").alias("_to")) if len(copies) > 1 else sending.withColumn("_to", F.get("_to", F.lit(0)))
+    return placed.select(*ORDER, *named, "_to.*").repartitionById(len(cuts) + 1, "_range").sortWithinPartitions("_last", *ORDER, "halo").select(*named, "_range", "halo")

@@ -11,7 +11,7 @@ and then renamed: a task that is run again replaces its file with an equal one.
 share, through pyarrow's file systems, so the folder may be in any store that those reach.
 
 Defined cases: a null or empty text has the end id alone; null ids come first in order; rows of equal id are in the order
-of their texts; an empty table writes no file and reads as no rows.
+of a hash of their texts; an empty table writes no file and reads as no rows.
 """
 
 from __future__ import annotations
@@ -26,15 +26,18 @@ from functools import cache
 import numpy as np
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settle, shared_folder
+from .common import settle, shared_folder, shipped
 from .ordering import deal
 
 MASK = 0xA282EAD8
-#: Words whose ids a task keeps at hand. Others are encoded when they come; it bounds memory alone.
-WORDS_HELD = 600_000
+#: Pieces of a generation of those whose ids a task keeps at hand. It bounds memory alone: others are encoded when they come.
+PIECES_HELD = 150_000
+#: Characters that are encoded together, or one longer text.
+GROUP_CHARS = 2_000_000
 _BEFORE_WORD = re.compile(r" (?=\S)")
 
 
@@ -66,7 +69,8 @@ class ByteTokens:
     """Ids of texts by a byte-level BPE file of the tokenizers library, as little-endian bytes.
 
     Such a file never joins a space that precedes a word to what is before it, so a text falls into pieces of one
-    leading space and what follows, whose ids don't depend on their surroundings; each distinct piece is encoded once.
+    leading space and what follows, whose ids don't depend on their surroundings. The distinct pieces of a batch that are
+    not at hand are encoded by the library in one string; the bytes that each token stands for tell where a piece ends.
     A text with one of the file's special tokens is encoded by the library as it stands.
     """
 
@@ -74,38 +78,61 @@ class ByteTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65_536 else np.dtype("<u4")
-        self.held: dict[str | tuple[str], bytes] = {}
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.asarray(ids, dtype=self.dtype).tobytes()
+        # A byte-level token has a character for each byte.
+        self.sizes = np.zeros(1 + max(self.tokenizer.get_vocab().values()), dtype=np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.sizes[i] = len(token)
+        self.forget()
+
+    def forget(self) -> None:
+        """Lets go of all pieces at hand."""
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.asarray(e.ids, dtype=self.dtype)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of pieces, each given without its leading space, in order."""
+        out = []
+        for start in range(0, len(words), 2_000):  # a string of some ten thousand characters at a time
+            some = words[start : start + 2_000]
+            (ids,) = self._ids([" " + " ".join(some)])
+            ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 1 for w in some])
+            upto = np.cumsum(self.sizes[ids])
+            if upto[-1] != ends[-1]:
+                raise ValueError("the tokens don't stand for all bytes of the text")
+            cuts = (np.searchsorted(upto, ends, side="left") + 1).tolist()
+            raw, width = ids.tobytes(), self.dtype.itemsize
+            out += [raw[width * a : width * b] for a, b in zip([0, *cuts], cuts)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split, pieces = _BEFORE_WORD.split, []
         for t in texts:
-            if any(s in t for s in self.special):
-                pieces.append(None)
-                continue
-            words = split(t)
-            words[0] = (words[0],)  # the first piece has no space before it: a key apart from the others
-            pieces.append(words)
-        held, more = self.held, {}
-        missing = list({w for words in pieces if words for w in words if w not in held})
-        plain = [w[0] if isinstance(w, tuple) else " " + w for w in missing]
-        for start in range(0, len(missing), 20_000):
-            found = self.tokenizer.encode_batch_fast(plain[start : start + 20_000], add_special_tokens=False)
-            for w, e in zip(missing[start:], found):
-                (held if len(held) < WORDS_HELD else more)[w] = self._bytes(e.ids)
-        get = held.__getitem__
-        out = []
-        for t, words in zip(texts, pieces):
+            pieces.append(None if any(s in t for s in self.special) else split(t))
+        plain = [k for k, words in enumerate(pieces) if words is not None]
+        # The first piece has no space before it.
+        first = dict(zip(plain, self._ids([pieces[k][0] for k in plain]))) if plain else {}
+        distinct = set().union(*[pieces[k][1:] for k in plain])
+        young, old = self.young, self.old
+        missing = [w for w in distinct if w not in young]
+        young.update((w, old[w]) for w in missing if w in old)
+        missing = [w for w in missing if w not in old]
+        if missing:
+            young.update(zip(missing, self._words(missing)))
+        get, out = young.__getitem__, []
+        for k, words in enumerate(pieces):
             if words is None:
-                out.append(self._bytes(self.tokenizer.encode(t, add_special_tokens=False).ids))
-            elif more:
-                out.append(b"".join([held[w] if w in held else more[w] for w in words]))
+                out += [x.tobytes() for x in self._ids([texts[k]])]
             else:
-                out.append(b"".join(map(get, words)))
+                out.append(first[k].tobytes() + b"".join(map(get, words[1:])))
+        if len(young) > PIECES_HELD:
+            self.young, self.old = {}, young if len(young) <= 2 * PIECES_HELD else {}
         return out
 
 
@@ -114,6 +141,32 @@ def byte_tokens(path: str) -> ByteTokens:
     return ByteTokens(path)
 
 
+def token_bytes(text: Column, path: str, end_id: int) -> Column:
+    """The ids of a text and the end id, as little-endian integers of the width that the vocabulary needs.
+
+    path: a name for SparkFiles.get.
+    """
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        coder = byte_tokens(SparkFiles.get(path))
+        end = np.asarray([end_id], dtype=coder.dtype).tobytes()
+        try:
+            for texts in batches:
+                made: list[bytes] = []
+                held, size = [], 0
+                for t in texts:
+                    if held and size + len(t) > GROUP_CHARS:
+                        made += coder.encode(held)
+                        held, size = [], 0
+                    held.append(t)
+                    size += len(t)
+                yield pd.Series([x + end for x in made + coder.encode(held)], dtype=object)
+        finally:
+            coder.forget()
+
+    return F.pandas_udf(run, "binary")(text)
+
+
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
 
@@ -122,75 +175,62 @@ NO_ID = -(1 << 63)
 
 
 def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, ranges: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes the records and indexes of docs to the folder; returns a row for each file: file, range, docs, tokens."""
-    spark = docs.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Writes the records and indexes of docs to the folder; returns a row for each file: file, range, docs, tokens, width.
+
+    Texts are encoded where they are read; only their ids go through the exchange.
+    """
     rows = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    dealt = deal(rows, "key", ranges, ["text"], before=False, after=False)
+    ids = token_bytes(F.col("text"), shipped(docs.sparkSession, tokenizer_path), end_id)
+    dealt = deal(rows, "key", "text", {"key": F.col("key"), "ids": ids}, ranges)
+    width = byte_tokens(tokenizer_path).dtype.itemsize
+    made = ["file", "range", "docs", "tokens", "width"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, top = _open(folder)
-        coder = byte_tokens(tokenizer_path)
-        end = np.asarray([end_id], dtype=coder.dtype).tobytes()
-        at, sink, made = None, None, []
-
-        def close() -> None:
-            nonlocal sink
-            if sink:
-                out, index, temporary, name, count, tokens, _ = sink
-                out.close()
-                with store.open_output_stream(f"{temporary}.index") as f:
-                    f.write(np.asarray(index, dtype="<u8").tobytes())
-                for suffix in (".index", ""):
-                    store.move(temporary + suffix, name + suffix)
-                made.append((name.rpartition("/")[2], at, count, tokens))
-                sink = None
-
-        for batch in batches:
-            numbers, keys = batch["_range"].tolist(), batch["key"].tolist()
-            for start in range(0, len(keys), 1000):
-                for number, k, ids in zip(numbers[start : start + 1000], keys[start : start + 1000], coder.encode(batch["text"].iloc[start : start + 1000].tolist())):
-                    if number != at:
-                        close()
-                        at = number
-                        name = f"{top}/part-{number:06d}.rec"
-                        temporary = f"{name}.{uuid.uuid4().hex}.tmp"
-                        sink = [store.open_output_stream(temporary), [], temporary, name, 0, 0, 0]
-                    ids += end
-                    n = len(ids) // coder.dtype.itemsize
-                    record = frame(struct.pack("<Qq?", sink[4], k, k == NO_ID) + ids)
-                    sink[0].write(record)
-                    sink[1].append((sink[6], len(record), n))
-                    sink[4] += 1
-                    sink[5] += n
-                    sink[6] += len(record)
-            if made:
-                yield pd.DataFrame(made, columns=["file", "range", "docs", "tokens"])
-                made = []
-        close()
-        if made:
-            yield pd.DataFrame(made, columns=["file", "range", "docs", "tokens"])
+        batch = next(batches, None)
+        while batch is not None and not len(batch):
+            batch = next(batches, None)
+        if batch is None:
+            return
+        number = int(batch["_range"].iloc[0])  # a task has one range
+        name = f"{top}/part-{number:06d}.rec"
+        temporary = f"{name}.{uuid.uuid4().hex}.tmp"
+        index, count, tokens, at = [], 0, 0, 0
+        with store.open_output_stream(temporary) as out:
+            while batch is not None:
+                for k, ids in zip(batch["key"].tolist(), batch["ids"]):
+                    n = len(ids) // width
+                    record = frame(struct.pack("<Qq?", count, k, k == NO_ID) + ids)
+                    out.write(record)
+                    index.append((at, len(record), n))
+                    count, tokens, at = count + 1, tokens + n, at + len(record)
+                batch = next(batches, None)
+        with store.open_output_stream(f"{temporary}.index") as f:
+            f.write(np.asarray(index, dtype="<u8").tobytes())
+        for suffix in (".index", ""):
+            store.move(temporary + suffix, name + suffix)
+        yield pd.DataFrame([(name.rpartition("/")[2], number, count, tokens, width)], columns=made)
 
     store, top = _open(folder)
     store.create_dir(top, recursive=True)
-    return dealt.select("_range", "key", "text").mapInPandas(run, "file string, range int, docs long, tokens long")
+    return dealt.select("_range", "key", "ids").mapInPandas(run, "file string, range int, docs long, tokens long, width int")
 
 
 #: Bytes that a reader holds at once, or one longer record.
 READ_BYTES = 8 << 20
 
 
-def read(spark: SparkSession, files: DataFrame, folder: str, width: int = 2) -> DataFrame:
+def read(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 (of the ids as unsigned 32-bit integers) of every record of the files.
 
     files: what `write` returned. Records are checked against their checksums and the index.
     """
-    before = files.select("file", (F.sum("tokens").over(Window.orderBy("range")) - F.col("tokens")).alias("before"))  # a row for each file
+    before = files.select("file", "width", (F.sum("tokens").over(Window.orderBy("range")) - F.col("tokens")).alias("before"))  # a row for each file
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, top = _open(folder)
         for batch in batches:
-            for name, start in zip(batch["file"], batch["before"]):
+            for name, start, width in zip(batch["file"], batch["before"], batch["width"]):
                 with store.open_input_file(f"{top}/{name}.index") as f:
                     index = np.frombuffer(f.readall(), dtype="<u8").reshape(-1, 3)
                 with store.open_input_file(f"{top}/{name}") as f:
@@ -229,9 +269,8 @@ def read_one(folder: str, file: str, record: int, width: int = 2) -> tuple[int |
     return (None if null else k), np.frombuffer(payload, dtype=f"<u{width}", offset=17)
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, folder: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, folder: str | None = None, ranges: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes docs to a new folder under the shared one and reads the records back."""
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
-    width = byte_tokens(tokenizer_path).dtype.itemsize
-    return read(spark, settle(write(docs, tokenizer_path, folder, doc_id=doc_id, text=text)), folder, width)
+    return read(spark, settle(write(docs, tokenizer_path, folder, ranges=ranges, doc_id=doc_id, text=text)), folder)

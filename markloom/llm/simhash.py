@@ -14,9 +14,7 @@ midpoint has few members however large the bucket is. Nothing is capped: both wa
 
 Radius 2 finds all but equal texts. Pairs at a five-word Jaccard similarity of 0.8 differ in ten of 64 bits, and no
 covering family of workable size reaches that far, so `keep_one`, which promises 0.8, adds a second search over the sets of
-five-word shingles themselves, by prefix filtering: sets alike enough share one of their first shingles in a common order,
-and each pair that shares one is settled by counting. That search is exact as well, however many texts share a key: see
-`alike_sets`.
+five-word shingles themselves, by prefix filtering, which is exact as well: see `setjoin`.
 
 Defined cases: a null or empty text, and one of white space alone, has fingerprint zero and links like any other; fewer
 words than a shingle make one shingle; repeated rows and ties of ids share a class; an empty table gives no rows.
@@ -30,11 +28,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import fingerprint
-from .common import settle
+from . import fingerprint, setjoin
+from .common import joined, settle
 from .graph import components
 
 BITS = 64
@@ -43,9 +41,9 @@ FEW = 24
 _LANES = np.uint64(0x0101010101010101)
 
 
-def shingle_hashes(text: str | None, words_each: int) -> np.ndarray:
-    """XXH64 (seed 42) of every word shingle of a text, repeats included."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def shingle_hashes(text: bytes, words_each: int) -> np.ndarray:
+    """XXH64 (seed 42) of every word shingle of a UTF-8 text, repeats included; A to Z count as a to z."""
+    words = text.lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
@@ -84,10 +82,11 @@ def fingerprints(docs: DataFrame, words_each: int = 3, doc_id: str = "doc_id", t
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            each = [shingle_hashes(t, words_each) for t in texts]
-            sizes = np.array([len(h) for h in each], dtype=np.int64)
-            hashes = np.concatenate(each) if len(each) else np.zeros(0, dtype=np.uint64)
-            yield pd.Series(majority(hashes, sizes).view(np.int64))
+            made = [np.zeros(0, dtype=np.uint64)]
+            for group in fingerprint.groups([(t or "").encode("utf-8", "surrogatepass") for t in texts]):
+                each = [shingle_hashes(t, words_each) for t in group]
+                made.append(majority(np.concatenate(each), np.array([len(h) for h in each], dtype=np.int64)))
+            yield pd.Series(np.concatenate(made).view(np.int64))
 
     simhash = F.pandas_udf(run, "long")
     return docs.select(docs[doc_id].alias("doc_id"), simhash(docs[text]).alias("fp"), *[c.alias(n) for n, c in (keep or {}).items()])
@@ -144,8 +143,8 @@ def classes(prints: DataFrame, radius: int = 2, also: DataFrame | None = None) -
     """
     points = prints.select("fp").distinct()
     edges = links(points, radius)
-    joined = components(edges if also is None else edges.unionByName(also))
-    return points.join(joined.select(F.col("node").alias("fp"), F.col("component").alias("_c")), "fp", "left").select("fp", F.coalesce("_c", "fp").alias("root"))
+    parts = components(edges if also is None else edges.unionByName(also))
+    return points.join(parts.select(F.col("node").alias("fp"), F.col("component").alias("_c")), "fp", "left").select("fp", F.coalesce("_c", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, words_each: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -159,259 +158,61 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, radius: int = 2, doc_i
     return held.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _met(dealt: DataFrame, few: int = FEW) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b) of sketches that share a band key, from (s, t, key), and the sketches s in crowded buckets.
+def profiles(text: Column, common: tuple, words_each: int, least: float) -> Column:
+    """In one pass over a text: fp, and what `setjoin.Sets` has to know: s, n, marks and keys (keys once a task for each set)."""
 
-    Buckets of up to `few` give all their pairs; larger ones the pairs with one member, another in each table.
-    """
-    sizes = dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("s", "t").alias("h"), "s"))["s"].alias("hub")).filter("n > 1")
-    met = settle(dealt.join(sizes, ["t", "key"]))
-    small = met.filter(F.col("n") <= few).groupBy("t", "key").agg(F.sort_array(F.collect_list("s")).alias("m"))
-    each = small.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> transform(slice(m, i + 2, {few}), y -> struct(x AS a, y AS b))))")).alias("e")).select("e.a", "e.b")
-    crowd = met.filter(F.col("n") > few)
-    return each.unionByName(crowd.filter("s != hub").select(F.least("s", "hub").alias("a"), F.greatest("s", "hub").alias("b"))), crowd.select("s").distinct()
-
-
-def similar(prints: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) between fingerprints of (fp, sketch, bands) whose sketches are equal, or alike and sharing a band key.
-
-    This is an estimate, for sketches without their texts; `keep_one` has the texts and counts (see `alike_sets`).
-
-    A bucket of many texts that are near, yet mostly below `least`, would need all its pairs to find those above. Its
-    members are dealt again by longer bands, under which only much closer texts meet, and those that are crowded there by
-    longer ones still: each has a fixed number of keys more, so that the work stays in proportion to the texts however
-    many share a band.
-    """
-    one = prints.filter("sketch IS NOT NULL").withColumn("s", F.xxhash64("sketch", "bands"))
-    nodes = settle(one.groupBy("s").agg(F.min("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
-    equal = one.select("s", F.col("fp").alias("b")).distinct().join(nodes.select("s", F.col("fp").alias("a")), "s").filter("a != b").select("a", "b")
-
-    @F.pandas_udf("double")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(fingerprint.sketch_likeness(x.tolist(), y.tolist()) if len(x) else [], dtype="float64")
-
-    @F.pandas_udf("array<long>")
-    def longer(x: pd.Series, step: pd.Series) -> pd.Series:
-        return pd.Series(fingerprint.longer_bands(x.tolist(), int(step.iloc[0])) if len(x) else [], dtype="object")
-
-    pairs, crowded = _met(nodes.select("s", F.posexplode("bands").alias("t", "key")))
-    for step in range(len(fingerprint.LONGER)):
-        crowd = settle(nodes.join(crowded, "s").select("s", "sketch", "bands"))
-        again, crowded = _met(crowd.select("s", longer("sketch", F.lit(step)).alias("l")).select("s", F.posexplode("l").alias("t", "key")))
-        # Codes are few bits, and all alike in a text of one shingle: a pair has to share one of the first bands as well.
-        left = crowd.select(F.col("s").alias("a"), F.col("bands").alias("p"))
-        right = crowd.select(F.col("s").alias("b"), F.col("bands").alias("q"))
-        pairs = pairs.unionByName(again.distinct().join(left, "a").join(right, "b").filter(F.arrays_overlap("p", "q")).select("a", "b"))
-    pairs = pairs.distinct()
-    known = nodes.select("s", "fp", "sketch")
-    left = known.select(F.col("s").alias("a"), F.col("fp").alias("f"), F.col("sketch").alias("x"))
-    right = known.select(F.col("s").alias("b"), F.col("fp").alias("g"), F.col("sketch").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").filter("f != g")
-    return both.filter(alike("x", "y") >= least).select(F.col("f").alias("a"), F.col("g").alias("b")).unionByName(equal)
-
-
-def shingle_set(text: Column) -> Column:
-    """The text's distinct five-word shingles, as `fingerprint.shingle_sets` packs them; empty without a word."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for texts in batches:
-            made: list[bytes] = []
-            for group in fingerprint.groups([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]):
-                made += fingerprint.shingle_sets(group)
-            yield pd.Series(made, dtype=object)
-
-    return F.pandas_udf(run, "binary")(text)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b) of sets (s, g; rows of one s are alike) whose Jaccard similarity, counted, is at least `least`."""
-
-    @F.pandas_udf("boolean")
-    def holds(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint.jaccard_at_least(a, c, least) for a, c in zip(x, y)], dtype=bool)
-
-    pairs = settle(pairs)
-    used = chosen(sets, pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct())
-    left, right = used.select(F.col("s").alias("a"), F.col("g").alias("x")), used.select(F.col("s").alias("b"), F.col("g").alias("y"))
-    return pairs.join(left, "a").join(right, "b").filter(holds("x", "y")).select("a", "b")
-
-
-#: Sets from which common shingles are learned, and how many of those travel to the tasks. They order the work, not the result.
-COMMON_SETS, COMMON = 4_000, 500_000
-#: Members of a block of a crowded bucket, which is compared with every block of it.
-BLOCK = 256
-
-
-def common_shingles(sets: DataFrame) -> pd.DataFrame:
-    """(shingle, n): shingles that several of a bounded number of sets have, the commonest if there are very many."""
-    share = max(1, sets.count() // COMMON_SETS)
-    drawn = sets.filter(F.pmod(F.xxhash64("s", F.lit(3)), F.lit(share)) == 0).groupBy("s").agg(F.first("g").alias("g"))
-
-    @F.pandas_udf("array<long>")
-    def each(g: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(x, dtype=np.int64) for x in g], dtype=object)
-
-    counts = drawn.select(F.explode(each("g")).alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return counts.orderBy(F.desc("n"), "shingle").limit(COMMON).toPandas()
-
-
-def prefix_keys(sets: DataFrame, least: float) -> DataFrame:
-    """(s, key): the first shingles of each set in one order for all sets, so many that sets alike enough share one.
-
-    A set of n that shares at least `least` n with another lacks too few to miss all of its first n - least n + 1. Any one
-    order will do; common shingles come last, so that few sets meet.
-    """
-    common = common_shingles(sets)
-    shingle = common["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
-    by = np.argsort(shingle)
-    known, rank = shingle[by], common["n"].to_numpy(dtype=np.int64)[by]
-
-    def first(g: bytes) -> np.ndarray:
-        x = np.frombuffer(g, dtype=np.uint64)
-        n = len(x) - int(np.ceil(least * len(x) - fingerprint.SLACK)) + 1
-        if len(known):
-            at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-            x = x[np.argsort(np.where(known[at] == x, rank[at], 0), kind="stable")]
-        return x[:n].view(np.int64)
-
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        seen: set[int] = set()  # of the task: a text on very many rows gives its keys once a task
-        for s, g in batches:
-            fresh = [k not in seen and not seen.add(k) for k in s.tolist()]
-            yield pd.Series([first(x) if new else None for x, new in zip(g, fresh)], dtype=object)
-
-    keys = F.pandas_udf(run, "array<long>")
-    return sets.select("s", F.explode(keys("s", "g")).alias("key"))
-
-
-#: Ids up to which a selection of sets travels to the tasks whole.
-SENT = 500_000
-
-
-def chosen(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(s, g), once each, of the sets in wanted (s, distinct)."""
-    wanted = settle(wanted)
-    small = wanted.count() <= SENT
-    return sets.join(F.broadcast(wanted) if small else wanted, "s", "left_semi").groupBy("s").agg(F.first("g").alias("g"))
-
-
-def parities(g: bytes) -> bytes:
-    """Of each bin of shingles whether it has an odd number; four bins a shingle or more, a power of two.
-
-    A shingle that only one of two sets has changes one bin, so sets differ in as many shingles as in bins or in more.
-    """
-    x = np.frombuffer(g, dtype=np.uint64)
-    bins = 256
-    while bins < 4 * len(x) and bins < 1 << 16:
-        bins *= 2
-    return np.packbits(np.bincount((x & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1, bitorder="little").tobytes()
-
-
-def possible(n: np.ndarray, marks: list[bytes], m: np.ndarray, others: list[bytes], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of all pairs of sets, of sizes n and m, that their sizes and parities don't rule out."""
-    rows, columns = [], []
-    width, wide = np.array([len(x) for x in marks]), np.array([len(x) for x in others])
-    for v in np.unique(width):
-        for w in np.unique(wide):
-            i, j = np.flatnonzero(width == v), np.flatnonzero(wide == w)
-            to = min(v, w)
-            fold = lambda x, k: np.bitwise_xor.reduce(np.frombuffer(b"".join(x), dtype=np.uint64).reshape(len(x), k // to, to // 8), axis=1)
-            a, c = fold([marks[k] for k in i], v), fold([others[k] for k in j], w)
-            for k, row in zip(i, a):
-                total = n[k] + m[j]
-                # shared >= least * union, so that differing <= (1 - least) / (1 + least) * total
-                fits = np.minimum(n[k], m[j]) + fingerprint.SLACK >= least * np.maximum(n[k], m[j])
-                fits &= np.bitwise_count(c ^ row).sum(axis=1, dtype=np.int64) <= (1 - least) / (1 + least) * total + fingerprint.SLACK
-                found = j[fits]
-                rows.append(np.full(len(found), k))
-                columns.append(found)
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none, *rows]), np.concatenate([none, *columns])
-
-
-def blocked(crowd: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of different roots in one key of (key, s, root, n, marks) that may be alike: block by block, all with all."""
-    sizes = crowd.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo != _hi")
-    held = crowd.join(sizes.select("key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")), "key")
-    own = held.withColumn("_own", F.pmod(F.xxhash64("s", "key"), F.col("_blocks")).cast("int"))
-    sent = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    met = sent.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
-
-    def pairs(block: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(block["_i"].iloc[0]), int(block["_j"].iloc[0])
-        left, right = block[block["_own"] == i], block[block["_own"] == j]
-        x, y = possible(left["n"].to_numpy(), left["marks"].tolist(), right["n"].to_numpy(), right["marks"].tolist(), least)
-        a, b = left["s"].to_numpy()[x], right["s"].to_numpy()[y]
-        apart = left["root"].to_numpy()[x] != right["root"].to_numpy()[y]
-        apart &= (a < b) | (i != j)
-        return pd.DataFrame({"a": np.minimum(a, b)[apart], "b": np.maximum(a, b)[apart]})
-
-    return met.select("key", "_i", "_j", "_own", "s", "root", "n", "marks").groupBy("key", "_i", "_j").applyInPandas(pairs, "a long, b long").distinct()
-
-
-def alike_sets(sets: DataFrame, least: float, few: int = FEW) -> DataFrame:
-    """Edges (a, b) between sets (s, g) that connect exactly the pairs of that Jaccard similarity or more.
-
-    Sets alike enough share a prefix key. A key of up to `few` sets gives all its pairs. The sets of a larger one are
-    compared with one of them; then all that are not yet connected with each other, by blocks.
-    """
-    of_key = Window.partitionBy("key")
-    keys = prefix_keys(sets, least).repartition("key").dropDuplicates(["key", "s"])
-    met = settle(keys.withColumn("n", F.count(F.lit(1)).over(of_key)).withColumn("hub", F.min("s").over(of_key)).filter("n > 1"))
-    small = met.filter(F.col("n") <= few).groupBy("key").agg(F.sort_array(F.collect_list("s")).alias("m")).select("m").distinct()
-    each = small.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> transform(slice(m, i + 2, {few}), y -> struct(x AS a, y AS b))))")).alias("e")).select("e.a", "e.b")
-    crowd = met.filter(F.col("n") > few)
-    hubs = crowd.filter("s != hub").select(F.least("s", "hub").alias("a"), F.greatest("s", "hub").alias("b"))
-    edges = settle(verified(each.unionByName(hubs).distinct(), sets, least))
-    if crowd.isEmpty():
-        return edges
-    roots = components(edges).select(F.col("node").alias("s"), F.col("component").alias("_c"))
-    mark = F.pandas_udf(lambda g: g.map(parities), "binary")
-    members = chosen(sets, crowd.select("s").distinct()).join(roots, "s", "left")
-    marked = settle(members.select("s", F.coalesce("_c", "s").alias("root"), (F.length("g") / 8).cast("long").alias("n"), mark("g").alias("marks")))
-    rest = blocked(crowd.select("key", "s").join(marked, "s"), least)
-    return edges.unionByName(verified(rest, sets, least))
-
-
-def alike(held: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) between fingerprints of (fp, s, g) that connect all texts of that similarity; s is the hash of the set g."""
-    worded = held.filter(F.length("g") > 0)
-    edges = alike_sets(worded.select("s", "g"), least)
+            rows = []
+            for group in fingerprint.groups([(t or "").encode("utf-8", "surrogatepass") for t in texts]):
+                each = [shingle_hashes(t, words_each) for t in group]
+                prints = majority(np.concatenate(each), np.array([len(h) for h in each], dtype=np.int64)).view(np.int64).tolist()
+                for fp, g in zip(prints, fingerprint.shingle_sets([t.lower() for t in group])):
+                    s = xxhash.xxh64_intdigest(g, 7)
+                    s -= (s >> 63) << 64
+                    keys = None if s in seen or not g else setjoin.prefix(g, common, least)
+                    seen.add(s)
+                    rows.append((fp, s, len(g) // 8, setjoin.parities(g), keys))
+            yield pd.DataFrame(rows, columns=["fp", "s", "n", "marks", "keys"])
+
+    return F.pandas_udf(run, "fp long, s long, n long, marks binary, keys array<long>")(text)
+
+
+def alike(docs: DataFrame, held: DataFrame, least: float, text: str = "text") -> DataFrame:
+    """Edges (a, b) between fingerprints that connect all texts of that similarity; held: (h, fp, s, n, marks, keys) of the
+    rows of docs, docs having the hash _h that held has as h."""
+    worded = held.filter("n > 0")
+
+    def made(used: DataFrame) -> DataFrame:
+        # One row of docs for each set wanted; rows of one hash are alike, and give their set once a task.
+        row = settle(joined(worded.select("s", "h"), used, "s").groupBy("s").agg(F.min("h").alias("_h")))
+        found = joined(docs.select("_h", F.col(text).alias("_t")), row, "_h")
+        return found.select("s", setjoin.shingle_set(F.col("_t")).alias("g")).groupBy("s").agg(F.first("g").alias("g"))
+
+    edges = setjoin.Sets(worded.select("s", "n", "marks", "keys"), made, least).edges()
     # Every fingerprint of a set is joined to the set's first one, and that to the first one of each alike set.
-    first = worded.groupBy("s").agg(F.min("fp").alias("f"))
-    same = worded.select("s", "fp").distinct().join(first, "s").filter("fp != f").select(F.col("f").alias("a"), F.col("fp").alias("b"))
+    first = worded.groupBy("s").agg(F.min("fp").alias("f"), F.max("fp").alias("_g"))
+    same = worded.select("s", "fp").join(first.filter("f != _g"), "s").filter("fp != f").select(F.col("f").alias("a"), F.col("fp").alias("b")).distinct()
     linked = edges.join(first.select(F.col("s").alias("a"), "f"), "a").join(first.select(F.col("s").alias("b"), F.col("f").alias("g")), "b").select(F.col("f").alias("a"), F.col("g").alias("b"))
     return linked.unionByName(same)
 
 
-def sketched(text: Column) -> Column:
-    """The struct (sketch, bands) of a text."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            sketch, bands = [], []
-            for group in fingerprint.groups([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]):
-                some, keys = fingerprint.sketches(group)
-                sketch += some
-                bands += keys
-            yield pd.DataFrame({"sketch": sketch, "bands": bands})
-
-    return F.pandas_udf(run, "sketch binary, bands array<long>")(text)
-
-
 def keep_one(docs: DataFrame, words_each: int = 3, radius: int = 2, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without near-duplicates: of each class the row of the smallest (id, text hash) stays.
 
     Linked are fingerprints within the radius, and texts at a five-word Jaccard similarity of `similarity` or more, by
-    counting their shingles (see `alike_sets`).
+    counting their shingles (see `setjoin`).
 
     Rows equal in id and text are one row here; of those any one stays, since nothing tells them apart but further columns.
     """
-    held = settle(fingerprints(docs, words_each, doc_id, text, {"_h": F.xxhash64(docs[text], docs[doc_id]), "g": shingle_set(docs[text])}).select("doc_id", "fp", "_h", "g", F.xxhash64("g").alias("s")))
-    least = held.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_h")).alias("_first"))
-    rooted = least.join(classes(least.select("fp"), radius, alike(held, similarity)), "fp")
-    winners = settle(rooted.groupBy("root").agg(F.min("_first").alias("_w")).select("_w.doc_id", "_w._h"))
-    same = docs[doc_id].eqNullSafe(winners["doc_id"]) & (F.xxhash64(docs[text], docs[doc_id]) == winners["_h"])
+    hashed = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text], docs[doc_id]).alias("_h"))
+    common = setjoin.common_shingles(docs, text)
+    held = settle(hashed.select("doc_id", F.col("_h").alias("h"), profiles(F.col("text"), common, words_each, similarity).alias("_p")).select("doc_id", "h", "_p.*"))
+    least = held.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("_first"))
+    rooted = least.join(classes(least.select("fp"), radius, alike(hashed, held, similarity)), "fp")
+    winners = settle(rooted.groupBy("root").agg(F.min("_first").alias("_w")).select("_w.doc_id", "_w.h"))
+    same = docs[doc_id].eqNullSafe(winners["doc_id"]) & (F.xxhash64(docs[text], docs[doc_id]) == winners["h"])
     kept = docs.join(winners, same, "left_semi")
-    repeated = held.join(winners.select(F.col("doc_id").alias("_i"), F.col("_h").alias("_k")), (F.col("_k") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left_semi").groupBy("doc_id", "_h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    repeated = held.select("doc_id", "h").join(winners.select(F.col("doc_id").alias("_i"), F.col("h").alias("_k")), (F.col("_k") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left_semi").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates([doc_id, text])

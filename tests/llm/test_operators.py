@@ -13,7 +13,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from markloom.llm import bpe, fingerprint, graph, html, langid, mixing, pii, quality, records, sharding, simhash
+from markloom.llm import bpe, fingerprint, graph, html, langid, mixing, pii, quality, records, setjoin, sharding, simhash
 from markloom.llm.queries import vocabulary_file
 
 DATA = "/root/testdata/sf0.001"
@@ -44,6 +44,12 @@ def words(t):
     return WORD.findall(t or "")
 
 
+def tie(t):
+    """The order of rows of equal id."""
+    x = xxhash.xxh64_intdigest((t or "").encode(), 42)
+    return x - (x >> 63 << 64)
+
+
 def test_sharding_is_a_permutation_with_even_shards(docs, rows):
     got = sharding.shard(docs, 7).toPandas()
     n = len(rows)
@@ -264,7 +270,7 @@ def test_fingerprints_estimate_jaccard(docs, rows):
 
 def test_fingerprint_query(docs, rows):
     got = fingerprint.edits(docs, ranges=5).toPandas()
-    order = rows.assign(text=rows["text"].fillna("")).sort_values(["doc_id", "text"], ascending=[False, True], na_position="last", kind="stable")
+    order = rows.assign(text=rows["text"].fillna(""), tie=[tie(t) for t in rows["text"]]).sort_values(["doc_id", "tie"], ascending=[False, True], na_position="last", kind="stable")
     texts, ids = order["text"].tolist(), order["doc_id"].tolist()
     changed = [fingerprint.edited(a, b) for a, b in zip(texts, texts[1:] + texts[:1])]
     want = collections.Counter((i, len(t), hashlib.sha256(c.encode()).hexdigest()) for i, t, c in zip(ids, texts, changed))
@@ -281,7 +287,7 @@ def test_records_round_trip(docs, rows, tmp_path):
 
     path = vocabulary_file("byte_bpe_50k.json")
     coder = Tokenizer.from_file(path)
-    order = rows.assign(text=rows["text"].fillna("")).sort_values(["doc_id", "text"], na_position="first", kind="stable")
+    order = rows.assign(text=rows["text"].fillna(""), tie=[tie(t) for t in rows["text"]]).sort_values(["doc_id", "tie"], na_position="first", kind="stable")
     want, start = collections.Counter(), 0
     for i, t in zip(order["doc_id"], order["text"]):
         ids = [*coder.encode(t, add_special_tokens=False).ids, 2]
@@ -417,30 +423,6 @@ def test_keep_one_finds_similar_texts(spark):
     assert kept >= set(range(0, 120, 3)) | set(range(2, 120, 3))
 
 
-def test_similar_texts_in_a_crowd(spark):
-    """800 texts that are all near, at 0.71: all pairs of 0.8 or more are found, and most of those that only seem to be, by the error of the estimate."""
-    rng = np.random.default_rng(5)
-    base = [f"w{i}" for i in range(300)]
-    texts = []
-    for k in range(400):
-        a = list(base)
-        for i in rng.choice(300, 5, replace=False):
-            a[i] = f"v{k}x{i}"
-        b = list(a)
-        b[int(rng.integers(300))] = f"u{k}"
-        texts += [" ".join(a), " ".join(b)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "fp long, text string").repartition(3)
-    prints = docs.select("fp", simhash.sketched(docs["text"]).alias("_s")).select("fp", "_s.*")
-    found = {(min(r), max(r)) for r in simhash.similar(prints, 0.8).distinct().collect()}
-    data = [simhash.fingerprint.sketches([t.encode()])[0][0] for t in texts]
-    want = set()
-    for i in range(len(data)):
-        near = simhash.fingerprint.sketch_likeness(data[i + 1 :], [data[i]] * (len(data) - i - 1)) if i + 1 < len(data) else []
-        want |= {(i, i + 1 + int(j)) for j in np.flatnonzero(np.asarray(near) >= 0.8)}
-    assert found <= want and len(want) >= 400
-    assert {(i, i + 1) for i in range(0, 800, 2)} <= found and len(found) > 0.85 * len(want)
-
-
 def grams_of(texts):
     return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
 
@@ -464,8 +446,23 @@ def test_keep_one_counts_similarity(spark):
     assert {i for i in range(0, 120, 2) if i + 1 not in kept} == near
 
 
-def test_alike_sets_lose_no_pair_of_a_crowd(spark):
-    """600 texts of one template at 0.6 to 0.86, whose buckets are crowded, and a dense group: the classes are those of brute force."""
+def roots_of(n, edges):
+    up = list(range(n))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for i, j in edges:
+        a, b = sorted((root(i), root(j)))
+        up[b] = a
+    return [root(k) for k in range(n)]
+
+
+@pytest.mark.parametrize("few", [24, 2])
+def test_set_join_loses_no_pair_of_a_crowd(spark, few):
+    """600 texts of one template at 0.6 to 0.86, whose keys are crowded, a dense group and copies: the classes are those of brute force."""
     rng = np.random.default_rng(6)
     base = [f"w{i}" for i in range(150)]
     texts = []
@@ -476,28 +473,38 @@ def test_alike_sets_lose_no_pair_of_a_crowd(spark):
         texts.append(" ".join(a))
     texts += [" ".join(f"d{i if i != k else k * 1000}" for i in range(200)) for k in range(60)]
     grams = grams_of(texts)
-    sets = [simhash.fingerprint.shingle_sets([t.encode()])[0] for t in texts]
+    sets = [fingerprint.shingle_sets([t.encode()])[0] for t in texts]
     pairs = {(i, j) for j in range(len(texts)) for i in range(j) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])}
-    x, y = simhash.possible(np.array([len(s) // 8 for s in sets]), [simhash.parities(s) for s in sets], np.array([len(s) // 8 for s in sets]), [simhash.parities(s) for s in sets], 0.8)
+    n, marks = np.array([len(s) // 8 for s in sets]), [setjoin.parities(s) for s in sets]
+    x, y = setjoin.possible(n, marks, n, marks, 0.8)
     assert pairs <= set(zip(x.tolist(), y.tolist()))
-    df = spark.createDataFrame(list(enumerate(map(bytearray, sets))), "s long, g binary").repartition(3)
-    found = {(min(r), max(r)) for r in simhash.alike_sets(df, 0.8).collect()}
+    assert all(setjoin.may_be_alike(n[i], marks[i], n[j], marks[j], 0.8) for i, j in list(pairs)[:500])
+    common = setjoin.common_shingles(spark.createDataFrame([(t,) for t in texts], "text string"))
+    known = [(i, int(n[i]), bytearray(marks[i]), setjoin.prefix(sets[i], common, 0.8).tolist()) for i in range(len(texts))]
+    df = spark.createDataFrame([*known, *[(i, m, k, None) for i, m, k, _ in known[::3]]], "s long, n long, marks binary, keys array<long>").repartition(3)
+    all_sets = spark.createDataFrame([(i, bytearray(g)) for i, g in enumerate(sets)], "s long, g binary")
+    found = {(min(r), max(r)) for r in setjoin.Sets(df, lambda used: all_sets.join(used, "s"), 0.8).edges(few).collect()}
     assert found <= pairs
+    assert roots_of(len(texts), found) == roots_of(len(texts), pairs) and len(set(roots_of(len(texts), pairs))) > 50
 
-    def roots(edges):
-        up = list(range(len(texts)))
 
-        def root(k):
-            while up[k] != k:
-                k = up[k]
-            return k
-
-        for i, j in edges:
-            a, b = sorted((root(i), root(j)))
-            up[b] = a
-        return [root(k) for k in range(len(texts))]
-
-    assert roots(found) == roots(pairs) and len(set(roots(pairs))) > 50
+def test_keep_one_recall_on_real_texts(spark):
+    """All pairs of the small table at 0.8 or more, by brute force over an index of shingles: none is lost, none added."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").toPandas()
+    grams, prints = grams_of(rows["text"].fillna("")), [plain_simhash(t) for t in rows["text"]]
+    by = collections.defaultdict(list)
+    for i, g in enumerate(grams):
+        for x in g:
+            by[x].append(i)
+    shared = collections.Counter((i, j) for of in by.values() for b, j in enumerate(of) for i in of[:b])
+    edges = [(i, j) for (i, j), n in shared.items() if n >= 0.8 * (len(grams[i]) + len(grams[j]) - n)]
+    edges += [(i, j) for j in range(len(prints)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    ids = collections.defaultdict(list)
+    for k, r in enumerate(roots_of(len(rows), edges)):
+        ids[r].append(int(rows["doc_id"][k]))
+    assert {r.doc_id for r in simhash.keep_one(docs).select("doc_id").collect()} == {min(v) for v in ids.values()}
+    assert len(ids) < len(rows) - 50
 
 
 @pytest.mark.parametrize("attribute", ['style="overflow:hidden"', 'title="The hidden cost"', 'href="/hidden-valley"', 'href="/x?id=ad"', 'data-id="notice"', 'data-role=navigation', "title='a class=ad'", 'title = "id=ad"'])
