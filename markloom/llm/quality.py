@@ -16,19 +16,19 @@ window; an empty table gives no rows; repeated rows are judged alike; further co
 
 from __future__ import annotations
 
-import json
 import math
 import time
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import words_of
 
 #: The sample on which costs and rejections are estimated: of the first rows, one in SPREAD by a hash of its text, up to
-#: SAMPLE_ROWS. Only the order of the rules follows from it.
-SAMPLE_ROWS, SPREAD = 400, 8
+#: SAMPLE_ROWS, of texts of up to SAMPLE_CHARS each. Only the order of the rules follows from it.
+SAMPLE_ROWS, SAMPLE_CHARS, SPREAD = 400, 50_000, 8
 #: Copies of the sample in timed runs: the next number where a rule took under LEAST_S. And the step by which costs differ.
 COPIES, LEAST_S, COARSE = (1, 10, 100), 0.2, 4.0
 
@@ -92,9 +92,8 @@ def rules(m: dict[str, Column]) -> dict[str, Column]:
 def sampled(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
     """A bounded sample of texts (_text, no nulls), as a table of the driver in one partition. Files are read only up to its last row."""
     whole = F.coalesce(docs[text], F.lit(""))
-    drawn = docs.filter(F.pmod(F.xxhash64(whole), F.lit(SPREAD)) == 0).select(whole.alias("_text")).take(rows)
-    held = F.from_json(F.lit(json.dumps([r["_text"] for r in drawn], ensure_ascii=False)), "array<string>")
-    return docs.sparkSession.range(0, 1, 1, 1).select(F.explode(held).alias("_text"))
+    drawn = docs.filter((F.pmod(F.xxhash64(whole), F.lit(SPREAD)) == 0) & (F.length(whole) <= SAMPLE_CHARS)).select(whole.alias("_text")).take(rows)
+    return docs.sparkSession.createDataFrame(pa.table({"_text": pa.array([r["_text"] for r in drawn], pa.string())})).coalesce(1)
 
 
 def order_rules(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:

@@ -16,6 +16,7 @@ of a hash of their texts; an empty table writes no file and reads as no rows.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -34,8 +35,9 @@ from .common import settle, shared_folder, shipped
 from .ordering import deal
 
 MASK = 0xA282EAD8
-#: Pieces of a generation of those whose ids a task keeps at hand. It bounds memory alone: others are encoded when they come.
-PIECES_HELD = 150_000
+#: Pieces whose ids a worker keeps at hand, and characters of such a piece at most; beyond, those stay that came again.
+#: It bounds memory alone: others are encoded when they come.
+PIECES_HELD, PIECE_CHARS = 500_000, 40
 #: Characters that are encoded together, or one longer text.
 GROUP_CHARS = 2_000_000
 _BEFORE_WORD = re.compile(r" (?=\S)")
@@ -75,6 +77,7 @@ class ByteTokens:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -85,12 +88,8 @@ class ByteTokens:
         self.sizes = np.zeros(1 + max(self.tokenizer.get_vocab().values()), dtype=np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.sizes[i] = len(token)
-        self.forget()
-
-    def forget(self) -> None:
-        """Lets go of all pieces at hand."""
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.held: dict[str, bytes] = {}
+        self.again: set[str] = set()
 
     def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
@@ -118,21 +117,26 @@ class ByteTokens:
         plain = [k for k, words in enumerate(pieces) if words is not None]
         # The first piece has no space before it.
         first = dict(zip(plain, self._ids([pieces[k][0] for k in plain]))) if plain else {}
-        distinct = set().union(*[pieces[k][1:] for k in plain])
-        young, old = self.young, self.old
-        missing = [w for w in distinct if w not in young]
-        young.update((w, old[w]) for w in missing if w in old)
-        missing = [w for w in missing if w not in old]
-        if missing:
-            young.update(zip(missing, self._words(missing)))
-        get, out = young.__getitem__, []
+        for k in plain:
+            pieces[k][0] = ""
+        held = self.held
+        held[""] = b""
+        distinct = set().union(*[pieces[k] for k in plain])
+        missing = list(distinct.difference(held))
+        self.again |= distinct.difference(missing)
+        held.update(zip(missing, self._words(missing)))
+        get, out = held.__getitem__, []
         for k, words in enumerate(pieces):
             if words is None:
                 out += [x.tobytes() for x in self._ids([texts[k]])]
             else:
-                out.append(first[k].tobytes() + b"".join(map(get, words[1:])))
-        if len(young) > PIECES_HELD:
-            self.young, self.old = {}, young if len(young) <= 2 * PIECES_HELD else {}
+                out.append(first[k].tobytes() + b"".join(map(get, words)))
+        for w in missing:
+            if len(w) > PIECE_CHARS:
+                del held[w]
+        if len(held) > PIECES_HELD:
+            kept = {w: held[w] for w in self.again if w in held}
+            self.held, self.again = kept if len(kept) <= PIECES_HELD // 2 else {}, set()
         return out
 
 
@@ -150,19 +154,16 @@ def token_bytes(text: Column, path: str, end_id: int) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = byte_tokens(SparkFiles.get(path))
         end = np.asarray([end_id], dtype=coder.dtype).tobytes()
-        try:
-            for texts in batches:
-                made: list[bytes] = []
-                held, size = [], 0
-                for t in texts:
-                    if held and size + len(t) > GROUP_CHARS:
-                        made += coder.encode(held)
-                        held, size = [], 0
-                    held.append(t)
-                    size += len(t)
-                yield pd.Series([x + end for x in made + coder.encode(held)], dtype=object)
-        finally:
-            coder.forget()
+        for texts in batches:
+            made: list[bytes] = []
+            held, size = [], 0
+            for t in texts:
+                if held and size + len(t) > GROUP_CHARS:
+                    made += coder.encode(held)
+                    held, size = [], 0
+                held.append(t)
+                size += len(t)
+            yield pd.Series([x + end for x in made + coder.encode(held)], dtype=object)
 
     return F.pandas_udf(run, "binary")(text)
 

@@ -319,6 +319,9 @@ def test_bpe_equals_the_library(docs, rows):
     assert back[1008] == coder.decode(coder.encode([t for i, t in zip(rows["doc_id"], rows["text"]) if i == 1008][0], add_special_tokens=False).ids, skip_special_tokens=False)
 
 
+LIBRARY: dict = {}
+
+
 @given(st.text(max_size=40))
 @settings(max_examples=400, deadline=None)
 def test_bpe_of_any_text(text):
@@ -328,7 +331,7 @@ def test_bpe_of_any_text(text):
     model = bpe.vocabulary(path)
     found = next(model.texts([text]))
     got = [int(i) for x in found for i in x[1].split()]
-    coder = test_bpe_of_any_text.__dict__.setdefault("coder", Tokenizer.from_file(path))
+    coder = LIBRARY.get(path) or LIBRARY.setdefault(path, Tokenizer.from_file(path))
     assert got == coder.encode(text, add_special_tokens=False).ids
 
 
