@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SPACES, estimate_tokens, let, strip
 
+#: Lines that begin a section, a question or a part of one. Fixed values.
 SECTION = r"(?i)^\s*SECTION\s*[-–—:]?\s*([A-Z])\b"
 PREFIXED = r"(?i)^\s*(?:Q(?:uestion)?|Ques|Ans(?:wer)?)\.?\s*(?:No\.?\s*)?(\d{1,3})\b"
 NUMBERED = r"^\s*\(?(\d{1,3})\)?\s*[.):]\s+\S"

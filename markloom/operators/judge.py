@@ -62,7 +62,7 @@ def rule_judgements(answers: DataFrame, rules: DataFrame, keys: list[str]) -> Da
 
 def surface_errors(answers: DataFrame, errors: DataFrame, keys: list[str]) -> DataFrame:
     """The first six spelling slips of each answer, in table order: quoted with four words around; they never cost marks."""
-    met = answers.select(*keys, "text").crossJoin(F.broadcast(errors.select(F.col("ordinal").alias("_o"), "wrong", "right")))  # a fixed table
+    met = answers.select(*keys, "text").join(errors.select(F.col("ordinal").alias("_o"), "wrong", "right"), F.contains("text", "wrong"))
     at = F.instr("text", F.col("wrong"))
     hits = met.filter(at > 0).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_o"))).filter(F.col("_n") <= MOST_SURFACE)
     return hits.select(*keys, "wrong", "right", window_around(F.col("text"), at - 1, at - 1 + F.length("wrong"), 4).alias("quote"))
@@ -118,10 +118,18 @@ def attempt_fate(attempts: DataFrame, keys: list[str], most: int = 3) -> DataFra
 
 #: HTTP statuses worth another try, and those of a wrong key. Fixed values.
 TRANSIENT, AUTH = (408, 409, 429, 500, 502, 503, 504), (401, 403)
+#: What the message of a spent allowance says. Fixed value.
+SPENT = "rate limit|too many requests|quota"
 
 
 def classify_errors(errors: DataFrame, status: str = "status", message: str = "message") -> DataFrame:
-    """Adds `kind`: rate_limit, transient, auth or permanent; an error without a status is transient."""
+    """Adds `kind` (what to say of the error: rate_limit, auth, transient or permanent) and `retryable`.
+
+    A spent allowance is one whatever the status, by its message; a wrong key goes by status alone. What is worth another
+    try goes by status, and an error without one always is.
+    """
     code, text = F.col(status), F.lower(F.coalesce(F.col(message), F.lit("")))
-    kind = F.when(code == 429, "rate_limit").when(code.isin(*AUTH), "auth").when(code.isin(*TRANSIENT), "transient").when(code.isNotNull(), "permanent").when(text.rlike("rate.?limit|quota|too many requests"), "rate_limit").when(text.rlike("api.?key|unauthori[sz]ed|forbidden"), "auth").otherwise("transient")
-    return errors.withColumn("kind", kind)
+    spent = (F.coalesce(code, F.lit(0)) == 429) | text.rlike(SPENT)
+    again = F.coalesce(code.isin(*TRANSIENT), F.lit(True))
+    kind = F.when(spent, "rate_limit").when(code.isin(*AUTH), "auth").when(again, "transient").otherwise("permanent")
+    return errors.withColumns({"kind": kind, "retryable": again})

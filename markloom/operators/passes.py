@@ -22,12 +22,13 @@ def merged_totals(best: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merge_drafts(drafts: DataFrame, keys: list[str]) -> DataFrame:
-    """Confidence inputs of all passes as one: least self-confidence and missing, most repairs, sums of the rest."""
+    """Confidence inputs of all passes as one: least self-confidence and missing, most repairs, sums of the rest. `passes` says how many there were, a note too where it was several."""
+    several = F.format_string("Judged in %d passages, since the answer is longer than one request allows; each rubric point has its best mark.", F.count(F.lit(1)))
     listed = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("pass_no", c))), lambda x: x[c])  # noqa: E731  a few passes
     return drafts.groupBy(*keys).agg(
         F.min("self").alias("self"), F.sum("quoted").alias("quoted"), F.sum("verified").alias("verified"), F.sum("clamps").alias("clamps"), F.max("repairs").alias("repairs"),
         F.min("missing").alias("missing"), F.sum("chars").alias("chars"), F.bool_or("approximate").alias("approximate"), F.array_distinct(F.filter(listed("summary"), lambda s: s != "")).alias("summaries"),
-        F.array_distinct(F.flatten(listed("notes"))).alias("notes"),
+        F.concat(F.array_distinct(F.flatten(listed("notes"))), F.when(F.count(F.lit(1)) > 1, F.array(several)).otherwise(F.array().cast("array<string>"))).alias("notes"), F.count(F.lit(1)).alias("passes"),
     )
 
 

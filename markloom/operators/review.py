@@ -9,11 +9,17 @@ from ..functions.marks import REVIEW_BELOW, paper_confidence, round4
 
 
 def paper_totals(questions: DataFrame, keys: list[str]) -> DataFrame:
-    """total, max_marks, confidence and counts by state for each paper; questions have awarded, max_marks, confidence, state."""
-    return questions.groupBy(*keys).agg(
+    """total, max_marks, confidence of each paper and which of its questions are shaky, blank or ungraded.
+
+    questions: keys, number, awarded, max_marks, confidence, state. A paper's questions are a few: shaky lists their
+    (number, confidence), blanks and undone their numbers, in order; unsure, blank and ungraded count them.
+    """
+    state, some = F.col("state"), lambda when, value: F.sort_array(F.collect_list(F.when(when, value)))
+    out = questions.groupBy(*keys).agg(
         round4(F.sum("awarded")).alias("total"), round4(F.sum("max_marks")).alias("max_marks"), paper_confidence(F.col("confidence"), F.col("max_marks")).alias("confidence"),
-        F.count_if((F.col("state") == "graded") & (F.col("confidence") < REVIEW_BELOW)).alias("unsure"), F.count_if(F.col("state") == "blank").alias("blank"), F.count_if(F.col("state") == "ungraded").alias("ungraded"),
+        some((state == "graded") & (F.col("confidence") < REVIEW_BELOW), F.struct("number", "confidence")).alias("shaky"), some(state == "blank", F.col("number")).alias("blanks"), some(state == "ungraded", F.col("number")).alias("undone"),
     )
+    return out.withColumns({"unsure": F.size("shaky").cast("long"), "blank": F.size("blanks").cast("long"), "ungraded": F.size("undone").cast("long")})
 
 
 def audit_counts(audit: DataFrame, keys: list[str]) -> DataFrame:
@@ -25,20 +31,22 @@ def audit_counts(audit: DataFrame, keys: list[str]) -> DataFrame:
 def review_reasons(scan_unread: Column | None = None) -> Column:
     """Why a person should look at a paper; columns as of `decide`. An unread scan comes first."""
     many = lambda n, one, more: F.when(n == 1, F.lit(f"1 {one}")).otherwise(F.concat(n.cast("string"), F.lit(f" {more}")))
+    percent = lambda v: F.floor(v * 100 + 0.5).cast("string")
+    named = lambda numbers: F.concat(F.lit(" (Q"), F.array_join(numbers.cast("array<string>"), ", Q"), F.lit(")"))
     c = F.col
+    overall = F.when(c("confidence") < REVIEW_BELOW, F.concat(F.lit("Overall confidence is "), percent(c("confidence")), F.lit("%.")))
+    shaky = F.transform("shaky", lambda q: F.concat(F.lit("Question "), q["number"].cast("string"), F.lit(" has a confidence of only "), percent(q["confidence"]), F.lit("%.")))
     rules = [
-        (c("confidence") < REVIEW_BELOW, F.concat(F.lit("Overall confidence is "), F.floor(c("confidence") * 100 + 0.5).cast("string"), F.lit("%."))),
-        (c("unsure") > 0, F.concat(many(c("unsure"), "question was", "questions were"), F.lit(" marked with low confidence."))),
-        (c("blank") > 0, F.concat(many(c("blank"), "question was", "questions were"), F.lit(" detected as unanswered."))),
-        (c("ungraded") > 0, F.concat(many(c("ungraded"), "question", "questions"), F.lit(" could not be marked automatically."))),
+        (c("blank") > 0, F.concat(many(c("blank"), "question was", "questions were"), F.lit(" detected as unanswered"), named(c("blanks")), F.lit("."))),
+        (c("ungraded") > 0, F.concat(many(c("ungraded"), "question", "questions"), F.lit(" could not be marked automatically"), named(c("undone")), F.lit("."))),
         (c("clamped") > 0, F.concat(many(c("clamped"), "mark was", "marks were"), F.lit(" out of range and corrected."))),
         (c("unverified") > 0, F.concat(many(c("unverified"), "quotation", "quotations"), F.lit(" could not be found in the answer."))),
         (c("unmarked") > 0, F.concat(many(c("unmarked"), "rubric point", "rubric points"), F.lit(" had no judgement."))),
     ]
-    reasons = F.array_compact(F.array(*[F.when(applies, said) for applies, said in rules]))
+    reasons = F.array_compact(F.concat(F.array(overall), shaky, F.array(*[F.when(applies, said) for applies, said in rules])))
     if scan_unread is None:
         return reasons
-    return F.when(scan_unread, F.array_prepend(reasons, F.lit("Part of the script is a scan that could not be read."))).otherwise(reasons)
+    return F.when(F.coalesce(scan_unread, F.lit(False)), F.array_prepend(reasons, F.lit("The script is a scan that could not be read; zeros for what is on its pages are no judgement of the work."))).otherwise(reasons)
 
 
 def decide(totals: DataFrame, counts: DataFrame, keys: list[str], scan_unread: Column | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.marks import round4
 from ..functions.text import SPACES, join_text, rejoin_sentences, strip, wants_diagram
 
+#: Lines of question papers and marking schemes. Fixed values.
 QUESTION_HEADING = r"(?i)^\s*Question\s+(\d+)\s*[—–\-:]\s*(.+?)\s*$"
 MARKS_LINE = r"(?i)^\s*(\d+(?:\.\d+)?)\s*Marks?\s*$"
 EXPECTED_ANSWER = r"(?i)^\s*Expected answer\s*:"
@@ -244,6 +245,10 @@ def rescale(criteria: DataFrame, keys: list[str], order: str, target: str = "tar
     return rows.withColumn("scaled", scaled).drop("_sum", "_n", "_s", "_r", "_total")
 
 
+#: The one criterion of a question that has none. Fixed value.
+PLACEHOLDER = "Answer addresses the question and covers the substance of the model answer."
+
+
 def fill_missing(questions: DataFrame, criteria: DataFrame, inferred: DataFrame | None = None) -> DataFrame:
     """criteria, with inferred ones (doc_id, question_id, ordinal, description, max_marks) or one placeholder where a question has none."""
     have = criteria.withColumn("source", F.lit("instructor"))
@@ -253,7 +258,7 @@ def fill_missing(questions: DataFrame, criteria: DataFrame, inferred: DataFrame
         made = fit.select("doc_id", "question_id", F.format_string("%sc%d", "question_id", F.row_number().over(Window.partitionBy("doc_id", "question_id").orderBy("ordinal"))).alias("criterion_id"), "ordinal", "description", F.col("scaled").alias("max_marks"), F.lit("ai-inferred").alias("source"))
         have = have.unionByName(made)
         lacking = lacking.join(made.select("doc_id", "question_id").distinct(), ["doc_id", "question_id"], "left_anti")
-    holder = lacking.select("doc_id", "question_id", F.concat("question_id", F.lit("c1")).alias("criterion_id"), F.lit(1).alias("ordinal"), F.lit("Answer addresses the question and covers the substance of the model answer.").alias("description"), "max_marks", F.lit("ai-inferred").alias("source"))
+    holder = lacking.select("doc_id", "question_id", F.concat("question_id", F.lit("c1")).alias("criterion_id"), F.lit(1).alias("ordinal"), F.lit(PLACEHOLDER).alias("description"), "max_marks", F.lit("ai-inferred").alias("source"))
     return have.unionByName(holder)
 
 

@@ -50,7 +50,7 @@ def segments(docs: DataFrame, questions: DataFrame, doc: str = "doc_id") -> Data
     """
     marks = markers(docs, doc)
     any_mark = marks.select(doc).distinct().withColumn("_any", F.lit(True))
-    wanted = docs.join(any_mark, doc, "left").crossJoin(F.broadcast(questions.select("question_id", "number")))  # a rubric's few questions
+    wanted = docs.join(any_mark, doc, "left").crossJoin(questions.select("question_id", "number"))  # an answer for each: the size of the result
     joined = wanted.join(marks, [doc, "number"], "left")
     body = strip(trim_heading_remainder(F.substring("text", F.col("body_start") + 1, F.col("end") - F.col("body_start"))))
     whole = F.col("_any").isNull()
@@ -80,6 +80,6 @@ def with_attributed(by_heading: DataFrame, by_words: DataFrame, doc: str = "doc_
 
 def questions_with_segments(questions: DataFrame, segs: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Every question of every document, with an empty approximate answer where there is none."""
-    pairs = segs.select(doc).distinct().crossJoin(F.broadcast(questions))
+    pairs = segs.select(doc).distinct().crossJoin(questions)
     joined = pairs.join(segs.drop("number"), [doc, "question_id"], "left")
     return joined.withColumns({"text": F.coalesce("text", F.lit("")), "start_page": F.coalesce("start_page", F.lit(0)), "approximate": F.coalesce("approximate", F.lit(True))})

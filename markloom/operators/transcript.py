@@ -7,9 +7,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import needs_transcription, strip
+from ..functions.text import let, needs_transcription, strip
 
+#: Where a transcript says that a diagram stands. Fixed value.
 MARKER = r"(?i)\[\s*diagram\s*(\d+)\s*\]"
+#: What stands for drawings that nobody described: several, and one. Fixed values.
+DRAWINGS_UNKNOWN = "[Diagram: one or more drawings are present here but could not be described — do not assume what they show]"
+DRAWING_UNKNOWN = ("[Diagram ", ": a drawing is present here but could not be described — do not assume what it shows]")
 #: A page beyond these is unstable. Fixed values.
 MOST_CHARS, MOST_MARKERS, MOST_REPEATS, LONG_LINE = 7000, 8, 4, 25
 
@@ -47,7 +51,7 @@ def expand_markers(lines: DataFrame, diagrams: DataFrame, keys: list[str]) -> Da
     said = last.select(*keys, "marker", F.concat(F.lit("[Diagram "), F.col("marker"), F.lit(": "), F.trim("description"), labels, F.lit("]")).alias("said"))
     per_page = said.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("marker").cast("string"), "said"))).alias("_said"))  # a page's few diagrams
     joined = lines.join(per_page, keys, "left")
-    unknown = lambda m: F.when(m == "0", F.lit("[Diagram: one or more drawings are present here but could not be described — do not assume what they show]")).otherwise(F.concat(F.lit("[Diagram "), m, F.lit(": a drawing is present here but could not be described — do not assume what it shows]")))
+    unknown = lambda m: F.when(m == "0", F.lit(DRAWINGS_UNKNOWN)).otherwise(F.concat(F.lit(DRAWING_UNKNOWN[0]), m, F.lit(DRAWING_UNKNOWN[1])))
     marks = F.regexp_extract_all("text", F.lit(MARKER), 1)
     between = F.split("text", MARKER)
     filled = F.zip_with(between, marks, lambda b, m: F.concat(F.coalesce(b, F.lit("")), F.when(m.isNull(), "").otherwise(F.coalesce(F.try_element_at("_said", F.regexp_replace(m, "^0+(?=\\d)", "")), unknown(m)))))
@@ -90,6 +94,14 @@ def degenerate(lines: DataFrame, keys: list[str], text: str = "text") -> DataFra
     return out.withColumn("degenerate", (F.col("chars") > MOST_CHARS) | (F.col("markers") > MOST_MARKERS) | (F.col("repeated") >= MOST_REPEATS))
 
 
+def degenerate_text(text: Column) -> Column:
+    """(chars, markers, repeated, degenerate) of a whole transcript in one value, in the row."""
+    long = F.sort_array(F.filter(F.transform(F.split(text, "\n"), strip), lambda x: F.length(x) >= LONG_LINE))
+    again = let(long, lambda s: F.size(F.array_distinct(F.filter(F.transform(s, lambda x, i: F.when(x == F.get(s, i - 1), x)), lambda x: x.isNotNull()))))
+    counted = F.struct(F.length(text).cast("long").alias("chars"), F.regexp_count(text, F.lit(MARKER)).cast("long").alias("markers"), again.cast("long").alias("repeated"))
+    return let(counted, lambda c: F.struct(c["chars"].alias("chars"), c["markers"].alias("markers"), c["repeated"].alias("repeated"), ((c["chars"] > MOST_CHARS) | (c["markers"] > MOST_MARKERS) | (c["repeated"] >= MOST_REPEATS)).alias("degenerate")))
+
+
 def sanitise(lines: DataFrame, diagrams: DataFrame, keys: list[str]) -> DataFrame:
     """Lines without repeats of long ones; runs of markers without a description are one `[diagram 0]`."""
     marker = F.regexp_extract("text", r"(?i)^\s*\[\s*diagram\s*(\d+)\s*\]\s*$", 1).try_cast("int")

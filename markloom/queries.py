@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import marks, text
-from .operators import anchor, chunk, judge, passes, review, rubric, segment, transcript, validate
+from .operators import anchor, chunk, judge, passes, review, rubric, search, segment, transcript, validate
 from .sources import documents, report, store
 from .streaming import limits
 
@@ -97,16 +97,42 @@ def sentences(spark, sf_dir):
     return docs.select("doc_id", text.sentence_around(F.col("text"), F.col("a"), F.col("b")).alias("sentence"))
 
 
-@query(r"""SELECT page_id, CASE WHEN f = '' THEN 'document.pdf' ELSE f END AS filename FROM (
-  SELECT page_id, substr(regexp_replace(regexp_extract(url, '[^/\\]*$'), '[^a-zA-Z0-9_.\- ]', '_', 'g'), 1, 120) AS f FROM pages)""")
+@query(r"""SELECT page_id, CASE WHEN f = '' THEN 'upload.pdf' ELSE substr(f, 1, 120) END AS filename FROM (
+  SELECT page_id, trim(regexp_replace(list_filter(string_split(rtrim(url, '/'), '/'), lambda x: true)[-1], '[^a-zA-Z0-9_.\- ]', '_', 'g')) AS f FROM pages)""")
 def filenames(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", text.sanitise_filename(F.col("url")).alias("filename"))
 
 
 @query(rf"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[{W}]+|[{W}]+$', '', 'g')), lambda x: length(x) BETWEEN 7 AND 89) AS lines FROM documents)
-SELECT doc_id, coalesce(lines[1], 'Untitled paper') AS title FROM l""")
+SELECT doc_id, coalesce(lines[1], 'paper ' || doc_id) AS title FROM l""")
 def titles(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", text.derive_title(F.col("text")).alias("title"))
+    name = F.concat(F.lit("paper "), F.col("doc_id").cast("string"), F.lit(".PDF"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.derive_title(F.col("text"), name).alias("title"))
+
+
+#: Subjects as words of the synthetic tables, which have none: what a conversation's turn is made to speak of.
+SPOKEN = ("Political Science", "computer science", "Maths", "Mathematics and Physics", "HISTORY", "unrelated", "scientists", "Business Studies", "English")
+SUBJECT_SQL = "Physics|Chemistry|Biology|Mathematics|Maths|Economics|Science|English|History|Geography|Accountancy|Business Studies|Computer Science|Political Science"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, text || chr(10) || ([{', '.join("'" + s + "'" for s in SPOKEN)}])[1 + (conv_id + turn) % {len(SPOKEN)}] AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN s = '' THEN 'General' ELSE s END AS subject FROM (SELECT conv_id, turn, regexp_extract(t, '(?i)\\b({SUBJECT_SQL})\\b', 1) AS s FROM t)""")
+def subjects(spark, sf_dir):
+    spoken = F.get(F.array(*[F.lit(s) for s in SPOKEN]), ((F.col("conv_id") + F.col("turn")) % len(SPOKEN)).cast("int"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.derive_subject(F.concat("text", F.lit("\n"), spoken)).alias("subject"))
+
+
+@query(r"""WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '429 {"error": {"message": "Rate limit  reached", "code": "x"}}' WHEN 1 THEN 'socket' || chr(10) || ' hang up ' || repeat('x', event_id::INT % 300) WHEN 2 THEN '400 {"error": {"message": 5}}' WHEN 3 THEN 'not {json' ELSE '  ' END AS m FROM events),
+j AS (SELECT event_id, m, CASE WHEN strpos(m, '{') > 0 THEN TRY_CAST(substr(m, strpos(m, '{')) AS JSON) END AS b FROM e),
+l AS (SELECT event_id, trim(regexp_replace(CASE WHEN json_type(b, '$.error.message') = 'VARCHAR' THEN json_extract_string(b, '$.error.message') ELSE m END, '\s+', ' ', 'g')) AS l FROM j)
+SELECT event_id, CASE WHEN l = '' THEN NULL WHEN length(l) > 200 THEN substr(l, 1, 199) || '…' ELSE l END AS summary FROM l""")
+def error_summaries(spark, sf_dir):
+    e = F.col("event_id")
+    said = (
+        F.when(e % 5 == 0, '429 {"error": {"message": "Rate limit  reached", "code": "x"}}').when(e % 5 == 1, F.concat(F.lit("socket\n hang up "), F.repeat(F.lit("x"), (e % 300).cast("int"))))
+        .when(e % 5 == 2, '400 {"error": {"message": 5}}').when(e % 5 == 3, "not {json").otherwise("  ")
+    )
+    return read(spark, sf_dir, "events").select("event_id", text.error_summary(said).alias("summary"))
 
 
 @query(r"SELECT doc_id, regexp_matches(text, '(?i)\b(diagram|graph|chart|plot|sketch|draw|drawn|axes|curve)\b') AS wants_diagram, CASE WHEN length(text) > 60 THEN substr(text, 1, 59) || '…' ELSE text END AS short FROM documents")
@@ -114,14 +140,17 @@ def short_texts(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.wants_diagram(F.col("text")).alias("wants_diagram"), text.truncate(F.col("text"), 60).alias("short"))
 
 
-@query("SELECT event_id, (event_id % 3) * 3600000 + (event_id % 50) * 60000 + (event_id % 7) * 1000 + (event_id % 11) AS ms FROM events")
+@query(r"""WITH e AS (SELECT event_id, (event_id % 3) || 'h' || (event_id % 50) || 'm' || (event_id % 7) || 's' || (event_id % 11) || 'ms' AS s FROM events)
+SELECT event_id, (coalesce(regexp_extract(s, '(\d+)h', 1)::BIGINT, 0) * 3600000 + regexp_extract(s, '(\d+)m\d', 1)::BIGINT * 60000 + regexp_extract(s, '(\d+)s', 1)::BIGINT * 1000 + regexp_extract(s, '(\d+)ms$', 1)::BIGINT) AS ms FROM e""")
 def durations(spark, sf_dir):
     e = F.col("event_id")
     said = F.concat((e % 3).cast("string"), F.lit("h"), (e % 50).cast("string"), F.lit("m"), (e % 7).cast("string"), F.lit("s"), (e % 11).cast("string"), F.lit("ms"))
     return read(spark, sf_dir, "events").select("event_id", text.duration_ms(said).alias("ms"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, event_id % 3 <> 0 AS readable FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT event_id, NULL, false FROM events WHERE event_id % 3 = 0")
+@query(r"""WITH e AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN left(props, length(props) - 1) WHEN 1 THEN 'Here it is: ' || props || ' as asked.' ELSE props END AS r FROM events),
+j AS (SELECT event_id, coalesce(TRY_CAST(r AS JSON), TRY_CAST(nullif(regexp_extract(r, '(?s)\{.*\}'), '') AS JSON)) AS j FROM e)
+SELECT event_id, json_extract_string(j, '$.k') AS k, j IS NOT NULL AS readable FROM j""")
 def json_salvage(spark, sf_dir):
     e = F.col("event_id") % 3
     reply = F.when(e == 0, F.expr("left(props, length(props) - 1)")).when(e == 1, F.concat(F.lit("Here it is: "), "props", F.lit(" as asked."))).otherwise(F.col("props"))
@@ -130,40 +159,24 @@ def json_salvage(spark, sf_dir):
 
 # ---- anchoring ----------------------------------------------------------------------------------------------------
 
-GRAM = 3
-
-
-def _grams(norm):
-    """Hashes of a normalised text's runs of three words (of all its words, if fewer), each once."""
-    return text.let(text.tokens(norm), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - GRAM)), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, GRAM), " ")))))
 
-
-def quote_candidates(spark: SparkSession, sf_dir: str, any_gram: bool = False) -> DataFrame:
-    """(item_id, quote, doc_id, norm): documents that hold the quote's first run of words (or any run): an equi-join."""
-    items = read(spark, sf_dir, "benchmark").select("item_id", text.normalise(F.col("text")).alias("quote")).filter("quote != ''")
-    docs = read(spark, sf_dir, "documents").select("doc_id", text.normalise(F.col("text")).alias("norm")).filter("norm != ''")
-    wanted = items.withColumn("g", F.explode(_grams(F.col("quote")) if any_gram else F.slice(_grams(F.col("quote")), 1, 1)))
-    hits = docs.select("doc_id", F.explode(_grams(F.col("norm"))).alias("g")).join(wanted.select("item_id", "g"), "g").select("item_id", "doc_id").distinct()
-    return hits.join(items, "item_id").join(docs, "doc_id")
-
-
-@query(f"""WITH b AS (SELECT item_id, {norm_sql('text')} AS q FROM benchmark), d AS (SELECT doc_id, {norm_sql('text')} AS n FROM documents)
-SELECT item_id, doc_id, CAST(strpos(' ' || n || ' ', ' ' || q || ' ') - 1 AS INTEGER) AS at FROM b JOIN d ON q <> '' AND contains(' ' || n || ' ', ' ' || q || ' ') AND len(string_split(q, ' ')) >= 3""")
+@query(f"""WITH b AS (SELECT item_id, {norm_sql("text")} AS q FROM benchmark WHERE length(trim(text)) >= 8), d AS (SELECT doc_id, {norm_sql("text")} AS n FROM documents)
+SELECT item_id, doc_id, CAST(strpos(n, q) - 1 AS INTEGER) AS at FROM b JOIN d ON q <> '' AND contains(n, q)""")
 def exact_anchors(spark, sf_dir):
-    found = quote_candidates(spark, sf_dir)
-    at = F.instr(F.concat(F.lit(" "), "norm", F.lit(" ")), F.concat(F.lit(" "), F.col("quote"), F.lit(" ")))
-    return found.filter((at > 0) & (F.size(text.tokens(F.col("quote"))) >= GRAM)).select("item_id", "doc_id", (at - 1).alias("at"))
+    found = search.search_quotes(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), "item_id", "text", fuzzy=False)
+    return found.select("item_id", "doc_id", F.col("place").alias("at"))
 
 
 @query()
 def fuzzy_anchors(spark, sf_dir):
-    """Quotes found with typing slips, in documents that share a run of three words with them and don't hold them exactly.
+    """Quotes with slips: benchmark items of which every word of seven letters or more lost its fourth, in all documents.
 
     (DuckDB's edit distance counts bytes; a test holds this against plain Python.)
     """
-    found = quote_candidates(spark, sf_dir, any_gram=True).filter(F.instr("norm", F.col("quote")) == 0)
-    best = found.withColumn("b", anchor.best_window(text.tokens(F.col("quote")), text.tokens(F.col("norm")))).filter(F.col("b.similarity") >= text.ANCHOR_THRESHOLD)
-    return best.select("item_id", "doc_id", F.col("b.offset").alias("word"), marks.round4(F.col("b.similarity")).alias("similarity"))
+    slipped = F.regexp_replace("text", r"(\p{L}{3})\p{L}(\p{L}{3,})", "$1$2")
+    items = read(spark, sf_dir, "benchmark").select("item_id", slipped.alias("text"))
+    found = search.search_quotes(items, read(spark, sf_dir, "documents"), "item_id", "text")
+    return found.filter("status = 'fuzzy'").select("item_id", "doc_id", F.col("place").alias("word"), marks.round4(F.col("similarity")).alias("similarity"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(least(l_quantity / 100, 1), 6) AS x, round(842 - (least(l_discount * 5, 1) + l_tax) * 842, 6) AS y, 0.8::DOUBLE AS margin_x, round(0.08::DOUBLE + (l_linenumber % 9) * 0.095::DOUBLE, 6) AS margin_y FROM lineitem""")
@@ -253,10 +266,10 @@ def paper_confidence(spark, sf_dir):
 REVIEW_SQL = f"""WITH q AS (SELECT o_custkey, o_orderkey, (o_orderkey % 64) / 64.0::DOUBLE AS c, (o_orderkey % 5 + 1)::DOUBLE AS m, (o_orderkey % 5 + 1) / 2.0::DOUBLE AS a,
   CASE o_orderstatus WHEN 'F' THEN 'graded' WHEN 'O' THEN 'graded' ELSE 'blank' END AS state FROM orders), p AS (
   SELECT o_custkey, sum(a) AS t, sum(m) AS mm, greatest(0, least(1, 0.75::DOUBLE * (sum(c * m) / sum(m)) + 0.25::DOUBLE * min(c))) AS x,
-    count(*) FILTER (state = 'graded' AND c < 0.65) AS unsure, count(*) FILTER (state = 'blank') AS blank FROM q GROUP BY o_custkey
+    count(*) FILTER (state = 'graded' AND c < 0.65) AS unsure, string_agg(o_orderkey, ',' ORDER BY o_orderkey) FILTER (state = 'blank') AS blanks, count(*) FILTER (state = 'blank') AS blank FROM q GROUP BY o_custkey
 ), e AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS clamped FROM events GROUP BY user_id), r AS (
-  SELECT o_custkey, {round4_sql('t')} AS total, {round4_sql('mm')} AS max_marks, {round4_sql('x')} AS confidence, unsure, blank, coalesce(clamped, 0) AS clamped FROM p LEFT JOIN e ON user_id = o_custkey)
-SELECT *, (confidence < 0.65)::INT + (unsure > 0)::INT + (blank > 0)::INT + (clamped > 0)::INT AS reasons, confidence < 0.65 OR unsure > 0 OR blank > 0 OR clamped > 0 AS needs_review FROM r"""
+  SELECT o_custkey, {round4_sql('t')} AS total, {round4_sql('mm')} AS max_marks, {round4_sql('x')} AS confidence, unsure, blank, coalesce(blanks, '') AS blanks, coalesce(clamped, 0) AS clamped FROM p LEFT JOIN e ON user_id = o_custkey)
+SELECT *, (confidence < 0.65)::INT + unsure::INT + (blank > 0)::INT + (clamped > 0)::INT AS reasons, confidence < 0.65 OR unsure > 0 OR blank > 0 OR clamped > 0 AS needs_review FROM r"""
 
 
 @query(REVIEW_SQL)
@@ -264,36 +277,56 @@ def review_decisions(spark, sf_dir):
     """The flagship: customers as papers, their orders as questions, clicks as corrected marks."""
     o = F.col("o_orderkey")
     state = F.when(F.col("o_orderstatus").isin("F", "O"), "graded").otherwise("blank")
-    q = read(spark, sf_dir, "orders").select("o_custkey", ((o % 64) / 64.0).alias("confidence"), (o % 5 + 1).cast("double").alias("max_marks"), ((o % 5 + 1) / 2.0).alias("awarded"), state.alias("state"))
+    q = read(spark, sf_dir, "orders").select("o_custkey", o.alias("number"), ((o % 64) / 64.0).alias("confidence"), (o % 5 + 1).cast("double").alias("max_marks"), ((o % 5 + 1) / 2.0).alias("awarded"), state.alias("state"))
     audit = read(spark, sf_dir, "events").filter("event_type = 'click'").select(F.col("user_id").alias("o_custkey"), F.lit("clamped_above_max").alias("kind"))
     out = review.decide(review.paper_totals(q, ["o_custkey"]), review.audit_counts(audit, ["o_custkey"]), ["o_custkey"])
-    return out.select("o_custkey", "total", "max_marks", "confidence", "unsure", "blank", "clamped", F.size("reasons").alias("reasons"), "needs_review")
+    return out.select("o_custkey", "total", "max_marks", "confidence", "unsure", "blank", F.array_join(F.col("blanks").cast("array<string>"), ",").alias("blanks"), "clamped", F.size("reasons").alias("reasons"), "needs_review")
+
 
+#: Audit kinds that events stand for.
+AUDITED = {"click": "clamped_above_max", "view": "evidence_unverified", "purchase": "rubric_criterion_missing", "signup": "total_recomputed"}
 
-@query("""SELECT user_id, count(*) AS all_kinds, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'purchase') AS purchases FROM events GROUP BY user_id""")
+
+@query("""SELECT user_id, count(*) FILTER (event_type = 'click') AS clamped, count(*) FILTER (event_type = 'view') AS unverified, count(*) FILTER (event_type = 'purchase') AS unmarked, count(*) FILTER (event_type = 'signup') AS recomputed FROM events GROUP BY user_id""")
 def audit_pivot(spark, sf_dir):
-    one = lambda k: F.count_if(F.col("event_type") == k)
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("all_kinds"), one("click").alias("clicks"), one("view").alias("views"), one("purchase").alias("purchases"))
+    kind = F.coalesce(*[F.when(F.col("event_type") == e, k) for e, k in AUDITED.items()], F.lit("other"))
+    return review.audit_counts(read(spark, sf_dir, "events").select("user_id", kind.alias("kind")), ["user_id"])
+
 
+#: Errors as an outside service gives them: a status or none, a message or none.
+STATUSES, MESSAGES = (429, 503, 401, 404, 408, 403, None, 400, 500), (None, "Quota reached", "Bad API key", "socket hang up", "Too many requests", "quotas")
+_sql_list = lambda values: "[" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in values) + "]"
 
-@query("""SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'rate_limit' WHEN 1 THEN 'transient' WHEN 2 THEN 'auth' WHEN 3 THEN 'permanent' WHEN 4 THEN 'transient' WHEN 5 THEN 'auth' WHEN 6 THEN 'rate_limit' WHEN 7 THEN 'auth' ELSE 'transient' END AS kind,
- (400 * power(2, event_id % 3))::BIGINT AS wait_ms, floor((event_id % 7) * 100.0 / 7 + 0.5)::INT AS share FROM events""")
+
+@query(f"""WITH e AS (SELECT event_id, ({_sql_list(STATUSES)})[1 + event_id % 9] AS s, lower(coalesce(({_sql_list(MESSAGES)})[1 + (event_id // 9) % 6], '')) AS m FROM events)
+SELECT event_id, CASE WHEN s = 429 OR m LIKE '%rate limit%' OR m LIKE '%too many requests%' OR m LIKE '%quota%' THEN 'rate_limit' WHEN s IN (401, 403) THEN 'auth' WHEN s IS NULL OR s IN (408, 409, 429, 500, 502, 503, 504) THEN 'transient' ELSE 'permanent' END AS kind,
+ s IS NULL OR s IN (408, 409, 429, 500, 502, 503, 504) AS retryable, (400 * power(2, event_id % 3))::BIGINT AS wait_ms, floor((event_id % 7) * 100.0 / 7 + 0.5)::INT AS share FROM e""")
 def error_kinds(spark, sf_dir):
     e = F.col("event_id")
-    code = F.get(F.array(*[F.lit(c) for c in (429, 503, 401, 404, 408, 403, None, None, None)]), (e % 9).cast("int"))
-    said = F.get(F.array(*[F.lit(m) for m in (None, None, None, None, None, None, "Quota reached", "Bad API key", "socket hang up")]), (e % 9).cast("int"))
+    code = F.get(F.array(*[F.lit(c) for c in STATUSES]), (e % 9).cast("int"))
+    said = F.get(F.array(*[F.lit(m) for m in MESSAGES]), (F.floor(e / 9) % 6).cast("int"))
     rows = judge.classify_errors(read(spark, sf_dir, "events").withColumns({"status": code, "message": said}))
-    return rows.select("event_id", "kind", marks.backoff_ms(e % 3 + 1).alias("wait_ms"), marks.percentage(e % 7, F.lit(7)).alias("share"))
+    return rows.select("event_id", "kind", "retryable", marks.backoff_ms(e % 3 + 1).alias("wait_ms"), marks.percentage(e % 7, F.lit(7)).alias("share"))
 
 
 # ---- joins, windows, sets -----------------------------------------------------------------------------------------
 
 
-@query("""SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(l.quality, d.n_chars % 3, 0)::BIGINT AS total, d.doc_id IS NULL AS only_label, l.doc_id IS NULL AS only_document
-FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id""")
+@query("""WITH p AS (SELECT o_custkey AS doc_id, o_orderkey AS number, o_orderpriority AS subject, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 7)::DOUBLE END AS pm FROM orders WHERE o_orderkey % 4 <> 0),
+s AS (SELECT o_custkey AS doc_id, o_orderkey AS number, CASE WHEN o_orderkey % 5 = 0 THEN (o_orderkey % 9)::DOUBLE END AS sm FROM orders WHERE o_orderkey % 7 <> 0),
+c AS (SELECT o_custkey AS doc_id, o_orderkey AS number, sum(l_quantity) AS cm FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 2 = 0 GROUP BY ALL),
+b AS (SELECT coalesce(p.doc_id, s.doc_id) AS doc_id, coalesce(p.number, s.number) AS number, coalesce(subject, '') AS subject, pm, sm, p.number IS NOT NULL AS inp, s.number IS NOT NULL AS ins FROM p FULL JOIN s ON p.doc_id = s.doc_id AND p.number = s.number),
+t AS (SELECT b.*, coalesce(sm, pm, cm) AS m, count(*) FILTER (inp) OVER (PARTITION BY b.doc_id) AS np, count(*) FILTER (ins) OVER (PARTITION BY b.doc_id) AS ns FROM b LEFT JOIN c ON b.doc_id = c.doc_id AND b.number = c.number)
+SELECT doc_id, number, subject, m AS max_marks, ((inp AND NOT ins AND ns > 0)::INT + (ins AND NOT inp AND np > 0)::INT + (coalesce(m, 0) <= 0)::INT) AS warnings, coalesce(m, 0) <= 0 AS dropped FROM t""")
 def full_join_totals(spark, sf_dir):
-    d, l = read(spark, sf_dir, "documents").select("doc_id", "n_chars", F.lit(True).alias("d")), read(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(True).alias("l"))
-    return d.join(l, "doc_id", "full_outer").select("doc_id", F.coalesce(F.col("quality").cast("long"), F.col("n_chars") % 3, F.lit(0)).alias("total"), F.col("d").isNull().alias("only_label"), F.col("l").isNull().alias("only_document"))
+    """Orders as questions: some only on the paper, some only in the scheme, stated totals on either, both or neither side."""
+    o = F.col("o_orderkey")
+    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), o.alias("number"), F.col("o_orderpriority").alias("subject"), F.lit("").alias("prompt"), F.lit("").alias("model_answer"), F.lit(False).alias("requires_diagram"), "o_orderkey")
+    paper = orders.filter(o % 4 != 0).withColumn("max_marks", F.when(o % 3 == 0, (o % 7).cast("double")))
+    scheme = orders.filter(o % 7 != 0).withColumn("max_marks", F.when(o % 5 == 0, (o % 9).cast("double")))
+    criteria = orders.filter(o % 2 == 0).join(read(spark, sf_dir, "lineitem"), F.col("l_orderkey") == o).select("doc_id", "number", F.col("l_quantity").alias("max_marks"))
+    out = rubric.join_questions(paper, scheme, criteria)
+    return out.select("doc_id", "number", "subject", "max_marks", F.size("warnings").alias("warnings"), "dropped")
 
 
 @query("SELECT o_orderkey, o_orderdate, o_totalprice, count(l_orderkey) AS annotation_count FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
@@ -307,24 +340,26 @@ def rolling_tokens(spark, sf_dir):
     return limits.rolling_usage(e, ["user_id"]).select("event_id", "user_id", "used")
 
 
-@query("""WITH s AS (SELECT conv_id, turn, 'Answer ' || turn || chr(10) || text AS t, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM conversations),
-o AS (SELECT conv_id, turn, body, coalesce(sum(length(t) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM s)
-SELECT conv_id, turn AS number, body AS text, (pos - CASE WHEN pos > 0 THEN 1 ELSE 0 END)::INT AS start FROM o""")
+@query("""WITH s AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Answer ' || turn || ' mitochondria' WHEN 1 THEN 'Q' || turn || ' - Science' || chr(10) || text ELSE 'Ans. ' || turn || ' 3.5 kg' || chr(10) || text END AS t,
+  CASE turn % 3 WHEN 0 THEN 'mitochondria' WHEN 1 THEN text ELSE '3.5 kg' || chr(10) || text END AS body FROM conversations WHERE turn > 0 AND conv_id % 5 <> 0),
+n AS (SELECT conv_id, max(turn) AS most FROM conversations WHERE turn > 0 AND conv_id % 5 <> 0 GROUP BY conv_id),
+q AS (SELECT unnest(range(1, 6)) AS number)
+SELECT n.conv_id, number, CASE WHEN s.turn IS NULL THEN '' ELSE trim(body, ' ' || chr(9) || chr(10) || chr(13)) END AS text, s.turn IS NULL AS approximate, coalesce(greatest(s.turn - 2, 0), 0)::INT AS start_page  -- a heading begins at the line end before it, on the page before
+FROM n CROSS JOIN q LEFT JOIN s ON s.conv_id = n.conv_id AND s.turn = number""")
 def heading_segments(spark, sf_dir):
-    """Conversations written out as answer sheets, a heading before each turn, and cut apart again."""
-    pages = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.concat(F.lit("Answer "), F.col("turn").cast("string"), F.lit("\n"), "text").alias("text"))
-    sheets = segment.joined_pages(pages)
-    cut = segment.markers(sheets).join(sheets, "doc_id")
-    body = text.strip(text.trim_heading_remainder(F.substring("text", F.col("body_start") + 1, F.col("end") - F.col("body_start"))))
-    return cut.select(F.col("doc_id").alias("conv_id"), "number", body.alias("text"), "start")
+    """Conversations as answer sheets: each turn a page of one answer, some of a single line, cut apart again for questions 1 to 5."""
+    t = F.col("turn")
+    said = F.when(t % 3 == 0, F.format_string("Answer %d mitochondria", t)).when(t % 3 == 1, F.concat(F.format_string("Q%d - Science\n", t), "text")).otherwise(F.concat(F.format_string("Ans. %d 3.5 kg\n", t), "text"))
+    pages = read(spark, sf_dir, "conversations").filter("turn > 0 AND conv_id % 5 <> 0").select(F.col("conv_id").alias("doc_id"), t.alias("page"), said.alias("text"))
+    questions = spark.range(1, 6).select(F.col("id").alias("number"), F.col("id").cast("string").alias("question_id"))
+    return segment.segments(segment.joined_pages(pages), questions).select(F.col("doc_id").alias("conv_id"), "number", "text", "approximate", "start_page")
 
 
 @query(r"""WITH l AS (SELECT doc_id, length(text) AS chars, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS k FROM documents), c AS (
   SELECT doc_id, chars, k, count(*) AS n FROM l GROUP BY ALL)
 SELECT doc_id, any_value(chars)::BIGINT AS chars, count(*) FILTER (n > 1 AND length(k) >= 25) AS repeated, any_value(chars) > 7000 OR count(*) FILTER (n > 1 AND length(k) >= 25) >= 4 AS degenerate FROM c GROUP BY doc_id""")
 def degenerate_pages(spark, sf_dir):
-    lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
-    return transcript.degenerate(lines, ["doc_id"]).select("doc_id", "chars", "repeated", "degenerate")
+    return read(spark, sf_dir, "documents").select("doc_id", transcript.degenerate_text(F.col("text")).alias("d")).select("doc_id", "d.chars", "d.repeated", "d.degenerate")
 
 
 @query("""WITH h AS (SELECT doc_id, sha256(text) AS h FROM documents), r AS (SELECT h, max(doc_id) AS a FROM h GROUP BY h), s AS (
@@ -398,16 +433,18 @@ def box_scales(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(transcript.normalise_box(*thousand)["bottom"], 6).alias("bottom"))
 
 
-@query("""SELECT * FROM (VALUES ('incorrect', 'Incorrect', 0.862745, 0.14902, 0.14902), ('missing', 'Missing', 0.85098, 0.466667, 0.023529), ('praise', 'Good point', 0.086275, 0.639216, 0.290196),
- ('spelling', 'Spelling', 0.486275, 0.227451, 0.929412), ('grammar', 'Grammar', 0.145098, 0.388235, 0.921569), ('presentation', 'Presentation', 0.031373, 0.568627, 0.698039)) AS t(kind, label, r, g, b)""".replace("0.862745", "0.862745::DOUBLE").replace(" 0.14902, 0.14902)", " 0.14902::DOUBLE, 0.14902::DOUBLE)"))
+@query("""WITH p AS (SELECT * FROM (VALUES ('incorrect', 'Incorrect', 'D62E33'), ('missing', 'Missing', 'DB7A05'), ('spelling', 'Spelling', '1668C4'), ('grammar', 'Grammar', '4F4ECC'), ('layout', 'Layout', '8B45BD'), ('praise', 'Good', '0F8F56')) AS t(kind, label, h)),
+d AS (SELECT kind, label, list_transform([1, 3, 5], lambda i: (('0x' || substr(h, i, 2))::INT) / 255.0::DOUBLE) AS v FROM p)
+SELECT kind, label, round(v[1], 6) AS r, round(v[2], 6) AS g, round(v[3], 6) AS b FROM d""")
 def annotation_palette(spark, sf_dir):
     return report.palette(spark).select("kind", "label", *[F.round(f"rgb.{c}", 6).alias(c) for c in "rgb"])
 
 
-@query("SELECT doc_id, lang, source, n_chars FROM documents")
+@query("SELECT doc_id, lang, source, n_chars, doc_id % 97 AS created_at FROM documents")
 def document_listing(spark, sf_dir):
     """Documents without their texts: the scan reads no text column."""
-    return read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").orderBy(F.col("doc_id").desc())
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", (F.col("doc_id") % 97).alias("created_at"), F.col("text").alias("full_text"))
+    return store.document_listing(docs)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,14 @@ from ..functions.text import ascii_fold, hex_to_rgb, truncate
 from ..operators.anchor import numbered, to_points
 
 #: Kinds of annotation with label and colour. Fixed values.
-PALETTE = [("incorrect", "Incorrect", "#dc2626"), ("missing", "Missing", "#d97706"), ("praise", "Good point", "#16a34a"), ("spelling", "Spelling", "#7c3aed"), ("grammar", "Grammar", "#2563eb"), ("presentation", "Presentation", "#0891b2")]
+PALETTE = [
+    ("incorrect", "Incorrect", "#D62E33"),
+    ("missing", "Missing", "#DB7A05"),
+    ("spelling", "Spelling", "#1668C4"),
+    ("grammar", "Grammar", "#4F4ECC"),
+    ("layout", "Layout", "#8B45BD"),
+    ("praise", "Good", "#0F8F56"),
+]
 
 
 def palette(spark: SparkSession) -> DataFrame:
@@ -22,7 +29,7 @@ def drawn_boxes(annotations: DataFrame, pages: DataFrame, kinds: DataFrame, doc:
     annotations: result_id, doc, ordinal, kind, rect; pages: doc, page, width, height in points.
     """
     placed = numbered(annotations).withColumn("page", F.col("rect.page"))
-    joined = placed.join(pages.select(doc, "page", "width", "height"), [doc, "page"]).join(F.broadcast(kinds), "kind", "left")
+    joined = placed.join(pages.select(doc, "page", "width", "height"), [doc, "page"]).join(kinds, "kind", "left")
     box = to_points(F.col("rect"), F.col("width"), F.col("height"))
     return joined.select("result_id", (F.col("slot") + 1).alias("number"), "page", box.alias("box"), F.when(F.col("kind") == "praise", "underline").otherwise("box").alias("shape"), "rgb", F.coalesce("label", "kind").alias("label"))
 

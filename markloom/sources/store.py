@@ -15,10 +15,13 @@ class NotFound(LookupError):
 
 
 class Store:
-    """Parquet tables under a folder. Each table is a folder of versions and a pointer to the one that counts.
+    """Parquet tables under a folder. Each table is a folder of parts and of numbered commits, files that list the parts of
+    a version; the highest number counts.
 
-    A write makes a new version beside the old one and then replaces the pointer, so readers see the old table or the
-    new one, never a part. One writer at a time. A table that can't be read is an error, never an empty table.
+    A write makes new parts, then a commit under a name of its own, and last renames that to the next number: readers see
+    the old table or the new one, never a part, and a crash at any point leaves the old one. The rename fails where another
+    writer took the number. An append adds a part and rewrites nothing. A table that can't be read is an error, never an
+    empty table.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -30,33 +33,43 @@ class Store:
     def _fs(self):
         return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _version(self, name: str) -> str | None:
-        fs, pointer = self._fs(), self._path(name, "current")
-        if not fs.exists(pointer):
-            return None
-        return self.spark.read.text(pointer.toString()).first()[0]
+    def _latest(self, name: str) -> tuple[int, list[str]]:
+        """The number of the latest commit and its parts; 0 and none without a commit."""
+        fs, folder = self._fs(), self._path(name)
+        if not fs.exists(folder):
+            return 0, []
+        numbers = [int(n.removeprefix("commit-")) for s in fs.listStatus(folder) if (n := s.getPath().getName()).startswith("commit-")]
+        if not numbers:
+            return 0, []
+        last = max(numbers)
+        parts = self.spark.read.text(self._path(name, f"commit-{last:012d}").toString()).collect()  # a line for each append since a rewrite
+        return last, [r[0] for r in parts]
 
     def exists(self, name: str) -> bool:
-        return self._version(name) is not None
+        return self._latest(name)[0] > 0
 
     def read(self, name: str) -> DataFrame:
-        version = self._version(name)
-        if version is None:
+        number, parts = self._latest(name)
+        if not number:
             raise NotFound(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}/{version}")
+        return self.spark.read.parquet(*[f"{self.folder}/{name}/{p}" for p in parts])
 
-    def write(self, name: str, rows: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        rows.write.parquet(f"{self.folder}/{name}/{version}")
-        fs, fresh, pointer = self._fs(), self._path(name, f".{version}"), self._path(name, "current")
+    def _commit(self, name: str, number: int, rows: DataFrame, parts: list[str]) -> None:
+        part = f"part-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.folder}/{name}/{part}")
+        fs, fresh, final = self._fs(), self._path(name, f".{part}"), self._path(name, f"commit-{number:012d}")
         out = fs.create(fresh, True)
-        out.write(bytearray(version.encode()))
+        out.write(bytearray("\n".join([*parts, part]).encode()))
         out.close()
-        fs.delete(pointer, False)
-        fs.rename(fresh, pointer)
+        if fs.exists(final) or not fs.rename(fresh, final):
+            raise RuntimeError(f"{name}: another writer was first")
+
+    def write(self, name: str, rows: DataFrame) -> None:
+        self._commit(name, self._latest(name)[0] + 1, rows, [])
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self.write(name, self.read(name).unionByName(rows) if self.exists(name) else rows)
+        number, parts = self._latest(name)
+        self._commit(name, number + 1, rows.select(*self.read(name).columns) if number else rows, parts)
 
     def upsert(self, name: str, rows: DataFrame, key: str = "id") -> None:
         """rows replace those of equal key; others stay."""

@@ -68,18 +68,18 @@ def test_surroundings(spark):
 
 
 def test_small_text_functions(spark):
-    assert each(spark, lambda n: text.sanitise_filename(n), [("/a/b/c d?.pdf",), ("",), ("x" * 200,)]) == ["c d_.pdf", "document.pdf", "x" * 120]
+    assert each(spark, lambda n: text.sanitise_filename(n), [("/a/b/c d?.pdf",), ("",), ("x" * 200,), ("a/b/",), ("/",), (" \u00e9 a .pdf ",)]) == ["c d_.pdf", "upload.pdf", "x" * 120, "b", "upload.pdf", "_ a .pdf"]
     assert each(spark, lambda n: text.duration_ms(n), [("1h2m3s",), ("7.66s",), ("5ms",), ("soon",)]) == [3723000, 7660, 5, None]
-    assert each(spark, lambda n: text.error_summary(n), [('{"error":{"message":"too  many\\n requests"}}',), ("plain text",)]) == ["too many requests", "plain text"]
+    assert each(spark, lambda n: text.error_summary(n), [('{"error":{"message":"too  many\\n requests"}}',), ("plain text",), ('400 {"error":{"message":"bad"},"details":[1]}',), ('{"message":"x"}',), ("y" * 300,), (" ",)]) == ["too many requests", "plain text", "bad", '{"message":"x"}', "y" * 199 + "…", None]
     assert each(spark, lambda n: text.truncate(n, 5), [("abcdef",), ("abc",)]) == ["abcd…", "abc"]
-    assert each(spark, lambda n: text.trim_heading_remainder(n), [(" — (a)\nbody",), ("It has 3 parts.\nbody",)]) == ["body", "It has 3 parts.\nbody"]
+    assert each(spark, lambda n: text.trim_heading_remainder(n), [(" — (a)\nbody",), ("It has 3 parts.\nbody",), (" mitochondria",)]) == ["body", "It has 3 parts.\nbody", " mitochondria"]
     assert each(spark, lambda a, b: text.join_text(a, b), [("One two", "two"), ("a", "b"), ("", "b"), ("A  b", "a b")]) == ["One two", "a\nb", "b", "A  b"]
     assert each(spark, lambda n: text.ascii_fold(n), [("‘a’ – “b”… ₹5 é",)]) == ["'a' - \"b\"... Rs 5 "]
     assert each(spark, lambda n: text.normalise_headings(n, F.array(F.lit(32), F.lit(33))), [("g32 (a) x",), ("O 33 (a)",), ("q.31 (a)",), ("omega32 = 5",)]) == ["Q32 (a) x", "Q33 (a)", "Q31 (a)", "omega32 = 5"]
     assert each(spark, lambda t, o: text.locate(t, o), [("Hello  big\nWorld", "big world"), ("abc", "c"), ("abc", "z"), ("a+b c", "a+b  c")]) == [7, 2, None, 0]
     assert one(spark, text.rejoin_sentences(F.array(F.lit("This is a long sentence. Another"), F.lit("one follows here! No."))) ) == ["This is a long sentence.", "Another one follows here!"]
     assert each(spark, lambda n: text.salvage_json(n), [('ok: {"a": 1} bye',), ('{"a": 1',), ("none",)]) == ['{"a": 1}', None, None]
-    assert each(spark, lambda n: text.derive_subject(n), [("a Physics paper",), ("other",)]) == ["Physics", "General"]
+    assert each(spark, lambda n: text.derive_subject(n), [("a Physics paper",), ("other",), ("POLITICAL science 2",), ("Computer Science",)]) == ["Physics", "General", "POLITICAL science", "Computer Science"]
 
 
 def test_token_estimates(spark):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from markloom.operators import anchor, chunk, diagram, judge, passes, pixels, rubric, segment, transcript, validate
+from markloom.operators import anchor, chunk, diagram, judge, passes, pixels, rubric, search, segment, transcript, validate
 from markloom.plans import grade
 from markloom.sources import documents, report, store
 from markloom.streaming import ingest, limits
@@ -71,10 +71,157 @@ def test_grading_end_to_end(graded):
     assert out["violations"].count() == 0
     assert rows(out["audit"].filter("kind = 'blank_answer_detected'"), "doc_id", "question_id") == [("b", "q2")]
     notes = {(r.doc_id, r.criterion_id): r for r in out["annotations"].collect()}
-    assert notes["a", "q1c2"].anchor_status == "exact" and "conected" in notes["a", "q1c2"].quote and notes["a", "q1c1"].kind == "praise"
+    # Without text runs a quote is verified, but has no box: a note in the margin.
+    assert {(r.doc_id, r.criterion_id): r.anchor for r in out["scores"].collect()}["a", "q1c2"] == "exact"
+    assert notes["a", "q1c2"].anchor_status == "unresolved" and "conected" in notes["a", "q1c2"].quote and notes["a", "q1c1"].kind == "praise"
     assert notes["b", "q1c2"].rect.x == 0.8 and notes["b", "q1c2"].anchor_status == "unresolved"
 
 
+LONG = "Plants take in light and water, and make sugar from them in the leaf. " * 6
+
+
+@pytest.fixture(scope="module")
+def examined(spark):
+    """One document for each of SURVEY's vectors, one judged in two passages, a scan, an unread scan, an unusable judgement."""
+    ids = ["near", "fake", "over", "two", "scan", "unread", "undone"]
+    pages = spark.createDataFrame([(d, 0, f"Answer 1\n{LONG}The path is closed. The lamp is lit. The wire is bare. battery bulb switch") for d in ids] + [("near", 1, "It goes on here.")], "doc_id string, page int, text string")
+    questions = spark.createDataFrame([("q1", 1)], "question_id string, number int")
+    criteria = spark.createDataFrame([("q1", f"c{i}", i, f"point {i}", 1.0) for i in range(1, 6)], "question_id string, criterion_id string, ordinal int, description string, max_marks double")
+    at = len(f"Answer 1\n{LONG}")
+    runs = []
+    for d in ids:
+        runs += [(d, 0, 0, "The path is closed. ", at, at + 20, (0, 0.1, 0.3, 0.6, 0.02)), (d, 0, 1, "The lamp is lit. ", at + 20, at + 37, (0, 0.1, 0.33, 0.6, 0.02)), (d, 0, 2, "The wire is bare.", at + 37, at + 54, (0, 0.1, 0.36, 0.6, 0.02))]
+        runs += [(d, 0, 3 + k, t, at + 55 + 8 * k, at + 55 + 8 * k + len(t), (0, x, y, 0.1, 0.02)) for k, (t, x, y) in enumerate([("battery", 0.3, 0.6), ("bulb", 0.5, 0.65), ("switch", 0.4, 0.7)])]
+    runs = spark.createDataFrame(runs, f"doc_id string, page int, run_no int, text string, start int, end int, rect {RECT}")
+    quotes, box = ["The path is closed", "The lamp is lit", "The wire is bare"], (0, 0.35, 0.62, 0.1, 0.1)
+    said = []
+
+    def judged(d, c, awarded, own, quote=None, seen=None, comment=None, region=None, pass_no=1, repairs=0):
+        said.append((d, "q1", c, f"c{c}", awarded, "correct", quote, seen, comment, None, own, region, pass_no, repairs))
+
+    for c in range(1, 6):
+        comment = {1: "at the words", 4: "on the drawing", 5: "nowhere"}.get(c)
+        judged("near", c, 1.0, 0.68, quotes[c - 1] if c < 4 else None, quotes[0] if c == 1 else None, comment, box if c == 4 else None)
+        judged("fake", c, 1.0, 0.95, f"words {c} that nobody wrote in this answer")
+        judged("over", c, 9.0, 0.99)
+        judged("two", c, 0.5, 0.9, quotes[0], pass_no=1)
+        judged("two", c, 1.0 if c < 3 else 0.5, 0.8, quotes[1], pass_no=2, repairs=1)
+        judged("scan", c, 1.0, 0.9, quotes[0])
+        judged("unread", c, 1.0, 0.9, quotes[0])
+    kind = f"doc_id string, question_id string, ordinal int, criterion_id string, awarded double, status string, quote string, finding_quote string, comment string, correction string, self double, region {RECT}, pass_no int, repairs int"
+    documents = spark.createDataFrame([(d, {"scan": "done", "unread": "failed"}.get(d), 4 if d == "scan" else 0) for d in ids], "doc_id string, transcription string, unclear int")
+    ungraded = spark.createDataFrame([("undone", "q1", "The reply could not be read.")], "doc_id string, question_id string, reason string")
+    return grade.grade(pages, questions, criteria, spark.createDataFrame(said, kind), runs, documents=documents, ungraded=ungraded)
+
+
+def test_confidence_vectors_come_out_of_grading(examined):
+    got = {r.doc_id: r for r in examined["questions"].collect()}
+    assert [got[d].confidence for d in ("near", "fake", "over")] == [0.61, 0.57, 0.5415]
+    # Two passages: least self-confidence, all quotes verified, one repair; the best mark of each point, not snapped.
+    assert got["two"].awarded == 3.5 and got["two"].confidence == round(0.8 - 0.15, 4) and any("2 passages" in f for f in got["two"].factors)
+    assert got["scan"].confidence == round(0.9 - 0.05 - 0.12, 4) and got["undone"].state == "ungraded" and got["undone"].confidence == 0.0
+    assert got["undone"].awarded == 0.0 and got["undone"].max_marks == 5.0
+
+
+def test_reviews_name_what_they_are_for(examined):
+    papers = {r.doc_id: r for r in examined["papers"].collect()}
+    assert papers["near"].reasons == ["Overall confidence is 61%.", "Question 1 has a confidence of only 61%."]
+    assert papers["unread"].reasons[0].startswith("The script is a scan") and papers["unread"].needs_review
+    assert any("(Q1)" in r and "could not be marked" in r for r in papers["undone"].reasons) and not papers["scan"].needs_review
+    kinds = {(r.doc_id, r.kind) for r in examined["audit"].collect()}
+    assert {("fake", "evidence_unverified"), ("over", "clamped_above_max"), ("two", "malformed_output_repaired"), ("undone", "malformed_output_unrecoverable"), ("near", "anchor_unresolved")} <= kinds
+    assert examined["violations"].count() == 0
+
+
+def test_annotations_stand_at_words_drawings_or_the_margin(examined):
+    got = {r.criterion_id: r for r in examined["annotations"].filter("doc_id = 'near'").collect()}
+    assert [got[c].anchor_status for c in ("c1", "c4", "c5")] == ["exact", "region", "unresolved"]
+    assert got["c1"].rect.y == 0.3 and abs(got["c4"].rect.y - 0.585) < 1e-9 and got["c5"].rect.x == 0.8 and got["c5"].rect.page == 0 and got["c5"].slot == 2
+
+
+def test_margin_notes_stand_on_the_last_page_touched(spark):
+    pages = spark.createDataFrame([("d", 0, "Answer 1\nThe first words of it"), ("d", 1, "and the very last words of it")], "doc_id string, page int, text string")
+    runs = spark.createDataFrame([("d", 0, 0, "The first words of it", 9, 30, (0, 0.1, 0.1, 0.6, 0.02)), ("d", 1, 0, "and the very", 0, 12, (1, 0.1, 0.1, 0.2, 0.02)), ("d", 1, 1, " last words of it", 12, 29, (1, 0.1, 0.2, 0.6, 0.02))], f"doc_id string, page int, run_no int, text string, start int, end int, rect {RECT}")
+    said = spark.createDataFrame([("d", "q1", 1, "c1", 1.0, "correct", None, "the very last words of it", "there", None, 0.9), ("d", "q1", 2, "c2", 1.0, "missing", None, None, "nowhere", None, 0.9)], "doc_id string, question_id string, ordinal int, criterion_id string, awarded double, status string, quote string, finding_quote string, comment string, correction string, self double")
+    answers = spark.createDataFrame([("d", "q1", 1, "x", 0, False, False)], "doc_id string, question_id string, number int, text string, start_page int, approximate boolean, blank boolean")
+    got = {r.criterion_id: r for r in grade.place_annotations(said, answers, pages, runs)[0].collect()}
+    assert got["c2"].rect.page == 1 and got["c1"].rect.width == 0.6 and [r.y for r in got["c1"].extra_rects] == [0.1]
+
+
+def plain_search(quotes, texts, threshold=0.74):
+    """Every window of every text, token by token."""
+    fold = lambda w: w.replace("rn", "m").translate(str.maketrans("l1|05", "iiios"))
+
+    def near(a, b):
+        a, b = fold(a), fold(b)
+        table = [[i + j for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                table[i][j] = min(table[i - 1][j] + 1, table[i][j - 1] + 1, table[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+        return 1 - table[-1][-1] / max(len(a), len(b), 1)
+
+    out = set()
+    for q, quote in quotes:
+        for d, text in texts:
+            if len(quote) < 8 or not text:
+                continue
+            if quote in text:
+                out.add((q, d, "exact", text.index(quote), 1.0))
+                continue
+            words, phrase, best = text.split(), quote.split(), (0.0, 0)
+            for i in range(len(words) - len(phrase) + 1):
+                sims = [near(p, w) for p, w in zip(phrase, words[i:])]
+                score = 0.0 if min(sims) < 0.68 else sum(sims) / len(sims)
+                best = max(best, (score, -i))
+            if best[0] >= threshold:
+                out.add((q, d, "fuzzy", -best[1], round(best[0], 9)))
+    return out
+
+
+def test_quotes_are_found_with_any_slips(spark):
+    """Slips in every third word, or in every word, that share no run of words with the quote."""
+    rng = np.random.default_rng(2)
+    vocabulary = [f"{a}{b}{c}" for a in ("ran", "modern", "l1ght", "water", "stem") for b in ("o", "ing", "tion", "s0") for c in ("", "al", "rn")]
+    texts = [(d, " ".join(rng.choice(vocabulary, 60))) for d in range(12)] + [(50, ""), (51, "short")]
+    quotes = [(90, "tiny"), (91, "nothing like it anywhere at all")]
+    for d, t in texts[:12]:
+        words = t.split()
+        part = words[d : d + 3 + d % 6]
+        quotes.append((d, " ".join(part)))
+        quotes.append((100 + d, " ".join(w[:2] + w[3:] if len(w) > 5 else w for w in part)))
+        quotes.append((200 + d, " ".join("z" + w[1:] if i % 3 == 1 else w for i, w in enumerate(part))))
+    got = search.search_quotes(spark.createDataFrame(quotes, "quote_id int, quote string"), spark.createDataFrame(texts, "doc_id int, text string").repartition(3))
+    found = {(*tuple(r)[:4], round(r.similarity, 9)) for r in got.collect()}
+    assert found == plain_search(quotes, texts) and sum(r[2] == "fuzzy" for r in found) > 15
+
+
+def test_fuzzy_anchors_query(spark):
+    """The registered query against plain Python, on the small tables (ASCII items, to keep it short)."""
+    import re
+
+    import duckdb
+
+    from markloom import queries
+
+    normal = lambda t: " ".join("".join(c for c in re.sub(r"\s+", " ", t or "") if c.isalnum() or c == " ").lower().split())
+    data = "/root/testdata/sf0.001"
+    got = {(r.item_id, r.doc_id, r.word, r.similarity) for r in queries.fuzzy_anchors(spark, data).collect()}
+    docs = [(d, normal(t)) for d, t in duckdb.sql(f"SELECT doc_id, text FROM '{data}/documents.parquet'").fetchall()]
+    items = [(i, normal(re.sub(r"([^\W\d_]{3})[^\W\d_]([^\W\d_]{3,})", r"\1\2", t))) for i, t in duckdb.sql(f"SELECT item_id, text FROM '{data}/benchmark.parquet'").fetchall()]
+    near = {(i, d) for i, d, _, _ in got}
+    some = [x for x in items if any(x[0] == i for i, _ in near)][:4] + items[:2]
+    want = {(i, d, w, s) for i, d, status, w, s in plain_search(some, docs[:60] + [x for x in docs if x[0] in {d for _, d in near}]) if status == "fuzzy"}
+    ids = {i for i, _ in some}
+    checked = {d for d, _ in docs[:60]} | {d for _, d in near}
+    assert {(i, d, w) for i, d, w, _ in got if i in ids and d in checked} == {(i, d, w) for i, d, w, _ in want}
+
+
+def test_error_kinds(spark):
+    rows_in = [(400, "quota exceeded"), (None, "Bad API key"), (401, "no"), (503, None), (404, "x"), (429, None), (None, "Too many requests")]
+    got = judge.classify_errors(spark.createDataFrame(rows_in, "status int, message string")).collect()
+    assert [(r.kind, r.retryable) for r in got] == [("rate_limit", False), ("transient", True), ("auth", False), ("transient", True), ("permanent", False), ("rate_limit", True), ("rate_limit", True)]
+
+
 def test_untrusted_judgements(spark, paper):
     _, _, criteria, _ = paper
     rubric_rows = criteria.filter("question_id = 'q1'")
@@ -219,7 +366,8 @@ def test_pass_merge(spark):
     assert passes.merged_totals(best, ["question_id"]).first().awarded == 4.5
     d = spark.createDataFrame([("q", 1, 0.9, 2, 1, 0, 0, 3, 100, False, "One", ["n"]), ("q", 2, 0.7, 1, 1, 1, 1, 2, 50, True, "One", ["n", "m"])], "question_id string, pass_no int, self double, quoted int, verified int, clamps int, repairs int, missing int, chars int, approximate boolean, summary string, notes array<string>")
     m = passes.merge_drafts(d, ["question_id"]).first()
-    assert (m.self, m.quoted, m.clamps, m.repairs, m.missing, m.chars, m.approximate, m.summaries, m.notes) == (0.7, 3, 1, 1, 2, 150, True, ["One"], ["n", "m"])
+    assert (m.self, m.quoted, m.clamps, m.repairs, m.missing, m.chars, m.approximate, m.summaries, m.notes[:2], m.passes) == (0.7, 3, 1, 1, 2, 150, True, ["One"], ["n", "m"], 2)
+    assert "2 passages" in m.notes[2]
 
 
 def test_transcripts(spark):
@@ -275,6 +423,10 @@ def test_sources(spark, tmp_path):
     s.write("results", spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int"))
     s.upsert("results", spark.createDataFrame([("b", 3), ("c", 4)], "id string, v int"))
     assert rows(s.read("results"), "id", "v") == [("a", 1), ("b", 3), ("c", 4)] and s.get("results", "b").v == 3
+    s.append("results", spark.createDataFrame([("d", 5)], "id string, v int"))
+    assert s.read("results").count() == 4 and len(list((tmp_path / "store" / "results").glob("part-*"))) == 3
+    (tmp_path / "store" / "results" / ".part-crashed").write_text("left by a crash before its commit")
+    assert s.read("results").count() == 4
     with pytest.raises(store.NotFound):
         s.get("results", "z")
     notes = spark.createDataFrame([("x", "r", "old", False, "t0", (0, 0.1, 0.1, 0.1, 0.1), [(0, 0.2, 0.2, 0.1, 0.1)])], f"id string, result_id string, comment string, edited_by_human boolean, updated_at string, rect {RECT}, extra_rects array<{RECT}>")
