@@ -9,8 +9,9 @@ passage that two neighbours share, while menus and adverts that differ from page
 first. Elements that are boilerplate by their name, role or class (BOILERPLATE) are left out, unless the page's text is in
 one that only looks like it (see `blocks`). Lines inside a content
 element (article, main) are the text and are never deleted; if a page has such lines, the lines outside them are not the
-text. Differencing decides for pages without a content element, unless over half of such a page is shared, which makes
-it a copy rather than a template.
+text. Differencing decides for pages without a content element. Where over half of such a page is shared with the nearest
+one, as in a short page of a large template or in a copy, the lines that go are those that the page on its other side
+shares as well; without such a page none do.
 
 The order is dealt by ranges (see `ordering`), so a host with any share of the pages is spread over all tasks.
 
@@ -23,8 +24,9 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +49,9 @@ RAW = frozenset("script style textarea title".split())
 EMPTY = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SPACED = frozenset("br td th img".split())
 
+#: Lines times lines up to which a table of bits is kept (2 MB); times that a line occurs beyond which its bits are kept.
+TABLE_BITS, FREQUENT = 1 << 24, 64
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:[!?][^>]*+>?|(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|(?<==)"[^"]*+"|(?<==)'[^']*+'|["'])*+)>?)""", re.S)
 #: An attribute as a whole: its name and, quoted or not, its value.
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>]++)))?""")
@@ -149,32 +154,68 @@ def _read(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool]], fr
     return out, frozenset(around)
 
 
+def _places_of(lines: list[str]) -> Callable[[str], int]:
+    """A function that gives the places of a line among lines as bits. Only those of frequent lines are kept as such."""
+    places: dict[str, list[int]] = {}
+    for j, line in enumerate(lines):
+        places.setdefault(line, []).append(j)
+    kept = {line: sum(1 << j for j in at) for line, at in places.items() if len(at) > FREQUENT}
+    return lambda line: kept[line] if line in kept else sum(1 << j for j in places.get(line, ()))
+
+
+def _last_row(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of longest common subsequences of a and each b[:j], by the bit-parallel recurrence."""
+    where, full = _places_of(b), (1 << len(b)) - 1
+    v = full
+    for line in a:
+        u = v & where(line)
+        v = ((v + u) | (v - u)) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
 def common(a: list[str], b: list[str]) -> set[int]:
-    """Places in a of a longest common subsequence of a and b, by the bit-parallel recurrence: one row of bits per line."""
-    lead = 0
-    while lead < min(len(a), len(b)) and a[lead] == b[lead]:
-        lead += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - lead and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    found = {*range(lead), *range(len(a) - tail, len(a))}
-    mid, other = a[lead : len(a) - tail], b[lead : len(b) - tail]
-    where: dict[str, int] = {}
-    for j, line in enumerate(other):
-        where[line] = where.get(line, 0) | 1 << j
-    full = (1 << len(other)) - 1
-    rows, v = [], full
-    for line in mid:
-        match = where.get(line, 0)
-        u = v & match
+    """Places in a of a longest common subsequence of a and b.
+
+    Up to TABLE_BITS a row of bits is kept for each line and walked back; larger pairs are first cut in two where the
+    lengths from both ends add up to most, so memory stays in proportion to the lines.
+    """
+    found: set[int] = set()
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        low, high, first, last = todo.pop()
+        while low < high and first < last and a[low] == b[first]:
+            found.add(low)
+            low, first = low + 1, first + 1
+        while low < high and first < last and a[high - 1] == b[last - 1]:
+            high, last = high - 1, last - 1
+            found.add(high)
+        if low >= high or first >= last:
+            continue
+        mid, other = a[low:high], b[first:last]
+        if len(mid) * len(other) <= TABLE_BITS or len(mid) == 1:
+            found.update(low + i for i in _walked(mid, other))
+            continue
+        half = len(mid) // 2
+        ahead, behind = _last_row(mid[:half], other), _last_row(mid[half:][::-1], other[::-1])[::-1]
+        cut = int((ahead + behind).argmax())
+        todo += [(low, low + half, first, first + cut), (low + half, high, first + cut, last)]
+    return found
+
+
+def _walked(a: list[str], b: list[str]) -> list[int]:
+    where, full = _places_of(b), (1 << len(b)) - 1
+    rows, v, found = [], full, []
+    for line in a:
+        u = v & where(line)
         v = ((v + u) | (v - u)) & full
         rows.append(v)
     # Zero bits of a row count the length reached: walk back to the lines that raised it.
     length = lambda i, j: j - (rows[i] & ((1 << j) - 1)).bit_count() if i >= 0 else 0
-    i, j = len(mid) - 1, len(other)
+    i, j = len(a) - 1, len(b)
     while i >= 0 and j > 0:
-        if where.get(mid[i], 0) >> (j - 1) & 1:
-            found.add(lead + i)
+        if a[i] == b[j - 1]:
+            found.append(i)
             i, j = i - 1, j - 1
         elif length(i - 1, j) >= length(i, j - 1):
             i -= 1
@@ -183,18 +224,19 @@ def common(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_text(own: list[tuple[str, bool]], other: list[tuple[str, bool]] | None) -> tuple[str, int]:
-    """The page's text, and how many of its lines the other page shares."""
+def main_text(own: list[tuple[str, bool]], other: list[tuple[str, bool]] | None, third: list[tuple[str, bool]] | None = None) -> tuple[str, int]:
+    """The page's text, and how many of its lines the nearest page shares. third: the page on the other side."""
     lines = [t for t, _ in own]
     shared = common(lines, [t for t, _ in other]) if other else set()
     kept = [t for t, inside in own if inside]
     if not kept:
-        size = sum(map(len, lines))
-        if 2 * sum(len(lines[i]) for i in shared) > size:
-            shared_lines: set[int] = set()  # a copy, not a template
-        else:
-            shared_lines = shared
-        kept = [t for i, t in enumerate(lines) if i not in shared_lines]
+        template = shared
+        if 2 * sum(len(lines[i]) for i in shared) > sum(map(len, lines)):
+            # Mostly shared: a short page in a large template, or a copy. What the third page has too is template.
+            template = shared & common(lines, [t for t, _ in third]) if third else set()
+            if len(template) == len(lines):
+                template = set()  # all three are copies
+        kept = [t for i, t in enumerate(lines) if i not in template]
     return "\n\n".join(kept), len(shared)
 
 
@@ -232,15 +274,11 @@ def extract(pages: DataFrame, ranges: int | None = None, page_id: str = "page_id
             yield pd.DataFrame([_settled(before, now, None)], columns=names)
 
     def _settled(before, now, after) -> tuple:
-        near = None
-        address = now[1].split("\x01")
-        scores = []
-        for other in (before, after):
-            if other and other[0] == now[0] and address[0] and other[1].split("\x01", 1)[0] == address[0]:
-                scores.append((_alike(now[1], other[1]), other))
-        if scores:
-            near = max(scores, key=lambda s: s[0])[1][4]
-        text, shared = main_text(now[4], near)
+        host = now[1].split("\x01", 1)[0]
+        beside = [x for x in (before, after) if x and host and x[1].split("\x01", 1)[0] == host]
+        beside.sort(key=lambda x: -_alike(now[1], x[1]))  # of equally near ones the one before
+        near, third = [x[4] for x in beside] + [None] * (2 - len(beside))
+        text, shared = main_text(now[4], near, third)
         return now[2], now[3], text, len(text), shared
 
     names = ["page_id", "url", "text", "n_chars", "n_shared"]

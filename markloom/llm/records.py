@@ -41,6 +41,10 @@ PIECES_HELD, PIECE_CHARS = 500_000, 40
 #: Characters that are encoded together, or one longer text.
 GROUP_CHARS = 2_000_000
 _BEFORE_WORD = re.compile(r" (?=\S)")
+#: Pieces of Latin letters, signs after them and single line ends, which the file's splitter cuts just there.
+_LETTERS, _SIGNS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", r"[!-&(-/:-@\[-`{-~]+"
+_SIMPLE = re.compile(rf"{_LETTERS}(?:{_SIGNS})?(?:\n{_LETTERS}(?:{_SIGNS})?)*")
+_PARTS = re.compile(rf"{_LETTERS}|{_SIGNS}|\n")
 
 
 def masked_crc(data: bytes) -> int:
@@ -73,6 +77,7 @@ class ByteTokens:
     Such a file never joins a space that precedes a word to what is before it, so a text falls into pieces of one
     leading space and what follows, whose ids don't depend on their surroundings. The distinct pieces of a batch that are
     not at hand are encoded by the library in one string; the bytes that each token stands for tell where a piece ends.
+    Pieces of words and signs are put together of the ids of their parts, which are fewer.
     A text with one of the file's special tokens is encoded by the library as it stands.
     """
 
@@ -88,28 +93,50 @@ class ByteTokens:
         self.sizes = np.zeros(1 + max(self.tokenizer.get_vocab().values()), dtype=np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.sizes[i] = len(token)
-        self.held: dict[str, bytes] = {}
+        self.held: dict[str, bytes] = {}  # pieces after a space
+        self.line = next(self._ids(["\n"])).tobytes()
+        self.bare = {"\n": self.line}  # parts without one
         self.again: set[str] = set()
 
     def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield np.asarray(e.ids, dtype=self.dtype)
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of pieces, each given without its leading space, in order."""
-        out = []
+    def _words(self, words: list[str], line: bool = False) -> list[bytes]:
+        """Ids of pieces, each given without its leading space, in order; line: of parts without one, each put on a line."""
+        out, width = [], self.dtype.itemsize
         for start in range(0, len(words), 2_000):  # a string of some ten thousand characters at a time
             some = words[start : start + 2_000]
-            (ids,) = self._ids([" " + " ".join(some)])
+            (ids,) = self._ids(["\n".join(some) + "\n" if line else " " + " ".join(some)])
             ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 1 for w in some])
             upto = np.cumsum(self.sizes[ids])
             if upto[-1] != ends[-1]:
                 raise ValueError("the tokens don't stand for all bytes of the text")
             cuts = (np.searchsorted(upto, ends, side="left") + 1).tolist()
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            out += [raw[width * a : width * b] for a, b in zip([0, *cuts], cuts)]
+            raw = ids.tobytes()
+            out += [raw[width * a : width * (b - line)] for a, b in zip([0, *cuts], cuts)]
         return out
 
+    def _learn(self, missing: list[str]) -> list[str]:
+        """Puts the ids of pieces that aren't at hand there; returns those too long to stay."""
+        held, bare, made, first, rest, whole = self.held, self.bare, {}, set(), set(), []
+        for w in missing:
+            if not w.isalpha() and _SIMPLE.fullmatch(w):
+                made[w] = parts = _PARTS.findall(w)
+                first.add(parts[0])
+                rest.update(parts[1:])
+            else:
+                whole.append(w)
+        whole += first.difference(held, whole)
+        held.update(zip(whole, self._words(whole)))
+        fresh = list(rest.difference(bare))
+        bare.update(zip(fresh, self._words(fresh, line=True)))
+        for w, (head, *others) in made.items():
+            held[w] = held[head] + b"".join([bare[p] for p in others])
+        if len(bare) > PIECES_HELD // 4:
+            self.bare = {"\n": self.line}
+        return [w for some in (whole, made) for w in some if len(w) > PIECE_CHARS]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split, pieces = _BEFORE_WORD.split, []
         for t in texts:
@@ -124,16 +151,15 @@ class ByteTokens:
         distinct = set().union(*[pieces[k] for k in plain])
         missing = list(distinct.difference(held))
         self.again |= distinct.difference(missing)
-        held.update(zip(missing, self._words(missing)))
+        long = self._learn(missing)
         get, out = held.__getitem__, []
         for k, words in enumerate(pieces):
             if words is None:
                 out += [x.tobytes() for x in self._ids([texts[k]])]
             else:
                 out.append(first[k].tobytes() + b"".join(map(get, words)))
-        for w in missing:
-            if len(w) > PIECE_CHARS:
-                del held[w]
+        for w in long:
+            del held[w]
         if len(held) > PIECES_HELD:
             kept = {w: held[w] for w in self.again if w in held}
             self.held, self.again = kept if len(kept) <= PIECES_HELD // 2 else {}, set()

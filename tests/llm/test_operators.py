@@ -214,10 +214,23 @@ def test_pii_parsers_equal_the_patterns(text):
 
 def test_mask(docs):
     got = {r.doc_id: r for r in pii.mask(docs).collect()}
-    assert got[1010].text == "mail <EMAIL>, ip <IP>.<IP> 300.1.1.1 card <CARD> tel <PHONE> iban <ACCOUNT> http://x.org/a?b." or "<EMAIL>" in got[1010].text
+    assert got[1010].text == "mail <EMAIL>, ip <IP>.<IP> 300.1.1.1 card <CARD> tel <PHONE> iban <ACCOUNT> http://x.org/a?b."
     assert got[1000].text is None and got[1001].text == "" and pii.mask(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("IBAN: DE89 3704 0044 0532 0130 00 PLEASE PAY SOON", "IBAN: <ACCOUNT> PLEASE PAY SOON"), ("IBAN DE89370400440532013000 BIC COBADEFF", "IBAN <ACCOUNT> BIC COBADEFF"),
+        ("pay GB82 WEST 1234 5698 7654 32.", "pay <ACCOUNT>."), ("DE89370400440532013001", None), ("xDE89370400440532013000", None), ("DE89370400440532013000X", None), ("DE8", None),
+        ("account no: 12-345 678 NO93 8601 1117 947", "account no: <ACCOUNT> <ACCOUNT>"), ('token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2" x', 'token = "<SECRET>" x'),
+        ("API_KEY:abcd-1234_efgh.5678;", "API_KEY:<SECRET>;"), ("token = abcdefghijklmnopqrst", None), ("tokens are 1234567890123456789x", None), ("password: short1", None),
+    ],
+)
+def test_pii_added_kinds(text, want):
+    assert pii.masked(text, ("account", "secret")) == (text if want is None else want)
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     from markloom.llm.queries import op5_language
@@ -356,7 +369,9 @@ def test_html_differencing(spark):
 
 @given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
 @settings(max_examples=400, deadline=None)
-def test_lcs_length(a, b):
+@pytest.mark.parametrize("bits", [1 << 24, 4])
+def test_lcs_length(bits, a, b):
+    html.TABLE_BITS = bits
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
         for j, y in enumerate(b):
@@ -365,6 +380,68 @@ def test_lcs_length(a, b):
     assert len(found) == table[-1][-1]
     at = iter(b)
     assert all(a[i] in at for i in found)
+    html.TABLE_BITS = 1 << 24
+
+
+def test_lcs_of_very_many_lines_is_small():
+    import tracemalloc
+
+    a, b = [f"line {i % 997} {i}" if i % 3 else "same" for i in range(40_000)], [f"line {i % 997} {i}" if i % 5 else "other" for i in range(40_000)]
+    tracemalloc.start()
+    found = html.common(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000 and len(found) >= 40_000 * 8 // 15 - 1
+    tracemalloc.stop()
+
+
+def test_html_without_differencing_keeps_the_template(spark, monkeypatch):
+    """Pages without a content element: a large template around short articles goes by differencing alone; copies stay."""
+    menu = "".join(f"<p>Part {k} of the menu that every page has, at some length</p>" for k in range(9))
+    page = lambda i: f"<body>{menu}<p>Only page {i} says this.</p><p>All rights reserved</p>"
+    rows = [(i, f"http://h.org/a/{i:03}", page(i)) for i in range(12)] + [(90 + i, f"http://c.org/{i}", page(50)) for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(pages, ranges=3).collect()}
+    assert all(got[i] == f"Only page {i} says this." for i in range(1, 11))  # the first and the last have no page on the other side
+    assert all(got[90 + i].endswith("Only page 50 says this.\n\nAll rights reserved") for i in range(3))
+    # Without the alignment nothing is deleted: the method makes the result.
+    alone = html.main_text(html.blocks(page(1)), None)[0]
+    assert alone != got[1] and "menu" in alone
+
+
+def plain_main_text(before, now, after):
+    """Brute force: the longest common subsequences by a table, the nearest neighbour first."""
+
+    def lcs(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+        return table[-1][-1]
+
+    own = html.blocks(now[1])
+    lines, kept = [t for t, _ in own], [t for t, inside in own if inside]
+    host = lambda u: u.split("/")[2] if u and "://" in u else ""
+    near = [x for x in (before, after) if x and host(now[0]) and host(x[0]) == host(now[0])]
+    return kept or lines, [lcs(lines, [t for t, _ in html.blocks(x[1])]) for x in near]
+
+
+def test_html_query_against_brute_force(spark):
+    """All pages of the small table: the text is that of the content element, or else of the lines that differencing leaves;
+    the shared lines are as many as a table of lengths finds with one of the two neighbours."""
+    from markloom.llm.queries import op10_html
+
+    rows = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url", "html").collect()
+    path = lambda r: re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "", r.url or "").split("?")[0].split("#")[0]
+    host = lambda r: (r.url or "").split("/")[2].lower() if "://" in (r.url or "") else ""
+    order = sorted(rows, key=lambda r: (host(r), path(r), f"{r.page_id:020d}", r.url or ""))
+    got = {r.page_id: r for r in op10_html(spark, DATA).collect()}
+    assert len(got) == len(rows)
+    for k, r in enumerate(order):
+        beside = [(x.url, x.html) if x else None for x in (order[k - 1] if k else None, order[k + 1] if k + 1 < len(order) else None)]
+        kept, shared = plain_main_text(beside[0], (r.url, r.html), beside[1])
+        assert got[r.page_id].n_shared in (shared or [0])
+        if any(inside for _, inside in html.blocks(r.html)):
+            assert got[r.page_id].text == "\n\n".join(kept)
+        assert got[r.page_id].n_chars == len(got[r.page_id].text)
 
 
 def test_empty_tables(spark, docs):
