@@ -28,9 +28,9 @@ from .common import words_of
 
 #: The sample on which costs and rejections are estimated: of the first rows, one in SPREAD by a hash of its text, up to
 #: SAMPLE_ROWS, of texts of up to SAMPLE_CHARS each. Only the order of the rules follows from it.
-SAMPLE_ROWS, SAMPLE_CHARS, SPREAD = 400, 50_000, 8
+SAMPLE_ROWS, SAMPLE_CHARS, SPREAD = 200, 50_000, 8
 #: Copies of the sample in timed runs: the next number where a rule took under LEAST_S. And the step by which costs differ.
-COPIES, LEAST_S, COARSE = (1, 10, 100), 0.2, 4.0
+COPIES, LEAST_S, COARSE = (1, 8), 0.1, 4.0
 
 #: Limits of the rules.
 LEAST_WORDS = 50

@@ -9,10 +9,13 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import regex
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from markloom.llm import bpe, fingerprint, graph, html, langid, mixing, pii, quality, records, setjoin, sharding, simhash
 from markloom.llm.queries import vocabulary_file
 
@@ -266,6 +269,123 @@ def test_quality_measures(docs, rows):
     assert kept.columns == docs.columns and kept.count() == got["kept"].sum()
 
 
+def test_quality_rules_go_by_rejections_per_cost(spark, docs):
+    """The sample is bounded and the same in two runs; the dear rule that rejects little comes after cheap ones that reject much."""
+    many = spark.createDataFrame([(f"few words {i}",) for i in range(4_000)] + [(" ".join(f"word{k}{i}" for k in range(400)),) for i in range(400)], "text string").repartition(3, "text")
+    found = quality.order_rules(many)
+    assert sorted(n for n, _, _ in found) == sorted(quality.rules(quality.measures(docs["text"], quality.words_of(docs["text"]))))
+    order = [n for n, _, _ in found]
+    assert order.index("few_words") < order.index("repeated_words") and order.index("few_words") < order.index("few_letters")
+    assert quality.sampled(many).count() == quality.SAMPLE_ROWS and sorted(map(tuple, quality.sampled(many).collect())) == sorted(map(tuple, quality.sampled(many).collect()))
+    assert quality.sampled(many).rdd.getNumPartitions() == 1
+    # Later rules aren't evaluated: one that fails on the rows that go earlier does no harm.
+    text = F.col("text")
+    bad = F.when(F.length(text) < 30, F.raise_error(F.lit("evaluated"))).otherwise(F.lit(False)).cast("boolean")
+    judged = many.select(quality.verdict({"short": F.length(text) < 30, "bad": bad}, ["short", "bad"]).alias("v"))
+    assert {r.v for r in judged.distinct().collect()} == {"short", None}
+
+
+def test_ranges_are_even_and_cut_hot_keys(spark):
+    """A third of the rows null, a third equal rows: ranges are even by bytes, every row is dealt once, halos are the neighbours."""
+    from markloom.llm import ordering
+
+    rows = [(0, f"null {i}") for i in range(400)] + [(5, "the same row")] * 400 + [(10 + i, f"text {i}" * (1 + i % 9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "key long, text string").repartition(3)
+    dealt = ordering.deal(df, "key", "text", ranges=12, before=True, after=True)
+    got = dealt.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).orderBy("at").collect()
+    own = [r for r in got if r.halo == 0]
+    assert collections.Counter((r.key, r.text) for r in own) == collections.Counter(rows)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.part].append(r)
+    assert len(by) == 12 and all(len({r["_range"] for r in part}) == 1 for part in by.values())
+    sizes = [sum(len(r.text) + ordering.ROW_BYTES for r in part if r.halo == 0) for part in by.values()]
+    assert max(sizes) < 1.5 * sum(sizes) / 12
+    parts = sorted(by.values(), key=lambda p: p[0]["_range"])
+    order = [(r.key, r.text) for part in parts for r in part if r.halo == 0]
+    assert [k for k, _ in order] == sorted(k for k, _ in order)
+    inner = [[(r.key, r.text) for r in part if r.halo == 0] for part in parts]
+    for k, part in enumerate(parts):
+        assert [(r.key, r.text) for r in part] == [*([inner[k - 1][-1]] if k else []), *inner[k], *([inner[k + 1][0]] if k < 11 else [])]
+
+
+def test_flow_is_cheapest():
+    """All whole flows of small problems, one by one: none that moves as much costs less."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    for _ in range(25):
+        supplies = {p: int(rng.integers(1, 4)) for p in "pqr"}
+        demands = {s: float(rng.integers(0, 6)) for s in "ab"}
+        members = {p: [s for s in "ab" if rng.random() < 0.7] or ["a"] for p in "pqr"}
+        got = mixing.cheapest_flow(supplies, demands, members)
+        cost = lambda used: sum(min(used[p], supplies[p]) + 3 * max(0.0, used[p] - supplies[p]) for p in supplies)
+        mine = {p: sum(v for (a, _), v in got.items() if a == p) for p in supplies}
+        edges = [(p, s) for p in supplies for s in members[p]]
+        best = None
+        for flow in itertools.product(*[range(2 * supplies[p] + 1) for p, _ in edges]):
+            used = {p: sum(f for (a, _), f in zip(edges, flow) if a == p) for p in supplies}
+            if all(used[p] <= 2 * supplies[p] for p in supplies) and all(sum(f for (_, b), f in zip(edges, flow) if b == s) <= demands[s] for s in demands):
+                best = min(best or (0, 0), (-sum(flow), cost(used)))
+        assert abs(sum(got.values()) + best[0]) < 1e-6 and abs(cost(mine) - best[1]) < 1e-6
+
+
+def test_mixing_goes_through_the_flow(spark, docs, monkeypatch):
+    """Patterns of one source are solved by the flow like any others."""
+    monkeypatch.setattr(mixing, "PARTS", 1)
+    patterns = spark.createDataFrame([("1:a", 10, ["a"]), ("1:b", 20, ["b"]), ("1:b,1:c", 5, ["b", "c"])], "pattern string, words long, sources array<string>")
+    targets = spark.createDataFrame([("a", 10, 15.0), ("b", 25, 25.0), ("c", 5, 10.0)], "source string, source_size long, target double")
+    got = {r.pattern: r.supply for r in mixing._solve(patterns, targets, 2.0).collect()}
+    assert got == {"1:a": 15.0, "1:b": 25.0, "1:b,1:c": 10.0}
+
+
+@pytest.mark.parametrize("text,want", [("½ ² ³ Ⅷ ①", "und"), ("123 ... _", "und"), ("½ the and of", "en"), ("ª", None)])
+def test_language_needs_a_letter(text, want):
+    model = langid.Classifier({"de": b"der die und nicht ist das", "en": b"the and of not is that"})
+    got = model.predict(text)[0]
+    assert got == want if want else got in ("de", "en")
+
+
+def plain_language(docs):
+    """Brute force on a small table: all distinct labelled texts, in the order of their hashes, one language after another."""
+    import zstandard
+
+    signed = lambda x: x - (x >> 63 << 64)
+    texts = collections.defaultdict(dict)
+    for i, t, lang in docs:
+        if t and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            h = signed(xxhash.xxh64_intdigest(b"\x03\x00\x00\x00", xxhash.xxh64_intdigest(t.encode(), 42)))
+            texts[lang][h % (1 << 40), h] = t
+    letters = lambda t: list(dict.fromkeys(regex.findall(r"\p{L}+", t.lower())))
+    coders = {}
+    for lang, found in sorted(texts.items()):
+        rows = [" ".join(sorted(letters(found[k]), key=lambda w: zlib.crc32(w.encode())))[: langid.TEXT_CHARS] for k in sorted(found)[: langid.SAMPLE_TEXTS]]
+        kept, size = [], 0
+        for row in (r.encode() for r in rows):
+            if size < langid.SAMPLE_BYTES:
+                kept.append(row[: langid.SAMPLE_BYTES - size])
+                size += len(kept[-1])
+        d = zstandard.ZstdCompressionDict(b"\n".join(kept), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        coders[lang] = zstandard.ZstdCompressor(level=-1, dict_data=d, write_checksum=False, write_content_size=False)
+
+    def predict(t):
+        data = " ".join(letters(t or "")).encode()
+        if not data:
+            return "und"
+        return min(coders, key=lambda lang: (sum(len(coders[lang].compress(data[i : i + langid.BLOCK])) for i in range(0, len(data), langid.BLOCK)), lang))
+
+    return {i: predict(t) for i, t, _ in docs}
+
+
+def test_language_query_against_brute_force(spark):
+    from markloom.llm.queries import op5_language
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    want = plain_language(docs)
+    got = {r.doc_id: r.lang_pred for r in op5_language(spark, DATA).collect()}
+    assert set(got) == set(want) and sum(got[i] == want[i] for i in want) >= 0.98 * len(want)
+
+
 def test_fingerprints_estimate_jaccard(docs, rows):
     texts = [t for t in rows["text"] if t and len(t) > 300]
     data = [t.encode() for t in texts] + [fingerprint.edited(a, b).encode() for a, b in zip(texts, texts[1:] + texts[:1])]
@@ -453,34 +573,70 @@ def test_empty_tables(spark, docs):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_pipeline(spark):
-    import corpus_pipeline as c
-    from markloom.llm.common import table
-
-    first = table(spark, DATA, "documents")
-    out = c.run(spark, DATA).toPandas()
-    kept = quality.keep(first).toPandas()
-    rows = simhash.keep_one(quality.keep(first)).toPandas()
-    assert set(out["doc_id"]) <= set(rows["doc_id"]) and len(set(plain_components([plain_simhash(t) for t in rows["text"]]))) == len(rows)
-    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(words, rows["text"])]
-    assert all(len(a & c) < 0.9 * len(a | c) for k, a in enumerate(grams) for c in grams[:k])
-    gone = kept[~kept["doc_id"].isin(rows["doc_id"])]
-    assert len(gone) and len(gone) < len(kept) / 2
-    sizes = collections.Counter()
-    for r in rows.itertuples():
-        sizes[r.source] += len(words(pii.masked(r.text)))
-    want = plain_targets(sizes)
-    by = {r.doc_id: (r.source, len(words(pii.masked(r.text)))) for r in rows.itertuples()}
-    got = collections.Counter()
-    for i in out["doc_id"]:
-        got[by[i][0]] += by[i][1]
-    longest = max(n for _, n in by.values())
+def plain_kept(t):
+    """The quality rules, word for word."""
+    n, chars, symbols, dup, repeated = plain_quality(t)
+    lines = [x for x in (t or "").split("\n") if words(x)]
+    runs = len(regex.findall(r"\p{L}+", t or ""))
+    return not (n < 50 or symbols * 100 > chars * 5 or dup * 100 > len(lines) * 50 or runs * 100 < n * 50 or repeated * 100 > n * 50)
+
+
+def plain_pipeline(rows):
+    """(doc_id, source, text) of the documents that quality rules and near-dedup leave, by brute force over all pairs, masked."""
+    kept = list(dict.fromkeys((i, t, s) for i, t, s in rows if plain_kept(t)))
+    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.encode().lower().split() for _, t, _ in kept)]
+    prints = [plain_simhash(t) for _, t, _ in kept]
+    edges = []
+    for j in range(len(kept)):
+        for i in range(j):
+            a, b = grams[i], grams[j]
+            near = min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and (n := len(a & b)) >= 0.8 * (len(a) + len(b) - n)
+            if near or (prints[i] ^ prints[j]).bit_count() <= 2:
+                edges.append((i, j))
+    best = {}
+    for k, r in enumerate(roots_of(len(kept), edges)):
+        key = (kept[k][0] is None, kept[k][0] or 0)
+        if r not in best or key < best[r][0]:
+            best[r] = key, k
+    return [(kept[k][0], kept[k][2], pii.masked(kept[k][1])) for _, k in best.values()]
+
+
+def check_pipeline(spark, folder, rows):
+    """The pipeline's rows against plain versions of all its stages."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    out = corpus_pipeline.run(spark, folder).collect()
+    left = {i: (s, t) for i, s, t in plain_pipeline(rows)}
+    coder = Tokenizer.from_file(vocabulary_file("word_bpe_49k.json"))
+    ids = {i: coder.encode(t, add_special_tokens=False).ids for i, (_, t) in left.items()}
+    times = collections.Counter(r.doc_id for r in out)
+    assert set(times) <= set(left) and max(times.values(), default=0) <= 2
+    for r in out:
+        assert np.frombuffer(r.ids, dtype="<u4").tolist() == ids[r.doc_id] and r.n_tokens == len(ids[r.doc_id])
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids[r.doc_id])).encode()).hexdigest()
+    sizes, got = collections.Counter(), collections.Counter()
+    for i, (s, t) in left.items():
+        sizes[s] += len(words(t))
+        got[s] += times[i] * len(words(t))
+    want = plain_targets(sizes) if sizes else {}
+    longest = max((len(words(t)) for _, t in left.values()), default=0)
     assert all(abs(got[s] - want[s]) <= longest for s in sizes)
-    model = bpe.vocabulary(vocabulary_file("word_bpe_49k.json"))
-    r = out.iloc[0]
-    text = pii.masked(rows[rows["doc_id"] == r["doc_id"]]["text"].iloc[0])
-    ids = [int(i) for x in next(model.texts([text])) for i in x[1].split()]
-    assert np.frombuffer(r["ids"], dtype="<u4").tolist() == ids
+    return out, left
+
+
+def test_pipeline(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "source").collect()]
+    out, left = check_pipeline(spark, DATA, rows)
+    assert len(out) > 50 and len(left) < sum(plain_kept(t) for _, t, _ in rows)
+
+
+def test_pipeline_edge_rows(spark, docs, rows, tmp_path):
+    """Null, empty, blank, very long, repeated and tied rows, a null id, and an empty table."""
+    docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    check_pipeline(spark, f"{tmp_path}/odd", [(None if pd.isna(r.doc_id) else int(r.doc_id), r.text, r.source) for r in rows.itertuples()])
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert check_pipeline(spark, f"{tmp_path}/none", [])[0] == []
 
 
 def test_keep_one_finds_similar_texts(spark):
