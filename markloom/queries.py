@@ -447,5 +447,139 @@ def document_listing(spark, sf_dir):
     return store.document_listing(docs)
 
 
+# ---- functions and operators one by one ---------------------------------------------------------------------------
+
+
+#: Item numbers and names as ASCII words that are near each other.
+NEAR_SQL = "SELECT p_partkey, lower(regexp_replace(p_name, '[^a-zA-Z0-9]', '', 'g')) AS a, lower(p_type) || (p_partkey % 1000) AS b FROM part"
+
+
+@query(f"""WITH w AS ({NEAR_SQL}), f AS (SELECT p_partkey, a, b, translate(replace(a, 'rn', 'm'), 'l1|05', 'iiios') AS fa, translate(replace(b, 'rn', 'm'), 'l1|05', 'iiios') AS fb FROM w)
+SELECT p_partkey, levenshtein(a, b)::INT AS distance, CASE WHEN a = b THEN 1.0 ELSE 1.0::DOUBLE - levenshtein(fa, fb)::DOUBLE / greatest(length(fa), length(fb)) END AS similarity FROM f""")
+def token_similarities(spark, sf_dir):
+    """ASCII words: DuckDB's edit distance counts bytes."""
+    a, b = F.lower(F.regexp_replace("p_name", "[^a-zA-Z0-9]", "")), F.concat(F.lower("p_type"), (F.col("p_partkey") % 1000).cast("string"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.levenshtein(a, b).alias("distance"), text.token_similarity(a, b).alias("similarity"))
+
+
+@query(r"""WITH t AS (SELECT o_orderkey, (['x', 'the red lamp is lit', 'a rod lamp', 'red lnmp here', 'one more tall red lamp'])[1 + o_orderkey % 5] AS t, (['red lamp', 'rod lamb', 'red lamp is'])[1 + o_orderkey % 3] AS p FROM orders),
+n AS (SELECT *, string_split(t, ' ') AS w, string_split(p, ' ') AS q FROM t),
+o AS (SELECT *, unnest(range(0, greatest(0, len(w) - len(q) + 1)::BIGINT)) AS k FROM n),
+s AS (SELECT o_orderkey, k, len(q) AS m, list_transform(range(1, len(q) + 1), lambda j: CASE WHEN q[j] = w[k + j] THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein(translate(replace(q[j], 'rn', 'm'), 'l1|05', 'iiios'), translate(replace(w[k + j], 'rn', 'm'), 'l1|05', 'iiios'))::DOUBLE / greatest(length(translate(replace(q[j], 'rn', 'm'), 'l1|05', 'iiios')), length(translate(replace(w[k + j], 'rn', 'm'), 'l1|05', 'iiios'))) END) AS v FROM o),
+b AS (SELECT o_orderkey, k, CASE WHEN list_min(v) < 0.68 THEN 0.0::DOUBLE ELSE list_sum(v) / m END AS x FROM s),
+m AS (SELECT o_orderkey, max(x) AS x, min(k) FILTER (x = y) AS k FROM (SELECT *, max(x) OVER (PARTITION BY o_orderkey) AS y FROM b) GROUP BY o_orderkey)
+SELECT n.o_orderkey, CASE WHEN contains(t, p) THEN strpos(t, p) - 1 WHEN x >= 0.8 THEN coalesce(list_sum(list_transform(w[1:k], lambda z: length(z) + 1)), 0) END::INT AS start,
+  CASE WHEN contains(t, p) THEN 1.0 WHEN x >= 0.8 THEN round(x, 9) END AS similarity FROM n LEFT JOIN m USING (o_orderkey)""")
+def phrases_found(spark, sf_dir):
+    k = F.col("o_orderkey")
+    said = F.get(F.array(*[F.lit(t) for t in ("x", "the red lamp is lit", "a rod lamp", "red lnmp here", "one more tall red lamp")]), (k % 5).cast("int"))
+    phrase = F.get(F.array(*[F.lit(t) for t in ("red lamp", "rod lamb", "red lamp is")]), (k % 3).cast("int"))
+    found = read(spark, sf_dir, "orders").select("o_orderkey", text.find_phrase(said, phrase).alias("f"))
+    return found.select("o_orderkey", F.col("f.start").alias("start"), F.round("f.similarity", 9).alias("similarity"))
+
+
+@query(r"""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Q' || (event_id % 40) || ' (a) x' WHEN 1 THEN CASE WHEN event_id % 40 IN (31, 33) THEN 'Q' || (event_id % 40) || ' x' ELSE 'O ' || (event_id % 40) || ' x' END
+  WHEN 2 THEN 'omega' || (event_id % 40) || ' = 5' WHEN 3 THEN 'Q' || (event_id % 40) || ':' WHEN 4 THEN 'plain' || chr(10) || CASE WHEN event_id % 40 IN (31, 33) THEN 'Q' || (event_id % 40) ELSE '@' || (event_id % 40) END ELSE '' END AS fixed FROM events""")
+def headings_normalised(spark, sf_dir):
+    e, n = F.col("event_id"), (F.col("event_id") % 40).cast("string")
+    join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    line = F.when(e % 6 == 0, join("g", n, " (a) x")).when(e % 6 == 1, join("O ", n, " x")).when(e % 6 == 2, join("omega", n, " = 5")).when(e % 6 == 3, join("( q ) ", n, ":")).when(e % 6 == 4, join("plain\n@", n)).otherwise("")
+    return read(spark, sf_dir, "events").select("event_id", text.normalise_headings(line, F.array(F.lit(31), F.lit(33))).alias("fixed"))
+
+
+#: A passage read in overlapping pieces.
+PIECES_SQL = "SELECT doc_id, trim(substr(n, 1, 80)) AS a, trim(CASE doc_id % 4 WHEN 0 THEN upper(substr(n, 1, 80)) WHEN 1 THEN substr(n, 20, 30) WHEN 2 THEN '' ELSE substr(n, 60, 60) END) AS b FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[^a-zA-Z0-9 ]', '', 'g'), ' +', ' ', 'g') AS n FROM documents)"
+
+
+@query(f"""WITH p AS ({PIECES_SQL}) SELECT doc_id, CASE WHEN b = '' THEN a WHEN a = '' THEN b WHEN contains(lower(a), lower(b)) THEN a WHEN contains(lower(b), lower(a)) THEN b ELSE a || chr(10) || b END AS joined FROM p""")
+def seams_joined(spark, sf_dir):
+    n = F.regexp_replace(F.regexp_replace("text", "[^a-zA-Z0-9 ]", ""), " +", " ")
+    d = F.col("doc_id") % 4
+    b = F.when(d == 0, F.upper(F.substring(n, 1, 80))).when(d == 1, F.substring(n, 20, 30)).when(d == 2, "").otherwise(F.substring(n, 60, 60))
+    return read(spark, sf_dir, "documents").select("doc_id", text.join_text(F.substring(n, 1, 80), b).alias("joined"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, text AS t, CASE doc_id % 3 WHEN 0 THEN substr(text, 11, 20) WHEN 1 THEN replace(upper(substr(text, 11, 20)), ' ', chr(10)) ELSE 'certainly not in it' END AS o FROM documents WHERE regexp_full_match(substr(text, 1, 40), '[A-Za-z ]+') AND substr(text, 11, 20) = trim(substr(text, 11, 20)))
+SELECT doc_id, CASE WHEN contains(t, o) THEN strpos(t, o) - 1 WHEN contains(lower(t), lower(replace(o, chr(10), ' '))) AND o <> 'certainly not in it' THEN strpos(lower(t), lower(replace(o, chr(10), ' '))) - 1 END::INT AS at FROM t""")
+def openings_located(spark, sf_dir):
+    opening = F.substring("text", 11, 20)
+    docs = read(spark, sf_dir, "documents").filter(F.substring("text", 1, 40).rlike(r"^[A-Za-z ]+\z") & (opening == F.trim(opening)))
+    d = F.col("doc_id") % 3
+    said = F.when(d == 0, opening).when(d == 1, F.replace(F.upper(opening), F.lit(" "), F.lit("\n"))).otherwise("certainly not in it")
+    return docs.select("doc_id", text.locate(F.col("text"), said).cast("int").alias("at"))
+
+
+FOLDED = "\u2018\u2019\u201a\u201c\u201d\u201e\u2013\u2014\u2212\u00a0\u2022\u00d7", "''''''\"\"\"--- *x"  # quotes doubled, as SQL wants them
+
+
+@query(f"""SELECT doc_id, md5(regexp_replace(translate(replace(replace(text, '…', '...'), '₹', 'Rs '), '{FOLDED[0]}', '{FOLDED[1]}'), '[^\\x20-\\x7E\\n]', '', 'g')) AS folded FROM documents""")
+def ascii_folded(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.ascii_fold(F.col("text"))).alias("folded"))
+
+
+@query(rf"""SELECT doc_id, (350 + list_sum(list_transform(string_split(text, chr(10)), lambda p: greatest(ceil(length(p) / 3.2::DOUBLE), ceil(len(regexp_extract_all(p, '[^{W}]+')) * 1.3::DOUBLE + length(regexp_replace(p, '[\p{{L}}\p{{N}}{W}]', '', 'g')) * 0.5::DOUBLE)) + 4)))::BIGINT AS request,
+  length(regexp_replace(text, '[^\p{{L}}\p{{N}}]', '', 'g')) < 20 AND doc_id % 3 <> 0 AS unread FROM documents""")
+def request_estimates(spark, sf_dir):
+    source = F.when(F.col("doc_id") % 3 == 0, "transcription")
+    return read(spark, sf_dir, "documents").select("doc_id", text.estimate_request(F.split("text", "\n")).alias("request"), text.needs_transcription(F.col("text"), source).alias("unread"))
+
+
+@query(f"""WITH i AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE[1:])}) AS n, l_returnflag || l_linestatus AS t, l_quantity * 4 AS x, 700 - floor(l_discount * 40) * 2 AS y, 20.0::DOUBLE AS wd, l_tax > 0.07 AS eol FROM lineitem),
+s AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL THEN '' WHEN lag(eol) OVER w OR abs(y - lag(y) OVER w) > 2.5 THEN chr(10) WHEN x - (lag(x) OVER w + lag(wd) OVER w) > 0.2::DOUBLE * 10 THEN ' ' ELSE '' END AS sep FROM i WINDOW w AS (PARTITION BY l_orderkey ORDER BY n))
+SELECT l_orderkey, string_agg(sep || t, '' ORDER BY n) AS text FROM s GROUP BY l_orderkey""")
+def page_texts(spark, sf_dir):
+    """Order lines as text items of a page, put together as its text."""
+    order = Window.partitionBy("l_orderkey").orderBy(*LINE[1:])
+    items = read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.row_number().over(order).alias("item_no"), F.concat("l_returnflag", "l_linestatus").alias("text"), (F.col("l_quantity") * 4).alias("x"), (700 - F.floor(F.col("l_discount") * 40) * 2).cast("double").alias("y"),
+        F.lit(20.0).alias("width"), F.lit(10.0).alias("font"), (F.col("l_tax") > 0.07).alias("eol"), F.lit(595.0).alias("page_width"), F.lit(842.0).alias("page_height"), F.lit(0).alias("page"),
+    )
+    return documents.pages_and_runs(items, ["l_orderkey", "page"])[0].select("l_orderkey", "text")
+
+
+@query("""WITH q AS (SELECT o_custkey, o_orderkey, (o_orderkey % 5 + 1)::DOUBLE AS m FROM orders), c AS (SELECT o_custkey, l_orderkey, sum(l_linenumber % 3 + 1)::DOUBLE AS s, count(*) - count(DISTINCT l_linenumber) AS twice FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+e AS (SELECT q.o_custkey, q.o_orderkey, 'sum' AS error FROM q LEFT JOIN c ON q.o_orderkey = c.l_orderkey WHERE abs(coalesce(s, 0) - m) > 1e-9
+ UNION ALL SELECT q.o_custkey, q.o_orderkey, 'twice' FROM q JOIN c ON q.o_orderkey = c.l_orderkey WHERE twice > 0
+ UNION ALL SELECT o_custkey, NULL, 'total' FROM (SELECT o_custkey, sum(m) AS m FROM q GROUP BY o_custkey) WHERE abs(m - 30) > 1e-9)
+SELECT o_custkey, error, count(*) AS n FROM e GROUP BY ALL""")
+def rubric_arithmetic(spark, sf_dir):
+    """Customers as rubrics, orders as questions, lines as criteria: the sums that don't add up."""
+    o = F.col("o_orderkey")
+    orders = read(spark, sf_dir, "orders")
+    questions = orders.select(F.col("o_custkey").alias("rubric_id"), o.alias("question_id"), (o % 5 + 1).cast("double").alias("max_marks"))
+    criteria = read(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == o).select(F.col("o_custkey").alias("rubric_id"), o.alias("question_id"), F.col("l_linenumber").alias("criterion_id"), (F.col("l_linenumber") % 3 + 1).cast("double").alias("max_marks"))
+    rubrics = orders.select(F.col("o_custkey").alias("rubric_id"), F.lit(30.0).alias("total_marks")).distinct()
+    kind = F.when(F.col("error").contains("twice"), "twice").when(F.col("error").contains("paper"), "total").otherwise("sum")
+    return validate.rubric_errors(criteria, questions, rubrics).groupBy(F.col("rubric_id").alias("o_custkey"), kind.alias("error")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE[1:])}) AS n, (n - 1) * 10 AS s, (n - 1) * 10 + 8 AS e FROM lineitem), q AS (SELECT o_orderkey, o_orderkey % 25 AS f, o_orderkey % 25 + 3 + o_orderkey % 17 AS t FROM orders)
+SELECT o_orderkey, count(l_orderkey)::INT AS met, (min(n) - 1)::INT AS first FROM q LEFT JOIN r ON l_orderkey = o_orderkey AND e > f AND s < t GROUP BY o_orderkey""")
+def spans_met(spark, sf_dir):
+    """Order lines as text runs of a page, each on a line of its own; orders as spans: which runs a span meets."""
+    order = Window.partitionBy("l_orderkey").orderBy(*LINE[1:])
+    rect = F.struct(F.lit(0).alias("page"), F.lit(0.1).alias("x"), (F.col("run_no") * 0.01).alias("y"), F.lit(0.5).alias("width"), F.lit(0.005).alias("height"))
+    runs = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), (F.row_number().over(order) - 1).alias("run_no"))
+    runs = runs.withColumns({"start": F.col("run_no") * 10, "end": F.col("run_no") * 10 + 8, "text": F.lit("eightish"), "rect": rect})
+    o = F.col("o_orderkey")
+    spans = read(spark, sf_dir, "orders").select(o.alias("doc_id"), o.alias("quote_id"), F.lit(0).alias("page"), (o % 25).cast("int").alias("from"), (o % 25 + 3 + o % 17).cast("int").alias("to"))
+    met = anchor.span_rects(spans, runs)
+    first = F.round(F.array_min(F.transform("rects", lambda r: r["y"])) / 0.01).cast("int")
+    return met.select(F.col("quote_id").alias("o_orderkey"), F.coalesce(F.size("rects"), F.lit(0)).alias("met"), first.alias("first"))
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+p AS (SELECT doc_id, doc_id % 7 + 1 AS number, 'Topic ' || (doc_id % 3) AS subject, (doc_id % 10 + 0.5)::DOUBLE AS marks FROM documents),
+b AS (SELECT doc_id, trim(regexp_replace(string_agg(regexp_replace(t, '^[{W}]+|[{W}]+$', '', 'g'), ' ' ORDER BY i), '[{W}]+', ' ', 'g')) AS prompt FROM l WHERE regexp_replace(t, '[{W}]', '', 'g') <> '' GROUP BY doc_id)
+SELECT p.doc_id, number::INT AS number, subject, marks AS max_marks, md5(coalesce(prompt, '')) AS prompt FROM p LEFT JOIN b USING (doc_id)""")
+def question_papers(spark, sf_dir):
+    """Documents as question papers of one question: a heading, marks, the text as prompt, and a line that is skipped."""
+    d = F.col("doc_id")
+    join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    said = join("preface\nQuestion ", d % 7 + 1, " - Topic ", d % 3, "\n", d % 10, ".5 Marks\n", F.col("text"), "\nExpected answer: none")
+    papers = read(spark, sf_dir, "documents").select("doc_id", said.alias("text"))
+    return rubric.parse_question_paper(papers).select("doc_id", "number", "subject", "max_marks", F.md5("prompt").alias("prompt"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review_decisions(spark, sf_dir)
