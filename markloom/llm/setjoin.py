@@ -7,10 +7,11 @@ shingles two sets differ in from below, at a sixteenth of the set's size. Sets t
 marks rule most of them out, and the rest are settled by counting, for which the sets of those texts alone are made again
 from the texts.
 
-What is wanted are classes, so candidates are met in two rounds. First every set is tested against one hub of each of its
-keys; a group of copies, however large, is connected by that. Then only pairs of sets that are not yet connected: of keys
-with up to FEW sets all pairs, of larger ones all blocks of BLOCK sets against all, several tasks to a key. No pair is
-estimated, capped or dropped; the second round is quadratic in a group of sets that share keys and yet are not connected.
+What is wanted are classes, so candidates are met in rounds. First every set is tested against a hub of each of its keys,
+and where some stay apart against another; a group of copies, however large, is connected by that. Then only pairs of sets
+that are not yet connected: of keys with up to FEW sets all pairs, of larger ones all blocks of BLOCK sets against all,
+several tasks to a key. No pair is estimated, capped or dropped; what comes after the hubs is quadratic in a group of sets
+that share keys and yet are not connected.
 
 Defined cases: a text without a word has no shingle, no key and no partner; fewer words than a shingle make one shingle;
 equal sets are one set; no texts give no edges.
@@ -33,6 +34,8 @@ from .graph import components
 COMMON_TEXTS, COMMON = 4_000, 500_000
 #: Sets of a key up to which all its pairs are met at once; sets of a block of a larger key.
 FEW, BLOCK = 24, 256
+#: Rounds of hubs at most, and pairs of a round after which no other is worth it. They order the work, not the result.
+ROUNDS, ENOUGH = 5, 20_000
 
 
 def lowered(texts: pd.Series) -> list[bytes]:
@@ -142,22 +145,57 @@ class Sets:
         left, right = sets.select(F.col("s").alias("a"), F.col("g").alias("_x")), sets.select(F.col("s").alias("b"), F.col("g").alias("_y"))
         return near.join(left, "a").join(right, "b").filter(holds("_x", "_y")).select("a", "b")
 
+    def _shared(self) -> DataFrame:
+        """(key, s, n, d): the keys that several sets have, with their sets, once each; d: how many such keys the set has.
+
+        Keys are first counted alone, as numbers of 48 bits: combined before the exchange, so a key of any share of the
+        rows is a row of each task, and most of what moves is gone after it.
+        """
+        keys = self.known.select("s", F.explode("keys").alias("key")).select("s", F.col("key").bitwiseAND(F.lit((1 << 48) - 1)).alias("key"))
+        often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
+        held = settle(keys.join(often, "key", "left_semi").distinct())
+        several = held.groupBy("key").agg(F.min("s").alias("_lo"), F.max("s").alias("_hi")).filter("_lo != _hi").select("key")
+        met = held.join(several, "key", "left_semi")
+        return settle(met.join(met.groupBy("s").agg(F.count(F.lit(1)).alias("d")), "s").join(self.one.select("s", "n"), "s"))
+
     def edges(self, few: int = FEW) -> DataFrame:
-        """Edges (a, b) between sets that connect exactly those connected by pairs of that similarity or more."""
-        keys = self.known.select("s", "n", F.explode("keys").alias("key"))
-        # Counted with copies, and combined before the exchange: a key of any share of the rows is one row of each task.
-        shared = settle(keys.groupBy("key").agg(F.count(F.lit(1)).alias("_count"), F.min("s").alias("hub"), F.max("s").alias("_hi")).filter("hub != _hi").drop("_hi"))
-        met = settle(joined(keys, shared, "key").distinct())
-        hubs = met.filter("s != hub").select(F.col("hub").alias("a"), F.col("s").alias("b")).distinct()
-        first = settle(self.verified(hubs))
-        roots = settle(components(first).select(F.col("node").alias("s"), F.col("component").alias("_c")))
-        rooted = met.join(roots, "s", "left").select("key", "_count", "s", "n", F.coalesce("_c", "s").alias("root"))
-        apart = rooted.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo != _hi").select("key")
+        """Edges (a, b) between sets that connect exactly those connected by pairs of that similarity or more.
+
+        A hub is the set of a key that has the most shared keys: of near copies the one closest to all. Where sets of a key
+        stay unconnected, the best of those outside the classes of earlier hubs is the next, up to ROUNDS times or until
+        few are left; pairs that no round settled are compared all with all.
+        """
+        met = self._shared()
+        found = tested = used = None
+        rooted = met.withColumn("root", F.col("s"))
+        for _ in range(ROUNDS):
+            if used is None:
+                fresh = rooted.withColumn("_new", F.lit(True))
+            else:
+                taken = used.join(rooted.select("s", "root").distinct(), "s").select("root").distinct().withColumn("_taken", F.lit(True))
+                fresh = rooted.join(taken, "root", "left").withColumn("_new", F.col("_taken").isNull())
+            best = F.max(F.when(F.col("_new"), F.struct("d", "s", "root")))
+            hubs = fresh.groupBy("key").agg(best.alias("_b"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo != _hi AND _b IS NOT NULL").select("key", F.col("_b.s").alias("_hub"), F.col("_b.root").alias("_of"))
+            pairs = rooted.join(hubs, "key").filter("root != _of").select(F.least("s", "_hub").alias("a"), F.greatest("s", "_hub").alias("b")).distinct()
+            pairs = settle(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+            n = pairs.count()
+            if n == 0:
+                break
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            used = settle(hubs.select(F.col("_hub").alias("s")).distinct() if used is None else used.unionByName(hubs.select(F.col("_hub").alias("s"))).distinct())
+            linked = self.verified(pairs)
+            found = settle(linked if found is None else found.unionByName(linked))
+            roots = settle(components(found).select(F.col("node").alias("s"), F.col("component").alias("_c")))
+            rooted = settle(met.join(roots, "s", "left").select("key", "s", "n", "d", F.coalesce("_c", "s").alias("root")))
+            if n <= ENOUGH:
+                break
+        apart = rooted.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_count")).filter("_lo != _hi").select("key", "_count")
         left = settle(rooted.join(apart, "key"))
         second = self._all_pairs(left.filter(F.col("_count") <= few), few).unionByName(self._blocks(left.filter(F.col("_count") > few)))
-        # Pairs with a hub were settled in the first round.
-        fresh = settle(second.distinct().join(hubs, ["a", "b"], "left_anti"))
-        return first if fresh.isEmpty() else first.unionByName(self.verified(fresh))
+        rest = settle(second.distinct() if tested is None else second.distinct().join(tested, ["a", "b"], "left_anti"))
+        if found is None:
+            return self.verified(rest)
+        return found if rest.isEmpty() else found.unionByName(self.verified(rest))
 
     def _all_pairs(self, met: DataFrame, few: int) -> DataFrame:
         """Pairs (a < b) of different roots of keys with up to few sets, of sizes near enough."""
