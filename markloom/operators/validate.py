@@ -7,6 +7,8 @@ table that Spark broadcasts by its size or shuffles on the same keys.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,31 +92,42 @@ def audit_rows(scores: DataFrame, unknown: DataFrame, totals: DataFrame, keys: l
     return out
 
 
-#: What a judgement must have: (field, JSON type, message). Fixed values.
+#: What a criterion's status, a finding's kind and its severity may be. Fixed values.
 STATUSES = ("correct", "partial", "missing", "incorrect")
+FINDING_KINDS = ("incorrect", "missing", "spelling", "grammar", "layout", "praise")
+SEVERITIES = ("minor", "major")
 JUDGEMENT_SCHEMA = """questionId STRING, summary STRING, selfConfidence DOUBLE,
  criteria ARRAY<STRUCT<criterionId: STRING, awardedMarks: DOUBLE, status: STRING, evidenceQuote: STRING, reasoning: STRING, correction: STRING>>,
  findings ARRAY<STRUCT<criterionId: STRING, kind: STRING, quote: STRING, region: STRUCT<page: INT, x: DOUBLE, y: DOUBLE, width: DOUBLE, height: DOUBLE>, comment: STRING, correction: STRING, severity: STRING>>"""
 
 
 def parse_judgements(raw: DataFrame, column: str = "raw") -> DataFrame:
-    """Adds `parsed` (struct) and `errors` (array of path-prefixed messages; empty if the judgement is well-formed)."""
+    """Adds `parsed` (struct) and `errors`: messages with their path, array places included; empty if it is well-formed.
+
+    Null and missing are the same; what may be null isn't asked for.
+    """
     from ..functions.text import salvage_json
 
     parsed = raw.withColumn("_json", salvage_json(F.col(column))).withColumn("parsed", F.from_json("_json", JUDGEMENT_SCHEMA))
-    p = F.col("parsed")
-    rules = [
-        (F.col("_json").isNull(), "(root): not a JSON object"),
-        (F.col("_json").isNotNull() & p["questionId"].isNull(), "questionId: Required"),
-        (F.col("_json").isNotNull() & p["criteria"].isNull(), "criteria: Required"),
-        (F.col("_json").isNotNull() & p["findings"].isNull(), "findings: Required"),
-        (F.col("_json").isNotNull() & p["summary"].isNull(), "summary: Required"),
-        (F.col("_json").isNotNull() & ~F.coalesce(p["selfConfidence"].between(0, 1), F.lit(False)), "selfConfidence: Expected a number from 0 to 1"),
-        (F.exists(F.coalesce(p["criteria"], F.array()), lambda c: ~F.coalesce(c["status"].isin(*STATUSES), F.lit(False))), "criteria.status: Invalid enum value"),
-        (F.exists(F.coalesce(p["criteria"], F.array()), lambda c: c["criterionId"].isNull()), "criteria.criterionId: Required"),
-        (F.exists(F.coalesce(p["criteria"], F.array()), lambda c: c["awardedMarks"].isNull()), "criteria.awardedMarks: Required"),
-    ]
-    return parsed.withColumn("errors", F.array_compact(F.array(*[F.when(bad, F.lit(message)) for bad, message in rules]))).drop("_json")
+    p, there = F.col("parsed"), F.col("_json").isNotNull()
+
+    def required(of: Column, field: str) -> tuple[Column, str]:
+        return of[field].isNull(), f"{field}: Required"
+
+    def one_of(of: Column, field: str, allowed: tuple[str, ...]) -> tuple[Column, str]:
+        return ~F.coalesce(of[field].isin(*allowed), F.lit(False)), f"{field}: Expected one of {', '.join(allowed)}"
+
+    def each(field: str, rules: Callable[[Column], list[tuple[Column, str]]]) -> Column:
+        say = lambda x, i: F.array_compact(F.array(*[F.when(bad, F.concat(F.lit(f"{field}."), i.cast("string"), F.lit(f".{m}"))) for bad, m in rules(x)]))
+        return F.flatten(F.transform(F.coalesce(p[field], F.array()), say))
+
+    root = [(~there, "(root): not a JSON object"), *[(there & bad, m) for bad, m in (required(p, f) for f in ("questionId", "criteria", "findings", "summary", "selfConfidence"))]]
+    in_criteria = each("criteria", lambda c: [required(c, "criterionId"), required(c, "awardedMarks"), one_of(c, "status", STATUSES), required(c, "reasoning")])
+    box = lambda f: [(f["region"].isNotNull() & f["region"][k].isNull(), f"region.{k}: Required") for k in ("page", "x", "y", "width", "height")]
+    page = lambda f: (F.coalesce(f["region"]["page"] < 0, F.lit(False)), "region.page: Expected 0 or more")
+    in_findings = each("findings", lambda f: [one_of(f, "kind", FINDING_KINDS), required(f, "comment"), one_of(f, "severity", SEVERITIES), *box(f), page(f)])
+    said = F.array_compact(F.array(*[F.when(bad, F.lit(m)) for bad, m in root]))
+    return parsed.withColumn("errors", F.concat(said, in_criteria, in_findings)).drop("_json")
 
 
 def rubric_errors(criteria: DataFrame, questions: DataFrame, rubrics: DataFrame) -> DataFrame:

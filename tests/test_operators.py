@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from markloom.operators import anchor, chunk, diagram, judge, passes, pixels, rubric, search, segment, transcript, validate
-from markloom.plans import grade
+from markloom.plans import ask, grade
 from markloom.sources import documents, report, store
 from markloom.streaming import ingest, limits
 
@@ -232,13 +232,34 @@ def test_untrusted_judgements(spark, paper):
     totals = validate.question_totals(scores, ["question_id"])
     audit = validate.audit_rows(scores, unknown, totals, ["question_id"])
     assert [r.kind for r in audit.orderBy("kind").collect()] == ["clamped_above_max", "rubric_criterion_missing", "total_recomputed", "unknown_criterion_ignored"]
-    raw = spark.createDataFrame([('Sure: {"questionId":"q","summary":"s","selfConfidence":0.5,"criteria":[{"criterionId":"c","awardedMarks":1,"status":"correct"}],"findings":[]} ok',), ('{"questionId":"q"',), ('{"questionId":"q","summary":"s","selfConfidence":3,"criteria":[{"status":"great"}],"findings":[]}',)], "raw string")
+    raw = spark.createDataFrame([('Sure: {"questionId":"q","summary":"s","selfConfidence":0.5,"criteria":[{"criterionId":"c","awardedMarks":1,"status":"correct","reasoning":"r"}],"findings":[{"kind":"praise","comment":"k","severity":"minor"}]} ok',), ('{"questionId":"q"',), ('{"questionId":"q","summary":"s","selfConfidence":3,"criteria":[{"criterionId":"c","awardedMarks":1,"status":"partial","reasoning":""},{"status":"great"}],"findings":[{"kind":"presentation","comment":"k","severity":"major","region":{"page":0,"x":0,"width":1,"height":1}}]}',)], "raw string")
     got = [r.errors for r in validate.parse_judgements(raw).collect()]
-    assert got[0] == [] and got[1] == ["(root): not a JSON object"] and len(got[2]) == 4
+    assert got[0] == [] and got[1] == ["(root): not a JSON object"]
+    # A self-confidence out of range is clamped later, not refused.
+    assert got[2] == ["criteria.1.criterionId: Required", "criteria.1.awardedMarks: Required", "criteria.1.status: Expected one of correct, partial, missing, incorrect", "criteria.1.reasoning: Required", "findings.0.kind: Expected one of incorrect, missing, spelling, grammar, layout, praise", "findings.0.region.y: Required"]
     found = spark.createDataFrame([("q", i, None, None) for i in range(4)] + [("q", 9, "a quote", None)], "question_id string, ordinal int, quote string, region string")
     assert [r.fate for r in validate.place_findings(found, ["question_id"]).orderBy("ordinal").collect()] == ["kept", "kept", "noted", "noted", "kept"]
 
 
+def test_refused_answers_are_asked_in_smaller_passages(spark):
+    line = "The answer goes on in words of some length, line after line of it.\n"
+    answers = spark.createDataFrame([("a", "q1", line * 4), ("a", "q2", line * 60), ("a", "q3", "x" * 9000), ("a", "q4", "garbled")], "doc_id string, question_id string, text string")
+
+    def judge(batch):
+        # refuses over 1,500 characters, and all of one endless word; breaks on one answer
+        bad = batch["text"].str.len() > 1500
+        endless = ~batch["text"].str.contains(" ")
+        return batch.assign(raw=batch["text"].str.len().astype(str), outcome=["invalid" if t == "garbled" else "too_large" if b or e else "ok" for t, b, e in zip(batch["text"], bad, endless)])
+
+    replies, ungraded = ask.ask(answers, judge, 1000)
+    got = replies.collect()
+    assert {r.question_id for r in got} == {"q1", "q2"} and sum(r.chars for r in got if r.question_id == "q2") >= len(line) * 60 - 60
+    passes_of = sorted(r.pass_no for r in got if r.question_id == "q2")
+    assert passes_of == list(range(1, len(passes_of) + 1)) and len(passes_of) >= 3 and [r.raw for r in got if r.question_id == "q1"] == [str(len(line) * 4)]
+    reasons = {r.question_id: r.reason for r in ungraded.collect()}
+    assert set(reasons) == {"q3", "q4"} and "passages of about" in reasons["q3"]
+
+
 def test_rubric_arithmetic(spark, paper):
     _, _, criteria, _ = paper
     c = criteria.withColumn("rubric_id", F.lit("r"))
