@@ -243,6 +243,14 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, ra
     return dealt.select("_range", "key", "ids").mapInPandas(run, "file string, range int, docs long, tokens long, width int")
 
 
+def clear(folder: str) -> None:
+    """Removes what failed attempts left in a folder of records that is written."""
+    store, top = _open(folder)
+    for found in store.get_file_info(fs.FileSelector(top)):
+        if ".tmp" in found.base_name:
+            store.delete_file(found.path)
+
+
 #: Bytes that a reader holds at once, or one longer record.
 READ_BYTES = 8 << 20
 
@@ -300,4 +308,6 @@ def round_trip(docs: DataFrame, tokenizer_path: str, folder: str | None = None,
     """Writes docs to a new folder under the shared one and reads the records back."""
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
-    return read(spark, settle(write(docs, tokenizer_path, folder, ranges=ranges, doc_id=doc_id, text=text)), folder)
+    files = settle(write(docs, tokenizer_path, folder, ranges=ranges, doc_id=doc_id, text=text))
+    clear(folder)
+    return read(spark, files, folder)

@@ -73,14 +73,16 @@ def permute(rows: np.ndarray, n: int, seed: int, inverse: bool = False) -> np.nd
 def number_rows(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds the 0-based global row number in the given order; df should be narrow.
 
-    The partitions of the range exchange are fixed by a checkpoint, since numbering needs them twice.
+    Rows that are equal throughout go by their place in the input, so that they spread over ranges like others. A row's
+    place in its sorted range is read off its id there; both are fixed by a checkpoint, since numbering needs them twice.
     """
-    held = settle(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    counts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))  # a row for each partition
+    ranged = df.withColumn("_in", F.monotonically_increasing_id()).repartitionByRange(*order, "_in").sortWithinPartitions(*order, "_in").drop("_in")
+    held = settle(ranged.withColumn("_id", F.monotonically_increasing_id()))  # the partition, and 33 bits for the row in it
+    placed = held.withColumns({"_part": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))  # a row for each partition
     before = counts.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    numbered = held.withColumn("_place", place).join(F.broadcast(before), "_part")
-    return numbered.withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+    numbered = placed.join(F.broadcast(before), "_part")
+    return numbered.withColumn(name, F.col("_before") + F.col("_place")).drop("_id", "_part", "_place", "_before")
 
 
 def shard(docs: DataFrame, shards: int = 24, seed: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
