@@ -61,11 +61,30 @@ def rule_judgements(answers: DataFrame, rules: DataFrame, keys: list[str]) -> Da
 
 
 def surface_errors(answers: DataFrame, errors: DataFrame, keys: list[str]) -> DataFrame:
-    """The first six spelling slips of each answer, in table order: quoted with four words around; they never cost marks."""
-    met = answers.select(*keys, "text").join(errors.select(F.col("ordinal").alias("_o"), "wrong", "right"), F.contains("text", "wrong"))
+    """The first six slips of each answer, in table order: quoted with four words around; they never cost marks.
+
+    errors: ordinal, wrong, right and, if there, kind (spelling or grammar).
+    """
+    kind = F.col("kind") if "kind" in errors.columns else F.lit("spelling")
+    known = errors.select(F.col("ordinal").alias("_o"), "wrong", "right", kind.alias("kind"))
     at = F.instr("text", F.col("wrong"))
-    hits = met.filter(at > 0).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_o"))).filter(F.col("_n") <= MOST_SURFACE)
-    return hits.select(*keys, "wrong", "right", window_around(F.col("text"), at - 1, at - 1 + F.length("wrong"), 4).alias("quote"))
+    met = answers.select(*keys, "text").join(known, F.contains("text", "wrong"))
+    hits = met.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_o"))).filter(F.col("_n") <= MOST_SURFACE)
+    comment = F.concat(F.lit('"'), "wrong", F.lit('" should be "'), "right", F.lit('".'))
+    return hits.select(*keys, "wrong", "right", "kind", comment.alias("comment"), F.lit("minor").alias("severity"), window_around(F.col("text"), at - 1, at - 1 + F.length("wrong"), 4).alias("quote"))
+
+
+def unjudgeable(asked: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, reason) of questions that the rule judge can't mark: inferred (its criteria are nobody's rules), or
+    unsupported (no rule knows any of its criteria).
+
+    asked: keys, criterion_id, description and, if there, source (instructor or ai-inferred).
+    """
+    known = rules.select("criterion_id", normalise(F.col("description")).alias("_d")).distinct().withColumn("_k", F.lit(True))
+    inferred = F.col("source") == "ai-inferred" if "source" in asked.columns else F.lit(False)
+    met = asked.withColumn("_d", normalise(F.col("description"))).join(known, ["criterion_id", "_d"], "left")
+    one = met.groupBy(*keys).agg(F.bool_or(F.coalesce(inferred, F.lit(False))).alias("_i"), F.count("_k").alias("_n"))
+    return one.filter("_i OR _n = 0").select(*keys, F.when(F.col("_i"), "inferred").otherwise("unsupported").alias("reason"))
 
 
 def self_confidence(judged: DataFrame, keys: list[str]) -> DataFrame:

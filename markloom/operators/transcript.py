@@ -115,6 +115,15 @@ def sanitise(lines: DataFrame, diagrams: DataFrame, keys: list[str]) -> DataFram
     return kept.withColumn("text", F.when(F.col("_void"), "[diagram 0]").otherwise(F.col("text"))).drop("_m", "_known", "_void", "_first", "_again")
 
 
+def rated_unstable(pages: DataFrame, unstable: DataFrame, keys: list[str]) -> DataFrame:
+    """pages (keys, legibility, unclear) with those of `unstable` rated poor, and a line that says so among what is unclear."""
+    hit = unstable.select(*keys).distinct().withColumn("_u", F.lit(True))
+    joined = pages.join(hit, keys, "left")
+    said = F.array_append(F.coalesce("unclear", F.array().cast("array<string>")), F.lit("the transcript of this page was unstable and was cleaned up; compare it with the page"))
+    bad = F.col("_u").isNotNull()
+    return joined.withColumns({"legibility": F.when(bad, "poor").otherwise(F.col("legibility")), "unclear": F.when(bad, said).otherwise(F.col("unclear"))}).drop("_u")
+
+
 # ---- lines on ink rows --------------------------------------------------------------------------------------------
 
 #: Cost of leaving a line or a row out; the widest gap of coordinates that still pairs. Fixed values.

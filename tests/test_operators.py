@@ -509,4 +509,19 @@ def test_judges(spark):
     tries = spark.createDataFrame([(1, 1, "transient", 0, 0), (2, 3, "transient", 0, 0), (3, 1, "invalid", 0, 0), (4, 2, "invalid", 1, 0), (5, 1, "too_large", 0, 1), (6, 1, "ok", 0, 0)], "id int, attempt int, outcome string, repairs int, shrinks int")
     assert rows(judge.attempt_fate(tries, ["id"]), "id", "fate", "wait_ms") == [(1, "retry", 400), (2, "outage", None), (3, "repair", None), (4, "ungraded", None), (5, "split", None), (6, "done", None)]
     errors = judge.surface_errors(spark.createDataFrame([("a", "the circut has a currant in it")], "doc_id string, text string"), spark.createDataFrame([(1, "circut", "circuit"), (2, "absent", "x"), (3, "currant", "current")], "ordinal int, wrong string, right string"), ["doc_id"])
-    assert rows(errors, "wrong") == [("circut",), ("currant",)]
+    assert rows(errors, "wrong", "kind") == [("circut", "spelling"), ("currant", "spelling")] and errors.first().comment == '"circut" should be "circuit".'
+    asked = spark.createDataFrame([("q1", "c1", "Known words", "instructor"), ("q1", "c2", "others", "instructor"), ("q2", "c1", "Not these", "instructor"), ("q3", "c1", "Known words", "ai-inferred")], "question_id string, criterion_id string, description string, source string")
+    rules = spark.createDataFrame([("c1", "KNOWN words.", "award", 1, False, "x", "y", None)], judge.RULES)
+    assert rows(judge.unjudgeable(asked, rules, ["question_id"]), "question_id", "reason") == [("q2", "unsupported"), ("q3", "inferred")]
+
+
+def test_summary_box_is_guidance(spark):
+    points = spark.createDataFrame([("q", 1, "Law", 2.0, 5.0), ("q", 2, "Proof", 3.0, 5.0), ("q", 3, "step a", 1.0, 5.0), ("q", 4, "step b", 1.0, 5.0), ("q", 5, "step c", 3.0, 5.0)], "q string, i int, description string, max_marks double, stated double")
+    made = rubric.summary_guidance(rubric.trim_fate(points, ["q"], "i"), ["q"], "i").first()
+    assert made.guidance == "Mark distribution from the scheme's summary: Law — 2; Proof — 3." and "(2 + 3 = 5)" in made.note
+
+
+def test_unstable_pages_are_rated_poor(spark):
+    pages = spark.createDataFrame([("d", 0, "good", ["x"]), ("d", 1, None, None)], "doc_id string, page int, legibility string, unclear array<string>")
+    got = transcript.rated_unstable(pages, pages.filter("page = 1"), ["doc_id", "page"]).orderBy("page").collect()
+    assert got[0].legibility == "good" and got[0].unclear == ["x"] and got[1].legibility == "poor" and len(got[1].unclear) == 1
