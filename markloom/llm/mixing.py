@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, settle, word_count
+from .common import settle, word_count
 from .graph import components
 
 
