@@ -16,7 +16,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from markloom.llm import bpe, mixing, pii, quality, simhash
 from markloom.llm.common import shared_folder, table

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACES, estimate_tokens, let, strip
+from ..functions.text import SPACES, estimate_tokens, strip
 
 #: Lines that begin a section, a question or a part of one. Fixed values.
 SECTION = r"(?i)^\s*SECTION\s*[-–—:]?\s*([A-Z])\b"
