@@ -83,7 +83,7 @@ def rules(m: dict[str, Column]) -> dict[str, Column]:
     return {
         "few_words": m["n_words"] < LEAST_WORDS,
         "symbols": m["n_symbols"] * 100 > m["word_chars"] * MOST_SYMBOLS,
-        "repeated_lines": m["lines"]["dup"] * 100 > m["lines"]["n"] * MOST_DUP_LINES,
+        "repeated_lines": let(m["lines"], lambda x: x["dup"] * 100 > x["n"] * MOST_DUP_LINES),
         "few_letters": m["n_letter_runs"] * 100 < m["n_words"] * LEAST_LETTERS,
         "repeated_words": m["n_repeat_words"] * 100 > m["n_words"] * MOST_REPEATED,
     }
