@@ -7,11 +7,10 @@ shingles two sets differ in from below, at a sixteenth of the set's size. Sets t
 marks rule most of them out, and the rest are settled by counting, for which the sets of those texts alone are made again
 from the texts.
 
-What is wanted are classes, so candidates are met in rounds. First every set is tested against a hub of each of its keys,
-and where some stay apart against another; a group of copies, however large, is connected by that. Then only pairs of sets
-that are not yet connected: of keys with up to FEW sets all pairs, of larger ones all blocks of BLOCK sets against all,
-several tasks to a key. No pair is estimated, capped or dropped; what comes after the hubs is quadratic in a group of sets
-that share keys and yet are not connected.
+A key of up to FEW sets gives all their pairs. What is wanted are classes, so the sets of a larger key are tested against a
+hub, and where some stay apart against another; a group of near copies, however large, is connected by that. Then only sets
+that are not yet connected are compared, all blocks of BLOCK sets against all, several tasks to a key. No pair is estimated,
+capped or dropped; what comes after the hubs is quadratic in a group of sets that share keys and yet are not connected.
 
 Defined cases: a text without a word has no shingle, no key and no partner; fewer words than a shingle make one shingle;
 equal sets are one set; no texts give no edges.
@@ -146,7 +145,7 @@ class Sets:
         return near.join(left, "a").join(right, "b").filter(holds("_x", "_y")).select("a", "b")
 
     def _shared(self) -> DataFrame:
-        """(key, s, n, d): the keys that several sets have, with their sets, once each; d: how many such keys the set has.
+        """(key, s, m): the keys that several sets have, with their sets, once each, and how many they are.
 
         Keys are first counted alone, as numbers of 48 bits: combined before the exchange, so a key of any share of the
         rows is a row of each task, and most of what moves is gone after it.
@@ -154,27 +153,43 @@ class Sets:
         keys = self.known.select("s", F.explode("keys").alias("key")).select("s", F.col("key").bitwiseAND(F.lit((1 << 48) - 1)).alias("key"))
         often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
         held = settle(keys.join(often, "key", "left_semi").distinct())
-        several = held.groupBy("key").agg(F.min("s").alias("_lo"), F.max("s").alias("_hi")).filter("_lo != _hi").select("key")
-        met = held.join(several, "key", "left_semi")
-        return settle(met.join(met.groupBy("s").agg(F.count(F.lit(1)).alias("d")), "s").join(self.one.select("s", "n"), "s"))
+        return settle(held.join(held.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "key"))
 
     def edges(self, few: int = FEW) -> DataFrame:
         """Edges (a, b) between sets that connect exactly those connected by pairs of that similarity or more.
 
-        A hub is the set of a key that has the most shared keys: of near copies the one closest to all. Where sets of a key
-        stay unconnected, the best of those outside the classes of earlier hubs is the next, up to ROUNDS times or until
-        few are left; pairs that no round settled are compared all with all.
+        Keys of up to `few` sets give all their pairs. Those of larger keys meet hubs first (see `_through_hubs`).
         """
         met = self._shared()
-        found = tested = used = None
-        rooted = met.withColumn("root", F.col("s"))
+        small = met.filter(F.col("m") <= few).groupBy("key").agg(F.sort_array(F.collect_list("s")).alias("l")).select("l").distinct()
+        each = f"flatten(transform(l, (x, i) -> transform(slice(l, i + 2, {few}), y -> struct(x AS a, y AS b))))"
+        pairs = small.select(F.explode(F.expr(each)).alias("e")).select("e.a", "e.b").distinct()
+        found = settle(self.verified(pairs))
+        crowd = met.filter(F.col("m") > few)
+        return found if crowd.isEmpty() else self._through_hubs(crowd, found)
+
+    def _through_hubs(self, crowd: DataFrame, found: DataFrame) -> DataFrame:
+        """found, and edges that connect the sets of crowded keys (key, s).
+
+        A hub is the set of a key that has the most crowded keys: of near copies the one closest to all. Where sets of a
+        key stay unconnected, the best of those outside the classes of earlier hubs is the next, up to ROUNDS times or
+        until few are left; pairs that no round settled are compared all with all.
+        """
+        met = crowd.join(crowd.groupBy("s").agg(F.count(F.lit(1)).alias("d")), "s").join(self.one.select("s", "n"), "s").select("key", "s", "d", "n")
+        tested = used = None
+
+        def rooted_by(edges: DataFrame) -> DataFrame:
+            roots = components(edges).select(F.col("node").alias("s"), F.col("component").alias("_c"))
+            return settle(met.join(roots, "s", "left").select("key", "s", "n", "d", F.coalesce("_c", "s").alias("root")))
+
+        rooted = rooted_by(found)
         for _ in range(ROUNDS):
-            if used is None:
-                fresh = rooted.withColumn("_new", F.lit(True))
-            else:
+            new = F.lit(True)
+            fresh = rooted
+            if used is not None:
                 taken = used.join(rooted.select("s", "root").distinct(), "s").select("root").distinct().withColumn("_taken", F.lit(True))
-                fresh = rooted.join(taken, "root", "left").withColumn("_new", F.col("_taken").isNull())
-            best = F.max(F.when(F.col("_new"), F.struct("d", "s", "root")))
+                fresh, new = rooted.join(taken, "root", "left"), F.col("_taken").isNull()
+            best = F.max(F.when(new, F.struct("d", "s", "root")))
             hubs = fresh.groupBy("key").agg(best.alias("_b"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo != _hi AND _b IS NOT NULL").select("key", F.col("_b.s").alias("_hub"), F.col("_b.root").alias("_of"))
             pairs = rooted.join(hubs, "key").filter("root != _of").select(F.least("s", "_hub").alias("a"), F.greatest("s", "_hub").alias("b")).distinct()
             pairs = settle(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
@@ -183,25 +198,16 @@ class Sets:
                 break
             tested = pairs if tested is None else tested.unionByName(pairs)
             used = settle(hubs.select(F.col("_hub").alias("s")).distinct() if used is None else used.unionByName(hubs.select(F.col("_hub").alias("s"))).distinct())
-            linked = self.verified(pairs)
-            found = settle(linked if found is None else found.unionByName(linked))
-            roots = settle(components(found).select(F.col("node").alias("s"), F.col("component").alias("_c")))
-            rooted = settle(met.join(roots, "s", "left").select("key", "s", "n", "d", F.coalesce("_c", "s").alias("root")))
+            found = settle(found.unionByName(self.verified(pairs)))
+            rooted = rooted_by(found)
             if n <= ENOUGH:
                 break
-        apart = rooted.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_count")).filter("_lo != _hi").select("key", "_count")
+        apart = rooted.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo != _hi").select("key")
         left = settle(rooted.join(apart, "key"))
-        second = self._all_pairs(left.filter(F.col("_count") <= few), few).unionByName(self._blocks(left.filter(F.col("_count") > few)))
-        rest = settle(second.distinct() if tested is None else second.distinct().join(tested, ["a", "b"], "left_anti"))
-        if found is None:
-            return self.verified(rest)
-        return found if rest.isEmpty() else found.unionByName(self.verified(rest))
-
-    def _all_pairs(self, met: DataFrame, few: int) -> DataFrame:
-        """Pairs (a < b) of different roots of keys with up to few sets, of sizes near enough."""
-        lists = met.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s", "n", "root"))).alias("m")).select("m").distinct()
-        pairs = f"flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, {few}), y -> x.root != y.root AND least(x.n, y.n) + {fingerprint.SLACK} >= {self.least} * greatest(x.n, y.n)), y -> struct(x.s AS a, y.s AS b))))"
-        return lists.select(F.explode(F.expr(pairs)).alias("e")).select("e.a", "e.b")
+        if left.isEmpty():
+            return found
+        rest = self._blocks(left).distinct()
+        return found.unionByName(self.verified(rest if tested is None else rest.join(tested, ["a", "b"], "left_anti")))
 
     def _blocks(self, met: DataFrame) -> DataFrame:
         """Pairs (a < b) of different roots of larger keys that marks don't rule out: block by block, all with all."""
