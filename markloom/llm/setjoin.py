@@ -198,7 +198,7 @@ class Sets:
                 break
             tested = pairs if tested is None else tested.unionByName(pairs)
             used = settle(hubs.select(F.col("_hub").alias("s")).distinct() if used is None else used.unionByName(hubs.select(F.col("_hub").alias("s"))).distinct())
-            found = settle(found.unionByName(self.verified(pairs)))
+            found = settle(found.unionByName(settle(self.verified(pairs))))
             rooted = rooted_by(found)
             if n <= ENOUGH:
                 break
@@ -207,7 +207,8 @@ class Sets:
         if left.isEmpty():
             return found
         rest = self._blocks(left).distinct()
-        return found.unionByName(self.verified(rest if tested is None else rest.join(tested, ["a", "b"], "left_anti")))
+        rest = settle(rest if tested is None else rest.join(tested, ["a", "b"], "left_anti"))
+        return found.unionByName(settle(self.verified(rest)))
 
     def _blocks(self, met: DataFrame) -> DataFrame:
         """Pairs (a < b) of different roots of larger keys that marks don't rule out: block by block, all with all."""

@@ -142,8 +142,8 @@ def classes(prints: DataFrame, radius: int = 2, also: DataFrame | None = None) -
     also: further edges (a, b) between fingerprints.
     """
     points = prints.select("fp").distinct()
-    edges = links(points, radius)
-    parts = components(edges if also is None else edges.unionByName(also))
+    edges = settle(links(points, radius))
+    parts = components(edges if also is None else edges.unionByName(settle(also)))
     return points.join(parts.select(F.col("node").alias("fp"), F.col("component").alias("_c")), "fp", "left").select("fp", F.coalesce("_c", "fp").alias("root"))
 
 
