@@ -5,7 +5,9 @@ of each, in any order that is the same for all sets; that order has shingles com
 sets meet. One pass over the texts gives each its prefix keys and `marks`, a bitmap of parities that bounds how many
 shingles two sets differ in from below, at a sixteenth of the set's size. Sets that share a key are candidates; sizes and
 marks rule most of them out, and the rest are settled by counting, for which the sets of those texts alone are made again
-from the texts.
+from the texts. A key travels with its set's size and its own place in the prefix: where sets meet first, at places i and j,
+they can share no more than what comes from there on, which rules out most pairs before anything is joined to them; then
+64 bytes of folded parities do, and only pairs that both leave over meet their whole marks.
 
 A key of up to FEW sets gives all their pairs. What is wanted are classes, so the sets of a larger key are tested against a
 hub, and where some stay apart against another; a group of near copies, however large, is connected by that. Then only sets
@@ -35,6 +37,8 @@ COMMON_TEXTS, COMMON = 4_000, 500_000
 FEW, BLOCK = 24, 256
 #: Rounds of hubs at most, and pairs of a round after which no other is worth it. They order the work, not the result.
 ROUNDS, ENOUGH = 5, 20_000
+#: 64-bit words of a set's folded parities, and so of the shortest marks.
+SHORT = 8
 
 
 def lowered(texts: pd.Series) -> list[bytes]:
@@ -76,12 +80,29 @@ def parities(g: bytes) -> bytes:
     A shingle that only one of two sets has changes one bin, so sets differ in as many shingles as in bins or in more.
     """
     x = np.frombuffer(g, dtype=np.uint64)
-    bins = 256
+    bins = 64 * SHORT
     while bins < 4 * len(x) and bins < 1 << 16:
         bins *= 2
     return np.packbits(np.bincount((x & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1, bitorder="little").tobytes()
 
 
+def folded(marks: Column) -> Column:
+    """Parities in SHORT words: a bin of each word is the parity of all bins of the marks that fall into it."""
+
+    @F.pandas_udf("array<long>")
+    def run(each: pd.Series) -> pd.Series:
+        return pd.Series([np.bitwise_xor.reduce(np.frombuffer(x, dtype=np.int64).reshape(-1, SHORT), axis=0) for x in each], dtype=object)
+
+    return run(marks)
+
+
+def can_meet(x: str, y: str, least: float) -> str:
+    """SQL: whether sets x and y (structs with n and pos), if they meet first at those places of their prefixes, can be alike."""
+    share = least / (1 + least)
+    sizes = f"least({x}.n, {y}.n) + {fingerprint.SLACK}D >= {least}D * greatest({x}.n, {y}.n)"
+    return f"{sizes} AND least({x}.n - {x}.pos, {y}.n - {y}.pos) + {fingerprint.SLACK}D >= {share!r}D * ({x}.n + {y}.n)"
+
+
 def possible(n: np.ndarray, marks: list[bytes], m: np.ndarray, others: list[bytes], least: float) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j) of all pairs of sets, of sizes n and m, that their sizes and parities don't rule out."""
     rows, columns = [], []
@@ -122,7 +143,7 @@ class Sets:
 
     def __init__(self, known: DataFrame, made: Callable[[DataFrame], DataFrame], least: float):
         self.known, self.made, self.least = known, made, least
-        self.one = settle(known.groupBy("s").agg(F.first("n").alias("n"), F.first("marks").alias("marks")))
+        self.one = settle(known.groupBy("s").agg(F.first("n").alias("n"), F.first("marks").alias("marks")).withColumn("short", folded(F.col("marks"))))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose similarity, counted, is at least `least`: marks decide first, then the sets."""
@@ -136,6 +157,10 @@ class Sets:
         def holds(x: pd.Series, y: pd.Series) -> pd.Series:
             return pd.Series([fingerprint.jaccard_at_least(a, c, least) for a, c in zip(x, y)], dtype=bool)
 
+        left, right = (self.one.select(F.col("s").alias(a), F.col("n").alias(n), F.col("short").alias(x)) for a, n, x in (("a", "_n", "_x"), ("b", "_m", "_y")))
+        differing = "aggregate(zip_with(_x, _y, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
+        few = F.expr(f"{differing} <= {(1 - least) / (1 + least)!r}D * (_n + _m) + {fingerprint.SLACK}D")
+        pairs = settle(pairs.join(left, "a").join(right, "b").filter(few).select("a", "b"))
         left = self.one.select(F.col("s").alias("a"), F.col("n").alias("_n"), F.col("marks").alias("_x"))
         right = self.one.select(F.col("s").alias("b"), F.col("n").alias("_m"), F.col("marks").alias("_y"))
         near = settle(pairs.join(left, "a").join(right, "b").filter(may("_n", "_x", "_m", "_y")).select("a", "b"))
@@ -145,14 +170,15 @@ class Sets:
         return near.join(left, "a").join(right, "b").filter(holds("_x", "_y")).select("a", "b")
 
     def _shared(self) -> DataFrame:
-        """(key, s, m): the keys that several sets have, with their sets, once each, and how many they are.
+        """(key, s, n, pos, m): the keys that several sets have, with their sets, once each, and how many they are.
 
         Keys are first counted alone, as numbers of 48 bits: combined before the exchange, so a key of any share of the
-        rows is a row of each task, and most of what moves is gone after it.
+        rows is a row of each task, and most of what moves is gone after it. Two keys of a set may fall together there;
+        the earlier place rules out less.
         """
-        keys = self.known.select("s", F.explode("keys").alias("key")).select("s", F.col("key").bitwiseAND(F.lit((1 << 48) - 1)).alias("key"))
+        keys = self.known.select("s", "n", F.posexplode("keys").alias("pos", "key")).withColumn("key", F.col("key").bitwiseAND(F.lit((1 << 48) - 1)))
         often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
-        held = settle(keys.join(often, "key", "left_semi").distinct())
+        held = settle(keys.join(often, "key", "left_semi").groupBy("key", "s").agg(F.min("n").alias("n"), F.min("pos").alias("pos")))
         return settle(held.join(held.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "key"))
 
     def edges(self, few: int = FEW) -> DataFrame:
@@ -161,8 +187,8 @@ class Sets:
         Keys of up to `few` sets give all their pairs. Those of larger keys meet hubs first (see `_through_hubs`).
         """
         met = self._shared()
-        small = met.filter(F.col("m") <= few).groupBy("key").agg(F.sort_array(F.collect_list("s")).alias("l")).select("l").distinct()
-        each = f"flatten(transform(l, (x, i) -> transform(slice(l, i + 2, {few}), y -> struct(x AS a, y AS b))))"
+        small = met.filter(F.col("m") <= few).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s", "n", "pos"))).alias("l")).select("l").distinct()
+        each = f"flatten(transform(l, (x, i) -> transform(filter(slice(l, i + 2, {few}), y -> {can_meet('x', 'y', self.least)}), y -> struct(x.s AS a, y.s AS b))))"
         pairs = small.select(F.explode(F.expr(each)).alias("e")).select("e.a", "e.b").distinct()
         found = settle(self.verified(pairs))
         crowd = met.filter(F.col("m") > few)
@@ -175,40 +201,49 @@ class Sets:
         key stay unconnected, the best of those outside the classes of earlier hubs is the next, up to ROUNDS times or
         until few are left; pairs that no round settled are compared all with all.
         """
-        met = crowd.join(crowd.groupBy("s").agg(F.count(F.lit(1)).alias("d")), "s").join(self.one.select("s", "n"), "s").select("key", "s", "d", "n")
+        met = settle(crowd.join(crowd.groupBy("s").agg(F.count(F.lit(1)).alias("d")), "s").select("key", "s", "d", "n", "pos"))
         tested = used = None
+        roots = settle(met.select("s").distinct().withColumn("root", F.col("s")))
 
-        def rooted_by(edges: DataFrame) -> DataFrame:
-            roots = components(edges).select(F.col("node").alias("s"), F.col("component").alias("_c"))
-            return settle(met.join(roots, "s", "left").select("key", "s", "n", "d", F.coalesce("_c", "s").alias("root")))
+        def joined_by(edges: DataFrame) -> DataFrame:
+            """roots after new edges: only those that join different roots are looked at."""
+            one, two = (roots.select(F.col("s").alias(e), F.col("root").alias(f"_{e}")) for e in "ab")
+            # A set may be connected to the crowd through one outside it, which is then its own root.
+            ends = edges.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+            parts = components(settle(ends.filter("a != b").distinct())).select(F.col("node").alias("root"), F.col("component").alias("_c"))
+            return settle(roots.join(parts, "root", "left").select("s", F.coalesce("_c", "root").alias("root")))
 
-        rooted = rooted_by(found)
+        roots = joined_by(found)
         for _ in range(ROUNDS):
+            rooted = met.join(roots, "s")
             new = F.lit(True)
             fresh = rooted
             if used is not None:
-                taken = used.join(rooted.select("s", "root").distinct(), "s").select("root").distinct().withColumn("_taken", F.lit(True))
+                taken = used.join(roots, "s").select("root").distinct().withColumn("_taken", F.lit(True))
                 fresh, new = rooted.join(taken, "root", "left"), F.col("_taken").isNull()
-            best = F.max(F.when(new, F.struct("d", "s", "root")))
-            hubs = fresh.groupBy("key").agg(best.alias("_b"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo != _hi AND _b IS NOT NULL").select("key", F.col("_b.s").alias("_hub"), F.col("_b.root").alias("_of"))
-            pairs = rooted.join(hubs, "key").filter("root != _of").select(F.least("s", "_hub").alias("a"), F.greatest("s", "_hub").alias("b")).distinct()
+            best = F.max(F.when(new, F.struct("d", "s", "root", "n", "pos")))
+            hubs = settle(fresh.groupBy("key").agg(best.alias("_b"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo != _hi AND _b IS NOT NULL").select("key", "_b"))
+            ways = rooted.withColumn("_x", F.struct("s", "root", "n", "pos")).join(hubs, "key").filter("_x.root != _b.root").filter(F.expr(can_meet("_x", "_b", self.least)))
+            pairs = ways.select(F.least("_x.s", "_b.s").alias("a"), F.greatest("_x.s", "_b.s").alias("b")).distinct()
             pairs = settle(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
             n = pairs.count()
             if n == 0:
                 break
             tested = pairs if tested is None else tested.unionByName(pairs)
-            used = settle(hubs.select(F.col("_hub").alias("s")).distinct() if used is None else used.unionByName(hubs.select(F.col("_hub").alias("s"))).distinct())
-            found = settle(found.unionByName(settle(self.verified(pairs))))
-            rooted = rooted_by(found)
+            used = settle(hubs.select(F.col("_b.s").alias("s")).distinct() if used is None else used.unionByName(hubs.select(F.col("_b.s").alias("s"))).distinct())
+            more = settle(self.verified(pairs))
+            found = found.unionByName(more)
+            roots = joined_by(more)
             if n <= ENOUGH:
                 break
+        rooted = met.join(roots, "s")
         apart = rooted.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo != _hi").select("key")
         left = settle(rooted.join(apart, "key"))
         if left.isEmpty():
-            return found
+            return settle(found)
         rest = self._blocks(left).distinct()
         rest = settle(rest if tested is None else rest.join(tested, ["a", "b"], "left_anti"))
-        return found.unionByName(settle(self.verified(rest)))
+        return settle(found.unionByName(self.verified(rest)))
 
     def _blocks(self, met: DataFrame) -> DataFrame:
         """Pairs (a < b) of different roots of larger keys that marks don't rule out: block by block, all with all."""
@@ -226,9 +261,12 @@ class Sets:
             a, b = left["s"].to_numpy()[x], right["s"].to_numpy()[y]
             apart = left["root"].to_numpy()[x] != right["root"].to_numpy()[y]
             apart &= (a < b) | (i != j)
+            # What both have from their key on must be enough, if they meet there first.
+            ahead = np.minimum((left["n"] - left["pos"]).to_numpy()[x], (right["n"] - right["pos"]).to_numpy()[y])
+            apart &= ahead + fingerprint.SLACK >= least / (1 + least) * (left["n"].to_numpy()[x] + right["n"].to_numpy()[y])
             return pd.DataFrame({"a": np.minimum(a, b)[apart], "b": np.maximum(a, b)[apart]})
 
-        return blocks.select("key", "_i", "_j", "_own", "s", "root", "n", "marks").groupBy("key", "_i", "_j").applyInPandas(pairs, "a long, b long")
+        return blocks.select("key", "_i", "_j", "_own", "s", "root", "n", "pos", "marks").groupBy("key", "_i", "_j").applyInPandas(pairs, "a long, b long")
 
 
 def shingle_set(text: Column) -> Column:
