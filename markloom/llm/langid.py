@@ -7,8 +7,9 @@ They are compressed in blocks, so that the dictionary counts for all of a long t
 text with a margin under `least_margin` is rejected (the operator's `rejected`), since no dictionary explains it.
 
 Sample: per language SAMPLE_TEXTS distinct texts, those of the smallest hashes of their content. Each is read whole and
-gives words from all over it, in the order of a hash of the word, up to TEXT_CHARS characters; their bytes, SAMPLE_BYTES a
-language at most, are all that is collected and broadcast.
+gives all its words. A dictionary is a list of these words, the commonest last, where they are cheapest to refer to; where
+they are more than DICTIONARY_BYTES, those that most texts have are taken. Dictionaries are all that is collected and
+broadcast.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; with one learned language every other text
 gets it with score 0; with none every text is `und`; rows with a null language are predicted, not learned from; ties go
@@ -18,7 +19,6 @@ to the first language in code point order; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import joined, settle
 
-SAMPLE_BYTES = 192 * 1024
+#: Rows that are learned from, and the size of what comes of them, for each language.
 SAMPLE_TEXTS = 500
-TEXT_CHARS = 400
+DICTIONARY_BYTES = 192 * 1024
 BLOCK = 4096
 LEAST_MARGIN = 0.01
 _WORD = re.compile(r"[^\W\d_]+")
@@ -48,12 +48,6 @@ def words_of(text: str) -> list[str]:
     return list(dict.fromkeys(x for w in found for x in ([w] if w.isalpha() else _LETTERS.findall(w))))
 
 
-def drawn_words(text: str) -> str:
-    """Words from all over a text, by a hash of the word, in TEXT_CHARS characters."""
-    found = sorted(words_of(text), key=lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")))
-    return " ".join(found)[:TEXT_CHARS]
-
-
 def vocabulary_of(text: str) -> str:
     return " ".join(words_of(text))
 
@@ -71,24 +65,19 @@ def learn(docs: DataFrame, use: Column, text: str = "text", lang: str = "lang")
     thin = hashes.join(counts, "lang").filter(F.pmod("_h", F.lit(1 << 40)) / float(1 << 40) < 3.0 * SAMPLE_TEXTS / F.col("n"))
     drawn = settle(thin.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 40)), "_h"))).filter(F.col("_k") <= SAMPLE_TEXTS).select("lang", "_h", "_k"))
 
-    @F.pandas_udf("string")
-    def draw(texts: pd.Series) -> pd.Series:
-        return texts.map(drawn_words)
-
-    cut = joined(named, drawn, ["lang", "_h"]).select("lang", "_k", draw("text").alias("words"))
-    first = cut.groupBy("lang", "_k").agg(F.min("words").alias("words"))  # copies are combined before the exchange
-    parts = defaultdict(list)
-    for row in first.orderBy("lang", "_k").toLocalIterator():
-        parts[row["lang"]].append(row["words"].encode("utf-8", "surrogatepass"))
-    made = {}
-    for name, texts in sorted(parts.items()):
-        kept, size = [], 0
-        for t in texts:
-            if size < SAMPLE_BYTES:
-                kept.append(t[: SAMPLE_BYTES - size])
-                size += len(kept[-1])
-        made[name] = b"\n".join(kept)
-    return made
+    @F.pandas_udf("array<string>")
+    def each(texts: pd.Series) -> pd.Series:
+        return texts.map(words_of)
+
+    # Copies of a text are one before its words are counted.
+    held = joined(named, drawn, ["lang", "_h"]).groupBy("lang", "_k").agg(F.min("text").alias("text"))
+    counts = held.select("lang", F.explode(each("text")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word").rowsBetween(Window.unboundedPreceding, 0)
+    fit = counts.withColumn("_upto", F.sum(F.octet_length("word") + 1).over(order)).filter(F.col("_upto") <= DICTIONARY_BYTES)
+    words = defaultdict(list)
+    for row in fit.orderBy("lang", "n", F.desc("word")).toLocalIterator():
+        words[row["lang"]].append(row["word"])
+    return {name: " ".join(words[name]).encode("utf-8", "surrogatepass") for name in sorted(words)}
 
 
 class Classifier:
@@ -121,7 +110,7 @@ class Classifier:
 
 def identify(spark: SparkSession, docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float = LEAST_MARGIN, doc_id: str = "doc_id", text: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
     """doc_id, the columns of `carry`, lang_pred, score and rejected of every row. Only the text is looked at."""
-    shared = spark.sparkContext.broadcast(dictionaries)  # SAMPLE_BYTES for each language
+    shared = spark.sparkContext.broadcast(dictionaries)  # DICTIONARY_BYTES for each language
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = Classifier(shared.value)
