@@ -2,11 +2,13 @@
 
 The order is that of a key column, of a hash of the row's text where keys are equal, and of the row's place in the input
 where those are equal too; so no two rows have one place, and rows of one key, null keys or copies of one row are cut like
-any others. `deal` cuts the order into ranges of about RANGE_BYTES, by the bytes of a sample of KEYS_A_RANGE rows a range,
-and sends each range to a partition of its own, sorted. The first row of each range is sent a second time, to the end of
-the range before, and the last row of each range to the start of the range after, so that a task can look at both
-neighbours of all its rows without a global window. The driver holds the sample's keys and a first and a last key for
-each range, never a text.
+any others. `deal` cuts the order into ranges of about RANGE_BYTES and sends each range to a partition of its own, sorted.
+The first row of each range is sent a second time, to the end of the range before, and the last row of each range to the
+start of the range after, so that a task can look at both neighbours of all its rows without a global window.
+
+Where ranges begin and end is read off the narrow columns alone, which are sorted and settled once: bytes are summed within
+each partition of the engine's own range exchange, partitions' sums are added up, and a row's range is its share of all
+bytes. The driver holds a first and a last key for each range, MOST_RANGES at most; beyond that ranges grow.
 
 Rows must come from files or a checkpoint: a row's place has to be the same whenever a task runs again.
 """
@@ -14,41 +16,44 @@ Rows must come from files or a checkpoint: a row's place has to be the same when
 from __future__ import annotations
 
 import json
-import math
+from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of text of a range; there are at least as many ranges as shuffle partitions.
-RANGE_BYTES = 64 << 20
-#: Rows of the sample for each range, and what a row counts besides its text. They decide how even the ranges are, no more.
-KEYS_A_RANGE, ROW_BYTES = 50, 64
+from .common import settle
+
+#: Bytes of text of a range; there are at least as many ranges as shuffle partitions, and never more than MOST_RANGES.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 100_000
+#: What a row counts besides its text.
+ROW_BYTES = 64
 ORDER = ["_key", "_tie", "_place"]
 
 
-def _sampled(rows: DataFrame, n: int, wanted: int) -> tuple[pd.DataFrame, float]:
-    part = min(1.0, wanted / max(1, n))
-    drawn = rows if part == 1.0 else rows.sample(part, seed=11)
-    return drawn.select(*ORDER, "_bytes").toArrow().to_pandas(), part
+def edges_of(rows: DataFrame, ranges: int | None = None) -> list[tuple[int, tuple, tuple]]:
+    """(range, first, last) of each range with rows, ascending, in the order of rows (_key, _tie, _place, _bytes)."""
 
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        upto = 0
+        for batch in batches:
+            ends = upto + batch["_bytes"].cumsum()
+            yield batch[[*ORDER, "_part"]].assign(_start=ends - batch["_bytes"])
+            upto = int(ends.iloc[-1]) if len(ends) else upto
 
-def bounds(rows: DataFrame, ranges: int | None = None) -> pd.DataFrame:
-    """Cut points of the order of rows (_key, _tie, _place, _bytes), ascending; a range begins at each, one before them all."""
-    n = rows.count()
-    least = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sample, part = _sampled(rows, n, KEYS_A_RANGE * least)
-    if not ranges:
-        ranges = max(least, math.ceil(sample["_bytes"].sum() / part / RANGE_BYTES))
-        if ranges > least and part < 1.0:
-            sample, part = _sampled(rows, n, KEYS_A_RANGE * ranges)
-    sample = sample.sort_values(ORDER, kind="stable")
-    upto = sample["_bytes"].cumsum().to_numpy()
-    total = upto[-1] if len(upto) else 0
-    at = np.unique(np.searchsorted(upto, total * np.arange(1, ranges) / ranges, side="left")) if total else []
-    return sample.iloc[at][ORDER]
+    ranged = rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+    held = settle(ranged.withColumn("_part", F.spark_partition_id()))
+    kinds = {f.name: f.dataType.simpleString() for f in held.schema}
+    parts = held.groupBy("_part").agg(F.sum("_bytes").alias("_sum"))  # a row for each partition
+    before = parts.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
+    total = parts.agg(F.sum("_sum")).first()[0] or 0
+    ranges = ranges or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, -(-total // RANGE_BYTES)))
+    started = held.mapInPandas(summed, ", ".join(f"{c} {kinds[c]}" for c in (*ORDER, "_part")) + ", _start long")
+    point = F.struct(*ORDER)
+    number = F.floor((F.col("_before") + F.col("_start")) / F.lit(max(1, total) / ranges)).cast("int")
+    found = started.join(F.broadcast(before), "_part").groupBy(F.least(number, F.lit(ranges - 1)).alias("_range")).agg(F.min(point).alias("lo"), F.max(point).alias("hi"))
+    return sorted((r["_range"], tuple(r["lo"].values()), tuple(r["hi"].values())) for r in found.toArrow().to_pylist())
 
 
 def _held(cuts: pd.DataFrame, kind: str) -> list[Column]:
@@ -83,15 +88,13 @@ def deal(rows: DataFrame, key: str, text: str, columns: dict[str, Column] | None
     kind = rows.schema[key].dataType.simpleString()
     marks = {"_key": F.col(key), "_tie": F.xxhash64(text), "_place": F.monotonically_increasing_id(), "_bytes": (F.octet_length(text) + ROW_BYTES).cast("long")}
     marked = rows.withColumns(marks)
-    cuts = bounds(marked.select(*marks), ranges)
+    edges = edges_of(marked.select(*marks), ranges)
+    edges = [(k, *e[1:]) for k, e in enumerate(edges)]  # ranges without rows, as behind one very long text, are left out
+    cuts = pd.DataFrame([e[1] for e in edges[1:]], columns=ORDER)
     dealt = marked.withColumn("_range", range_no(cuts, kind))
     copies = [F.struct(F.col("_range"), F.lit(0).alias("halo"), F.lit(False).alias("_last"))]
     if before or after:
-        point = F.struct(*ORDER)
-        edges = dealt.groupBy("_range").agg(F.min(point).alias("lo"), F.max(point).alias("hi")).toArrow().to_pylist()
-        edges = sorted((r["_range"], tuple(r["lo"].values()), tuple(r["hi"].values())) for r in edges)
         numbers = [e[0] for e in edges]
-        # What the row at a range's edge is sent to: the next range with rows, not the next number.
         behind, ahead = dict(zip(numbers, [None, *numbers])), dict(zip(numbers, numbers[1:]))
         if wrap and numbers:
             behind[numbers[0]] = numbers[-1]
@@ -102,8 +105,7 @@ def deal(rows: DataFrame, key: str, text: str, columns: dict[str, Column] | None
             if not some:
                 return F.lit(None)
             points = pd.DataFrame([edge[k] for k in some], columns=ORDER)
-            # Place of the range among those with a target, by its number.
-            place = F.array_position(F.split(F.lit(",".join(map(str, some))), ",").cast("array<int>"), F.col("_range")).cast("int") - 1 if some != list(range(some[0], some[-1] + 1)) else F.col("_range") - some[0]
+            place = F.col("_range") - some[0]
             target = F.get(F.split(F.lit(",".join(str(to[k]) for k in some)), ",").cast("array<int>"), place)
             last = F.col("_range") == numbers[0] if wrap and halo == 1 else F.lit(False)
             hit = (place >= 0) & _compared(_held(points, kind), place, equal=True)
