@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import marks, text
 from .operators import anchor, chunk, judge, passes, review, rubric, search, segment, transcript, validate
 from .sources import documents, report, store
-from .streaming import limits
+from .streaming import ledger, limits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -581,5 +581,53 @@ def question_papers(spark, sf_dir):
     return rubric.parse_question_paper(papers).select("doc_id", "number", "subject", "max_marks", F.md5("prompt").alias("prompt"))
 
 
+#: A day's allowance of tokens for each user; what a request reserves, uses and hears of the provider comes from its event.
+LEDGER_LIMIT, LEDGER_WINDOW = 4000, 86_400_000
+LEDGER_SQL = f"""
+WITH RECURSIVE e AS (
+  SELECT user_id AS key, event_id AS id, epoch_us(ts) // 1000 AS asked, CAST(200 + 20 * floor(value) AS BIGINT) AS reserve, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events
+), q AS (
+  SELECT *, (k + 1) * 60000 AS took, CASE WHEN k % 2 = 0 THEN reserve // 2 ELSE reserve END AS used, CASE WHEN k % 10 = 3 THEN k * 20 END AS remaining, k * 600000 AS reset_ms,
+    row_number() OVER (PARTITION BY key ORDER BY asked, id) AS n FROM e
+), r AS (
+  SELECT DISTINCT key, CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS free, CAST(NULL AS BIGINT) AS wakes, CAST(0 AS BIGINT) AS waited, CAST([] AS STRUCT(asked BIGINT, tokens BIGINT)[]) AS led,
+    CAST(NULL AS BIGINT) AS server_at, CAST(NULL AS BIGINT) AS server_left, CAST(NULL AS BIGINT) AS resets, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS verdict, CAST(NULL AS BIGINT) AS asked_ms,
+    CAST(NULL AS BIGINT) AS started_ms, CAST(NULL AS BIGINT) AS waited_ms, CAST(NULL AS BIGINT) AS used_before
+  FROM q
+  UNION ALL
+  SELECT key, CASE WHEN large OR fits THEN n + 1 ELSE n END, CASE WHEN NOT large AND fits THEN t + took ELSE free END, CASE WHEN large OR fits THEN NULL ELSE t + pause END, CASE WHEN large THEN waited WHEN fits THEN 0 ELSE waited + pause END,
+    CASE WHEN NOT large AND fits THEN list_append(kept, {{'asked': t, 'tokens': used}}) ELSE kept END, CASE WHEN heard THEN t + took ELSE server_at END, CASE WHEN heard THEN remaining ELSE server_left END,
+    CASE WHEN heard THEN t + took + reset_ms ELSE resets END, CASE WHEN large OR fits THEN qid END, CASE WHEN large THEN 'too_large' WHEN fits THEN 'admitted' END, asked,
+    CASE WHEN NOT large AND fits THEN t END, CASE WHEN large THEN 0 ELSE waited END, CASE WHEN NOT large AND fits THEN charged END
+  FROM (
+    SELECT *, NOT large AND reserve <= least(room, coalesce(theirs, room)) AS fits, fits AND remaining IS NOT NULL AS heard,
+      greatest(250, CASE WHEN theirs < room THEN resets ELSE coalesce(kept[1].asked + {LEDGER_WINDOW}, t) END - t) AS pause
+    FROM (
+      SELECT *, coalesce(list_sum(list_transform(kept, lambda c: c.tokens)), 0) AS charged, {LEDGER_LIMIT} - charged AS room,
+        CASE WHEN resets > t THEN server_left - coalesce(list_sum(list_transform(list_filter(kept, lambda c: c.asked > server_at), lambda c: c.tokens)), 0) END AS theirs
+      FROM (
+        SELECT r.key, r.n, r.free, r.wakes, r.waited, r.server_at, r.server_left, r.resets, q.id AS qid, q.asked, q.reserve, q.took, q.used, q.remaining, q.reset_ms, q.reserve > {LEDGER_LIMIT} AS large,
+          greatest(r.free, q.asked, coalesce(r.wakes, 0)) AS t, list_filter(r.led, lambda c: c.asked > greatest(r.free, q.asked, coalesce(r.wakes, 0)) - {LEDGER_WINDOW}) AS kept
+        FROM r JOIN q ON q.key = r.key AND q.n = r.n
+      )
+    )
+  )
+)
+SELECT key, id, verdict, asked_ms, started_ms, waited_ms, CAST(used_before AS BIGINT) AS used_before FROM r WHERE verdict IS NOT NULL
+"""
+
+
+@query(LEDGER_SQL)
+def token_ledger(spark, sf_dir):
+    """Events as requests of users to a provider: who starts when, charged before and corrected after."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    reserve = (200 + 20 * F.floor("value")).cast("long")
+    requests = read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), reserve.alias("reserve"), ((k + 1) * 60_000).alias("took_ms"),
+        F.when(k % 2 == 0, F.floor(reserve / 2)).otherwise(reserve).alias("used"), F.when(k % 10 == 3, k * 20).alias("remaining"), (k * 600_000).alias("reset_ms"),
+    )
+    return ledger.replay(requests, LEDGER_LIMIT, LEDGER_WINDOW)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review_decisions(spark, sf_dir)
