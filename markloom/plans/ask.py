@@ -1,50 +1,80 @@
-"""Asking a judge: answers in passages that fit, and rounds of smaller passages where the judge refuses them as too large.
+"""Asking a judge: answers in passages that fit, replies put right once, failures waited for, refused answers in smaller passages.
 
 Rounds are driver steps, a few at most; in each the answers still open are split and judged as one table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.chunk import split_oversized
 from ..operators.judge import Judge
+from ..operators.validate import parse_judgements
+from .rounds import Check, Rules, rounds
 from .steps import settled
 
 #: Tokens of a passage under which splitting has no point, and rounds of halving. Fixed values.
 LEAST_PASSAGE, MOST_ROUNDS = 120, 3
-REPLY = "pass_no int, chars int, outcome string, raw string"
+#: An answer's passages are asked about three times at most, once with the errors of a reply; it's split as a whole. Fixed values.
+PASSAGE = Rules(attempts=3, repairs=1, depth=0, split_unusable=False)
+UNUSABLE = "The judge's reply could not be used, even when asked again."
 
 
-def ask(answers: DataFrame, judge: Judge, allowance: int, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(replies, ungraded) of answers (keys, text) that aren't blank.
+class Asked(NamedTuple):
+    """replies: keys, pass_no, chars, raw, repairs. ungraded: keys, reason. outages: keys whose judge could not be reached,
+    of which nothing may be kept. attempts: keys, path (of pass_no), attempt, repairs, outcome, wait_ms."""
 
-    judge: batches of (keys, pass_no, text) in; out the same rows with `outcome` (ok, too_large or invalid) and `raw`.
-    replies: keys, pass_no, chars, raw, of answers of which every passage was judged. An answer with a refused passage is
-    split anew at half the allowance and judged again as a whole; one that can't be split further, or with an invalid
-    reply, is ungraded (keys, reason). Nothing is cut from an answer.
+    replies: DataFrame
+    ungraded: DataFrame
+    outages: DataFrame
+    attempts: DataFrame
+
+
+def well_formed(replies: DataFrame) -> DataFrame:
+    """The check of a judge that replies with judgements: their errors, as `parse_judgements` words them."""
+    return parse_judgements(replies).drop("parsed")
+
+
+def ask(answers: DataFrame, judge: Judge, allowance: int, keys: list[str] | None = None, check: Check | None = None, pause: Callable[[float], None] = time.sleep) -> Asked:
+    """Judges answers (keys, text) that aren't blank.
+
+    judge: batches of (keys, pass_no, text, attempt, earlier, errors) in; out, in the same order, `outcome` (ok, too_large,
+    transient, invalid or permanent), `raw` and, if wanted, `message`. A reply that `check` finds errors in, or that the
+    judge itself calls invalid, is asked for once more with them. An answer with a refused passage is split anew at half the
+    allowance and judged again as a whole; one that can't be split further, or whose reply stays unusable, is ungraded.
+    Nothing is cut from an answer. An answer that the judge couldn't be reached for is neither judged nor ungraded.
     """
     keys = keys or ["doc_id", "question_id"]
-    open_answers, judged, undone = answers.select(*keys, "text"), [], []
-    schema = ", ".join(f"{k} {answers.schema[k].dataType.simpleString()}" for k in keys) + f", {REPLY}"
+    open_answers, judged, undone, lost, tried = answers.select(*keys, "text"), [], [], [], []
+
+    def checked(replies: DataFrame) -> DataFrame:
+        found = check(replies) if check else replies.withColumn("errors", F.array().cast("array<string>"))
+        own = F.when(F.col("_message") == "\0invalid", F.array(F.lit("(root): the reply could not be read")))
+        return found.withColumn("errors", F.coalesce(own, "errors"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = judge(batch)
-            yield out.assign(chars=batch["text"].str.len().to_numpy())[[*keys, "pass_no", "chars", "outcome", "raw"]]
+    def reader(batch):
+        out = judge(batch).reset_index(drop=True)
+        bad = out["outcome"] == "invalid"
+        message = out["message"] if "message" in out else [None] * len(out)
+        return out.assign(outcome=out["outcome"].mask(bad, "ok"), message=["\0invalid" if b else m for b, m in zip(bad, message)])
 
     for k in range(MOST_ROUNDS + 1):
-        passages = open_answers.select(*keys, F.posexplode(split_oversized(F.col("text"), allowance)).alias("_n", "text")).select(*keys, (F.col("_n") + 1).alias("pass_no"), "text")
-        replies = settled(passages.mapInPandas(run, schema))
-        refused = replies.filter("outcome = 'too_large'").select(*keys).distinct()
-        invalid = replies.filter("outcome = 'invalid'").select(*keys).distinct().join(refused, keys, "left_anti")
-        judged.append(replies.filter("outcome = 'ok'").join(refused, keys, "left_anti").join(invalid, keys, "left_anti").select(*keys, "pass_no", "chars", "raw"))
-        undone.append(invalid.withColumn("reason", F.lit("The judge's reply could not be used, even when asked again.")))
+        passages = open_answers.select(*keys, F.posexplode(split_oversized(F.col("text"), allowance)).alias("_n", "text")).select(*keys, F.array(F.col("_n")).alias("path"), "text", (F.col("_n") + 1).alias("pass_no"))
+        worked = rounds(settled(passages), reader, keys, PASSAGE, checked, pause)
+        tried.append(worked.attempts)
+        fates = settled(worked.failed.select(*keys, "fate", "message").distinct())
+        out = fates.filter("fate IN ('outage', 'refused')").groupBy(*keys).agg(F.max("message").alias("message"))
+        refused = fates.filter("fate = 'too_large'").select(*keys).distinct().join(out, keys, "left_anti")
+        invalid = fates.filter("fate = 'unusable'").join(out, keys, "left_anti").join(refused, keys, "left_anti").groupBy(*keys).agg(F.min("message").alias("message"))
+        judged.append(worked.answered.join(fates, keys, "left_anti").select(*keys, "pass_no", F.length("text").alias("chars"), "raw", "repairs"))
+        undone.append(invalid.select(*keys, F.concat(F.lit(UNUSABLE), F.lit(" "), F.col("message")).alias("reason")))
+        lost.append(out)
         if refused.isEmpty():
             break
         if allowance // 2 < LEAST_PASSAGE or k == MOST_ROUNDS:
@@ -52,4 +82,4 @@ def ask(answers: DataFrame, judge: Judge, allowance: int, keys: list[str] | None
             break
         allowance //= 2
         open_answers = settled(open_answers.join(refused, keys, "left_semi"))
-    return reduce(DataFrame.unionByName, judged), reduce(DataFrame.unionByName, undone)
+    return Asked(*(reduce(DataFrame.unionByName, t) for t in (judged, undone, lost, tried)))

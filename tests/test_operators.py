@@ -251,13 +251,13 @@ def test_refused_answers_are_asked_in_smaller_passages(spark):
         endless = ~batch["text"].str.contains(" ")
         return batch.assign(raw=batch["text"].str.len().astype(str), outcome=["invalid" if t == "garbled" else "too_large" if b or e else "ok" for t, b, e in zip(batch["text"], bad, endless)])
 
-    replies, ungraded = ask.ask(answers, judge, 1000)
+    replies, ungraded, outages, _ = ask.ask(answers, judge, 1000)
     got = replies.collect()
     assert {r.question_id for r in got} == {"q1", "q2"} and sum(r.chars for r in got if r.question_id == "q2") >= len(line) * 60 - 60
     passes_of = sorted(r.pass_no for r in got if r.question_id == "q2")
     assert passes_of == list(range(1, len(passes_of) + 1)) and len(passes_of) >= 3 and [r.raw for r in got if r.question_id == "q1"] == [str(len(line) * 4)]
     reasons = {r.question_id: r.reason for r in ungraded.collect()}
-    assert set(reasons) == {"q3", "q4"} and "passages of about" in reasons["q3"]
+    assert set(reasons) == {"q3", "q4"} and "passages of about" in reasons["q3"] and outages.isEmpty()
 
 
 def test_rubric_arithmetic(spark, paper):
