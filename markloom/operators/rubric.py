@@ -231,13 +231,17 @@ def trim_fate(criteria: DataFrame, keys: list[str], order: str, stated: str = "s
     return rows.withColumn("fate", fate).drop("_f", "_b", "_t", "_n", "_i", "_j", "_head", "_tail", "_or")
 
 
+def plain_number(v: Column) -> Column:
+    """Marks as text, whole ones without a decimal point."""
+    return F.regexp_replace(v.cast("string"), r"\.0$", "")
+
+
 def summary_guidance(fated: DataFrame, keys: list[str], order: str, stated: str = "stated") -> DataFrame:
     """(keys, guidance, note) of questions of which `trim_fate` found a summary box: the box as guidance, and what was done."""
     box = fated.filter("fate = 'box'").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "description", "max_marks"))).alias("_b"), F.max(stated).alias("_t"))
-    number = lambda v: F.regexp_replace(v.cast("string"), r"\.0$", "")
-    listed = F.array_join(F.transform("_b", lambda x: F.concat(x["description"], F.lit(" — "), number(x["max_marks"]))), "; ")
-    added = F.array_join(F.transform("_b", lambda x: number(x["max_marks"])), " + ")
-    note = F.concat(F.lit("The scheme's summary of marks ("), added, F.lit(" = "), number(F.col("_t")), F.lit(") stood beside its steps and would have doubled the question; the steps are the criteria, the summary is guidance."))
+    listed = F.array_join(F.transform("_b", lambda x: F.concat(x["description"], F.lit(" — "), plain_number(x["max_marks"]))), "; ")
+    added = F.array_join(F.transform("_b", lambda x: plain_number(x["max_marks"])), " + ")
+    note = F.concat(F.lit("The scheme's summary of marks ("), added, F.lit(" = "), plain_number(F.col("_t")), F.lit(") stood beside its steps and would have doubled the question; the steps are the criteria, the summary is guidance."))
     return box.select(*keys, F.concat(F.lit("Mark distribution from the scheme's summary: "), listed, F.lit(".")).alias("guidance"), note.alias("note"))
 
 
