@@ -24,7 +24,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fingerprint
@@ -174,12 +174,16 @@ class Sets:
 
         Keys are first counted alone, as numbers of 48 bits: combined before the exchange, so a key of any share of the
         rows is a row of each task, and most of what moves is gone after it. Two keys of a set may fall together there;
-        the earlier place rules out less.
+        the earlier place rules out less. Keys that the very same sets have, as those of near copies do, are one key, with
+        each set's earliest place of them.
         """
         keys = self.known.select("s", "n", F.posexplode("keys").alias("pos", "key")).withColumn("key", F.col("key").bitwiseAND(F.lit((1 << 48) - 1)))
         often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
         held = settle(keys.join(often, "key", "left_semi").groupBy("key", "s").agg(F.min("n").alias("n"), F.min("pos").alias("pos")))
-        return settle(held.join(held.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "key"))
+        whose = held.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *[F.bit_xor(F.xxhash64(F.lit(i), "s")).alias(f"_w{i}") for i in (1, 2)]).filter("m > 1")
+        same = Window.partitionBy("m", "_w1", "_w2")
+        named = whose.select("key", "m", F.min("key").over(same).alias("_as"))
+        return settle(held.join(named, "key").groupBy(F.col("_as").alias("key"), "s").agg(F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("m").alias("m")))
 
     def edges(self, few: int = FEW) -> DataFrame:
         """Edges (a, b) between sets that connect exactly those connected by pairs of that similarity or more.
