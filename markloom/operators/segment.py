@@ -1,4 +1,4 @@
-"""Answer sheets into answers: by headings, or by opening words that a judge located."""
+"""Answer sheets into answers: by headings, or by what a judge said of each chunk and the opening words that it quoted."""
 
 from __future__ import annotations
 
@@ -60,22 +60,49 @@ def segments(docs: DataFrame, questions: DataFrame, doc: str = "doc_id") -> Data
     )
 
 
-def attributed(docs: DataFrame, openings: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, number, text) from opening words that a judge gave for answers (doc, number, first_words).
+def placed_chunks(docs: DataFrame, chunks: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """chunks (doc, path, text) with `place` (0, 1, ... by path), `start` (in the chunks joined by line ends) and `start_page`.
 
-    An answer runs from its first located opening to the next answer's. Openings that aren't in the text are left out.
+    A chunk is a run of its document's text, so its page is that of the next place, after the chunk before, where it stands;
+    it is looked for from there on, in one fold over a document's chunks.
     """
-    at = openings.join(docs, doc).withColumn("_at", locate(F.col("text"), F.col("first_words"))).filter(F.col("_at").isNotNull())
-    first = at.groupBy(doc, "number").agg(F.min("_at").alias("_at"))
-    end = F.lead("_at").over(Window.partitionBy(doc).orderBy("_at", "number"))
-    spans = first.withColumn("_end", end).join(docs, doc)
-    return spans.select(doc, "number", strip(F.substring("text", F.col("_at").cast("int") + 1, (F.coalesce("_end", F.length("text")) - F.col("_at")).cast("int"))).alias("text"))
+    order = Window.partitionBy(doc).orderBy("path")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = chunks.select(doc, "path", "text", (F.row_number().over(order) - 1).alias("place"), F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int").alias("start"))
+    listed = rows.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("place", F.col("text").alias("t")))).alias("_c")).join(docs.select(doc, F.col("text").alias("_t"), "page_starts"), doc)
+    begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out"))
 
+    def step(s: Column, c: Column) -> Column:
+        found = F.call_function("locate", c["t"], F.col("_t"), s["at"])
+        at = F.when(found > 0, found).otherwise(s["at"])
+        return F.struct((at + F.when(found > 0, F.length(c["t"])).otherwise(0)).alias("at"), F.array_append(s["out"], at - 1).alias("out"))
 
-def with_attributed(by_heading: DataFrame, by_words: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Heading segments, with the text by opening words where there is one."""
-    said = by_words.select(doc, "number", F.col("text").alias("_said"))
-    return by_heading.join(said, [doc, "number"], "left").withColumn("text", F.when(F.coalesce("_said", F.lit("")) != "", F.col("_said")).otherwise(F.col("text"))).drop("_said")
+    pages = listed.select(doc, "page_starts", F.posexplode(F.aggregate("_c", begin, step, lambda s: s["out"])).alias("place", "_at")).select(doc, "place", page_of(F.col("_at"), F.col("page_starts")).alias("start_page"))
+    return rows.join(pages, [doc, "place"])
+
+
+def attributed(chunks: DataFrame, told: DataFrame, questions: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, question_id, number, text, start_page, approximate) from what a judge said of each chunk.
+
+    chunks: as `placed_chunks` gives them. told: doc, place, ordinal, number, begins, first_words: the answers that a chunk
+    was said to hold. An answer starts where the first chunk that it was said to begin in has its opening words, or at that
+    chunk's start if they aren't there, and runs to the next answer's start. One that nobody saw begin is all chunks that it was
+    seen in; one never seen is empty. Both are approximate. Documents of which nothing was told have no rows.
+    """
+    known = told.join(questions.select("number").distinct(), "number").join(chunks.select(doc, "place", "text", "start", "start_page"), [doc, "place"])
+    opening = F.col("start") + F.coalesce(locate(F.col("text"), F.col("first_words")), F.lit(0))
+    first = Window.partitionBy(doc, "number").orderBy("place", "ordinal")
+    starts = known.filter("begins").withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(doc, "number", opening.cast("int").alias("_at"), "start_page")
+    # Of answers that start at one place each runs to the next further on.
+    ends = starts.select(doc, "_at").distinct().withColumn("_end", F.lead("_at").over(Window.partitionBy(doc).orderBy("_at")))
+    whole = chunks.groupBy(doc).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n").alias("_all"))
+    spans = starts.join(ends, [doc, "_at"]).join(whole, doc)
+    begun = spans.select(doc, "number", strip(F.substring("_all", F.col("_at") + 1, F.coalesce("_end", F.length("_all")) - F.col("_at"))).alias("text"), "start_page", F.lit(False).alias("approximate"))
+    seen = known.join(starts.select(doc, "number"), [doc, "number"], "left_anti").select(doc, "number", "place", "text", "start_page").distinct()
+    pieces = seen.groupBy(doc, "number").agg(strip(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n")).alias("text"), F.min_by("start_page", "place").alias("start_page"), F.lit(True).alias("approximate"))
+    found = begun.unionByName(pieces)
+    wanted = known.select(doc).distinct().crossJoin(questions.select("question_id", "number"))  # an answer for each: the size of the result
+    return wanted.join(found, [doc, "number"], "left").select(doc, "question_id", "number", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("start_page", F.lit(0)).alias("start_page"), F.coalesce("approximate", F.lit(True)).alias("approximate"))
 
 
 def questions_with_segments(questions: DataFrame, segs: DataFrame, doc: str = "doc_id") -> DataFrame:

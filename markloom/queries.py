@@ -581,6 +581,33 @@ def question_papers(spark, sf_dir):
     return rubric.parse_question_paper(papers).select("doc_id", "number", "subject", "max_marks", F.md5("prompt").alias("prompt"))
 
 
+@query("""WITH c AS (
+  SELECT conv_id, row_number() OVER w - 1 AS place, text, coalesce(sum(length(text) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), t AS (
+  SELECT *, length(text) % 4 + 1 AS number, length(text) % 5 < 3 AS begins, strpos(text, substr(text, 21, 12)) - 1 AS found FROM c WHERE length(text) % 7 > 0
+), b AS (
+  SELECT conv_id, number, min_by(start + CASE WHEN length(text) % 3 > 0 AND length(text) > 20 THEN found ELSE 0 END, place) AS at_, min(place) AS place FROM t WHERE begins GROUP BY 1, 2
+), a AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY place) AS text FROM c GROUP BY 1), s AS (
+  SELECT b.conv_id, number, at_, place, (SELECT min(o.at_) FROM b AS o WHERE o.conv_id = b.conv_id AND o.at_ > b.at_) AS upto FROM b
+), m AS (
+  SELECT t.conv_id, t.number, string_agg(t.text, chr(10) ORDER BY t.place) AS text, min(t.place) AS place FROM t ANTI JOIN b ON b.conv_id = t.conv_id AND b.number = t.number GROUP BY 1, 2
+), f AS (
+  SELECT s.conv_id, number, substr(a.text, CAST(at_ AS INT) + 1, CAST(coalesce(upto, length(a.text)) - at_ AS INT)) AS text, place, false AS approximate FROM s JOIN a USING (conv_id) UNION ALL SELECT conv_id, number, text, place, true FROM m
+)
+SELECT q.conv_id, q.number::INT AS number, md5(trim(coalesce(f.text, ''), ' ' || chr(9) || chr(10) || chr(13))) AS text, coalesce(f.place, 0)::INT AS start_page, coalesce(approximate, true) AS approximate
+FROM (SELECT DISTINCT conv_id, unnest(range(1, 5)) AS number FROM t) AS q LEFT JOIN f USING (conv_id, number)""")
+def attributed_answers(spark, sf_dir):
+    """Turns as chunks of an answer sheet, of which a judge said which of four answers each holds and how it begins."""
+    n = F.length("text")
+    turns = read(spark, sf_dir, "conversations").withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
+    before = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = turns.select("conv_id", "place", "text", F.coalesce(F.sum(n + 1).over(before), F.lit(0)).cast("int").alias("start"), F.col("place").alias("start_page"))
+    words = F.when(n % 3 > 0, F.substring("text", 21, 12)).otherwise("said nowhere in it")
+    told = chunks.filter(n % 7 > 0).select("conv_id", "place", F.lit(0).alias("ordinal"), (n % 4 + 1).alias("number"), (n % 5 < 3).alias("begins"), words.alias("first_words"))
+    questions = spark.range(1, 5).select(F.col("id").cast("string").alias("question_id"), F.col("id").cast("int").alias("number"))
+    return segment.attributed(chunks, told, questions, "conv_id").select("conv_id", "number", F.md5("text").alias("text"), "start_page", "approximate")
+
+
 #: A day's allowance of tokens for each user; what a request reserves, uses and hears of the provider comes from its event.
 LEDGER_LIMIT, LEDGER_WINDOW = 4000, 86_400_000
 LEDGER_SQL = f"""

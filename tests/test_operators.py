@@ -46,11 +46,6 @@ def test_segments(paper):
     assert got["a", 1].text.startswith("The circuit") and got["a", 1].text.endswith("bulb.") and not got["a", 1].approximate
     assert got["a", 2].text == "(a)\nDemand falls when the price rises, all else equal.\nIt is shown by a curve.\nSee Answer 1 above."
     assert got["c", 1].approximate and got["c", 2].text == PAGES[3][2] and got["a", 2].start_page == 0
-    openings = pages.sparkSession.createDataFrame([("c", 1, "few  WORDS about"), ("c", 2, "prices in"), ("c", 3, "absent")], "doc_id string, number int, first_words string")
-    said = segment.attributed(segment.joined_pages(pages), openings)
-    assert rows(said, "number", "text") == [(1, "few words about circuits and"), (2, "prices in general")]
-    merged = segment.with_attributed(segment.segments(segment.joined_pages(pages), questions), said)
-    assert [r.text for r in merged.filter("doc_id = 'c'").orderBy("number").collect()] == ["few words about circuits and", "prices in general"]
 
 
 @pytest.fixture(scope="module")
