@@ -44,12 +44,15 @@ def undescribed_markers(lines: DataFrame, diagrams: DataFrame, keys: list[str])
 def expand_markers(lines: DataFrame, diagrams: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, line, text): markers in lines replaced by their diagram's description; descriptions nobody placed come last.
 
-    Of two descriptions of one marker the last stands; a marker without one says so.
+    Of two descriptions of one marker the last stands; a marker without one says so. Where lines and diagrams have a `box`
+    the result has one: a line takes the box of the last diagram in it that has one, else it keeps its own.
     """
+    boxed = "box" in lines.columns and "box" in diagrams.columns
     last = diagrams.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "marker").orderBy(F.col("ordinal").desc()))).filter("_n = 1")
     labels = F.when(F.size("labels") > 0, F.concat(F.lit(" Labels: "), F.array_join("labels", " | "), F.lit("."))).otherwise("")
-    said = last.select(*keys, "marker", F.concat(F.lit("[Diagram "), F.col("marker"), F.lit(": "), F.trim("description"), labels, F.lit("]")).alias("said"))
-    per_page = said.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("marker").cast("string"), "said"))).alias("_said"))  # a page's few diagrams
+    said = last.select(*keys, "marker", F.concat(F.lit("[Diagram "), F.col("marker"), F.lit(": "), F.trim("description"), labels, F.lit("]")).alias("said"), *(["box"] if boxed else []))
+    entries = lambda v: F.map_from_entries(F.collect_list(F.struct(F.col("marker").cast("string"), v)))
+    per_page = said.groupBy(*keys).agg(entries("said").alias("_said"), *([entries("box").alias("_boxes")] if boxed else []))  # a page's few diagrams
     joined = lines.join(per_page, keys, "left")
     unknown = lambda m: F.when(m == "0", F.lit(DRAWINGS_UNKNOWN)).otherwise(F.concat(F.lit(DRAWING_UNKNOWN[0]), m, F.lit(DRAWING_UNKNOWN[1])))
     marks = F.regexp_extract_all("text", F.lit(MARKER), 1)
@@ -58,8 +61,10 @@ def expand_markers(lines: DataFrame, diagrams: DataFrame, keys: list[str]) -> Da
     text = F.regexp_replace(F.array_join(filled, ""), r"\s+$", "")
     placed = lines.select(*keys, F.explode(F.regexp_extract_all("text", F.lit(MARKER), 1)).alias("m")).select(*keys, F.col("m").try_cast("int").alias("marker")).distinct()
     tail = Window.partitionBy(*keys).orderBy("marker")
-    loose = said.join(placed, [*keys, "marker"], "left_anti").select(*keys, (F.lit(1_000_000) + F.row_number().over(tail)).alias("line"), F.col("said").alias("text"))
-    return joined.select(*keys, "line", text.alias("text")).unionByName(loose)
+    loose = said.join(placed, [*keys, "marker"], "left_anti").select(*keys, (F.lit(1_000_000) + F.row_number().over(tail)).alias("line"), F.col("said").alias("text"), *(["box"] if boxed else []))
+    theirs = F.filter(F.transform(marks, lambda m: F.try_element_at("_boxes", F.regexp_replace(m, "^0+(?=\\d)", ""))), lambda b: b.isNotNull()) if boxed else None
+    own = [F.coalesce(F.try_element_at(theirs, F.lit(-1)), F.col("box")).alias("box")] if boxed else []
+    return joined.select(*keys, "line", text.alias("text"), *own).unionByName(loose)
 
 
 def trust_positions(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -180,7 +185,7 @@ def snapped(lines: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
 
 def snap_lines(lines: DataFrame, rows: DataFrame) -> DataFrame:
     """(doc_id, page, line, top, bottom, left, right): lines moved onto the ink rows of their page. A group is one page."""
-    kind = "doc_id long, page int, line int, top double, bottom double, left double, right double"
+    kind = f"doc_id {lines.schema['doc_id'].dataType.simpleString()}, page int, line int, top double, bottom double, left double, right double"
     cols = [c.split()[0] for c in kind.split(", ")]
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
