@@ -3,10 +3,12 @@
 Quotes and texts are normalised first (`functions.text.normalise`). An exact place is found by one Aho-Corasick automaton
 over all quotes. A typo-tolerant one is a run of words of which each is near its counterpart in the quote (token
 similarity TOKEN_FLOOR or more); so the quote's longest word must be near some word of the text, and only there a window is
-scored. Which words are near is settled once for each distinct word of a batch: lengths and letter counts rule out most,
-edit distances the rest. Nothing is lost by this, whatever the slips.
+scored. Which words are near is settled once, for the distinct words of all texts: a word meets those of the quotes' longest
+words whose length allows it, in a join on the length, letter counts rule out most, the built-in edit distance the rest.
+Nothing is lost by this, whatever the slips.
 
-The quotes travel to the tasks, in blocks of BLOCK_BYTES; each block is one more scan.
+The quotes and the words near them travel to the tasks, in blocks of BLOCK_BYTES; each block is one more scan of the texts,
+and the distinct words are one before them.
 """
 
 from __future__ import annotations
@@ -14,19 +16,19 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ANCHOR_THRESHOLD, TOKEN_FLOOR, normalise
+from ..functions.text import ANCHOR_THRESHOLD, TOKEN_FLOOR, normalise, ocr_fold
+from ..plans.steps import settled
 from .anchor import usable
 
-#: Bytes of quotes that travel at once; characters of text that a task works on together; distances that it remembers.
+#: Bytes of quotes and words that travel at once; characters of text that a task works on together; distances that it remembers.
 BLOCK_BYTES, GROUP_CHARS, REMEMBERED = 16 << 20, 1_000_000, 500_000
-_LETTERS = 32  # columns that letters are counted in
 
 
 def fold(text: str) -> str:
@@ -50,19 +52,47 @@ def similarity(a: str, b: str) -> float:
     return 1.0 if a == b or not longest else 1.0 - distance(a, b) / longest
 
 
-def _counts(words: list[str]) -> np.ndarray:
-    out = np.zeros((len(words), _LETTERS), dtype=np.int16)
-    sizes = np.array([len(w) for w in words], dtype=np.int64)
-    letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32) % _LETTERS
-    np.add.at(out, (np.repeat(np.arange(len(words)), sizes), letters), 1)
-    return out
+def longest(tokens: list[str]) -> str:
+    """The longest token, the first of equal ones."""
+    return max(tokens, key=len)
+
+
+#: Letters that words are first compared by. They order the work, not the result.
+COMPARED = "abcdefghijklmnopqrstuvwxyzäéöüß"
+#: Keys that travel to the tasks; more are joined by an exchange.
+SENT = 100_000
+
+
+def _letters(word: Column) -> Column:
+    """A bit for each of the letters that a word has."""
+    return reduce(lambda a, b: a.bitwiseOR(b), (F.when(F.contains(word, F.lit(c)), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(COMPARED)))
+
+
+def near_words(sheets: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, word): the distinct folded words of normalised texts (_t) that are near a key, a folded word of a quote.
+
+    Words and keys meet on the words' length: a key is sent to the lengths that TOKEN_FLOOR allows.
+    """
+    most = 1 - TOKEN_FLOOR  # edits, as a share of the longer word's length
+    tasks = int(sheets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Dealt out anew: a few bytes of words are much work.
+    words = sheets.select(F.explode(F.split(ocr_fold(F.col("_t")), " ")).alias("word")).distinct().repartition(tasks, "word").select("word", F.length("word").alias("n"), _letters(F.col("word")).alias("_w"))
+    sent = keys.withColumns({"_n": F.length("key"), "_k": _letters(F.col("key"))})
+    sent = sent.withColumn("n", F.explode(F.sequence(F.ceil(F.col("_n") * (1 - most) - 1e-9).cast("int"), F.floor(F.col("_n") / (1 - most) + 1e-9).cast("int"))))
+    met = words.join(F.broadcast(sent) if keys.count() <= SENT else sent, "n")
+    # A letter that only one of them has takes an edit, and an edit is for one letter of each at most.
+    lacks = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(F.col(b))))
+    fits = F.greatest(lacks("_w", "_k"), lacks("_k", "_w")) <= F.greatest("n", "_n") * most + 1e-9
+    near = (F.col("word") == F.col("key")) | (1.0 - F.levenshtein("key", "word") / F.greatest("n", "_n") >= TOKEN_FLOOR)
+    return met.filter(fits).filter(near).select("key", "word")
 
 
 class Quotes:
     """Normalised quotes, ready to be looked for."""
 
-    def __init__(self, quotes: list[tuple], threshold: float, fuzzy: bool):
-        self.threshold, self.fuzzy = threshold, fuzzy
+    def __init__(self, quotes: list[tuple], threshold: float, near: dict[str, list[str]] | None):
+        """quotes: (id, text, ...). near: words of texts, folded, and the longest words of quotes that each is near to; None: exact places alone."""
+        self.threshold, self.fuzzy = threshold, near is not None
         self.ids, self.texts = [q[0] for q in quotes], [q[1] for q in quotes]
         by_text = defaultdict(list)
         for k, t in enumerate(self.texts):
@@ -73,13 +103,11 @@ class Quotes:
         self.automaton.make_automaton()
         self.tokens = [fold(t).split(" ") for t in self.texts]
         # The word of each quote that a window must have something near to: the longest, the first of equal ones.
-        self.at = [max(range(len(t)), key=lambda i: (len(t[i]), -i)) for t in self.tokens]
-        self.keys: dict[str, list[int]] = defaultdict(list)
+        self.at = [t.index(longest(t)) for t in self.tokens]
+        keys: dict[str, list[int]] = defaultdict(list)
         for k, (t, i) in enumerate(zip(self.tokens, self.at)):
-            self.keys[t[i]].append(k)
-        self.names = list(self.keys)
-        self.sizes, self.counts = np.array([len(n) for n in self.names]), _counts(self.names)
-        self.near: dict[str, list[int]] = {}  # word of a text -> quotes whose key it is near to
+            keys[t[i]].append(k)
+        self.near = {word: sorted(k for name in names for k in keys[name]) for word, names in (near or {}).items()}
         self.known: dict[tuple[str, str], float] = {}
 
     def _similar(self, a: str, b: str) -> float:
@@ -87,22 +115,6 @@ class Quotes:
             found = self.known[a, b] = similarity(a, b)
         return found
 
-    def _learn(self, words: list[str]) -> None:
-        """Settles `near` for new words."""
-        sizes, counts = np.array([len(w) for w in words]), _counts(words)
-        found: dict[int, list[int]] = defaultdict(list)
-        for name, size, count in zip(self.names, self.sizes, self.counts):
-            most = (1 - TOKEN_FLOOR) * np.maximum(sizes, size) + 1e-9
-            some = np.flatnonzero(np.abs(sizes - size) <= most)
-            more = counts[some] - count
-            # Each edit takes away one letter at most, and adds one at most.
-            least = np.maximum(np.where(more > 0, more, 0).sum(axis=1), np.where(more < 0, -more, 0).sum(axis=1))
-            for w in some[least <= most[some]].tolist():
-                if self._similar(name, words[w]) >= TOKEN_FLOOR:
-                    found[w] += self.keys[name]
-        for w, word in enumerate(words):
-            self.near[word] = found.get(w, [])
-
     def _score(self, quote: int, words: list[str], start: int) -> float:
         total = 0.0
         for p, w in zip(self.tokens[quote], words[start : start + len(self.tokens[quote])]):
@@ -115,19 +127,16 @@ class Quotes:
     def find(self, texts: list[str]) -> Iterator[list[tuple]]:
         """For each normalised text (quote, status, place, similarity): the place is the character of an exact quote, else the word."""
         cut = [fold(t).split(" ") if t and self.fuzzy else [] for t in texts]
-        if len(self.near) > REMEMBERED or len(self.known) > REMEMBERED:
-            self.near, self.known = {}, {}
-        fresh = list(set().union(*cut).difference(self.near))
-        if fresh:
-            self._learn(fresh)
+        if len(self.known) > REMEMBERED:
+            self.known = {}
         for text, words in zip(texts, cut):
             exact: dict[int, int] = {}
-            for end, (size, of) in self.automaton.iter(text) if self.names else ():
+            for end, (size, of) in self.automaton.iter(text) if self.ids else ():
                 for k in of:
                     exact.setdefault(k, end - size + 1)
             best: dict[int, tuple[float, int]] = {}
             for place, word in enumerate(words):
-                for k in self.near[word]:
+                for k in self.near.get(word, ()):
                     start = place - self.at[k]
                     if k in exact or start < 0 or start + len(self.tokens[k]) > len(words):
                         continue
@@ -143,18 +152,26 @@ def search_quotes(quotes: DataFrame, texts: DataFrame, quote_id: str = "quote_id
 
     Quotes too short to anchor are not looked for. Repeated ids give repeated rows.
     """
-    wanted = usable(quotes, quote).select(quote_id, normalise(F.trim(quote)).alias("_q")).filter("_q != ''")
-    size = wanted.agg(F.coalesce(F.sum(F.octet_length("_q") + 64), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(size / BLOCK_BYTES))
+    wanted = settled(usable(quotes, quote).select(quote_id, normalise(F.trim(quote)).alias("_q")).filter("_q != ''"))
     kinds = {quote_id: wanted.schema[quote_id].dataType.simpleString(), text_id: texts.schema[text_id].dataType.simpleString()}
     sheets = texts.select(text_id, normalise(F.col(text)).alias("_t")).filter("_t != ''")
+    folded = F.split(ocr_fold(F.col("_q")), " ")
+    first = F.aggregate(folded, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    near = settled(near_words(sheets, wanted.select(first.alias("key")).distinct())) if fuzzy else None
+    size = wanted.agg(F.coalesce(F.sum(F.octet_length("_q") + 64), F.lit(0))).first()[0]
+    size += near.agg(F.coalesce(F.sum(F.octet_length("word") + F.octet_length("key") + 64), F.lit(0))).first()[0] if fuzzy else 0
+    blocks = max(1, math.ceil(size / BLOCK_BYTES))
+    at = F.pmod(F.xxhash64(first), F.lit(blocks))
     out = None
     for block in range(blocks):
-        some = [tuple(r) for r in wanted.filter(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == block).toLocalIterator()]  # BLOCK_BYTES
-        shared = texts.sparkSession.sparkContext.broadcast(some)
+        some = [tuple(r) for r in wanted.filter(at == block).toLocalIterator()]  # BLOCK_BYTES, with the words
+        words: dict[str, list[str]] = defaultdict(list)
+        for r in near.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).toLocalIterator() if fuzzy else ():
+            words[r["word"]].append(r["key"])
+        shared = texts.sparkSession.sparkContext.broadcast((some, dict(words) if fuzzy else None))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            held = Quotes(shared.value, threshold, fuzzy)
+            held = Quotes(shared.value[0], threshold, shared.value[1])
             for batch in batches:
                 rows, group, ids, chars = [], [], [], 0
 

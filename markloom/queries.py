@@ -608,6 +608,19 @@ def attributed_answers(spark, sf_dir):
     return segment.attributed(chunks, told, questions, "conv_id").select("conv_id", "number", F.md5("text").alias("text"), "start_page", "approximate")
 
 
+WRAP_ROOM = int(495.0 * 1000 / 9.0)
+
+
+@query(f"""WITH t AS (SELECT doc_id, regexp_replace(translate(replace(replace(coalesce(text, ''), '…', '...'), '₹', 'Rs '), '{FOLDED[0]}', '{FOLDED[1]}'), '[^\\x20-\\x7E\\n]', '', 'g') AS t FROM documents),
+w AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(t, '[ \\n]+'), lambda w: w <> ''), lambda w: {{'line': w, 'n': CAST(list_sum(list_transform(string_split(w, ''), lambda c: {list(report.WIDTHS)}[ord(c) - 31])) AS BIGINT), 'out': CAST([] AS VARCHAR[])}}) AS words FROM t),
+r AS (SELECT doc_id, CASE WHEN len(words) > 0 THEN list_reduce(words, lambda a, b: CASE WHEN a.n + 278 + b.n <= {WRAP_ROOM} THEN {{'line': a.line || ' ' || b.line, 'n': a.n + 278 + b.n, 'out': a.out}} ELSE {{'line': b.line, 'n': b.n, 'out': list_append(a.out, a.line)}} END) END AS s FROM w)
+SELECT doc_id, CASE WHEN s IS NULL THEN 0 ELSE len(s.out) + 1 END::BIGINT AS n_lines, md5(CASE WHEN s IS NULL THEN '' ELSE array_to_string(list_append(s.out, s.line), chr(10)) END) AS lines FROM r""")
+def wrapped_lines(spark, sf_dir):
+    """Whole documents as lines of a page 495 points wide, in nine points."""
+    lines = report.wrapped(F.col("text"), 9.0, 495.0)
+    return read(spark, sf_dir, "documents").select("doc_id", lines.alias("_l")).select("doc_id", F.size("_l").cast("long").alias("n_lines"), F.md5(F.array_join("_l", "\n")).alias("lines"))
+
+
 #: A day's allowance of tokens for each user; what a request reserves, uses and hears of the provider comes from its event.
 LEDGER_LIMIT, LEDGER_WINDOW = 4000, 86_400_000
 LEDGER_SQL = f"""

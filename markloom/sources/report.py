@@ -56,3 +56,44 @@ def report_text(lines: DataFrame) -> DataFrame:
     """(result_id, value): each result's summary as one text, for a text sink. A report is a page or two."""
     listed = F.sort_array(F.collect_list(F.struct("section", "ordinal", "part", "line")))
     return lines.groupBy("result_id").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("value"))
+
+
+#: Widths of the characters from space to tilde in Helvetica, in thousandths of the font's size. Fixed values.
+WIDTHS = (
+    278, 278, 355, 556, 556, 889, 667, 191, 333, 333, 389, 584, 278, 333, 278, 278, 556, 556, 556, 556, 556, 556, 556, 556, 556, 556, 278, 278, 584, 584, 584, 556,
+    1015, 667, 667, 722, 722, 667, 611, 778, 722, 278, 500, 667, 556, 833, 722, 778, 667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 278, 278, 278, 469, 556,
+    333, 556, 556, 500, 556, 556, 278, 556, 556, 222, 222, 500, 222, 833, 556, 556, 556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500, 334, 260, 334, 584,
+)
+
+
+def text_width(text: Column, widths: tuple[int, ...] = WIDTHS) -> Column:
+    """The width of printable ASCII, in thousandths of the font's size; other characters have none."""
+    table = F.array(*map(F.lit, widths))
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), lambda t, c: t + F.coalesce(F.get(table, F.ascii(c) - 32), F.lit(0)))
+
+
+def wrapped(text: Column, size: float, width: float, widths: tuple[int, ...] = WIDTHS) -> Column:
+    """The lines of a text, folded to ASCII, that a box of that width takes: each word goes on the line where it fits, else on
+    the next; a word wider than the box has a line of its own. Blank text has no lines.
+
+    A fold over words whose state is the open line, its width and the closed lines.
+    """
+    room = int(width * 1000 / size)
+    words = F.filter(F.split(ascii_fold(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+    measured = F.transform(words, lambda w: F.struct(w.alias("w"), text_width(w, widths).alias("n")))
+    start = F.struct(F.lit("").alias("line"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        first = s["line"] == ""
+        fits = first | (s["n"] + widths[0] + x["n"] <= room)
+        return F.struct(
+            F.when(first | ~fits, x["w"]).otherwise(F.concat(s["line"], F.lit(" "), x["w"])).alias("line"), F.when(first | ~fits, x["n"]).otherwise(s["n"] + widths[0] + x["n"]).alias("n"),
+            F.when(fits, s["out"]).otherwise(F.array_append(s["out"], s["line"])).alias("out"),
+        )
+
+    return F.aggregate(measured, start, step, lambda s: F.when(s["line"] == "", s["out"]).otherwise(F.array_append(s["out"], s["line"])))
+
+
+def summary_page(lines: DataFrame, size: float = 9.0, width: float = 495.0) -> DataFrame:
+    """Lines of `summary_lines` as they stand on a page: (result_id, section, ordinal, part, row, line), wrapped to its width."""
+    return lines.select("result_id", "section", "ordinal", "part", F.posexplode(wrapped(F.col("line"), size, width)).alias("row", "line"))

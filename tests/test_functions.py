@@ -121,3 +121,25 @@ def test_confidence_vectors(spark):
 def test_thresholds_are_three(name):
     assert (text.PHRASE_THRESHOLD, text.RULE_THRESHOLD, text.ANCHOR_THRESHOLD, text.TOKEN_FLOOR) == (0.8, 0.82, 0.74, 0.68)
     assert re.match(r"\\t", text.SPACES)
+
+
+def test_words_are_wrapped_by_their_widths(spark):
+    from pyspark.sql import functions as F
+
+    from markloom.sources import report
+
+    texts = ["", None, "  ", "one", "aa bb cc dd", "wide" * 40 + " i i i", "curly “quotes” — and so on", "iiii iiii MMMM MMMM"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(report.wrapped(F.col("t"), 10.0, 30.0)).collect()]
+
+    def plain(text):
+        lines, line = [], ""
+        for word in (text or "").replace("“", '"').replace("”", '"').replace("—", "-").split():
+            both = f"{line} {word}" if line else word
+            if not line or sum(report.WIDTHS[ord(c) - 32] for c in both) <= 3000:
+                line = both
+            else:
+                lines, line = [*lines, line], word
+        return lines + [line] * (line != "")
+
+    assert got == [plain(t) for t in texts] and len(report.WIDTHS) == 95 and got[5][0] == "wide" * 40
