@@ -36,7 +36,10 @@ from .ordering import deal
 #: Elements, roles and words of class or id that mark what isn't the article. Fixed values.
 BOILERPLATE = frozenset("script style noscript template head nav header footer aside form iframe svg button select textarea dialog object canvas".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu".split())
-MARKS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent newsletter subscribe signup comment comments disqus replies share sharing social related popup modal".split())
+MARKS = frozenset("ad ads banner nav navbar navigation menu sidebar footer masthead consent signup replies share sharing social related popup modal notice privacy".split())
+#: Words that make a name that of such an element whatever stands beside them, but for one of UNLESS before them.
+STRONG = frozenset("adsbygoogle advert adverts advertisement breadcrumb breadcrumbs comment comments cookie cookies disqus newsletter promo sponsor sponsored subscribe".split())
+UNLESS = frozenset("has no not with without".split())
 #: Words that stand beside one of MARKS in a name of an element that isn't the article (site-nav, ad-slot-2); any other word
 #: (social-policy, share-price), and has-, no- and with- above all, makes the name another thing's.
 BESIDE = frozenset("site page main global primary secondary top bottom left right inner outer sticky mobile desktop fixed bar box list item items link links button buttons icons container wrapper wrap widget block section area slot unit panel menu nav form header inline article articles post posts content stories".split())
@@ -63,7 +66,10 @@ def _marked(value: str) -> bool:
     """Whether one of the names of a class or id is, as a whole, that of what isn't the article."""
     for token in value.split():
         of = [w.lower() for w in _WORD.findall(_CAMEL.sub(" ", token))]
-        if any(w in MARKS for w in of) and all(w in MARKS or w in BESIDE for w in of):
+        strong = [k for k, w in enumerate(of) if w in STRONG]
+        if any(not k or of[k - 1] not in UNLESS for k in strong):
+            return True
+        if not strong and any(w in MARKS for w in of) and all(w in MARKS or w in BESIDE for w in of):
             return True
     return False
 
@@ -229,14 +235,14 @@ def main_text(own: list[tuple[str, bool]], other: list[tuple[str, bool]] | None,
     lines = [t for t, _ in own]
     shared = common(lines, [t for t, _ in other]) if other else set()
     kept = [t for t, inside in own if inside]
-    if not kept:
+    if 2 * sum(map(len, kept)) < sum(map(len, lines)) or not kept:
         template = shared
         if 2 * sum(len(lines[i]) for i in shared) > sum(map(len, lines)):
             # Mostly shared: a short page in a large template, or a copy. What the third page has too is template.
             template = shared & common(lines, [t for t, _ in third]) if third else set()
             if len(template) == len(lines):
                 template = set()  # all three are copies
-        kept = [t for i, t in enumerate(lines) if i not in template]
+        kept = [t for i, (t, inside) in enumerate(own) if inside or i not in template]
     return "\n\n".join(kept), len(shared)
 
 

@@ -768,3 +768,24 @@ def test_html_names_still_leave_out():
         assert html.blocks(f"<div class='{c}'><p>card</p></div><p>Text</p>") == [("Text", False)]
     assert html.blocks("<form><input><p>find</p></form><p>Long text of the page</p>") == [("Long text of the page", False)]
     assert html.blocks("<aside><article>card</article></aside><p>Text</p>") == [("Text", False)]
+
+
+@pytest.mark.parametrize("name", "reader-comments user-comments comment-thread author-comments cookie-notice privacy-notice cookie-policy-popup promo-card subscribe-cta breadcrumb-trail adsbygoogle".split())
+def test_html_names_that_decide_by_themselves(name):
+    page = f'<html><body><article><p>{"story words " * 9}</p><div class="{name}"><p>unwanted</p></div></article></body></html>'
+    assert html.main_text(html.blocks(page), None)[0] == ("story words " * 9).strip()
+
+
+@pytest.mark.parametrize("name", "has-comments no-sidebar social-policy share-price with-cookie noticeboard commentary".split())
+def test_html_names_of_other_things(name):
+    page = f'<html><body><article><p>{"story words " * 9}</p><div class="{name}"><p>wanted</p></div></article></body></html>'
+    assert html.main_text(html.blocks(page), None)[0].endswith("wanted")
+
+
+def test_html_teaser_beside_the_story():
+    """A short article isn't all of the text; what the nearest page has too goes, but for the article."""
+    page = lambda story: f"<body><div>A menu line</div><article><p>teaser</p></article><div><p>{story}</p></div></body>"
+    own, other = html.blocks(page("the story goes on and on " * 9)), html.blocks(page("another story altogether " * 9))
+    assert html.main_text(own, other)[0] == "teaser\n\n" + ("the story goes on and on " * 9).strip()
+    long = html.blocks(f"<body><div>menu</div><article><p>{'long article ' * 20}</p></article></body>")
+    assert html.main_text(long, None)[0] == ("long article " * 20).strip()
