@@ -36,13 +36,13 @@ from .ordering import deal
 #: Elements, roles and words of class or id that mark what isn't the article. Fixed values.
 BOILERPLATE = frozenset("script style noscript template head nav header footer aside form iframe svg button select textarea dialog object canvas".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu".split())
-MARKS = frozenset("ad ads banner nav navbar navigation menu sidebar footer masthead consent signup replies share sharing social related popup modal notice privacy".split())
+MARKS = frozenset("ad ads banner nav navbar navigation menu sidebar footer masthead consent signup replies share sharing social related popup modal privacy".split())
 #: Words that make a name that of such an element whatever stands beside them, but for one of UNLESS before them.
 STRONG = frozenset("adsbygoogle advert adverts advertisement breadcrumb breadcrumbs comment comments cookie cookies disqus newsletter promo sponsor sponsored subscribe".split())
 UNLESS = frozenset("has no not with without".split())
 #: Words that stand beside one of MARKS in a name of an element that isn't the article (site-nav, ad-slot-2); any other word
 #: (social-policy, share-price), and has-, no- and with- above all, makes the name another thing's.
-BESIDE = frozenset("site page main global primary secondary top bottom left right inner outer sticky mobile desktop fixed bar box list item items link links button buttons icons container wrapper wrap widget block section area slot unit panel menu nav form header inline article articles post posts content stories".split())
+BESIDE = frozenset("notice site page main global primary secondary top bottom left right inner outer sticky mobile desktop fixed bar box list item items link links button buttons icons container wrapper wrap widget block section area slot unit panel menu nav form header inline article articles post posts content stories".split())
 CONTENT = frozenset("article main".split())
 #: Elements that end a block.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead title tr ul".split())
