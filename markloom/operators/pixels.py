@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -11,7 +13,7 @@ ROWS = "array<struct<top:double,bottom:double,left:double,right:double>>"
 #: Darkness, and lengths as parts of the page. Fixed values.
 DARK, RULED_RUN, RULED_COLUMN = 110, 0.30, 0.35
 LEAST_INK, JOIN, LEAST_TALL = 0.004, 0.003, 0.008
-SPLIT, VALLEY, DEEPEST = 1.35, 0.45, 3
+SPLIT, VALLEY, DEEPEST, EDGE = 1.35, 0.45, 3, 0.01
 
 
 def _longest_run(dark: np.ndarray) -> np.ndarray:
@@ -35,17 +37,19 @@ def _bands(filled: np.ndarray, join: int) -> list[tuple[int, int]]:
     return out
 
 
-def _split(ink: np.ndarray, a: int, b: int, usual: float, depth: int = 0) -> list[tuple[int, int]]:
-    """A band much taller than usual is two lines that touch: cut at a clear valley in its middle."""
-    if depth >= DEEPEST or b - a < SPLIT * usual:
+def _split(ink: np.ndarray, a: int, b: int, usual: int, least: int, depth: int = 0) -> list[tuple[int, int]]:
+    """A band much taller than usual is two lines that touch: cut at a clear valley in its middle half, which goes to neither."""
+    if depth > DEEPEST or b - a < SPLIT * usual or b - a < 2 * least:
         return [(a, b)]
     low, high = a + (b - a) // 4, b - (b - a) // 4
-    if high <= low:
-        return [(a, b)]
     at = low + int(np.argmin(ink[low:high]))
     if ink[at] > VALLEY * ink[a:b].mean():
         return [(a, b)]
-    return _split(ink, a, at, usual, depth + 1) + _split(ink, at, b, usual, depth + 1)
+    return _split(ink, a, at, usual, least, depth + 1) + _split(ink, at + 1, b, usual, least, depth + 1)
+
+
+def _rounded(x: float) -> int:
+    return math.floor(x + 0.5)
 
 
 def ink_rows(pixels: bytes, width: int, height: int) -> list[tuple[float, float, float, float]]:
@@ -54,19 +58,24 @@ def ink_rows(pixels: bytes, width: int, height: int) -> list[tuple[float, float,
         return []
     rgb = np.frombuffer(pixels, dtype=np.uint8, count=3 * width * height).reshape(height, width, 3).astype(int)
     dark = (299 * rgb[..., 0] + 587 * rgb[..., 1] + 114 * rgb[..., 2]) / 1000 < DARK
-    dark[_longest_run(dark) > RULED_RUN * width] = False
-    dark[:, dark.sum(axis=0) > RULED_COLUMN * height] = False
-    ink = dark.sum(axis=1)
-    bands = [x for x in _bands(ink >= max(3, round(LEAST_INK * width)), max(1, round(JOIN * height))) if x[1] - x[0] >= max(2, round(LEAST_TALL * height))]
+    ruled, margin = _longest_run(dark) > RULED_RUN * width, dark.sum(axis=0) > RULED_COLUMN * height
+    dark[ruled] = False
+    dark[:, margin] = False
+    ink, least = dark.sum(axis=1), max(2, _rounded(LEAST_TALL * height))
+    bands = [x for x in _bands(ink >= max(3, _rounded(LEAST_INK * width)), max(1, _rounded(JOIN * height))) if x[1] - x[0] >= least]
     if not bands:
         return []
-    usual = float(np.median([b - a for a, b in bands]))
+    usual = sorted(b - a for a, b in bands)[len(bands) // 2]
     out = []
-    for a, b in [x for band in bands for x in _split(ink, *band, usual)]:
+    for a, b in [x for band in bands for x in _split(ink, *band, usual, least)]:
+        if b - a < least:
+            continue
         across = np.cumsum(dark[a:b].sum(axis=0))
-        if across[-1]:
-            left, right = np.searchsorted(across, 0.01 * across[-1]), np.searchsorted(across, 0.99 * across[-1])
-            out.append((a / height, b / height, left / width, (right + 1) / width))
+        n = int(across[-1])
+        # The places of the dots at a hundredth from either end.
+        left = int(np.searchsorted(across, math.floor(n * EDGE) + 1)) if n else 0
+        right = int(np.searchsorted(across, min(n - 1, math.ceil(n * (1 - EDGE))) + 1)) if n else 0
+        out.append((a / height, b / height, left / width, max(left + 1, right + 1) / width))
     return out
 
 

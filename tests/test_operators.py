@@ -520,3 +520,42 @@ def test_unstable_pages_are_rated_poor(spark):
     pages = spark.createDataFrame([("d", 0, "good", ["x"]), ("d", 1, None, None)], "doc_id string, page int, legibility string, unclear array<string>")
     got = transcript.rated_unstable(pages, pages.filter("page = 1"), ["doc_id", "page"]).orderBy("page").collect()
     assert got[0].legibility == "good" and got[0].unclear == ["x"] and got[1].legibility == "poor" and len(got[1].unclear) == 1
+
+
+def page_with(bands, width=1000, height=1000, column=None, line=None):
+    """A white image with runs of dots in bands (top, bottom, dots a row)."""
+    image = np.full((height, width, 3), 255, dtype=np.uint8)
+    for k, (a, b, dots) in enumerate(bands):
+        for y in range(a, b):
+            image[y, 200 + k % 4 : 200 + 4 * dots : 4] = 0  # no column is inked often enough for a margin rule
+    if column is not None:
+        image[:, column] = 0
+    if line is not None:
+        image[line, 50:950] = 0
+    return image
+
+
+def test_ink_rows_split_after_the_valley():
+    """The valley itself belongs to neither line; the second half begins behind it."""
+    rows = pixels.ink_rows(page_with([(100, 120, 40), (300, 330, 40), (330, 331, 4), (331, 360, 40), (500, 520, 40)]).tobytes(), 1000, 1000)
+    assert [r[:2] for r in rows] == [(0.1, 0.12), (0.3, 0.33), (0.331, 0.36), (0.5, 0.52)]
+
+
+def test_ink_rows_limits():
+    # Parts under the least height go, and a band under twice of it is never cut.
+    rows = pixels.ink_rows(page_with([(100, 110, 40), (300, 304, 40), (304, 305, 4), (305, 315, 40)]).tobytes(), 1000, 1000)
+    assert [r[:2] for r in rows] == [(0.1, 0.11), (0.3, 0.315)]
+    # Of two heights the upper one is usual.
+    rows = pixels.ink_rows(page_with([(100, 120, 40), (300, 320, 40), (320, 321, 4), (321, 340, 40)]).tobytes(), 1000, 1000)
+    assert [r[:2] for r in rows] == [(0.1, 0.12), (0.3, 0.34)]
+    # A margin rule counts with the ink of ruled lines: here it is inked on just over 35 % of the page with them.
+    image = page_with([(100, 120, 40)])
+    image[200:549, 30] = 0
+    for y in range(600, 610):
+        image[y, 0:950] = 0
+    assert [round(r[2], 3) for r in pixels.ink_rows(image.tobytes(), 1000, 1000)] == [0.2]
+    # Four levels of cuts: many touching lines give up to 16 parts, more than three levels can.
+    lines = [(100, 115, 40), (700, 715, 40), (900, 915, 40), (930, 945, 40), (960, 975, 40)]
+    touching = [x for k in range(32) for x in ((140 + 17 * k, 156 + 17 * k, 40), (156 + 17 * k, 157 + 17 * k, 4))]
+    rows = pixels.ink_rows(page_with([*lines[:1], *touching, *lines[1:]]).tobytes(), 1000, 1000)
+    assert 8 < len([r for r in rows if 0.13 < r[0] < 0.69]) <= 16
