@@ -20,11 +20,12 @@ equal sets are one set; no texts give no edges.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fingerprint
@@ -39,6 +40,8 @@ FEW, BLOCK = 24, 256
 ROUNDS, ENOUGH = 5, 20_000
 #: 64-bit words of a set's folded parities, and so of the shortest marks.
 SHORT = 8
+#: Pairs, each with two sets or their marks, that Python gets at once.
+PAIRS_A_BATCH = 200
 
 
 def lowered(texts: pd.Series) -> list[bytes]:
@@ -134,6 +137,18 @@ def may_be_alike(n: int, marks: bytes, m: int, other: bytes, least: float) -> bo
     return np.bitwise_count(fold(marks) ^ fold(other)).sum() <= (1 - least) / (1 + least) * (n + m) + fingerprint.SLACK
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = PAIRS_A_BATCH) -> Iterator[None]:
+    """While it lasts, jobs hand Python few rows at once: a pair of long texts' sets is some hundred kilobytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Sets:
     """The sets of a table of texts.
 
@@ -146,7 +161,7 @@ class Sets:
         self.one = settle(known.groupBy("s").agg(F.first("n").alias("n"), F.first("marks").alias("marks")).withColumn("short", folded(F.col("marks"))))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) whose similarity, counted, is at least `least`: marks decide first, then the sets."""
+        """Those of the pairs (a, b) whose similarity, counted, is at least `least`, settled: marks decide first, then the sets."""
         least = self.least
 
         @F.pandas_udf("boolean")
@@ -163,11 +178,13 @@ class Sets:
         pairs = settle(pairs.join(left, "a").join(right, "b").filter(few).select("a", "b"))
         left = self.one.select(F.col("s").alias("a"), F.col("n").alias("_n"), F.col("marks").alias("_x"))
         right = self.one.select(F.col("s").alias("b"), F.col("n").alias("_m"), F.col("marks").alias("_y"))
-        near = settle(pairs.join(left, "a").join(right, "b").filter(may("_n", "_x", "_m", "_y")).select("a", "b"))
+        with small_batches(self.one.sparkSession):
+            near = settle(pairs.join(left, "a").join(right, "b").filter(may("_n", "_x", "_m", "_y")).select("a", "b"))
         used = settle(near.select(F.explode(F.array("a", "b")).alias("s")).distinct())
         sets = settle(self.made(used))
         left, right = sets.select(F.col("s").alias("a"), F.col("g").alias("_x")), sets.select(F.col("s").alias("b"), F.col("g").alias("_y"))
-        return near.join(left, "a").join(right, "b").filter(holds("_x", "_y")).select("a", "b")
+        with small_batches(self.one.sparkSession):
+            return settle(near.join(left, "a").join(right, "b").filter(holds("_x", "_y")).select("a", "b"))
 
     def _shared(self) -> DataFrame:
         """(key, s, n, pos, m): the keys that several sets have, with their sets, once each, and how many they are.
@@ -194,7 +211,7 @@ class Sets:
         small = met.filter(F.col("m") <= few).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s", "n", "pos"))).alias("l")).select("l").distinct()
         each = f"flatten(transform(l, (x, i) -> transform(filter(slice(l, i + 2, {few}), y -> {can_meet('x', 'y', self.least)}), y -> struct(x.s AS a, y.s AS b))))"
         pairs = small.select(F.explode(F.expr(each)).alias("e")).select("e.a", "e.b").distinct()
-        found = settle(self.verified(pairs))
+        found = self.verified(pairs)
         crowd = met.filter(F.col("m") > few)
         return found if crowd.isEmpty() else self._through_hubs(crowd, found)
 
@@ -205,7 +222,7 @@ class Sets:
         key stay unconnected, the best of those outside the classes of earlier hubs is the next, up to ROUNDS times or
         until few are left; pairs that no round settled are compared all with all.
         """
-        met = settle(crowd.join(crowd.groupBy("s").agg(F.count(F.lit(1)).alias("d")), "s").select("key", "s", "d", "n", "pos"))
+        met = settle(crowd.withColumn("d", F.count(F.lit(1)).over(Window.partitionBy("s"))).select("key", "s", "d", "n", "pos"))
         tested = used = None
         roots = settle(met.select("s").distinct().withColumn("root", F.col("s")))
 
@@ -217,16 +234,22 @@ class Sets:
             parts = components(settle(ends.filter("a != b").distinct())).select(F.col("node").alias("root"), F.col("component").alias("_c"))
             return settle(roots.join(parts, "root", "left").select("s", F.coalesce("_c", "root").alias("root")))
 
+        def still_apart(live: DataFrame) -> DataFrame:
+            """The rows of keys whose sets have several roots, with their roots; the others are done."""
+            rows = settle(live.drop("root").join(roots, "s"))
+            apart = rows.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo != _hi").select("key")
+            return settle(rows.join(apart, "key", "left_semi"))
+
         roots = joined_by(found)
+        live = still_apart(met)
         for _ in range(ROUNDS):
-            rooted = met.join(roots, "s")
+            rooted = fresh = live
             new = F.lit(True)
-            fresh = rooted
             if used is not None:
                 taken = used.join(roots, "s").select("root").distinct().withColumn("_taken", F.lit(True))
                 fresh, new = rooted.join(taken, "root", "left"), F.col("_taken").isNull()
             best = F.max(F.when(new, F.struct("d", "s", "root", "n", "pos")))
-            hubs = settle(fresh.groupBy("key").agg(best.alias("_b"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo != _hi AND _b IS NOT NULL").select("key", "_b"))
+            hubs = settle(fresh.groupBy("key").agg(best.alias("_b")).filter("_b IS NOT NULL").select("key", "_b"))
             ways = rooted.withColumn("_x", F.struct("s", "root", "n", "pos")).join(hubs, "key").filter("_x.root != _b.root").filter(F.expr(can_meet("_x", "_b", self.least)))
             pairs = ways.select(F.least("_x.s", "_b.s").alias("a"), F.greatest("_x.s", "_b.s").alias("b")).distinct()
             pairs = settle(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
@@ -235,17 +258,16 @@ class Sets:
                 break
             tested = pairs if tested is None else tested.unionByName(pairs)
             used = settle(hubs.select(F.col("_b.s").alias("s")).distinct() if used is None else used.unionByName(hubs.select(F.col("_b.s").alias("s"))).distinct())
-            more = settle(self.verified(pairs))
+            more = self.verified(pairs)
             found = found.unionByName(more)
             roots = joined_by(more)
+            live = still_apart(live)
             if n <= ENOUGH:
                 break
-        rooted = met.join(roots, "s")
-        apart = rooted.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo != _hi").select("key")
-        left = settle(rooted.join(apart, "key"))
-        if left.isEmpty():
+        if live.isEmpty():
             return settle(found)
-        rest = self._blocks(left).distinct()
+        with small_batches(found.sparkSession):
+            rest = settle(self._blocks(live).distinct())
         rest = settle(rest if tested is None else rest.join(tested, ["a", "b"], "left_anti"))
         return settle(found.unionByName(self.verified(rest)))
 
