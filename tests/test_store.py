@@ -54,7 +54,7 @@ def test_lookups_open_only_files_that_may_hold_the_key(spark, s):
     assert len(s.lookup("t", ["a0000", "c0399"]).inputFiles()) == 2 and s.lookup("t", ["zzz"]).count() == 0
     s.upsert("t", spark.createDataFrame([("b0123", -1)], ROWS))
     assert s.get("t", "b0123").v == -1 and len(s.lookup("t", ["b0123"]).inputFiles()) == 3  # the old file, the keys, the new file
-    assert "PushedFilters: [In" in s.lookup("t", ["b0123", "b0124"])._jdf.queryExecution().toString() or s.lookup("t", ["b0123"]).count() == 1
+    assert content(s.lookup("t", ["b0123", "b0124"])) == [("b0123", -1), ("b0124", 124)]
 
 
 def test_writers_that_meet_all_end_up_in_the_table(spark, s):
