@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,37 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Settled tables of one piece of work: Parquet in the shared folder, removed when the work ends.
+
+    What `settle` cuts with a checkpoint stays until somebody clears the folder; work in many rounds leaves many of those.
+    A table here is written once, read by columns, and gone with its part. Nothing that is read later may come from it.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark, self.folder, self._next = spark, folder or f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", count()
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{next(self._next)}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def part(self) -> Tables:
+        """Tables that go earlier than these."""
+        return Tables(self.spark, f"{self.folder}/part-{next(self._next)}")
+
+    def close(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.spark._jvm.System.gc()  # Spark removes the files of exchanges when the driver has collected their plans
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()
+
+
 #: Rows up to which a settled table of ids travels to all tasks; a longer one is joined by an exchange.
 SENT = 500_000
 

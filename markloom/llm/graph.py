@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import Tables, settle
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,16 +27,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter(F.col("a") > F.col("b")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, tables: Tables | None = None) -> DataFrame:
     """(node, component) for every node of the edges (a, b); the component is its smallest node.
 
-    Loops and repeated edges are allowed; no edges give no rows. Nulls must not occur.
+    Loops and repeated edges are allowed; no edges give no rows. Nulls must not occur. Rounds are settled in `tables`, which
+    the result reads; without, by checkpoints.
     """
+    put = tables.settle if tables else settle
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    now = settle(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = put(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     for _ in range(most_rounds):
-        now = settle(_star(_star(now, large=True), large=False))
+        now = put(_star(_star(now, large=True), large=False))
         # Stars are final when the edges no longer change: their number and a sum of hashes tell.
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fingerprint
-from .common import settle
+from .common import Tables
 from .graph import components
 
 #: Texts from which common shingles are learned, and how many of those travel to the tasks. They order the work, not the result.
@@ -153,12 +153,13 @@ class Sets:
     """The sets of a table of texts.
 
     known: (s, n, marks, keys) for each text: the hash of its set, its size, marks and prefix keys; copies may be repeated
-    and may lack keys but for one. made: for a settled table of distinct s, (s, g), the sets themselves, once each.
+    and may lack keys but for one. made: for a settled table of distinct s, (s, g), the sets themselves, once each; what it
+    settles itself goes into the tables it is given. Results are in `tables`; what a step alone needs goes with the step.
     """
 
-    def __init__(self, known: DataFrame, made: Callable[[DataFrame], DataFrame], least: float):
-        self.known, self.made, self.least = known, made, least
-        self.one = settle(known.groupBy("s").agg(F.first("n").alias("n"), F.first("marks").alias("marks")).withColumn("short", folded(F.col("marks"))))
+    def __init__(self, known: DataFrame, made: Callable[[DataFrame, Tables], DataFrame], least: float, tables: Tables):
+        self.known, self.made, self.least, self.tables = known, made, least, tables
+        self.one = tables.settle(known.groupBy("s").agg(F.first("n").alias("n"), F.first("marks").alias("marks")).withColumn("short", folded(F.col("marks"))))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose similarity, counted, is at least `least`, settled: marks decide first, then the sets."""
@@ -175,16 +176,15 @@ class Sets:
         left, right = (self.one.select(F.col("s").alias(a), F.col("n").alias(n), F.col("short").alias(x)) for a, n, x in (("a", "_n", "_x"), ("b", "_m", "_y")))
         differing = "aggregate(zip_with(_x, _y, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
         few = F.expr(f"{differing} <= {(1 - least) / (1 + least)!r}D * (_n + _m) + {fingerprint.SLACK}D")
-        pairs = settle(pairs.join(left, "a").join(right, "b").filter(few).select("a", "b"))
-        left = self.one.select(F.col("s").alias("a"), F.col("n").alias("_n"), F.col("marks").alias("_x"))
-        right = self.one.select(F.col("s").alias("b"), F.col("n").alias("_m"), F.col("marks").alias("_y"))
-        with small_batches(self.one.sparkSession):
-            near = settle(pairs.join(left, "a").join(right, "b").filter(may("_n", "_x", "_m", "_y")).select("a", "b"))
-        used = settle(near.select(F.explode(F.array("a", "b")).alias("s")).distinct())
-        sets = settle(self.made(used))
-        left, right = sets.select(F.col("s").alias("a"), F.col("g").alias("_x")), sets.select(F.col("s").alias("b"), F.col("g").alias("_y"))
-        with small_batches(self.one.sparkSession):
-            return settle(near.join(left, "a").join(right, "b").filter(holds("_x", "_y")).select("a", "b"))
+        with self.tables.part() as own, small_batches(self.one.sparkSession):
+            pairs = own.settle(pairs.join(left, "a").join(right, "b").filter(few).select("a", "b"))
+            left = self.one.select(F.col("s").alias("a"), F.col("n").alias("_n"), F.col("marks").alias("_x"))
+            right = self.one.select(F.col("s").alias("b"), F.col("n").alias("_m"), F.col("marks").alias("_y"))
+            near = own.settle(pairs.join(left, "a").join(right, "b").filter(may("_n", "_x", "_m", "_y")).select("a", "b"))
+            used = own.settle(near.select(F.explode(F.array("a", "b")).alias("s")).distinct())
+            sets = own.settle(self.made(used, own))
+            left, right = sets.select(F.col("s").alias("a"), F.col("g").alias("_x")), sets.select(F.col("s").alias("b"), F.col("g").alias("_y"))
+            return self.tables.settle(near.join(left, "a").join(right, "b").filter(holds("_x", "_y")).select("a", "b"))
 
     def _shared(self) -> DataFrame:
         """(key, s, n, pos, m): the keys that several sets have, with their sets, once each, and how many they are.
@@ -196,11 +196,13 @@ class Sets:
         """
         keys = self.known.select("s", "n", F.posexplode("keys").alias("pos", "key")).withColumn("key", F.col("key").bitwiseAND(F.lit((1 << 48) - 1)))
         often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
-        held = settle(keys.join(often, "key", "left_semi").groupBy("key", "s").agg(F.min("n").alias("n"), F.min("pos").alias("pos")))
+        own = self.tables.part()
+        held = own.settle(keys.join(often, "key", "left_semi").groupBy("key", "s").agg(F.min("n").alias("n"), F.min("pos").alias("pos")))
         whose = held.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *[F.bit_xor(F.xxhash64(F.lit(i), "s")).alias(f"_w{i}") for i in (1, 2)]).filter("m > 1")
         same = Window.partitionBy("m", "_w1", "_w2")
         named = whose.select("key", "m", F.min("key").over(same).alias("_as"))
-        return settle(held.join(named, "key").groupBy(F.col("_as").alias("key"), "s").agg(F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("m").alias("m")))
+        with own:
+            return self.tables.settle(held.join(named, "key").groupBy(F.col("_as").alias("key"), "s").agg(F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("m").alias("m")))
 
     def edges(self, few: int = FEW) -> DataFrame:
         """Edges (a, b) between sets that connect exactly those connected by pairs of that similarity or more.
@@ -222,26 +224,29 @@ class Sets:
         key stay unconnected, the best of those outside the classes of earlier hubs is the next, up to ROUNDS times or
         until few are left; pairs that no round settled are compared all with all.
         """
-        met = settle(crowd.withColumn("d", F.count(F.lit(1)).over(Window.partitionBy("s"))).select("key", "s", "d", "n", "pos"))
+        tables = self.tables
+        met = tables.settle(crowd.withColumn("d", F.count(F.lit(1)).over(Window.partitionBy("s"))).select("key", "s", "d", "n", "pos"))
         tested = used = None
-        roots = settle(met.select("s").distinct().withColumn("root", F.col("s")))
 
-        def joined_by(edges: DataFrame) -> DataFrame:
-            """roots after new edges: only those that join different roots are looked at."""
+        def joined_by(edges: DataFrame, roots: DataFrame, own: Tables) -> DataFrame:
+            """roots after new edges, in own: only those that join different roots are looked at."""
             one, two = (roots.select(F.col("s").alias(e), F.col("root").alias(f"_{e}")) for e in "ab")
             # A set may be connected to the crowd through one outside it, which is then its own root.
             ends = edges.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
-            parts = components(settle(ends.filter("a != b").distinct())).select(F.col("node").alias("root"), F.col("component").alias("_c"))
-            return settle(roots.join(parts, "root", "left").select("s", F.coalesce("_c", "root").alias("root")))
-
-        def still_apart(live: DataFrame) -> DataFrame:
-            """The rows of keys whose sets have several roots, with their roots; the others are done."""
-            rows = settle(live.drop("root").join(roots, "s"))
-            apart = rows.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo != _hi").select("key")
-            return settle(rows.join(apart, "key", "left_semi"))
-
-        roots = joined_by(found)
-        live = still_apart(met)
+            with own.part() as rounds:
+                parts = components(rounds.settle(ends.filter("a != b").distinct()), tables=rounds).select(F.col("node").alias("root"), F.col("component").alias("_c"))
+                return own.settle(roots.join(parts, "root", "left").select("s", F.coalesce("_c", "root").alias("root")))
+
+        def still_apart(live: DataFrame, roots: DataFrame, own: Tables) -> DataFrame:
+            """The rows of keys whose sets have several roots, with their roots, in own; the others are done."""
+            with own.part() as step:
+                rows = step.settle(live.drop("root").join(roots, "s"))
+                apart = rows.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo != _hi").select("key")
+                return own.settle(rows.join(apart, "key", "left_semi"))
+
+        now = tables.part()  # roots and live rows of a round, which go when the next round's are there
+        roots = joined_by(found, met.select("s").distinct().withColumn("root", F.col("s")), now)
+        live = still_apart(met, roots, now)
         for _ in range(ROUNDS):
             rooted = fresh = live
             new = F.lit(True)
@@ -249,27 +254,32 @@ class Sets:
                 taken = used.join(roots, "s").select("root").distinct().withColumn("_taken", F.lit(True))
                 fresh, new = rooted.join(taken, "root", "left"), F.col("_taken").isNull()
             best = F.max(F.when(new, F.struct("d", "s", "root", "n", "pos")))
-            hubs = settle(fresh.groupBy("key").agg(best.alias("_b")).filter("_b IS NOT NULL").select("key", "_b"))
+            hubs = now.settle(fresh.groupBy("key").agg(best.alias("_b")).filter("_b IS NOT NULL").select("key", "_b"))
             ways = rooted.withColumn("_x", F.struct("s", "root", "n", "pos")).join(hubs, "key").filter("_x.root != _b.root").filter(F.expr(can_meet("_x", "_b", self.least)))
             pairs = ways.select(F.least("_x.s", "_b.s").alias("a"), F.greatest("_x.s", "_b.s").alias("b")).distinct()
-            pairs = settle(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+            pairs = tables.settle(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
             n = pairs.count()
             if n == 0:
                 break
             tested = pairs if tested is None else tested.unionByName(pairs)
-            used = settle(hubs.select(F.col("_b.s").alias("s")).distinct() if used is None else used.unionByName(hubs.select(F.col("_b.s").alias("s"))).distinct())
+            chosen = hubs.select(F.col("_b.s").alias("s"))
+            used = tables.settle((chosen if used is None else used.unionByName(chosen)).distinct())
             more = self.verified(pairs)
             found = found.unionByName(more)
-            roots = joined_by(more)
-            live = still_apart(live)
+            later = tables.part()
+            roots = joined_by(more, roots, later)
+            live = still_apart(live, roots, later)
+            now.close()
+            now = later
             if n <= ENOUGH:
                 break
-        if live.isEmpty():
-            return settle(found)
-        with small_batches(found.sparkSession):
-            rest = settle(self._blocks(live).distinct())
-        rest = settle(rest if tested is None else rest.join(tested, ["a", "b"], "left_anti"))
-        return settle(found.unionByName(self.verified(rest)))
+        with now:
+            if live.isEmpty():
+                return found
+            with small_batches(found.sparkSession):
+                rest = now.settle(self._blocks(live).distinct())
+            rest = rest if tested is None else rest.join(tested, ["a", "b"], "left_anti")
+            return found.unionByName(self.verified(rest))
 
     def _blocks(self, met: DataFrame) -> DataFrame:
         """Pairs (a < b) of different roots of larger keys that marks don't rule out: block by block, all with all."""

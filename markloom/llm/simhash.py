@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fingerprint, setjoin
-from .common import joined, settle
+from .common import Tables, joined, settle
 from .graph import components
 
 BITS = 64
@@ -106,16 +106,16 @@ def _differing(a, b):
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(points: DataFrame, radius: int = 2, few: int = FEW) -> DataFrame:
+def links(points: DataFrame, radius: int = 2, few: int = FEW, tables: Tables | None = None) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that connect all pairs within the radius.
 
     Buckets of up to `few` give their pairs within the radius; larger ones give edges through shared midpoints.
     """
     masks = covering_masks(radius)
-    tables = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)])
-    dealt = points.select("fp", F.explode(tables).alias("_b")).select("fp", "_b.t", "_b.key")
+    masked = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)])
+    dealt = points.select("fp", F.explode(masked).alias("_b")).select("fp", "_b.t", "_b.key")
     sizes = dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = settle(dealt.join(sizes, ["t", "key"]))
+    met = (tables.settle if tables else settle)(dealt.join(sizes, ["t", "key"]))
     small = met.filter(F.col("n") <= few).groupBy("t", "key").agg(F.sort_array(F.collect_list("fp")).alias("m"))
     apart = small.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, {few}), y -> bit_count(x ^ y) <= {radius}), y -> struct(x AS a, y AS b))))")).alias("e")).select("e.a", "e.b")
     # Larger buckets: to every midpoint that differs in at most half the radius of the places outside the mask.
@@ -136,14 +136,15 @@ def _through_odd(near: DataFrame, radius: int) -> DataFrame:
     return met.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> transform(filter(m, y -> y > x AND bit_count(x ^ y) <= {radius}), y -> struct(x AS a, y AS b))))")).alias("e")).select("e.a", "e.b").distinct()
 
 
-def classes(prints: DataFrame, radius: int = 2, also: DataFrame | None = None) -> DataFrame:
+def classes(prints: DataFrame, radius: int = 2, also: DataFrame | None = None, tables: Tables | None = None) -> DataFrame:
     """(fp, root) for each distinct fingerprint of (fp, ...): root is one fingerprint of its connected class.
 
-    also: further edges (a, b) between fingerprints.
+    also: further edges (a, b) between fingerprints. tables: see `components`.
     """
+    put = tables.settle if tables else settle
     points = prints.select("fp").distinct()
-    edges = settle(links(points, radius))
-    parts = components(edges if also is None else edges.unionByName(settle(also)))
+    edges = put(links(points, radius, tables=tables))
+    parts = components(edges if also is None else edges.unionByName(put(also)), tables=tables)
     return points.join(parts.select(F.col("node").alias("fp"), F.col("component").alias("_c")), "fp", "left").select("fp", F.coalesce("_c", "fp").alias("root"))
 
 
@@ -179,18 +180,18 @@ def profiles(text: Column, common: tuple, words_each: int, least: float) -> Colu
     return F.pandas_udf(run, "fp long, s long, n long, marks binary, keys array<long>")(text)
 
 
-def alike(docs: DataFrame, held: DataFrame, least: float, text: str = "text") -> DataFrame:
+def alike(docs: DataFrame, held: DataFrame, least: float, tables: Tables, text: str = "text") -> DataFrame:
     """Edges (a, b) between fingerprints that connect all texts of that similarity; held: (h, fp, s, n, marks, keys) of the
-    rows of docs, docs having the hash _h that held has as h."""
+    rows of docs, docs having the hash _h that held has as h. Both are read from `tables`, as the result is."""
     worded = held.filter("n > 0")
 
-    def made(used: DataFrame) -> DataFrame:
+    def made(used: DataFrame, own: Tables) -> DataFrame:
         # One row of docs for each set wanted; rows of one hash are alike, and give their set once a task.
-        row = settle(joined(worded.select("s", "h"), used, "s").groupBy("s").agg(F.min("h").alias("_h")))
+        row = own.settle(joined(worded.select("s", "h"), used, "s").groupBy("s").agg(F.min("h").alias("_h")))
         found = joined(docs.select("_h", F.col(text).alias("_t")), row, "_h")
         return found.select("s", setjoin.shingle_set(F.col("_t")).alias("g")).groupBy("s").agg(F.first("g").alias("g"))
 
-    edges = setjoin.Sets(worded.select("s", "n", "marks", "keys"), made, least).edges()
+    edges = setjoin.Sets(worded.select("s", "n", "marks", "keys"), made, least, tables).edges()
     # Every fingerprint of a set is joined to the set's first one, and that to the first one of each alike set.
     first = worded.groupBy("s").agg(F.min("fp").alias("f"), F.max("fp").alias("_g"))
     same = worded.select("s", "fp").join(first.filter("f != _g"), "s").filter("fp != f").select(F.col("f").alias("a"), F.col("fp").alias("b")).distinct()
@@ -208,11 +209,15 @@ def keep_one(docs: DataFrame, words_each: int = 3, radius: int = 2, similarity:
     """
     hashed = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text], docs[doc_id]).alias("_h"))
     common = setjoin.common_shingles(docs, text)
-    held = settle(hashed.select("doc_id", F.col("_h").alias("h"), profiles(F.col("text"), common, words_each, similarity).alias("_p")).select("doc_id", "h", "_p.*"))
-    least = held.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("_first"))
-    rooted = least.join(classes(least.select("fp"), radius, alike(hashed, held, similarity)), "fp")
-    winners = settle(rooted.groupBy("root").agg(F.min("_first").alias("_w")).select("_w.doc_id", "_w.h"))
+    with Tables(docs.sparkSession) as tables:
+        profiled = hashed.select("doc_id", F.col("_h").alias("h"), profiles(F.col("text"), common, words_each, similarity).alias("_p"))
+        held = tables.settle(profiled.select("doc_id", "h", "_p.*"))
+        least = held.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("_first"))
+        rooted = least.join(classes(least.select("fp"), radius, alike(hashed, held, similarity, tables), tables), "fp")
+        winners = settle(rooted.groupBy("root").agg(F.min("_first").alias("_w")).select("_w.doc_id", "_w.h"))
+        won = winners.select(F.col("doc_id").alias("_i"), F.col("h").alias("_k"))
+        rows = held.select("doc_id", "h").join(won, (F.col("_k") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left_semi")
+        repeated = not rows.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
     same = docs[doc_id].eqNullSafe(winners["doc_id"]) & (F.xxhash64(docs[text], docs[doc_id]) == winners["h"])
     kept = docs.join(winners, same, "left_semi")
-    repeated = held.select("doc_id", "h").join(winners.select(F.col("doc_id").alias("_i"), F.col("h").alias("_k")), (F.col("_k") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left_semi").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates([doc_id, text])
+    return kept.dropDuplicates([doc_id, text]) if repeated else kept

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import re
 import zlib
 
@@ -17,6 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from markloom.llm import bpe, fingerprint, graph, html, langid, mixing, pii, quality, records, setjoin, sharding, simhash
+from markloom.llm.common import Tables
 from markloom.llm.queries import vocabulary_file
 
 DATA = "/root/testdata/sf0.001"
@@ -720,7 +722,11 @@ def test_set_join_loses_no_pair_of_a_crowd(spark, few):
     known = [(i, int(n[i]), bytearray(marks[i]), setjoin.prefix(sets[i], common, 0.8).tolist()) for i in range(len(texts))]
     df = spark.createDataFrame([*known, *[(i, m, k, None) for i, m, k, _ in known[::3]]], "s long, n long, marks binary, keys array<long>").repartition(3)
     all_sets = spark.createDataFrame([(i, bytearray(g)) for i, g in enumerate(sets)], "s long, g binary")
-    found = {(min(r), max(r)) for r in setjoin.Sets(df, lambda used: all_sets.join(used, "s"), 0.8).edges(few).collect()}
+    with Tables(spark) as tables:
+        found = {(min(r), max(r)) for r in setjoin.Sets(df, lambda used, own: all_sets.join(used, "s"), 0.8, tables).edges(few).collect()}
+        empty = setjoin.Sets(df.filter("false"), lambda used, own: all_sets.join(used, "s"), 0.8, tables).edges(few)
+        assert empty.columns == ["a", "b"] and empty.count() == 0  # no texts, no edges
+    assert not os.path.exists(tables.folder.removeprefix("file:"))
     assert found <= pairs
     assert roots_of(len(texts), found) == roots_of(len(texts), pairs) and len(set(roots_of(len(texts), pairs))) > 50
 
