@@ -493,10 +493,14 @@ PIECES_SQL = "SELECT doc_id, trim(substr(n, 1, 80)) AS a, trim(CASE doc_id % 4 W
 
 @query(f"""WITH p AS ({PIECES_SQL}) SELECT doc_id, CASE WHEN b = '' THEN a WHEN a = '' THEN b WHEN contains(lower(a), lower(b)) THEN a WHEN contains(lower(b), lower(a)) THEN b ELSE a || chr(10) || b END AS joined FROM p""")
 def seams_joined(spark, sf_dir):
-    n = F.regexp_replace(F.regexp_replace("text", "[^a-zA-Z0-9 ]", ""), " +", " ")
     d = F.col("doc_id") % 4
-    b = F.when(d == 0, F.upper(F.substring(n, 1, 80))).when(d == 1, F.substring(n, 20, 30)).when(d == 2, "").otherwise(F.substring(n, 60, 60))
-    return read(spark, sf_dir, "documents").select("doc_id", text.join_text(F.substring(n, 1, 80), b).alias("joined"))
+
+    def pieces(n):
+        b = F.when(d == 0, F.upper(F.substring(n, 1, 80))).when(d == 1, F.substring(n, 20, 30)).when(d == 2, "").otherwise(F.substring(n, 60, 60))
+        return text.join_text(F.substring(n, 1, 80), b)
+
+    n = F.regexp_replace(F.regexp_replace("text", r"[^\p{Alnum} ]+", ""), "  +", " ")
+    return read(spark, sf_dir, "documents").select("doc_id", text.let(n, pieces).alias("joined"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, text AS t, CASE doc_id % 3 WHEN 0 THEN substr(text, 11, 20) WHEN 1 THEN replace(upper(substr(text, 11, 20)), ' ', chr(10)) ELSE 'certainly not in it' END AS o FROM documents WHERE regexp_full_match(substr(text, 1, 40), '[A-Za-z ]+') AND substr(text, 11, 20) = trim(substr(text, 11, 20)))

@@ -143,3 +143,13 @@ def test_words_are_wrapped_by_their_widths(spark):
         return lines + [line] * (line != "")
 
     assert got == [plain(t) for t in texts] and len(report.WIDTHS) == 95 and got[5][0] == "wide" * 40
+
+
+def test_seams_are_read_once(spark):
+    """A reading that is costly to make is made once, however often joining looks at it."""
+    from pyspark.sql import functions as F
+
+    made = F.regexp_replace("t", "costly", "")
+    df = spark.createDataFrame([("One costly two", "TWO")], "t string, b string").select(text.join_text(made, F.col("b")).alias("j"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("costly") == 1 and df.first().j == "One  two"
