@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.marks import round4
-from ..functions.text import SPACES, join_text, rejoin_sentences, strip, wants_diagram
+from ..functions.text import SPACES, join_text, let, rejoin_sentences, single_spaces, strip, wants_diagram
 
 #: Lines of question papers and marking schemes. Fixed values.
 QUESTION_HEADING = r"(?i)^\s*Question\s+(\d+)\s*[—–\-:]\s*(.+?)\s*$"
@@ -36,7 +36,7 @@ def _number(line: Column, pattern: str, group: int = 1) -> Column:
 
 
 def _flat(text: Column) -> Column:
-    return strip(F.regexp_replace(text, f"[{SPACES}]+", " "))
+    return strip(single_spaces(text))
 
 
 def _gathered(condition: Column, value: Column) -> Column:
@@ -45,16 +45,19 @@ def _gathered(condition: Column, value: Column) -> Column:
 
 
 def parse_question_paper(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, number, subject, max_marks, prompt): of a number that occurs twice the last stands."""
-    order = Window.partitionBy("doc_id").orderBy("line")
-    rows = _lines(docs, text).withColumn("_head", F.col("t").rlike(QUESTION_HEADING))
-    rows = rows.withColumn("_q", F.sum(F.col("_head").cast("int")).over(order)).filter("_q > 0")
-    marks = _number(F.col("t"), MARKS_LINE)
-    body = ~F.col("_head") & marks.isNull() & ~F.col("t").rlike(EXPECTED_ANSWER) & (strip(F.col("t")) != "")
-    head = F.max(F.when(F.col("_head"), F.struct(_number(F.col("t"), QUESTION_HEADING).cast("int").alias("n"), strip(F.regexp_extract("t", QUESTION_HEADING, 2)).alias("s"))))
-    found = rows.groupBy("doc_id", "_q").agg(head.alias("h"), F.max_by(marks, F.when(marks.isNotNull(), F.col("line"))).alias("max_marks"), _flat(F.array_join(_gathered(body, strip(F.col("t"))), " ")).alias("prompt"))
-    last = Window.partitionBy("doc_id", "h.n").orderBy(F.col("_q").desc())
-    return found.withColumn("_n", F.row_number().over(last)).filter("_n = 1").select("doc_id", F.col("h.n").alias("number"), F.col("h.s").alias("subject"), "max_marks", "prompt")
+    """(doc_id, number, subject, max_marks, prompt): of a number that occurs twice the last stands.
+
+    A paper is one row, so its lines need no exchange; each line goes to one question.
+    """
+    heads = F.filter(F.transform("_l", lambda t, i: F.when(t.rlike(QUESTION_HEADING), F.struct(_number(t, QUESTION_HEADING).cast("int").alias("n"), i.alias("i"), strip(F.regexp_extract(t, QUESTION_HEADING, 2)).alias("s")))), lambda h: h.isNotNull())
+    spans = lambda hs: F.transform(hs, lambda h, k: F.struct(h["n"].alias("n"), h["i"].alias("i"), F.coalesce(F.get(hs, k + 1)["i"], F.size("_l")).alias("upto"), h["s"].alias("s")))
+    last = lambda hs: F.filter(hs, lambda h, k: F.coalesce(F.get(hs, k + 1)["n"] != h["n"], F.lit(True)))
+    parts = F.transform(let(F.sort_array(let(heads, spans)), last), lambda h: F.struct(h["n"].alias("n"), h["s"].alias("s"), F.slice("_l", h["i"] + 2, h["upto"] - h["i"] - 1).alias("l")))
+    found = docs.select("doc_id", F.split(text, "\n").alias("_l")).select("doc_id", F.explode(parts).alias("q")).select("doc_id", "q.n", "q.s", "q.l")
+    body = F.filter("l", lambda t: ~t.rlike(MARKS_LINE) & ~t.rlike(EXPECTED_ANSWER))
+    said = F.filter(F.transform(body, strip), lambda t: t != "")
+    marks = F.try_element_at(F.filter(F.transform("l", lambda t: _number(t, MARKS_LINE)), lambda m: m.isNotNull()), F.lit(-1))
+    return found.select("doc_id", F.col("n").alias("number"), F.col("s").alias("subject"), marks.alias("max_marks"), _flat(F.array_join(said, " ")).alias("prompt"))
 
 
 def scheme_lines(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -580,7 +580,7 @@ def question_papers(spark, sf_dir):
     """Documents as question papers of one question: a heading, marks, the text as prompt, and a line that is skipped."""
     d = F.col("doc_id")
     join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    said = join("preface\nQuestion ", d % 7 + 1, " - Topic ", d % 3, "\n", d % 10, ".5 Marks\n", F.col("text"), "\nExpected answer: none")
+    said = join("preface\nQuestion ", d % 7 + 1, " - Topic ", d % 3, "\n", d % 10, ".5 Marks\n", F.coalesce("text", F.lit("")), "\nExpected answer: none")
     papers = read(spark, sf_dir, "documents").select("doc_id", said.alias("text"))
     return rubric.parse_question_paper(papers).select("doc_id", "number", "subject", "max_marks", F.md5("prompt").alias("prompt"))
 

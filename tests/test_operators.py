@@ -328,6 +328,14 @@ Demand falls."""
 PAPER = "Question 1 — Physics\n5 Marks\nDescribe a circuit.\nExpected answer: short\nUse words.\nQuestion 2: Economics\n4 Marks\nState the law."
 
 
+def test_question_papers_are_read_without_an_exchange(spark):
+    many = "above\n2 marks\n" + "\n".join(f"Question {n % 3} - S{n}\n{n} marks\n  a  {n}\u00a0\n\n\u2003b\n{n + 1}.5 Mark" for n in range(1, 9))
+    papers = spark.createDataFrame([(1, many), (2, "no heading"), (3, None), (4, "Question 7: x")], "doc_id int, text string").repartition(3)
+    found = rubric.parse_question_paper(papers)
+    assert rows(found, "doc_id", "number", "subject", "max_marks", "prompt") == [(1, 0, "S6", 7.5, "a 6 b"), (1, 1, "S7", 8.5, "a 7 b"), (1, 2, "S8", 9.5, "a 8 b"), (4, 7, "x", None, "")]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the test's own
+
+
 def test_rubric_reading(spark):
     docs = spark.createDataFrame([(1, SCHEME)], "doc_id int, text string")
     questions, criteria = rubric.parse_scheme(docs)
