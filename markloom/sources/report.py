@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from bisect import bisect_right
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_fold, hex_to_rgb, truncate
+from ..functions.text import ascii_fold, hex_to_rgb, let, truncate
 from ..operators.anchor import numbered, to_points
 
 #: Kinds of annotation with label and colour. Fixed values.
@@ -66,32 +70,35 @@ WIDTHS = (
 )
 
 
-def text_width(text: Column, widths: tuple[int, ...] = WIDTHS) -> Column:
-    """The width of printable ASCII, in thousandths of the font's size; other characters have none."""
-    table = F.array(*map(F.lit, widths))
-    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), lambda t, c: t + F.coalesce(F.get(table, F.ascii(c) - 32), F.lit(0)))
+def wrap_words(texts: pd.Series, room: int, widths: tuple[int, ...]) -> pd.Series:
+    """Texts of printable ASCII with their words in lines of a width of at most room, or of one wider word."""
+    table = np.zeros(256, dtype=np.int64)
+    table[32 : 32 + len(widths)] = widths
+    out = []
+    for text in texts:
+        flat = " ".join(text.split())
+        raw = np.frombuffer(flat.encode(), dtype=np.uint8)
+        upto = np.cumsum(table[raw])
+        stops = np.append(np.flatnonzero(raw == 32), len(raw))
+        ends = (upto[stops - 1] if flat else stops).tolist()  # the width up to each word's end
+        places, lines, word, begun = stops.tolist(), [], 0, 0
+        while flat and word < len(ends):
+            behind = max(bisect_right(ends, begun + room, word), word + 1)  # the first word of the next line
+            lines.append(flat[places[word - 1] + 1 if word else 0 : places[behind - 1]])
+            begun, word = ends[behind - 1] + widths[0], behind
+        out.append("\n".join(lines))
+    return pd.Series(out, dtype=object)
 
 
 def wrapped(text: Column, size: float, width: float, widths: tuple[int, ...] = WIDTHS) -> Column:
     """The lines of a text, folded to ASCII, that a box of that width takes: each word goes on the line where it fits, else on
     the next; a word wider than the box has a line of its own. Blank text has no lines.
 
-    A fold over words whose state is the open line, its width and the closed lines.
+    Widths are summed up over the text once; a line's end is looked up among the sums.
     """
     room = int(width * 1000 / size)
-    words = F.filter(F.split(ascii_fold(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    measured = F.transform(words, lambda w: F.struct(w.alias("w"), text_width(w, widths).alias("n")))
-    start = F.struct(F.lit("").alias("line"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        first = s["line"] == ""
-        fits = first | (s["n"] + widths[0] + x["n"] <= room)
-        return F.struct(
-            F.when(first | ~fits, x["w"]).otherwise(F.concat(s["line"], F.lit(" "), x["w"])).alias("line"), F.when(first | ~fits, x["n"]).otherwise(s["n"] + widths[0] + x["n"]).alias("n"),
-            F.when(fits, s["out"]).otherwise(F.array_append(s["out"], s["line"])).alias("out"),
-        )
-
-    return F.aggregate(measured, start, step, lambda s: F.when(s["line"] == "", s["out"]).otherwise(F.array_append(s["out"], s["line"])))
+    lines = F.pandas_udf(lambda texts: wrap_words(texts, room, widths), "string")(ascii_fold(F.coalesce(text, F.lit(""))))
+    return let(lines, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "\n")))
 
 
 def summary_page(lines: DataFrame, size: float = 9.0, width: float = 495.0) -> DataFrame:

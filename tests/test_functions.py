@@ -153,3 +153,17 @@ def test_seams_are_read_once(spark):
     df = spark.createDataFrame([("One costly two", "TWO")], "t string, b string").select(text.join_text(made, F.col("b")).alias("j"))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("costly") == 1 and df.first().j == "One  two"
+
+
+def test_long_texts_are_wrapped_without_a_fold_over_their_words(spark):
+    from pyspark.sql import functions as F
+
+    from markloom.sources import report
+
+    words = [("i" * (k % 7 + 1), "M" * (k % 5 + 1))[k % 2] for k in range(60_000)]
+    df = spark.createDataFrame([(" \n".join(words),)], "t string").select(report.wrapped(F.col("t"), 10.0, 30.0).alias("l"))
+    width = lambda line: sum(report.WIDTHS[ord(c) - 32] for c in line)
+    lines = df.first().l
+    assert " ".join(lines).split(" ") == words
+    assert all(width(a) <= 3000 or " " not in a for a in lines) and all(width(f"{a} {b.split(' ')[0]}") > 3000 for a, b in zip(lines, lines[1:]))
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
