@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.marks import GRANULARITY, clamp_kind, clamp_mark, is_finite, snap
+from ..plans.steps import dealt, tasks_for
 
 AUDIT = "kind", "criterion_id", "detail", "before", "after"
 #: Findings without quote or region that are drawn for each question. Fixed value.
@@ -130,12 +131,21 @@ def parse_judgements(raw: DataFrame, column: str = "raw") -> DataFrame:
     return parsed.withColumn("errors", F.concat(said, in_criteria, in_findings)).drop("_json")
 
 
-def rubric_errors(criteria: DataFrame, questions: DataFrame, rubrics: DataFrame) -> DataFrame:
-    """Broken arithmetic of rubrics: criteria against question, questions against paper, ids twice (rubric_id, question_id, error)."""
-    sums = criteria.groupBy("rubric_id", "question_id").agg(F.sum("max_marks").alias("_sum"), (F.count("criterion_id") - F.count_distinct("criterion_id")).alias("_twice"))
-    q = questions.join(sums, ["rubric_id", "question_id"], "left")
-    wrong = q.filter(F.abs(F.coalesce("_sum", F.lit(0.0)) - F.col("max_marks")) > 1e-9).select("rubric_id", "question_id", F.lit("criteria do not add up to the question").alias("error"))
-    twice = q.filter("_twice > 0").select("rubric_id", "question_id", F.lit("a criterion id occurs twice").alias("error"))
+#: Questions whose criteria one task adds up. It orders the work, not the result.
+TASK_QUESTIONS = 25_000
+
+
+def rubric_errors(criteria: DataFrame, questions: DataFrame, rubrics: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Broken arithmetic of rubrics: criteria against question, questions against paper, ids twice (rubric_id, question_id, error).
+
+    tasks: those that share the questions, one for TASK_QUESTIONS of them unless given, so that a task's memory doesn't grow with the input.
+    """
+    keys = ["rubric_id", "question_id"]
+    tasks = tasks or tasks_for(questions, TASK_QUESTIONS)
+    sums = dealt(criteria, tasks, *keys).groupBy(*keys).agg(F.sum("max_marks").alias("_sum"), (F.count("criterion_id") - F.count_distinct("criterion_id")).alias("_twice"))
+    q = dealt(questions, tasks, *keys).join(sums, keys, "left")
+    wrong = F.when(F.abs(F.coalesce("_sum", F.lit(0.0)) - F.col("max_marks")) > 1e-9, "criteria do not add up to the question")
+    found = q.select(*keys, F.explode(F.array_compact(F.array(wrong, F.when(F.col("_twice") > 0, "a criterion id occurs twice")))).alias("error"))
     total = questions.groupBy("rubric_id").agg(F.sum("max_marks").alias("_sum")).join(rubrics, "rubric_id", "right")
     paper = total.filter(F.abs(F.coalesce("_sum", F.lit(0.0)) - F.col("total_marks")) > 1e-9).select("rubric_id", F.lit(None).cast("string").alias("question_id"), F.lit("questions do not add up to the paper").alias("error"))
-    return wrong.unionByName(twice).unionByName(paper)
+    return found.unionByName(paper)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -20,3 +21,13 @@ def settled(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or f"file://{tempfile.gettempdir()}/markloom-checkpoints")
     return df.checkpoint(eager=True)
+
+
+def tasks_for(df: DataFrame, rows: int) -> int:
+    """Tasks for an exchange that get about so many rows of df each, spark.sql.shuffle.partitions at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / rows))
+
+
+def dealt(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """df dealt by keys to so many tasks, if Spark's own exchanges have fewer; else df."""
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df

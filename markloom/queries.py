@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import marks, text
 from .operators import anchor, chunk, judge, passes, review, rubric, search, segment, transcript, validate
+from .plans import steps
 from .sources import documents, report, store
 from .streaming import ledger, limits
 
@@ -551,10 +552,12 @@ def rubric_arithmetic(spark, sf_dir):
     o = F.col("o_orderkey")
     orders = read(spark, sf_dir, "orders")
     questions = orders.select(F.col("o_custkey").alias("rubric_id"), o.alias("question_id"), (o % 5 + 1).cast("double").alias("max_marks"))
-    criteria = read(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == o).select(F.col("o_custkey").alias("rubric_id"), o.alias("question_id"), F.col("l_linenumber").alias("criterion_id"), (F.col("l_linenumber") % 3 + 1).cast("double").alias("max_marks"))
+    tasks = steps.tasks_for(orders, validate.TASK_QUESTIONS)
+    lines = steps.dealt(read(spark, sf_dir, "lineitem"), tasks, "l_orderkey").join(steps.dealt(orders, tasks, "o_orderkey"), F.col("l_orderkey") == o)
+    criteria = lines.select(F.col("o_custkey").alias("rubric_id"), o.alias("question_id"), F.col("l_linenumber").alias("criterion_id"), (F.col("l_linenumber") % 3 + 1).cast("double").alias("max_marks"))
     rubrics = orders.select(F.col("o_custkey").alias("rubric_id"), F.lit(30.0).alias("total_marks")).distinct()
     kind = F.when(F.col("error").contains("twice"), "twice").when(F.col("error").contains("paper"), "total").otherwise("sum")
-    return validate.rubric_errors(criteria, questions, rubrics).groupBy(F.col("rubric_id").alias("o_custkey"), kind.alias("error")).agg(F.count(F.lit(1)).alias("n"))
+    return validate.rubric_errors(criteria, questions, rubrics, tasks).groupBy(F.col("rubric_id").alias("o_custkey"), kind.alias("error")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE[1:])}) AS n, (n - 1) * 10 AS s, (n - 1) * 10 + 8 AS e FROM lineitem), q AS (SELECT o_orderkey, o_orderkey % 25 AS f, o_orderkey % 25 + 3 + o_orderkey % 17 AS t FROM orders)

@@ -262,6 +262,16 @@ def test_rubric_arithmetic(spark, paper):
     assert [r.question_id for r in validate.rubric_errors(c, q, spark.createDataFrame([("r", 8.0)], "rubric_id string, total_marks double")).collect()] == ["q2"]
 
 
+def test_rubric_arithmetic_deals_many_questions_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(validate, "TASK_QUESTIONS", 10)
+    q = spark.range(95).select((F.col("id") % 7).alias("rubric_id"), F.col("id").alias("question_id"), F.lit(3.0).alias("max_marks"))
+    c = q.select("rubric_id", "question_id", F.explode(F.array(F.lit(1), F.lit(2), F.when(F.col("question_id") % 5 == 0, 2))).alias("criterion_id"), F.lit(1.5).alias("max_marks")).filter("criterion_id IS NOT NULL")
+    found = validate.rubric_errors(c, q, q.select("rubric_id", F.lit(0.0).alias("total_marks")).distinct())
+    got = {r.error: r["count"] for r in found.groupBy("error").count().collect()}
+    assert got == {"questions do not add up to the paper": 7, "a criterion id occurs twice": 19, "criteria do not add up to the question": 19}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(", 10\n") == 2  # both sides, in ten tasks
+
+
 def test_anchors(spark):
     pages = spark.createDataFrame([(1, 0, "The ammeter is connected in series, the voltmeter in parallel.", "text-layer"), (1, 1, "The armneter is conected in series here", "text-layer"), (2, 0, "short", "text-layer")], "doc_id int, page int, text string, source string")
     quotes = spark.createDataFrame([(1, 1, "ammeter is connected in series", None), (2, 1, "ammeter is connected in series here", 1), (3, 1, "short", None), (4, 1, "nowhere to be found at all", None), (5, 2, "voltmeter in parallel", None)], "quote_id int, doc_id int, quote string, hint int")
