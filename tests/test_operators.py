@@ -190,6 +190,17 @@ def test_quotes_are_found_with_any_slips(spark):
     assert found == plain_search(quotes, texts) and sum(r[2] == "fuzzy" for r in found) > 15
 
 
+def test_far_tokens_are_ruled_out_without_an_edit_distance(monkeypatch):
+    import itertools
+
+    words = ["".join(w) for n in range(6) for w in itertools.product("abm", repeat=n)][::3] + ["photosynthesis", "fotosinthesis", "strasse", "straße", "über", "uber"]
+    assert all(search.may_be_near(a, b) for a in words for b in words if search.similarity(a, b) >= search.TOKEN_FLOOR)
+    called = []
+    monkeypatch.setattr(search, "distance", lambda a, b: called.append((a, b)) or 9)
+    held = search.Quotes([(1, "alpha beta")], 0.74, {})
+    assert held._similar("alpha", "zzzzz") < search.TOKEN_FLOOR and held._similar("alpha", "alphabets") < search.TOKEN_FLOOR and not called
+
+
 def test_fuzzy_anchors_query(spark):
     """The registered query against plain Python, on the small tables (ASCII items, to keep it short)."""
     import re
