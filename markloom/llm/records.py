@@ -26,6 +26,8 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,13 +40,34 @@ MASK = 0xA282EAD8
 #: Pieces whose ids a worker keeps at hand, and characters of such a piece at most; beyond, those stay that came again.
 #: It bounds memory alone: others are encoded when they come.
 PIECES_HELD, PIECE_CHARS = 500_000, 40
-#: Characters that are encoded together, or one longer text.
-GROUP_CHARS = 2_000_000
-_BEFORE_WORD = re.compile(r" (?=\S)")
-#: Pieces of Latin letters, signs after them and single line ends, which the file's splitter cuts just there.
-_LETTERS, _SIGNS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", r"[!-&(-/:-@\[-`{-~]+"
-_SIMPLE = re.compile(rf"{_LETTERS}(?:{_SIGNS})?(?:\n{_LETTERS}(?:{_SIGNS})?)*")
-_PARTS = re.compile(rf"{_LETTERS}|{_SIGNS}|\n")
+#: Bytes of text that are encoded together, or up to the end of one longer piece.
+BLOCK_BYTES = 4 << 20
+#: One piece of the file's splitter: Latin letters, digits or signs, and a space before them.
+_PLAIN = re.compile(r" ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+|[!-/:-@\[-`{-~]+)")
+#: Kinds of bytes: what is in plain pieces, line ends, spaces, first bytes of other characters that aren't white space.
+_OTHER, _LETTER, _DIGIT, _SIGN, _APOSTROPHE, _LINE, _SPACE, _FIRST = range(8)
+
+
+def _kind(byte: int) -> int:
+    c = chr(byte)
+    if byte >= 0xC3:  # U+00C0 on, up to U+023F letters but for two; three of the others may begin white space
+        return _LETTER if byte <= 0xC8 else _OTHER if 0xE1 <= byte <= 0xE3 else _FIRST
+    if byte >= 0x7F or byte < 0x20:
+        return _LINE if c == "\n" else _OTHER
+    return _LETTER if c.isalpha() else _DIGIT if c.isdigit() else {" ": _SPACE, "'": _APOSTROPHE}.get(c, _SIGN)
+
+
+def _rules(pair: int) -> int:
+    """For two kinds in a row (8 * first + second), a bit for each cut: between them (1), before both (2), between them if
+    there is one before both by the first rule (4)."""
+    a, b = divmod(pair, 8)
+    plain = (_LETTER, _DIGIT, _SIGN, _APOSTROPHE)
+    signs = (_SIGN, _APOSTROPHE)
+    between = a in plain and (b == _LINE or b in plain and a != b and not (a in signs and b in signs) and (a, b) != (_APOSTROPHE, _LETTER))
+    return between | (a == _SPACE and b in (*plain, _FIRST)) << 1 | (a == _LINE and b in plain) << 2
+
+
+_KINDS, _RULES = bytes(map(_kind, range(256))), bytes(_rules(p) if p < 64 else 0 for p in range(256))
 
 
 def masked_crc(data: bytes) -> int:
@@ -71,14 +94,41 @@ def read_frames(data: bytes) -> Iterator[tuple[int, bytes]]:
         at += 16 + size
 
 
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Whether a text (its bytes) may be cut before each byte, so that both sides have the ids that they have together.
+
+    The splitter of byte-level files never joins letters, digits, signs and line ends to each other, but for an apostrophe
+    and letters after it, nor a space before something else than white space to what is before the space; and a single line
+    end is a piece of its own. Bytes of other characters are cut nowhere but before such a space.
+    """
+    kind = np.frombuffer(bytearray(data.tobytes().translate(_KINDS)), dtype=np.uint8)
+    lead = np.flatnonzero(data >= 0xC3)
+    kind[lead[lead >= len(data) - 2]] = _OTHER  # near the end bytes may be missing: no cut there
+    lead = lead[lead < len(data) - 2]
+    first, second, third = data[lead], data[lead + 1], data[lead + 2]
+    latin = first <= 0xC8
+    kind[lead[latin] + 1] = _LETTER
+    signs = lead[(first == 0xC3) & ((second == 0x97) | (second == 0xB7))]
+    kind[signs], kind[signs + 1] = _FIRST, _OTHER
+    # White space there is U+1680, U+2000-200A, 2028, 2029, 202F, 205F and U+3000.
+    dark = (first == 0xE1) & (second != 0x9A) | (first == 0xE3) & (second != 0x80)
+    dark |= (first == 0xE2) & ((second > 0x81) | (second == 0x80) & (third >= 0x90) & (third < 0xA8))
+    kind[lead[dark]] = _FIRST
+    out = np.zeros(len(data), dtype=np.uint8)
+    rules = np.frombuffer((kind[:-1] << 3 | kind[1:]).tobytes().translate(_RULES), dtype=np.uint8)
+    out[1:] = rules & 1
+    out[:-1] |= rules >> 1 & 1
+    out[2:] |= rules[1:] >> 2 & rules[:-1] & 1
+    return out.view(bool)
+
+
 class ByteTokens:
     """Ids of texts by a byte-level BPE file of the tokenizers library, as little-endian bytes.
 
-    Such a file never joins a space that precedes a word to what is before it, so a text falls into pieces of one
-    leading space and what follows, whose ids don't depend on their surroundings. The distinct pieces of a batch that are
-    not at hand are encoded by the library in one string; the bytes that each token stands for tell where a piece ends.
-    Pieces of words and signs are put together of the ids of their parts, which are fewer.
-    A text with one of the file's special tokens is encoded by the library as it stands.
+    A text falls into pieces (see `cuts`) whose ids don't depend on their surroundings. Arrow numbers the distinct pieces of
+    a block; those that are not at hand are encoded by the library: plain ones, which its splitter leaves whole, by its BPE
+    model, given as the file spells bytes, others by all its steps. The ids of all pieces are then laid end to end at once.
+    A text with one of the file's special tokens is one piece.
     """
 
     def __init__(self, path: str):
@@ -86,84 +136,106 @@ class ByteTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         added = self.tokenizer.get_added_tokens_decoder()
         self.special = [t.content for t in added.values()]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65_536 else np.dtype("<u4")
-        # A byte-level token has a character for each byte.
-        self.sizes = np.zeros(1 + max(self.tokenizer.get_vocab().values()), dtype=np.int64)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.sizes[i] = len(token)
-        self.held: dict[str, bytes] = {}  # pieces after a space
-        self.line = next(self._ids(["\n"])).tobytes()
-        self.bare = {"\n": self.line}  # parts without one
-        self.again: set[str] = set()
-
-    def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.asarray(e.ids, dtype=self.dtype)
-
-    def _words(self, words: list[str], line: bool = False) -> list[bytes]:
-        """Ids of pieces, each given without its leading space, in order; line: of parts without one, each put on a line."""
-        out, width = [], self.dtype.itemsize
-        for start in range(0, len(words), 2_000):  # a string of some ten thousand characters at a time
-            some = words[start : start + 2_000]
-            (ids,) = self._ids(["\n".join(some) + "\n" if line else " " + " ".join(some)])
-            ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 1 for w in some])
-            upto = np.cumsum(self.sizes[ids])
-            if upto[-1] != ends[-1]:
-                raise ValueError("the tokens don't stand for all bytes of the text")
-            cuts = (np.searchsorted(upto, ends, side="left") + 1).tolist()
-            raw = ids.tobytes()
-            out += [raw[width * a : width * (b - line)] for a, b in zip([0, *cuts], cuts)]
-        return out
-
-    def _learn(self, missing: list[str]) -> list[str]:
-        """Puts the ids of pieces that aren't at hand there; returns those too long to stay."""
-        held, bare, made, first, rest, whole = self.held, self.bare, {}, set(), set(), []
-        for w in missing:
-            if not w.isalpha() and _SIMPLE.fullmatch(w):
-                made[w] = parts = _PARTS.findall(w)
-                first.add(parts[0])
-                rest.update(parts[1:])
-            else:
-                whole.append(w)
-        whole += first.difference(held, whole)
-        held.update(zip(whole, self._words(whole)))
-        fresh = list(rest.difference(bare))
-        bare.update(zip(fresh, self._words(fresh, line=True)))
-        for w, (head, *others) in made.items():
-            held[w] = held[head] + b"".join([bare[p] for p in others])
-        if len(bare) > PIECES_HELD // 4:
-            self.bare = {"\n": self.line}
-        return [w for some in (whole, made) for w in some if len(w) > PIECE_CHARS]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split, pieces = _BEFORE_WORD.split, []
-        for t in texts:
-            pieces.append(None if any(s in t for s in self.special) else split(t))
-        plain = [k for k, words in enumerate(pieces) if words is not None]
-        # The first piece has no space before it.
-        first = dict(zip(plain, self._ids([pieces[k][0] for k in plain]))) if plain else {}
-        for k in plain:
-            pieces[k][0] = ""
-        held = self.held
-        held[""] = b""
-        distinct = set().union(*[pieces[k] for k in plain])
-        missing = list(distinct.difference(held))
-        self.again |= distinct.difference(missing)
-        long = self._learn(missing)
-        get, out = held.__getitem__, []
-        for k, words in enumerate(pieces):
-            if words is None:
-                out += [x.tobytes() for x in self._ids([texts[k]])]
-            else:
-                out.append(first[k].tobytes() + b"".join(map(get, words)))
-        for w in long:
-            del held[w]
-        if len(held) > PIECES_HELD:
-            kept = {w: held[w] for w in self.again if w in held}
-            self.held, self.again = kept if len(kept) <= PIECES_HELD // 2 else {}, set()
-        return out
+        # Printable bytes are spelled as themselves, the others from 256 on.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.spelling = np.zeros(256, dtype="<u2")
+        self.spelling[printable] = printable
+        self.spelling[self.spelling == 0] = np.arange(256, 512 - len(printable))
+        self._hold({}, np.zeros(0, dtype=np.int32), np.zeros(0, dtype=self.dtype), np.zeros(0, dtype=bool))
+
+    def _hold(self, place: dict[str, int], counts: np.ndarray, ids: np.ndarray, again: np.ndarray) -> None:
+        """Pieces at hand with their places; for each place how many ids it has and whether it came again; the ids, laid
+        end to end."""
+        if len(place) > PIECES_HELD:
+            stay = again if again.sum() <= PIECES_HELD // 2 else np.zeros_like(again)
+            number = (np.cumsum(stay) - 1).tolist()
+            place = {p: number[k] for (p, k), s in zip(place.items(), stay.tolist()) if s}
+            ids, counts, again = ids[np.repeat(stay, counts)], counts[stay], np.zeros(len(place), dtype=bool)
+        self.place, self.counts, self.ids, self.again = place, counts, ids, again
+
+    def _encoded(self, pieces: list[str]) -> tuple[list[int], list[int]]:
+        """The ids of pieces, laid end to end, and how many each has."""
+        plain = list(map(_PLAIN.fullmatch, pieces))
+        lines = "\n".join([p for p, by_model in zip(pieces, plain) if by_model])
+        spelled = iter(self.spelling[np.frombuffer(bytearray(lines.encode()), dtype=np.uint8)].tobytes().decode("utf-16-le").split(chr(self.spelling[10])))
+        others = iter(self.tokenizer.encode_batch_fast([p for p, by_model in zip(pieces, plain) if not by_model], add_special_tokens=False))
+        ids: list[int] = []
+        counts: list[int] = []
+        for by_model in plain:
+            got = [t.id for t in self.model.tokenize(next(spelled))] if by_model else next(others).ids
+            ids += got
+            counts.append(len(got))
+        return ids, counts
+
+    def _block(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, laid end to end, and how many each has."""
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = len(self.place)
+        found = list(map(self.place.get, distinct))
+        missing = [p for p, k in zip(distinct, found) if k is None]
+        short = [p for p in missing if len(p) <= PIECE_CHARS]
+        if len(short) < len(missing):
+            missing = short + [p for p in missing if len(p) > PIECE_CHARS]
+        new = dict(zip(missing, range(known, known + len(missing))))
+        places = np.array([new[p] if k is None else k for p, k in zip(distinct, found)], dtype=np.int32)
+        new_ids, new_counts = self._encoded(missing)
+        counts = np.concatenate([self.counts, np.array(new_counts, dtype=np.int32)])
+        ids = np.concatenate([self.ids, np.array(new_ids, dtype=self.dtype)])
+        which = coded.indices.to_numpy()
+        starts, each = (np.cumsum(counts) - counts)[places], counts[places][which]
+        ends = np.cumsum(each)
+        got = np.repeat(starts[which] - (ends - each), each)
+        got += np.arange(len(got))
+        kept = known + len(short)
+        again = np.append(self.again, np.zeros(len(short), dtype=bool))
+        again[places[places < known]] = True
+        self.place.update(zip(short, range(known, kept)))
+        self._hold(self.place, counts[:kept], ids[: counts[:kept].sum()], again)
+        return ids[got], each
+
+    def encode(self, texts: pa.Array, end: int) -> pa.Array:
+        """The ids of each text (strings, no nulls) and the end id."""
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+        special = np.zeros(len(texts), dtype=bool)
+        for s in self.special:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        whole = [(int(offsets[k]), int(offsets[k + 1])) for k in np.flatnonzero(special)]
+        before = np.zeros(len(offsets), dtype=np.int64)  # ids before each text
+        made: list[np.ndarray] = []
+        at, last, total, size = int(offsets[0]), int(offsets[-1]), 0, BLOCK_BYTES
+        while at < last:
+            stop = min(at + size, last)
+            cut = cuts(data[at:stop])
+            for a, b in whole:
+                cut[max(0, a - at) : max(0, b - at)] = False
+            low, high = np.searchsorted(offsets, (at, stop))
+            cut[offsets[low:high] - at] = True
+            cut[0] = True
+            pieces = np.flatnonzero(cut)
+            if stop == last:
+                pieces = np.append(pieces, stop - at)
+            elif len(pieces) == 1:  # one piece fills the block
+                size *= 2
+                continue
+            size = BLOCK_BYTES
+            upto = int(pieces[-1])
+            block = pa.StringArray.from_buffers(len(pieces) - 1, pa.py_buffer(pieces.astype(np.int32)), pa.py_buffer(data[at : at + upto]))
+            ids, counts = self._block(block)
+            high = np.searchsorted(offsets, at + upto)
+            before[low:high] = total + (np.cumsum(counts) - counts)[np.searchsorted(pieces, offsets[low:high] - at)]
+            made.append(ids)
+            total += len(ids)
+            at += upto
+        before[np.searchsorted(offsets, last) :] = total
+        ids = np.insert(np.concatenate([np.zeros(0, dtype=self.dtype), *made]), before[1:], end)
+        ends = (before + np.arange(len(offsets))) * self.dtype.itemsize
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
 
 
 @cache
@@ -172,26 +244,17 @@ def byte_tokens(path: str) -> ByteTokens:
 
 
 def token_bytes(text: Column, path: str, end_id: int) -> Column:
-    """The ids of a text and the end id, as little-endian integers of the width that the vocabulary needs.
+    """The ids of a text (not null) and the end id, as little-endian integers of the width that the vocabulary needs.
 
     path: a name for SparkFiles.get.
     """
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = byte_tokens(SparkFiles.get(path))
-        end = np.asarray([end_id], dtype=coder.dtype).tobytes()
         for texts in batches:
-            made: list[bytes] = []
-            held, size = [], 0
-            for t in texts:
-                if held and size + len(t) > GROUP_CHARS:
-                    made += coder.encode(held)
-                    held, size = [], 0
-                held.append(t)
-                size += len(t)
-            yield pd.Series([x + end for x in made + coder.encode(held)], dtype=object)
-
-    return F.pandas_udf(run, "binary")(text)
+            yield coder.encode(texts, end_id).cast(pa.binary())
+
+    return F.arrow_udf(run, "binary")(text)
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:

@@ -9,10 +9,11 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
@@ -471,6 +472,43 @@ def test_bpe_of_any_text(text):
     assert got == coder.encode(text, add_special_tokens=False).ids
 
 
+def encoded(coder, texts):
+    return [np.frombuffer(x, dtype=coder.dtype).tolist() for x in coder.encode(pa.array(texts, type=pa.string()), 2).to_pylist()]
+
+
+def test_records_know_a_word_whatever_follows():
+    """Words are given to the library once, not once for each of their combinations with signs, digits and line ends."""
+    from tokenizers import Tokenizer
+
+    path = vocabulary_file("byte_bpe_50k.json")
+    coder, library = records.ByteTokens(path), Tokenizer.from_file(path)
+    some = [f"{a}{b}{c}" for a in ("me", "tré", "Ou", "von") for b in ("la", "chie", "ung") for c in ("ß", "n", "que", "x", "ti")]
+    after = [f"{a}{b}" for a in ("", "!", "###", ".\n", "17") for b in ("", "an", "$", "\n", "5")]
+    texts = [" ".join(w + s for s in after) for w in some]
+    assert encoded(coder, texts) == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert len(coder.place) < 4 * len(some) < len({p for t in texts for p in t.split(" ")}) / 4
+
+
+ODD = st.sampled_from([*"abé7!'# \n\t\r\x1c", " ", "'s", "'ll", "<|endoftext|>", "<|", "\u0085", "\u00a0", "\u1680", "\u2005", "\u2013", "\u2019", "\u2028", "\u202f", "\u205f", "\u3000", "\u3001", "\u00d7", "\u0301", "\u0416", "\u4e2d", "\u0250", "\u0660"])
+
+
+@given(st.lists(st.one_of(st.lists(ODD, max_size=20).map("".join), st.text(max_size=20)), max_size=5), st.sampled_from([1, 2, 7, 4 << 20]), st.sampled_from([0, 3, 500_000]))
+@example(["!\u00d7", "a\n", "", "'\u00e9 \u00f7\u00f7", "<|endoftext|>!", "\u2019s"], 2, 3)
+@example(["!\u00d7"], 4 << 20, 0)
+@settings(max_examples=400, deadline=None)
+def test_records_encode_any_texts(texts, block, held):
+    """As the library does, wherever blocks end and whatever is at hand."""
+    from tokenizers import Tokenizer
+
+    path = vocabulary_file("byte_bpe_50k.json")
+    coder = records.byte_tokens(path)
+    library = LIBRARY.get(path) or LIBRARY.setdefault(path, Tokenizer.from_file(path))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(records, "BLOCK_BYTES", block)
+        m.setattr(records, "PIECES_HELD", held)
+        assert encoded(coder, texts) == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><a href="/">Home</a></nav><header>H</header><div class="ad">Buy</div>
 <article><h1>Title &amp; more</h1><p>First <b>para</b><br>goes on.<p>Second&nbsp;one</p><div class="share-links">Share</div><div id="comments"><p>Nice!</p></div></article>
 <form><p>in</p></form><footer>F</footer><script>var a="</p>";</script></body>"""
