@@ -29,11 +29,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shipped
+from .common import let_go, shipped
 
 #: Words of a generation of those whose tokens a task keeps at hand, and pairs of tokens that it remembers. They bound
 #: memory alone: what was let go is encoded or tested again.
-WORDS_HELD, PAIRS_HELD = 150_000, 300_000
+WORDS_HELD, PAIRS_HELD = 100_000, 300_000
 #: Pieces of up to so many bytes are merged together, longer ones each with a heap.
 SHORT = 64
 _LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|(?:[^\w\s]|[_\x1c-\x1f])+")
@@ -390,7 +390,7 @@ def vocabulary(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def _batches(texts: pd.Series, most: int = 2_000_000) -> Iterator[list[str]]:
+def _batches(texts: pd.Series, most: int = 1_000_000) -> Iterator[list[str]]:
     """Texts in groups of so many characters, or one longer text."""
     held, size = [], 0
     for t in texts:
@@ -412,16 +412,17 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False, doc_id: str = "do
         model = vocabulary(SparkFiles.get(name))
         try:
             for series in batches:
-                rows = []
                 for group in _batches(series):
+                    rows = []
                     for found in model.texts(group):
                         ids = " ".join([x[1] for x in found])
                         decoded = " ".join([x[2] for x in found])
                         row = (sum([x[0] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
                         rows.append((*row, b"".join([x[3] for x in found])) if with_ids else row)
-                yield pd.DataFrame(rows, columns=names)
+                    yield pd.DataFrame(rows, columns=names)
         finally:
             model.forget()
+            let_go()
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
     kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids

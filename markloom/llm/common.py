@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,14 @@ def shipped(spark: SparkSession, path: str) -> str:
     return os.path.basename(path)
 
 
+def let_go() -> None:
+    """Gives the machine back what this Python worker has freed. Spark keeps workers for the stages and queries that follow,
+    and what a task's batches took would stay with them otherwise. For the end of a task."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Computes df once and cuts its lineage with a checkpoint in the shared folder.
 

@@ -15,7 +15,7 @@ fingerprints; an empty table gives no rows. Words are as [^\\x20\\x09-\\x0D]+ an
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -160,10 +160,10 @@ def jaccard_at_least(a: bytes, c: bytes, least: float) -> bool:
 GROUP_CHARS, GROUP_TEXTS = 1_000_000, 1_500
 
 
-def groups(data: list[bytes]) -> Iterator[list[bytes]]:
+def groups(data: Iterable[bytes], most: int = GROUP_CHARS) -> Iterator[list[bytes]]:
     held, size = [], 0
     for d in data:
-        if held and (size + len(d) > GROUP_CHARS or len(held) >= GROUP_TEXTS):
+        if held and (size + len(d) > most or len(held) >= GROUP_TEXTS):
             yield held
             held, size = [], 0
         held.append(d)

@@ -27,6 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import let_go
+
+#: Texts that `mask` gives back at once. It bounds memory.
+MASKED = 500
 #: The base kinds, as a specification; the tests compare the parsers with these.
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -234,8 +238,12 @@ def mask(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -
     """docs with personal data masked in its texts; n_chars, if there, is brought up to date. Same columns and rows."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(masked, na_action="ignore")
+        try:
+            for texts in batches:
+                for k in range(0, len(texts), MASKED):
+                    yield texts.iloc[k : k + MASKED].map(masked, na_action="ignore")
+        finally:
+            let_go()
 
     out = docs.withColumn(text, F.pandas_udf(run, "string")(docs[text]))
     return out.withColumn(n_chars, F.length(text).cast("long")) if n_chars in docs.columns else out

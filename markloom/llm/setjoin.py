@@ -139,7 +139,8 @@ def may_be_alike(n: int, marks: bytes, m: int, other: bytes, least: float) -> bo
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = PAIRS_A_BATCH) -> Iterator[None]:
-    """While it lasts, jobs hand Python few rows at once: a pair of long texts' sets is some hundred kilobytes."""
+    """While it lasts, jobs hand Python few rows at once: a pair of long texts' sets is some hundred kilobytes. Workers and
+    the JVM hold several copies of a batch, and keep the room."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
     spark.conf.set(name, str(rows))

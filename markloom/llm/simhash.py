@@ -32,12 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fingerprint, setjoin
-from .common import Tables, joined, settle
+from .common import Tables, joined, let_go, settle
 from .graph import components
 
 BITS = 64
 #: Distinct fingerprints of a bucket up to which pairs are compared one by one.
 FEW = 24
+#: Bytes of texts that are profiled together, or one longer text; and texts that Python gets at once for it. They bound memory.
+PROFILED, TEXTS_A_BATCH = 250_000, 1_000
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -164,18 +166,21 @@ def profiles(text: Column, common: tuple, words_each: int, least: float) -> Colu
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        for texts in batches:
-            rows = []
-            for group in fingerprint.groups([(t or "").encode("utf-8", "surrogatepass") for t in texts]):
-                each = [shingle_hashes(t, words_each) for t in group]
-                prints = majority(np.concatenate(each), np.array([len(h) for h in each], dtype=np.int64)).view(np.int64).tolist()
-                for fp, g in zip(prints, fingerprint.shingle_sets([t.lower() for t in group])):
-                    s = xxhash.xxh64_intdigest(g, 7)
-                    s -= (s >> 63) << 64
-                    keys = None if s in seen or not g else setjoin.prefix(g, common, least)
-                    seen.add(s)
-                    rows.append((fp, s, len(g) // 8, setjoin.parities(g), keys))
-            yield pd.DataFrame(rows, columns=["fp", "s", "n", "marks", "keys"])
+        try:
+            for texts in batches:
+                for group in fingerprint.groups(((t or "").encode("utf-8", "surrogatepass") for t in texts), PROFILED):
+                    rows = []
+                    each = [shingle_hashes(t, words_each) for t in group]
+                    prints = majority(np.concatenate(each), np.array([len(h) for h in each], dtype=np.int64)).view(np.int64).tolist()
+                    for fp, g in zip(prints, fingerprint.shingle_sets([t.lower() for t in group])):
+                        s = xxhash.xxh64_intdigest(g, 7)
+                        s -= (s >> 63) << 64
+                        keys = None if s in seen or not g else setjoin.prefix(g, common, least)
+                        seen.add(s)
+                        rows.append((fp, s, len(g) // 8, setjoin.parities(g), keys))
+                    yield pd.DataFrame(rows, columns=["fp", "s", "n", "marks", "keys"])
+        finally:
+            let_go()
 
     return F.pandas_udf(run, "fp long, s long, n long, marks binary, keys array<long>")(text)
 
@@ -208,8 +213,8 @@ def keep_one(docs: DataFrame, words_each: int = 3, radius: int = 2, similarity:
     Rows equal in id and text are one row here; of those any one stays, since nothing tells them apart but further columns.
     """
     hashed = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text], docs[doc_id]).alias("_h"))
-    common = setjoin.common_shingles(docs, text)
-    with Tables(docs.sparkSession) as tables:
+    with Tables(docs.sparkSession) as tables, setjoin.small_batches(docs.sparkSession, TEXTS_A_BATCH):
+        common = setjoin.common_shingles(docs, text)
         profiled = hashed.select("doc_id", F.col("_h").alias("h"), profiles(F.col("text"), common, words_each, similarity).alias("_p"))
         held = tables.settle(profiled.select("doc_id", "h", "_p.*"))
         least = held.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("_first"))
